@@ -40,7 +40,7 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_
     end = int(end_id).to_bytes(4, "little")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordMemo(vocabulary)
+        memo = WordMemo.shared(vocabulary)
         for batch in batches:
             ids, piece, start, length, crc = [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

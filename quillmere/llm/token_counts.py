@@ -63,7 +63,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512, window: int
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = SpaceMemo(vocabulary)
+        memo = SpaceMemo.shared(vocabulary)
         for batch in batches:
             n_tokens = []
             for value in batch.column(1):

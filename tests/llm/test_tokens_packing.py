@@ -27,8 +27,8 @@ def test_memos_agree_with_library():
     words, spaces = library_tokenizer(vocabulary_path("word_bpe_49k.json")), library_tokenizer(vocabulary_path("byte_bpe_50k.json"))
     word_memo, space_memo = WordMemo(vocabulary_path("word_bpe_49k.json"), 20), SpaceMemo(vocabulary_path("byte_bpe_50k.json"), 20)
     rng = random.Random(5)
-    parts = ["a", "The", " ", "  ", "\n", "é", "é", "\xa0", "\x1c", "'s", "1", "23", "!", "<|endoftext|>", "　", "ß", "中"]
-    for text in [t or "" for t in TEXTS] + ["".join(rng.choices(parts, k=rng.randrange(40))) for _ in range(1500)]:
+    parts = ["a", "The", " ", "  ", "\n", "é", "é", "\xa0", "\x1c", "'s", "1", "23", "!", "<|endoftext|>", "　", "ß", "中", "Word", "ÉTÉ", ".", ",", "!!", "ĉ", "µ", "\x00", "\x01", "\t", "a.\n", "b, "]
+    for text in [t or "" for t in TEXTS] + ["".join(rng.choices(parts, k=rng.randrange(40))) for _ in range(4000)]:
         assert word_memo.ids(text) == np.array(words.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
         n = len(spaces.encode(text, add_special_tokens=False).ids)
         assert space_memo.count(text) == n, repr(text)
