@@ -5,7 +5,7 @@
    are linked without being compared.
 2. Inverted lists of retained values bring classes together. Two sets of
    similarity 0.75 share most of their sketches, at least ``shared_at_least`` values
-   (exact for sets kept whole, six standard deviations below the mean for others),
+   (exact for sets kept whole, four and a half standard deviations below the mean for others),
    so it is enough to list each class under all but so many of its values less one, rarest
    first (prefix filtering): a passage that many documents hold is not listed
    where anything rarer is.
@@ -14,8 +14,9 @@
    may reach it is verified on the full sets.
 4. Links give components. Lists whose classes are still in several components
    have every pair across components estimated, in blocks, and what may be
-   similar verified. So each pair that shares a listed value is linked, ruled out,
-   or already in one component.
+   similar verified; lists of much the same members are gone through as one.
+   So each pair that shares a listed value is linked, ruled out, or in one
+   component anyway.
 
 No list is capped and no step holds a list in one task.
 """
@@ -32,14 +33,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.llm.common import durable, partitions_of
+from quillmere.llm.common import durable, partitions_of, small_batches
 from quillmere.llm.components import connected_components
 
-K, WORDS, PERCENT, SIGMAS = 64, 5, 75, 6.0
+K, WORDS, PERCENT, SIGMAS = 64, 5, 75, 4.5
 #: Counters of the table that tells common values from rare ones. Its size is fixed; it only orders values.
 COUNTERS = 1 << 20
 #: Classes in a block of the pairs across components.
-BLOCK = 128
+BLOCK = 512
+#: Percent of members by which lists are put together.
+ALIKE = 30
 #: Ids that may be broadcast to pick out texts; more are joined.
 BROADCAST_IDS = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -125,47 +128,65 @@ def _common_values(classes: DataFrame):
     return classes.sparkSession.sparkContext.broadcast(table)
 
 
-def _listed(classes: DataFrame) -> DataFrame:
+def _rarest(own: np.ndarray, n: int, table: np.ndarray) -> np.ndarray:
+    """The retained values that a class of set size ``n`` is listed under."""
+    take = len(own) - shared_at_least(min(n, 4 * K)) + 1
+    return own[np.lexsort((own, table[(own * _MIX >> np.uint64(44)).astype(np.int64)]))[:take]]
+
+
+def _listed(classes: DataFrame, common) -> DataFrame:
     """(value, c): each class under its rarest retained values."""
-    common = _common_values(classes)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = common.value
         for rows in batches:
             ids, values = [], []
             for c, n, kept in zip(*(rows.column(i).to_pylist() for i in range(3)), strict=True):
-                own = np.frombuffer(kept, dtype=np.uint64)
-                take = len(own) - shared_at_least(min(n, 4 * K)) + 1
-                order = np.lexsort((own, table[(own * _MIX >> np.uint64(44)).astype(np.int64)]))[:take]
-                values.append(own[order].view(np.int64))
-                ids.append(np.full(take, c))
+                values.append(_rarest(np.frombuffer(kept, dtype=np.uint64), n, common.value).view(np.int64))
+                ids.append(np.full(len(values[-1]), c))
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values)), pa.array(np.concatenate(ids))], names=["value", "c"])
 
     return classes.select("c", "n", "sketch").mapInArrow(listed, "value long, c long")
 
 
+def _merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of both in order, and where one repeats the one before."""
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")
+    return both, both[1:] == both[:-1]
+
+
 def may_be_similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     """Whether the K smallest values of two sketches' union leave the similarity possible."""
-    union = np.union1d(a, b)[:K]
-    both = np.intersect1d(a, b, assume_unique=True)
-    hits = int((both <= union[-1]).sum())
+    both, again = _merged(a, b)
+    new = np.flatnonzero(~again)[: K - 1] + 1  # places of the union's values after the first
+    n = len(new) + 1
+    end = int(new[-1]) if len(new) else 0
+    hits = int(again[: end + 1].sum())
     t = percent / 100
-    return hits >= t * len(union) - SIGMAS * sqrt(t * (1 - t) * len(union))
+    return hits >= t * n - SIGMAS * sqrt(t * (1 - t) * n)
 
 
-def enough_shared(sketches: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
-    """Which pairs share so many values that ``may_be_similar`` can hold, by one matrix product."""
+def shared_values(sketches: list[np.ndarray]) -> np.ndarray:
+    """How many values each pair of sketches shares, by one matrix product over the values that repeat."""
     sizes = np.array([len(x) for x in sketches])
-    _, column = np.unique(np.concatenate(sketches), return_inverse=True)
-    holds = np.zeros((len(sketches), int(column.max()) + 1), dtype=np.float32)
-    holds[np.repeat(np.arange(len(sketches)), sizes), column] = 1
+    _, column, counts = np.unique(np.concatenate(sketches), return_inverse=True, return_counts=True)
+    again = counts > 1
+    place = np.cumsum(again) - 1
+    use = again[column]
+    holds = np.zeros((len(sketches), int(again.sum())), dtype=np.float32)
+    holds[np.repeat(np.arange(len(sketches)), sizes)[use], place[column[use]]] = 1
+    return holds @ holds.T
+
+
+def enough_shared(shared: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Which pairs share so many values that ``may_be_similar`` can hold."""
     t, larger = percent / 100, np.maximum(sizes[:, None], sizes[None, :])
-    return holds @ holds.T >= t * larger - SIGMAS * np.sqrt(t * (1 - t) * larger)
+    return shared >= t * larger - SIGMAS * np.sqrt(t * (1 - t) * larger)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    both = int(_merged(a, b)[1].sum())
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
@@ -182,80 +203,111 @@ def _judge(pairs: DataFrame, right: DataFrame, left: DataFrame, column: str, jud
     return both.select("a", "b", "_x", "_y").mapInArrow(judged, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of classes (a, b) whose sketches allow it and whose full sets are similar."""
-    spark = docs.sparkSession
-    likely = durable(_judge(pairs, classes, classes, "sketch", may_be_similar).distinct())
-    ids = durable(likely.select(F.col("a").alias("_id")).union(likely.select("b")).distinct())
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(c, shingles): full sets of the documents whose id is in ``ids`` (one distinct column, ``_id``), computed from their texts again."""
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    memo_docs = text.join(wanted, F.col("doc_id") == F.col("_id"), "left_semi")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _WordMemo()
         for rows in batches:
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([shingle_set(memo, x.as_py()).tobytes() for x in rows.column(1)], pa.binary())], names=["c", "shingles"])
 
-    sets = memo_docs.mapInArrow(full, "c long, shingles binary")
-    sets = durable(sets.repartition(partitions_of(spark), "c"))
-    return durable(_judge(likely, sets, sets, "shingles", similar).distinct())
+    return text.join(wanted, F.col("doc_id") == F.col("_id"), "left_semi").mapInArrow(full, "c long, shingles binary")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of classes (a, b) whose sketches allow it and whose full sets are similar."""
+    spark = docs.sparkSession
+    likely = durable(_judge(pairs, classes, classes, "sketch", may_be_similar).distinct())
+    ids = durable(likely.select(F.col("a").alias("_id")).union(likely.select("b")).distinct())
+    sets = durable(_sets(docs, ids))
+    with small_batches(spark, 250):
+        return durable(_judge(likely, sets, sets, "shingles", similar).distinct())
+
+
+def _groups(members: DataFrame) -> DataFrame:
+    """(group, c, component): lists that have much the same members are one group, so that a pair is not met again in each.
+
+    Lists that follow each other in a class, the longest first, are put
+    together if ``ALIKE`` percent of the longer one's members have them so. Two members of a list
+    are in one group whatever is put together.
+    """
+    ordered = members.groupBy("c").agg(F.array_sort(F.collect_list(F.struct((-F.col("m")).alias("k"), "value"))).alias("own")).where(F.size("own") > 1)
+    steps = F.transform(F.sequence(F.lit(0), F.size("own") - 2), lambda i: F.struct(F.col("own")[i].alias("x"), F.col("own")[i + 1].alias("y")))
+    met = ordered.select(F.explode(steps).alias("s")).groupBy(F.col("s.x.value").alias("u"), F.col("s.y.value").alias("v")).agg(F.count("*").alias("n"), F.max(-F.col("s.x.k")).alias("m"))
+    labels = connected_components(met.where(F.col("n") * 100 >= F.col("m") * ALIKE).select("u", "v"))
+    labels = labels.select(F.col("node").alias("value"), F.col("component").alias("label"))
+    return members.join(labels, "value", "left").select(F.coalesce("label", "value").alias("group"), "c", "component").distinct()
 
 
-def _across(lists: DataFrame, classes: DataFrame, components: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one list and different components that were not tested and whose sketches allow it, in blocks."""
+def _across(lists: DataFrame, docs: DataFrame, components: DataFrame) -> DataFrame:
+    """Links (a, b) between different components of one list, as many as it takes to join what belongs together.
+
+    Every pair of a list and of different components is estimated, and what may be similar verified on the full sets,
+    in blocks of a bounded number of classes; a pair that links of its block have joined meanwhile is passed over.
+    """
+    spark = docs.sparkSession
     placed = lists.join(components, lists["c"] == components["node"], "left").select("value", "c", F.coalesce("component", "c").alias("component"))
-    open_lists = placed.groupBy("value").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high and m > 2")
-    # In a list of two the only pair was tested; so was each pair with the smallest class.
-    members = placed.join(open_lists.select("value", "m"), "value")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("c"), blocks).cast("int")
+    # In a list of two the only pair was tested.
+    open_lists = placed.groupBy("value").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high and m > 2").select("value", "m")
+    members = durable(placed.join(open_lists, "value"))
+    grouped = durable(_groups(members))
+    sizes = grouped.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    own = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
     dealt = (
-        members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "component")
-        .join(classes.select("c", "sketch"), "c")
-        .repartition(partitions_of(lists.sparkSession), "value", "i", "j").sortWithinPartitions("value", "i", "j", "own", "c")
-        .select("value", "i", "j", "own", "c", "component", "sketch")
+        grouped.join(sizes.select("group", "blocks"), "group").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "component")
+        .join(_sets(docs, durable(grouped.select(F.col("c").alias("_id")).distinct())), "c")
+        .repartition(partitions_of(spark), "group", "i", "j").sortWithinPartitions("group", "i", "j", "own", "c")
+        .select("group", "i", "j", "own", "c", "component", "shingles")
     )
 
-    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
-        done: set[tuple[int, int]] = set()
-
-        def settle() -> tuple[list[int], list[int]]:
-            a, b = [], []
-            if len({x[2] for x in held}) > 1:
-                sketches = [np.frombuffer(x[3], np.uint64) for x in held]
-                i, j = key[1:]
-                own, of = (np.array([x[k] for x in held]) for k in (0, 2))
-                open_pair = np.triu(of[:, None] != of[None, :], 1)
-                if i != j:
-                    open_pair &= own[:, None] != own[None, :]
-                for x, y in zip(*np.nonzero(open_pair & enough_shared(sketches)), strict=True):
-                    pair = (min(held[x][1], held[y][1]), max(held[x][1], held[y][1]))
-                    if pair not in done:
-                        done.add(pair)
-                        if may_be_similar(sketches[x], sketches[y]):
-                            a.append(pair[0])
-                            b.append(pair[1])
-            if len(done) > 500_000:
-                done.clear()
-            return a, b
-
         for rows in batches:
-            out: tuple[list[int], list[int]] = ([], [])
-            for value, i, j, own, c, component, kept in zip(*(rows.column(n).to_pylist() for n in range(7)), strict=True):
-                if (value, i, j) != key:
-                    if held:
-                        for to, more in zip(out, settle(), strict=True):
-                            to.extend(more)
-                    key, held = (value, i, j), []
-                held.append((own, c, component, kept))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
-        if held:
-            a, b = settle()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return dealt.mapInArrow(paired, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
+            for row in zip(*(rows.column(k).to_pylist() for k in range(7)), strict=True):
+                if row[:3] != key:
+                    if len(held) > 1:
+                        yield _link_block(key[1] != key[2], held)
+                    key, held = row[:3], []
+                held.append((*row[3:6], np.frombuffer(row[6], np.uint64)))
+        if len(held) > 1:
+            yield _link_block(key[1] != key[2], held)
+
+    with small_batches(spark, 250):
+        return durable(dealt.mapInArrow(joined, "a long, b long").distinct())
+
+
+def _link_block(two: bool, held: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
+    """Links of a block of (own, c, component, set); of two blocks only those between them."""
+    own, ids, of = (np.array([x[k] for x in held]) for k in range(3))
+    root = {int(x): int(x) for x in of}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    links: tuple[list[int], list[int]] = ([], [])
+    may = np.triu(of[:, None] != of[None, :], 1)
+    if two:
+        may &= own[:, None] != own[None, :]
+    sizes = np.array([len(x[3]) for x in held])
+    may &= 100 * np.minimum(sizes[:, None], sizes[None, :]) >= PERCENT * np.maximum(sizes[:, None], sizes[None, :])
+    if may.any():
+        shared = shared_values([x[3][:K] for x in held])
+        may &= enough_shared(shared, np.minimum(sizes, K))
+        x, y = np.nonzero(may)
+        order = np.argsort(-shared[x, y], kind="stable")
+        for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
+            p, q = find(int(of[i])), find(int(of[j]))
+            a, b = held[i][3], held[j][3]
+            if p != q and may_be_similar(a[:K], b[:K]) and similar(a, b):
+                root[max(p, q)] = min(p, q)
+                links[0].append(int(min(ids[i], ids[j])))
+                links[1].append(int(max(ids[i], ids[j])))
+    return pa.RecordBatch.from_arrays([pa.array(links[0], pa.int64()), pa.array(links[1], pa.int64())], names=["a", "b"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -273,7 +325,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = durable(sized.groupBy("d1", "d2").agg(F.min("doc_id").alias("c")))
     hit = (sized["d1"] == reps["d1"]) & (sized["d2"] == reps["d2"]) & (sized["doc_id"] == reps["c"])
     classes = durable(sized.join(reps, hit).select("c", "n", "sketch"))
-    lists = _listed(classes)
+    common = _common_values(classes)
+    lists = _listed(classes, common)
     hubs = lists.groupBy("value").agg(F.min("c").alias("a"), F.count("*").alias("m")).where("m > 1")
     multi = durable(lists.join(hubs, "value").select("value", "c", "a"))
     pairs = durable(multi.where("a <> c").select("a", F.col("c").alias("b")).distinct())
@@ -283,10 +336,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = sized.select("doc_id", "d1", "d2").join(several, "doc_id").join(reps, ["d1", "d2"]).select(F.col("doc_id").alias("u"), F.col("c").alias("v"))
     edges = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(own)
     components = durable(connected_components(edges))
-    more = durable(_across(multi.select("value", "c"), classes, components, pairs))
+    more = _across(multi.select("value", "c"), docs, components)
     if more.limit(1).count():
-        found = _verified(more, docs, classes)
-        components = durable(connected_components(edges.unionByName(found.select(F.col("a").alias("u"), F.col("b").alias("v")))))
+        components = durable(connected_components(edges.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))))
     placed = all_sketches.select("doc_id", "n", "d1", "d2").join(reps, ["d1", "d2"], "left")
     placed = placed.withColumn("c", F.when(F.col("doc_id").isNotNull(), F.col("c")))
     reached = placed.join(components, placed["c"] == components["node"], "left")
