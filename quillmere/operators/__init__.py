@@ -1 +1 @@
-
+"""Operators over DataFrames: index, ranking, graph, vectors, understanding, answers, pages, portal, operations."""

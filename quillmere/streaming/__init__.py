@@ -1 +1 @@
-
+"""State machines and streams."""
