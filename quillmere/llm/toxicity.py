@@ -1,13 +1,15 @@
 """Toxicity scores from a factorization machine over hashed terms.
 
-A text's features are its distinct words, hashed. The machine adds to the usual
+A text's features are its distinct terms, hashed: words, and the beginnings of words (an insult takes
+many endings in some languages). The machine adds to the usual
 linear weights a vector for each term; the inner product of two terms' vectors
 is the weight of their meeting in one text, so a pair (an insult and the mention
 of a group, say) can count for more than its parts.
 
 The machine is fitted on the driver on a bounded sample of labelled rows: those
 whose ids hash lowest, ``sample`` of them at most, as lists of term hashes. Terms must be in
-``min_docs`` texts of the sample; the ``terms`` of them with the strongest tie to the label are used.
+``min_docs`` texts of the sample; of those whose tie to the label is ``least_tie`` standard deviations
+or more the ``terms`` strongest are used.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,22 +31,27 @@ SAMPLE = 20_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+#: Lengths of the beginnings that are terms of their own.
+BEGINNINGS = range(3, 9)
+
+
 class _TermMemo(dict):
-    """Word to its hash. Emptied when it has grown to ``limit``, which changes speed only."""
+    """Word to the hashes of its terms. Emptied when it has grown to ``limit``, which changes speed only."""
 
-    limit = 500_000
+    limit = 200_000
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= self.limit:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word) >> 33  # 31 bits
+        terms = [word, *(word[:n] + "*" for n in BEGINNINGS if n < len(word))]
+        value = self[word] = tuple(xxhash.xxh3_64_intdigest(t) >> 33 for t in terms)  # 31 bits
         return value
 
 
 def term_hashes(memo: _TermMemo, text: str | None) -> np.ndarray:
-    """Sorted distinct term hashes of a whole text: runs of letters, lower-cased."""
-    words = _WORD.findall((text or "").lower())
-    return np.unique(np.fromiter(map(memo.__getitem__, words), dtype=np.int32, count=len(words)))
+    """Sorted distinct term hashes of a whole text; words are runs of letters, lower-cased."""
+    words = set(_WORD.findall((text or "").lower()))
+    return np.unique(np.fromiter(chain.from_iterable(map(memo.__getitem__, words)), dtype=np.int32))
 
 
 @dataclass
@@ -94,7 +102,7 @@ def sample_terms(docs: DataFrame, labels: DataFrame, sample: int) -> list[tuple[
     return [(np.frombuffer(t, np.int32), int(y)) for t, y in zip(rows["terms"], rows["y"], strict=True)]
 
 
-def fit(rows: list[tuple[np.ndarray, int]], terms: int = 20_000, min_docs: int = 4, factors: int = 4, epochs: int = 12, seed: int = 11) -> Machine:
+def fit(rows: list[tuple[np.ndarray, int]], terms: int = 5_000, min_docs: int = 6, least_tie: float = 4.0, factors: int = 4, epochs: int = 12, seed: int = 11) -> Machine:
     """A machine fitted by AdaGrad on logistic loss. Without both labels it scores every text by their share."""
     y = np.array([y for _, y in rows], dtype=np.float64)
     share = (y.sum() + 0.5) / (len(y) + 1)
@@ -108,7 +116,7 @@ def fit(rows: list[tuple[np.ndarray, int]], terms: int = 20_000, min_docs: int =
     positive = np.bincount(where, weights=np.repeat(y, [len(t) for t, _ in rows]))
     expected = df * share
     tie = np.abs(positive - expected) / np.sqrt(np.maximum(expected * (1 - share), 1e-9))
-    usable = np.flatnonzero(df >= min_docs)
+    usable = np.flatnonzero((df >= min_docs) & (tie >= least_tie))
     chosen = np.sort(usable[np.argsort(-tie[usable], kind="stable")[:terms]])
     rng = np.random.default_rng(seed)
     machine = Machine(every[chosen], empty.bias, np.zeros(len(chosen)), rng.normal(0, 0.01, (len(chosen), factors)))
