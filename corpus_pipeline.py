@@ -13,8 +13,6 @@ from quillmere.llm.near_dedup import near_duplicates
 from quillmere.llm.packing import pack_documents
 from quillmere.llm.vocabularies import vocabulary_path
 
-#: Cosine with the best language below which a text is no prose of any language.
-LEAST_COSINE = 0.2
 #: Ids of documents to drop that may be broadcast, 8 bytes each; more are joined.
 BROADCAST_IDS = 1_000_000
 
@@ -27,9 +25,9 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter in them and a language whose profile they come near to."""
+    """Documents with a language, that is with a letter in them. Short clean texts have low cosines, so none is dropped for that."""
     profiles = train_profiles(docs.select("text", "lang"))
-    return identify(docs, profiles).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_COSINE)).select("row.*")
+    return identify(docs, profiles).where(F.col("lang_pred") != "und").select("row.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
