@@ -18,8 +18,9 @@ pre-tokenizers part letters from punctuation), and so is a single line feed; tex
 Latin-1 characters are lower-cased beforehand where the vocabulary would do it
 (such letters change in nothing else).
 
-Memories last as long as a worker process and are emptied at ``limit`` entries,
-which changes speed and nothing else.
+Memories last as long as a worker process. One with ``limit`` entries becomes
+the old one, from which what is met again is taken over, and the one before it is
+forgotten; that changes speed and nothing else.
 """
 
 from __future__ import annotations
@@ -50,12 +51,16 @@ def library_tokenizer(path: str):
 class _Memory(dict):
     def __init__(self, make: Callable[[str], object], limit: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, chunk: str) -> object:
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        value = self[chunk] = self.make(chunk)
+        value = self.old.get(chunk)
+        if value is None:
+            value = self.make(chunk)
+        self[chunk] = value
         return value
 
 
@@ -75,7 +80,7 @@ def _latin1(text: str) -> bool:
 class WordMemo:
     """Token ids of a text, for a vocabulary that lower-cases and removes white space."""
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 600_000):
         tokenizer = library_tokenizer(path)
         self.memory = _Memory(lambda x: np.asarray(tokenizer.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes(), limit)
 
@@ -102,7 +107,7 @@ class SpaceMemo:
     #: A chunk with no space before it begins with this; chunks stand for themselves with a space before.
     BARE, LINE = "\x00", "\x01"
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 600_000):
         tokenizer = library_tokenizer(path)
         count = lambda x: len(tokenizer.encode(x, add_special_tokens=False).ids)
         self.whole = count
