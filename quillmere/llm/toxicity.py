@@ -102,6 +102,14 @@ def sample_terms(docs: DataFrame, labels: DataFrame, sample: int) -> list[tuple[
     return [(np.frombuffer(t, np.int32), int(y)) for t, y in zip(rows["terms"], rows["y"], strict=True)]
 
 
+def _counts(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order and how often each occurs, by one sort in place: the driver holds a value four bytes, once."""
+    values = np.concatenate(parts)
+    values.sort()
+    begins = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.empty(0, np.int64)
+    return values[begins], np.diff(np.append(begins, len(values)))
+
+
 def fit(rows: list[tuple[np.ndarray, int]], terms: int = 5_000, min_docs: int = 6, least_tie: float = 4.0, factors: int = 4, epochs: int = 12, seed: int = 11) -> Machine:
     """A machine fitted by AdaGrad on logistic loss. Without both labels it scores every text by their share."""
     y = np.array([y for _, y in rows], dtype=np.float64)
@@ -109,11 +117,12 @@ def fit(rows: list[tuple[np.ndarray, int]], terms: int = 5_000, min_docs: int =
     empty = Machine(np.empty(0, np.int32), float(np.log(share / (1 - share))), np.empty(0), np.empty((0, factors)))
     if not 0 < y.sum() < len(y):
         return empty
-    every, where = np.unique(np.concatenate([t for t, _ in rows]), return_inverse=True)
+    every, df = _counts([t for t, _ in rows])
     if not len(every):
         return empty
-    df = np.bincount(where)
-    positive = np.bincount(where, weights=np.repeat(y, [len(t) for t, _ in rows]))
+    of_label, n_label = _counts([t for t, label in rows if label])
+    positive = np.zeros(len(every))
+    positive[np.searchsorted(every, of_label)] = n_label
     expected = df * share
     tie = np.abs(positive - expected) / np.sqrt(np.maximum(expected * (1 - share), 1e-9))
     usable = np.flatnonzero((df >= min_docs) & (tie >= least_tie))
