@@ -15,6 +15,8 @@ from quillmere.llm.vocabularies import vocabulary_path
 
 #: Ids of documents to drop that may be broadcast, 8 bytes each; more are joined.
 BROADCAST_IDS = 1_000_000
+#: What a text with words in it holds.
+WORDS = r"[\p{L}\p{N}]"
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -31,8 +33,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines that ten documents share; the first of those keeps its line."""
-    found = drop_frequent_lines(docs, min_docs=10, keep_first=True)
+    """Documents without the lines that ten documents share; the first of those keeps its line.
+
+    A group of near duplicates counts as the one document that near dedup keeps, and null-id rows of one text
+    as one, so that copies make no line frequent and reach near dedup whole. A document that had letters or digits
+    and has none left is dropped; every other stays.
+    """
+    copies = near_duplicates(docs.select("doc_id", "text")).where(~F.col("kept")).select(F.col("doc_id").alias("_id"))
+    known, unknown = docs.select("doc_id", "text").where("doc_id is not null"), docs.select("doc_id", "text").where("doc_id is null")
+    counted = _without(known, copies).unionByName(unknown.dropDuplicates(["text"]))
+    found = drop_frequent_lines(docs, min_docs=10, keep_first=True, counted=counted)
+    emptied = (F.col("n_dropped") > 0) & F.coalesce(F.col("row.text").rlike(WORDS), F.lit(False)) & ~F.col("text").rlike(WORDS)
+    found = found.where(~emptied)
     renewed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return found.select(*[renewed[c].alias(c) if c in renewed else F.col("row")[c].alias(c) for c in docs.columns])
 

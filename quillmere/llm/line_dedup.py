@@ -251,7 +251,7 @@ def _positions(docs: DataFrame, frequent: DataFrame, keep_first: bool) -> DataFr
     return hit.groupBy("_id", "_hash").agg(F.collect_set("position").alias("positions"))
 
 
-def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, batches: int = 4, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, batches: int = 4, broadcast_keys: int = BROADCAST_KEYS, counted: DataFrame | None = None) -> DataFrame:
     """Documents without the lines that at least ``min_docs`` documents share.
 
     Returns (row, text, n_lines, n_dropped): ``row`` is the whole input row, so
@@ -260,9 +260,10 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool =
     lines without a key always stay. ``keep_first`` lets the first document of a
     key keep its first such line. A null text is one empty line. A row is a
     document: repeated rows count each, rows with a null id too (and never keep
-    a line as first). No rows give no rows.
+    a line as first). No rows give no rows. ``counted``: the documents whose lines
+    are counted and among which the first is sought, where these are not all.
     """
-    frequent = frequent_line_keys(docs, min_docs, batches)
+    frequent = frequent_line_keys(docs if counted is None else counted, min_docs, batches)
     if frequent.count() <= broadcast_keys:
         found = frequent.select("h1", "h2", F.col("first.d").alias("d")).toPandas().sort_values(["h1", "h2"])
         known = (found[["h1", "h2"]].to_numpy(np.int64).copy(), found["d"].astype("Int64").fillna(-(1 << 63)).to_numpy(np.int64))
