@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.llm.common import remove_path, scratch_path, table
@@ -17,6 +18,8 @@ from quillmere.llm.vocabularies import vocabulary_path
 BROADCAST_IDS = 1_000_000
 #: What a text with words in it holds.
 WORDS = r"[\p{L}\p{N}]"
+#: Length class from which the cosine decides, and labelled scores that a class needs for a median of its own.
+LEAST_CLASS, CLASS_SCORES = 5, 30
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -26,10 +29,39 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(dropped, docs["doc_id"] == dropped["_id"], "left_anti")
 
 
+def _length_class(text: Column) -> Column:
+    """Binary logarithm of the text's characters, cut to a whole number: 5 for 32 to 63. Characters that are no letters count, a run of white space as one."""
+    return F.floor(F.log2(F.greatest(F.length(F.regexp_replace(text.cast("string"), r"\s+", " ")), F.lit(1)))).cast("int")
+
+
+def least_scores(docs: DataFrame, profiles: tuple[list[str], np.ndarray]) -> dict[int, float]:
+    """For each length class the score a text of it needs: a quarter of the median score of all labelled rows of that class.
+
+    Copies have one score, so each score counts once. A class of fewer than ``CLASS_SCORES`` scores takes what the next
+    shorter one needs, as longer texts score higher. Classes under ``LEAST_CLASS`` are left out.
+    """
+    scored = identify(docs.where("lang is not null").select("text"), profiles).where(F.col("lang_pred") != "und")
+    scores = scored.select(_length_class(F.col("row.text")).alias("class"), F.round("score", 6).alias("score")).where(F.col("class") >= LEAST_CLASS).distinct()
+    least, found = 0.0, {}
+    medians = scores.groupBy("class").agg(F.count("*").alias("n"), F.percentile_approx("score", 0.5, 10_000).alias("median"))
+    for r in sorted(medians.collect()):
+        if r["n"] >= CLASS_SCORES:
+            least = r["median"] / 4
+        found[r["class"]] = least
+    return found
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language, that is with a letter in them. Short clean texts have low cosines, so none is dropped for that."""
+    """Documents in a language: those with a letter whose cosine with the best language is not far under what labelled texts of their length have.
+
+    Texts under 32 characters have too few n-grams for the cosine to tell, so a letter is enough.
+    """
     profiles = train_profiles(docs.select("text", "lang"))
-    return identify(docs, profiles).where(F.col("lang_pred") != "und").select("row.*")
+    found = identify(docs, profiles).where(F.col("lang_pred") != "und")
+    need = F.lit(0.0)
+    for least_class, least in sorted(least_scores(docs, profiles).items()):
+        need = F.when(_length_class(F.col("row.text")) >= least_class, F.lit(least)).otherwise(need)
+    return found.where(F.col("score") >= need).select("row.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,3 +23,14 @@ def test_large_groups_of_copies_leave_one_whole_document(spark):
     texts = {r.doc_id: r.text for r in kept}
     assert texts[0] == text and texts[100] == rows[12][1] and texts[None].startswith("no id")
     assert sum("footer" in r.text.lower() for r in kept) == 1
+
+
+def test_text_of_no_known_language_is_rejected(spark):
+    rng = random.Random(4)
+    rows = [(i, _prose(rng, rng.choice([1, 2, 8, 40, 150])), "en") for i in range(400)]
+    noise = ["1234567890 " * 40 + "a", "".join(rng.choices("0123456789abcdef", k=600)), "#$% x " * 60, " ".join("".join(rng.choices("zxvkjwy", k=7)) for _ in range(80))]
+    clean = ["Thing.", "A", "quo", "Tharen molquo", "The " + _prose(rng, 5), "quoing" + " " * 900 + "molest"]
+    asked = [(1000 + i, t, None) for i, t in enumerate(noise)] + [(2000 + i, t, None) for i, t in enumerate(clean)]
+    docs = spark.createDataFrame([(*r, "s", 0) for r in [*rows, *asked]], SCHEMA)
+    got = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert got == {*range(400), *range(2000, 2000 + len(clean))}
