@@ -55,8 +55,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents in a language: those with a letter whose cosine with the best language is not far under what labelled texts of their length have.
 
     Texts under 32 characters have too few n-grams for the cosine to tell, so a letter is enough.
+    So it is for every text where no row has both a lang and a letter, as there is no language to compare with.
     """
     profiles = train_profiles(docs.select("text", "lang"))
+    if not profiles[0]:
+        # A prototype of zeros: any text with a letter gets its name, with score 0.
+        anything = (["any"], np.zeros((1, profiles[1].shape[1])))
+        return identify(docs, anything).where(F.col("lang_pred") != "und").select("row.*")
     found = identify(docs, profiles).where(F.col("lang_pred") != "und")
     need = F.lit(0.0)
     for least_class, least in sorted(least_scores(docs, profiles).items()):

@@ -34,3 +34,10 @@ def test_text_of_no_known_language_is_rejected(spark):
     docs = spark.createDataFrame([(*r, "s", 0) for r in [*rows, *asked]], SCHEMA)
     got = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
     assert got == {*range(400), *range(2000, 2000 + len(clean))}
+
+
+def test_without_any_language_a_letter_is_enough(spark):
+    rng = random.Random(5)
+    rows = [(i, _prose(rng, 30), None, "s", 0) for i in range(5)] + [(6, "12 !", None, "s", 0), (7, None, None, "s", 0), (8, "12", "en", "s", 0), (9, "a", None, "s", 0)]
+    got = corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert sorted(r.doc_id for r in got.collect()) == [*range(5), 9] and got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
