@@ -9,7 +9,8 @@ of a group, say) can count for more than its parts.
 The machine is fitted on the driver on a bounded sample of labelled rows: those
 whose ids hash lowest, ``sample`` of them at most, as lists of term hashes. Terms must be in
 ``min_docs`` texts of the sample; of those whose tie to the label is ``least_tie`` standard deviations
-or more the ``terms`` strongest are used.
+or more the ``terms`` strongest are used, and beside them every term whose tie among the texts of one of these is
+``pair_tie`` or more.
 """
 
 from __future__ import annotations
@@ -110,7 +111,39 @@ def _counts(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return values[begins], np.diff(np.append(begins, len(values)))
 
 
-def fit(rows: list[tuple[np.ndarray, int]], terms: int = 5_000, min_docs: int = 6, least_tie: float = 4.0, factors: int = 4, epochs: int = 12, seed: int = 11) -> Machine:
+def _tie(n: np.ndarray, positive: np.ndarray, share: float) -> np.ndarray:
+    """Standard deviations between the toxic texts of terms in ``n`` texts each and what their share would give."""
+    expected = n * share
+    return np.abs(positive - expected) / np.sqrt(np.maximum(expected * (1 - share), 1e-9))
+
+
+def pair_terms(rows: list[tuple[np.ndarray, int]], every: np.ndarray, known: np.ndarray, min_docs: int, least_tie: float) -> np.ndarray:
+    """Which of the terms ``every`` are tied to the label among the texts of one of the terms at ``known``.
+
+    So a term that by itself says nothing, but turns the texts of another one toxic or harmless, is found.
+    """
+    held: list[np.ndarray] = []
+    texts_of: dict[int, list[int]] = {int(u): [] for u in known}
+    is_known = np.zeros(len(every), dtype=bool)
+    is_known[known] = True
+    for i, (t, _) in enumerate(rows):
+        at = np.minimum(np.searchsorted(every, t), len(every) - 1)
+        at = at[every[at] == t].astype(np.int32)
+        held.append(at)
+        for u in at[is_known[at]].tolist():
+            texts_of[u].append(i)
+    tied = np.zeros(len(every), dtype=bool)
+    for texts in texts_of.values():
+        toxic = [i for i in texts if rows[i][1]]
+        if not 0 < len(toxic) < len(texts):
+            continue
+        n = np.bincount(np.concatenate([held[i] for i in texts]), minlength=len(every))
+        positive = np.bincount(np.concatenate([held[i] for i in toxic]), minlength=len(every))
+        tied |= (n >= min_docs) & (_tie(n, positive, len(toxic) / len(texts)) >= least_tie)
+    return np.flatnonzero(tied)
+
+
+def fit(rows: list[tuple[np.ndarray, int]], terms: int = 5_000, min_docs: int = 6, least_tie: float = 4.0, pair_tie: float = 8.0, factors: int = 4, epochs: int = 12, seed: int = 11) -> Machine:
     """A machine fitted by AdaGrad on logistic loss. Without both labels it scores every text by their share."""
     y = np.array([y for _, y in rows], dtype=np.float64)
     share = (y.sum() + 0.5) / (len(y) + 1)
@@ -123,10 +156,12 @@ def fit(rows: list[tuple[np.ndarray, int]], terms: int = 5_000, min_docs: int =
     of_label, n_label = _counts([t for t, label in rows if label])
     positive = np.zeros(len(every))
     positive[np.searchsorted(every, of_label)] = n_label
-    expected = df * share
-    tie = np.abs(positive - expected) / np.sqrt(np.maximum(expected * (1 - share), 1e-9))
+    tie = _tie(df, positive, share)
     usable = np.flatnonzero((df >= min_docs) & (tie >= least_tie))
-    chosen = np.sort(usable[np.argsort(-tie[usable], kind="stable")[:terms]])
+    chosen = usable[np.argsort(-tie[usable], kind="stable")[:terms]]
+    common = np.flatnonzero(df >= min_docs)
+    paired = common[pair_terms(rows, every[common], np.searchsorted(common, chosen), min_docs, pair_tie)]
+    chosen = np.union1d(chosen, paired)
     rng = np.random.default_rng(seed)
     machine = Machine(every[chosen], empty.bias, np.zeros(len(chosen)), rng.normal(0, 0.01, (len(chosen), factors)))
     features = [machine.places(t) for t, _ in rows]
