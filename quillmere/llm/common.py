@@ -4,22 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the contracts: space and the control characters tab to carriage return.
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
+#: Bytes of rows that a Python worker is handed at once (one row at least).
+BATCH_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a folder of our own where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary folder on one machine (tests), and an error on a cluster,
+    whose executors would each write to a disk of their own.
+    """
     sc = spark.sparkContext
-    told = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    told = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not told:
-        told = sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="quillmere-checkpoint-")
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        told = "file://" + tempfile.mkdtemp(prefix="quillmere-checkpoint-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(told)
     return told
@@ -35,16 +41,21 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of at most ``rows`` rows while wide rows are worked on; only what is run inside is touched."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+def bound_batches(spark: SparkSession) -> None:
+    """From now on this session hands Python workers at most ``BATCH_BYTES`` at once, however long its rows are."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not now.rstrip("bB").isdigit() or not 0 < int(now.rstrip("bB")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one, whatever their names."""
+    return F.struct(*[F.col(quoted(c)).alias(c) for c in df.columns])
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.llm.common import durable
+from quillmere.llm.common import bound_batches, durable
 
 RATE = 0.2
 #: Items whose pieces are held by a task at once; more are searched for in blocks.
@@ -159,6 +159,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, items_
     blocks, each with one pass over the documents.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     n_blocks = -(-bench.count() // items_at_once) or 1
     if n_blocks > 1:

@@ -6,8 +6,8 @@ vector bundles (adds) the vectors of all its n-grams; a language's prototype
 bundles those of its texts. A text gets the language whose prototype has the
 highest cosine with it.
 
-As bundling is a sum, a prototype is a sum over n-gram counts, so training adds
-up counts, which does not depend on the vectors' dimension, and scoring multiplies a
+As bundling is a sum, a bundle is a sum over n-gram counts: a task counts first and
+then adds up each n-gram's vector as often as it occurs, and scoring multiplies a
 batch's count matrix with the vectors of the n-grams that the batch holds.
 """
 
@@ -20,8 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmere.llm.common import bound_batches, whole_row
+
 #: Symbols: 0 for what is no letter, 1 to 26 for a to z, the rest for other letters by their code point.
 SYMBOLS, N = 64, 3
+#: Characters of a text that are worked on at once.
+PIECE = 250_000
+#: Languages whose counts a task holds at once, 2 MB each.
+LANGUAGES = 32
 #: Cells of a dense count matrix that are held at once.
 MATRIX = 4_000_000
 
@@ -40,18 +46,22 @@ def _symbol_table() -> np.ndarray:
 _TABLE: list[np.ndarray] = []
 
 
-def symbols(text: str) -> np.ndarray:
-    """Symbols of a text, runs of non-letters as one, with one at either end. A text without letters gives none."""
+def symbols(text: str) -> Iterator[np.ndarray]:
+    """Symbols of a text in pieces, runs of non-letters as one, with one at either end. A text without letters gives none."""
     if not _TABLE:
         _TABLE.append(_symbol_table())
-    codes = _TABLE[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-    if not codes.any():
-        return codes[:0]
-    keep = codes != 0
-    keep[1:] |= codes[:-1] != 0
-    keep[0] = codes[0] != 0
-    codes = codes[keep]
-    return np.concatenate([[0], codes, [0] if codes[-1] else []]).astype(np.uint8)
+    last, begun = 0, False
+    for at in range(0, len(text), PIECE):
+        codes = _TABLE[0][np.frombuffer(text[at : at + PIECE].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        keep = codes != 0
+        keep[1:] |= codes[:-1] != 0
+        keep[0] |= last != 0
+        last, codes = codes[-1], codes[keep]
+        if len(codes):
+            yield codes if begun else np.concatenate([[0], codes]).astype(np.uint8)
+            begun = True
+    if last:
+        yield np.zeros(1, np.uint8)
 
 
 def gram_ids(codes: np.ndarray) -> np.ndarray:
@@ -60,6 +70,20 @@ def gram_ids(codes: np.ndarray) -> np.ndarray:
     return (wide[:-2] * SYMBOLS + wide[1:-1]) * SYMBOLS + wide[2:]
 
 
+def text_grams(text: str | None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Number of each n-gram of a text, one for each place; or of a text of several pieces the distinct ones and how often each occurs."""
+    text = text or ""
+    if len(text) <= PIECE:
+        return gram_ids(np.concatenate([np.empty(0, np.uint8), *symbols(text)])), None
+    totals, carry = np.zeros(SYMBOLS**N, dtype=np.int64), np.empty(0, np.uint8)
+    for codes in symbols(text):
+        codes = np.concatenate([carry, codes])
+        totals += np.bincount(gram_ids(codes), minlength=SYMBOLS**N)
+        carry = codes[1 - N :]
+    grams = np.flatnonzero(totals)
+    return grams, totals[grams]
+
+
 class Letters:
     """The random vectors of letters, rotated by place, and so those of n-grams."""
 
@@ -71,6 +95,13 @@ class Letters:
         first, second, third = ids // SYMBOLS // SYMBOLS, ids // SYMBOLS % SYMBOLS, ids % SYMBOLS
         return (self.placed[0][first] * self.placed[1][second] * self.placed[2][third]).astype(np.float32)
 
+    def bundle(self, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The sum of n-grams' vectors, each as often as it occurs: whole numbers, exact to 2**53."""
+        total = np.zeros(self.placed[0].shape[1])
+        for at in range(0, len(ids), 4096):
+            total += n[at : at + 4096].astype(np.float64) @ self.grams(ids[at : at + 4096])
+        return total.astype(np.int64)
+
 
 def _text(docs: DataFrame) -> Column:
     return F.col("text").cast("string").alias("text")
@@ -79,47 +110,60 @@ def _text(docs: DataFrame) -> Column:
 def train_profiles(docs: DataFrame, dims: int = 1024, seed: int = 7) -> tuple[list[str], np.ndarray]:
     """Languages in order and their prototypes of length 1, from (text, lang).
 
-    All rows with a lang and a text count. What reaches the driver is one count per language
-    and n-gram, at most 262,144 for each language.
+    All rows with a lang and a text count, repeated ones each time; a language whose texts have no letter is left out,
+    and so is a null lang. Tasks bundle what they count, and the sums of their bundles, whole numbers, are the prototypes.
+    What reaches the driver, and each worker, is ``dims`` numbers for each language.
     """
+    bound_batches(docs.sparkSession)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str, np.ndarray] = {}
+        letters, totals = Letters(dims, seed), {}
+
+        def bundles() -> Iterator[pa.RecordBatch]:
+            for lang, counts in totals.items():
+                bundle = letters.bundle(np.flatnonzero(counts), counts[counts > 0])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * dims, pa.string()), pa.array(np.arange(dims, dtype=np.int32)), pa.array(bundle)], names=["lang", "dim", "v"])
+            totals.clear()
+
         for rows in batches:
-            ids: dict[str, list[np.ndarray]] = {}
             for lang, value in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
-                codes = symbols(value.as_py())
-                if len(codes):
-                    ids.setdefault(lang, []).append(gram_ids(codes))
-            for lang, parts in ids.items():
-                counts = np.bincount(np.concatenate(parts), minlength=SYMBOLS**N)
-                totals[lang] = totals[lang] + counts if lang in totals else counts
-        for lang, counts in totals.items():
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64))], names=["lang", "gram", "n"])
+                grams, n = text_grams(value.as_py())
+                if not len(grams):
+                    continue
+                if lang not in totals:
+                    if len(totals) >= LANGUAGES:
+                        yield from bundles()
+                    totals[lang] = np.zeros(SYMBOLS**N, dtype=np.int64)
+                if n is None:
+                    np.add.at(totals[lang], grams, 1)
+                else:
+                    totals[lang][grams] += n
+        yield from bundles()
 
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), _text(docs))
-    found = labelled.mapInArrow(counted, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    letters, names, prototypes = Letters(dims, seed), [], []
+    found = labelled.mapInArrow(counted, "lang string, dim int, v long").groupBy("lang", "dim").agg(F.sum("v").alias("v")).toPandas()
+    names, prototypes = [], []
     for lang, rows in found.groupby("lang", sort=True):
-        bundle = rows["n"].to_numpy(np.float64) @ letters.grams(rows["gram"].to_numpy())
+        bundle = np.zeros(dims)
+        bundle[rows["dim"]] = rows["v"]
         if norm := np.linalg.norm(bundle):
             names.append(lang)
             prototypes.append(bundle / norm)
     return names, np.array(prototypes).reshape(-1, dims)
 
 
-def _scores(batch: list[np.ndarray], letters: Letters, prototypes: np.ndarray) -> np.ndarray:
-    """Cosines of texts (n-gram numbers each) with the prototypes."""
-    grams = np.flatnonzero(np.bincount(np.concatenate(batch), minlength=SYMBOLS**N))
+def _scores(batch: list[tuple[np.ndarray, np.ndarray | None]], letters: Letters, prototypes: np.ndarray) -> np.ndarray:
+    """Cosines of texts, as ``text_grams`` gives them, with the prototypes."""
+    grams = np.flatnonzero(np.bincount(np.concatenate([x for x, _ in batch]), minlength=SYMBOLS**N))
     place = np.zeros(SYMBOLS**N, dtype=np.int64)
     place[grams] = np.arange(len(grams))
     bundles = np.zeros((len(batch), prototypes.shape[1]), dtype=np.float32)
     step = max(1, MATRIX // len(grams))
     for low in range(0, len(batch), step):
         part = batch[low : low + step]
-        cells = np.repeat(np.arange(len(part)), [len(x) for x in part]) * len(grams) + place[np.concatenate(part)]
-        counts = np.bincount(cells, minlength=len(part) * len(grams)).reshape(len(part), -1).astype(np.float32)
+        cells = np.repeat(np.arange(len(part)), [len(x) for x, _ in part]) * len(grams) + place[np.concatenate([x for x, _ in part])]
+        weights = None if all(n is None for _, n in part) else np.concatenate([np.ones(len(x)) if n is None else n for x, n in part])
+        counts = np.bincount(cells, weights=weights, minlength=len(part) * len(grams)).reshape(len(part), -1).astype(np.float32)
         for at in range(0, len(grams), 4096):
             bundles[low : low + step] += counts[:, at : at + 4096] @ letters.grams(grams[at : at + 4096])
     norms = np.linalg.norm(bundles, axis=1)
@@ -133,15 +177,16 @@ def identify(docs: DataFrame, profiles: tuple[list[str], np.ndarray], seed: int
     are no profiles. Ties go to the language first in order. Texts of any length are used
     whole; repeated rows and ids make no difference; no rows give none.
     """
+    bound_batches(docs.sparkSession)
     names, prototypes = profiles
     shared = docs.sparkSession.sparkContext.broadcast((names, prototypes))
 
-    def identified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def identified(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names, prototypes = shared.value
         letters = Letters(prototypes.shape[1], seed)
-        for rows in batches:
-            langs, scores = ["und"] * rows.num_rows, np.zeros(rows.num_rows)
-            held: list[tuple[int, np.ndarray]] = []
+        for texts in batches:
+            langs, scores = ["und"] * len(texts), np.zeros(len(texts))
+            held: list[tuple[int, tuple[np.ndarray, np.ndarray | None]]] = []
             size = 0
 
             def settle() -> None:
@@ -152,19 +197,19 @@ def identify(docs: DataFrame, profiles: tuple[list[str], np.ndarray], seed: int
                         langs[i], scores[i] = names[best], min(1.0, max(0.0, float(cosines[best])))
                 held.clear()
 
-            for i, value in enumerate(rows.column(1)):
-                codes = symbols(value.as_py() or "")
-                if not len(codes):
+            for i, value in enumerate(texts):
+                grams = text_grams(value.as_py())
+                if not len(grams[0]):
                     continue
-                held.append((i, gram_ids(codes)))
-                size += len(codes)
+                held.append((i, grams))
+                size += len(grams[0])
                 if size > 500_000 or len(held) >= 256:
                     settle()
                     size = 0
             settle()
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(langs, pa.string()), pa.array(scores)], names=["row", "lang_pred", "score"])
-
-    from pyspark.sql import types as T
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores)], names=["lang_pred", "score"])
 
-    schema = T.StructType([T.StructField("row", T.StructType(docs.schema.fields)), *T.StructType.fromDDL("lang_pred string, score double").fields])
-    return docs.select(F.struct(*docs.columns).alias("row"), _text(docs)).mapInArrow(identified, schema)
+    # Rows stay with Spark; not to be worked out again for each use of its result.
+    found = F.arrow_udf(identified, "lang_pred string, score double").asNondeterministic()
+    done = docs.select(whole_row(docs).alias("row"), found(F.col("text").cast("string")).alias("_f"))
+    return done.select("row", "_f.lang_pred", "_f.score")

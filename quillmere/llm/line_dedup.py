@@ -2,7 +2,7 @@
 
 ``LineRuns`` holds what is known of line keys as sorted runs: bucketed, sorted
 tables of (h1, h2, n, first), h1 and h2 being the 128-bit hash of a key, n the
-documents that hold it, first where it came first. A new batch merge-anti-joins the
+documents that hold it, first where it came first: batch, whether the id is null, id. A new batch merge-anti-joins the
 run of settled keys (those found in ``min_docs`` documents, about which nothing
 can change) and adds the rest as a run of level 0. A level with ``fanout`` runs
 is compacted into one run of the next level, and keys that reach ``min_docs``
@@ -14,7 +14,6 @@ joins need no exchange. Runs live in the shared folder and are deleted by
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +21,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quillmere.llm.common import SPACE_BYTES, durable, partitions_of, remove_path, scratch_path
+from quillmere.llm.common import SPACE_BYTES, bound_batches, durable, partitions_of, remove_path, scratch_path, whole_row
 
 KEYS = ["h1", "h2"]
-#: Keys that a task counts before it passes them on.
-FLUSH = 400_000
+#: Line keys that a task gathers before it counts them and passes them on, 40 bytes each; those of one document at least.
+FLUSH = 300_000
+FIRST = "first struct<b:int,u:boolean,d:long>"
 #: Settled keys that may be broadcast, 16 bytes each; more are joined.
 BROADCAST_KEYS = 1_000_000
 
@@ -114,51 +113,57 @@ class LineRuns:
         self._drop(list(self.paths))
 
 
+def _counted(batch: list[int], doc_ids: list[int | None], keys: list[bytes], sizes: list[int]) -> pa.RecordBatch:
+    """Counts of the distinct keys of documents, given by document and laid end to end."""
+    halves = _halves(keys)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    b, unknown = np.array(batch, np.int32)[of], np.array([x is None for x in doc_ids])[of]
+    d = np.array([x or 0 for x in doc_ids], np.int64)[of]
+    order = np.lexsort((d, unknown, halves[:, 1], halves[:, 0], b))
+    b, d, unknown, halves = b[order], d[order], unknown[order], halves[order]
+    new = np.flatnonzero(np.concatenate(([True], (b[1:] != b[:-1]) | (halves[1:] != halves[:-1]).any(axis=1))))
+    n = np.diff(np.append(new, len(b)))
+    first = pa.StructArray.from_arrays([pa.array(b[new]), pa.array(unknown[new]), pa.array(d[new], mask=unknown[new])], names=["b", "u", "d"])
+    columns = [pa.array(b[new]), pa.array(halves[new, 0]), pa.array(halves[new, 1]), pa.array(n.astype(np.int64)), first]
+    return pa.RecordBatch.from_arrays(columns, names=["batch", "h1", "h2", "n", "first"])
+
+
 def count_line_keys(docs: DataFrame, batches: int) -> DataFrame:
-    """(batch, h1, h2, n, first) of the keys of each task's documents; first is (batch, smallest doc_id)."""
+    """(batch, h1, h2, n, first) of the keys of each task's documents. Rows with a null id are in the last batch."""
 
     def counted(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: list[Counter] = [Counter() for _ in range(batches)]
-        first: list[dict] = [{} for _ in range(batches)]
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for b in range(batches):
-                if counts[b]:
-                    halves = _halves(list(counts[b]))
-                    n = len(halves)
-                    where = pa.StructArray.from_arrays([pa.array(np.full(n, b, np.int32)), pa.array([first[b][k] for k in counts[b]], pa.int64())], names=["b", "d"])
-                    columns = [pa.array(np.full(n, b, np.int32)), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(list(counts[b].values()), pa.int64()), where]
-                    yield pa.RecordBatch.from_arrays(columns, names=["batch", "h1", "h2", "n", "first"])
-                    counts[b].clear()
-                    first[b].clear()
-
+        held: tuple[list, list, list, list] = ([], [], [], [])
+        n = 0
         for rows in stream:
             for doc_id, b, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2), strict=True):
                 keys = set(line_keys(text.as_py()))
                 keys.discard(b"")
-                counts[b].update(keys)
-                seen = first[b]
-                for key in keys:
-                    if (old := seen.get(key)) is None or (doc_id is not None and doc_id < old):
-                        seen[key] = doc_id
-                if sum(map(len, counts)) > FLUSH:
-                    yield from flush()
-        yield from flush()
-
-    batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
+                if not keys:
+                    continue
+                for own, x in zip(held, (b, doc_id, b"".join(keys), len(keys)), strict=True):
+                    own.append(x)
+                n += len(keys)
+                if n >= FLUSH:
+                    yield _counted(*held)
+                    held, n = ([], [], [], []), 0
+        if n:
+            yield _counted(*held)
+
+    batch = F.when(F.col("doc_id").isNull(), batches - 1).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), batch.alias("batch"), F.col("text").cast("string").alias("text")).mapInArrow(
-        counted, "batch int, h1 long, h2 long, n long, first struct<b:int,d:long>"
+        counted, "batch int, h1 long, h2 long, n long, " + FIRST
     )
 
 
 def frequent_line_keys(docs: DataFrame, min_docs: int, batches: int = 4, fanout: int = 3) -> DataFrame:
     """Keys found in at least ``min_docs`` documents as (h1, h2, first). The text is read once."""
     spark = docs.sparkSession
+    bound_batches(spark)
     path = scratch_path(spark, "lines")
     runs = LineRuns(spark, min_docs, fanout)
     try:
         count_line_keys(docs, batches).write.partitionBy("batch").parquet(path)
-        counts = spark.read.schema("h1 long, h2 long, n long, first struct<b:int,d:long>, batch int").parquet(path)
+        counts = spark.read.schema(f"h1 long, h2 long, n long, {FIRST}, batch int").parquet(path)
         for b in range(batches):
             runs.add(counts.where(F.col("batch") == b).drop("batch"))
         return runs.frequent()
@@ -181,44 +186,49 @@ def _member(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def _apply(docs: DataFrame, lookup: DataFrame | None, known, keep_first: bool) -> DataFrame:
-    """(row, text, n_lines, n_dropped). ``known``: broadcast (table, first ids); or else ``lookup`` has brought an array of dropped positions."""
+    """(row, text, n_lines, n_dropped). ``known``: broadcast (table, first ids); or else ``lookup`` has brought an array of dropped positions.
 
-    def applied(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in stream:
+    Rows stay with Spark: Python is given a document's id and text and gives back a text only where lines go.
+    """
+
+    def dropped(text: str, doc_id: int | None) -> set[int]:
+        table, first = known.value
+        keys = line_keys(text)
+        at = [k for k, key in enumerate(keys) if key]
+        if not at:
+            return set()
+        found = _member(_halves([keys[k] for k in at]), table)
+        if not keep_first or doc_id is None:
+            return {k for k, f in zip(at, found, strict=True) if f >= 0}
+        # The first document keeps its first line of each key.
+        seen, drop = set(), set()
+        for k, f in zip(at, found, strict=True):
+            if f >= 0 and (first[f] != doc_id or f in seen):
+                drop.add(k)
+            seen.add(f)
+        return drop
+
+    def applied(stream: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for ids, values, positions in stream:
             texts, n_lines, n_dropped = [], [], []
-            doc_ids, positions = rows.column(1).to_pylist(), rows.column(3).to_pylist() if known is None else None
-            for i, value in enumerate(rows.column(2)):
+            for doc_id, value, own in zip(ids.to_pylist(), values, positions.to_pylist(), strict=True):
                 text = value.as_py() or ""
-                if known is None:
-                    drop = set(positions[i] or ())
-                else:
-                    table, first = known.value
-                    keys = line_keys(text)
-                    at = [k for k, key in enumerate(keys) if key]
-                    found = _member(_halves([keys[k] for k in at]), table) if at else np.array([], int)
-                    if keep_first and doc_ids[i] is not None:
-                        # The first document keeps its first line of each key.
-                        seen, drop = set(), set()
-                        for k, f in zip(at, found, strict=True):
-                            if f >= 0 and (first[f] != doc_ids[i] or f in seen):
-                                drop.add(k)
-                            seen.add(f)
-                    else:
-                        drop = {k for k, f in zip(at, found, strict=True) if f >= 0}
-                lines = text.split("\n")
-                n_lines.append(len(lines))
+                drop = set(own or ()) if known is None else dropped(text, doc_id)
+                n_lines.append(text.count("\n") + 1)
                 n_dropped.append(len(drop))
-                texts.append("\n".join(x for k, x in enumerate(lines) if k not in drop) if drop else text)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=["row", "text", "n_lines", "n_dropped"])
+                texts.append("\n".join(x for k, x in enumerate(text.split("\n")) if k not in drop) if drop else None)
+            yield pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=["text", "n_lines", "n_dropped"])
 
-    row = F.struct(*docs.columns)
-    parts = [row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
-    schema = T.StructType([T.StructField("row", T.StructType(docs.schema.fields)), *T.StructType.fromDDL("text string, n_lines long, n_dropped long").fields])
-    if known is not None:
-        return docs.select(*parts).mapInArrow(applied, schema)
-    wide = docs.select(*parts, F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
-    joined = wide.join(lookup, wide["doc_id"].eqNullSafe(lookup["_id"]) & (wide["text_hash"] == lookup["_hash"]), "left")
-    return joined.select("row", "doc_id", "text", "positions").mapInArrow(applied, schema)
+    # Not to be worked out again for each use of its result.
+    found = F.arrow_udf(applied, "text string, n_lines long, n_dropped long").asNondeterministic()
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    rows = docs.select(whole_row(docs).alias("row"), doc_id.alias("_i"), text.alias("_t"), F.xxhash64(text).alias("_h"))
+    positions = F.lit(None).cast("array<int>")
+    if known is None:
+        rows = rows.join(lookup, rows["_i"].eqNullSafe(lookup["_id"]) & (rows["_h"] == lookup["_hash"]), "left")
+        positions = F.col("positions")
+    done = rows.select("row", "_t", found(F.col("_i"), F.col("_t"), positions).alias("_f"))
+    return done.select("row", F.coalesce("_f.text", "_t", F.lit("")).alias("text"), "_f.n_lines", "_f.n_dropped")
 
 
 def _positions(docs: DataFrame, frequent: DataFrame, keep_first: bool) -> DataFrame:
@@ -260,9 +270,11 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool =
     lines without a key always stay. ``keep_first`` lets the first document of a
     key keep its first such line. A null text is one empty line. A row is a
     document: repeated rows count each, rows with a null id too (and never keep
-    a line as first). No rows give no rows. ``counted``: the documents whose lines
+    a line as first: one that only such rows hold goes from all of them). The first
+    is the smallest by (hash of the id, cut to ``batches`` values; id). No rows give no rows. ``counted``: the documents whose lines
     are counted and among which the first is sought, where these are not all.
     """
+    bound_batches(docs.sparkSession)
     frequent = frequent_line_keys(docs if counted is None else counted, min_docs, batches)
     if frequent.count() <= broadcast_keys:
         found = frequent.select("h1", "h2", F.col("first.d").alias("d")).toPandas().sort_values(["h1", "h2"])

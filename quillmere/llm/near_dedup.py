@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.llm.common import durable, partitions_of, small_batches
+from quillmere.llm.common import bound_batches, durable, partitions_of
 from quillmere.llm.components import connected_components
 
 K, WORDS, PERCENT, SIGMAS = 64, 5, 75, 4.5
@@ -218,12 +218,10 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs of classes (a, b) whose sketches allow it and whose full sets are similar."""
-    spark = docs.sparkSession
     likely = durable(_judge(pairs, classes, classes, "sketch", may_be_similar).distinct())
     ids = durable(likely.select(F.col("a").alias("_id")).union(likely.select("b")).distinct())
     sets = durable(_sets(docs, ids))
-    with small_batches(spark, 250):
-        return durable(_judge(likely, sets, sets, "shingles", similar).distinct())
+    return durable(_judge(likely, sets, sets, "shingles", similar).distinct())
 
 
 def _groups(members: DataFrame) -> DataFrame:
@@ -275,8 +273,7 @@ def _across(lists: DataFrame, docs: DataFrame, components: DataFrame) -> DataFra
         if len(held) > 1:
             yield _link_block(key[1] != key[2], held)
 
-    with small_batches(spark, 250):
-        return durable(dealt.mapInArrow(joined, "a long, b long").distinct())
+    return durable(dealt.mapInArrow(joined, "a long, b long").distinct())
 
 
 def _link_block(two: bool, held: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
@@ -320,6 +317,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     null doc_id is a document by itself: null component_id, kept. Other columns
     are ignored; no rows give none.
     """
+    bound_batches(docs.sparkSession)
     all_sketches = durable(sketch(docs))
     sized = all_sketches.where("n > 0 and doc_id is not null")
     reps = durable(sized.groupBy("d1", "d2").agg(F.min("doc_id").alias("c")))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmere.llm.common import durable, partitions_of
+from quillmere.llm.common import bound_batches, durable, partitions_of
 from quillmere.llm.memo import WordMemo
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -37,6 +37,7 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_
     doc_id are packed like any other row. Only documents longer than ``capacity`` are
     cut. Other columns of ``docs`` are ignored.
     """
+    bound_batches(docs.sparkSession)
     end = int(end_id).to_bytes(4, "little")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

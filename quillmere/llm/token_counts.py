@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmere.llm.common import bound_batches
 from quillmere.llm.memo import SpaceMemo
 
 WINDOW, OVERLAP = 32_768, 256
@@ -62,6 +63,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512, window: int
     one result a row; other columns of ``docs`` are ignored; no rows give none.
     """
 
+    bound_batches(docs.sparkSession)
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = SpaceMemo.shared(vocabulary)
         for batch in batches:

@@ -25,7 +25,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from quillmere.llm.common import bound_batches, whole_row
 
 #: Rows of the labelled sample at most.
 SAMPLE = 20_000
@@ -199,14 +200,17 @@ def score_toxicity(docs: DataFrame, machine: Machine, threshold: float = 0.3) ->
     A null or empty text has no terms and gets the score of the bias. Whole texts of any length
     are used; repeated rows and ids make no difference; no rows give none.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memo, own = _TermMemo(), shared.value
-        for rows in batches:
-            features = [own.places(term_hashes(memo, x.as_py())) for x in rows.column(1)]
+        for texts in batches:
+            features = [own.places(term_hashes(memo, x.as_py())) for x in texts]
             score = 1 / (1 + np.exp(-np.clip(own.raw(features), -30, 30)))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["row", "score", "predicted"])
+            yield pa.StructArray.from_arrays([pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["score", "predicted"])
 
-    schema = T.StructType([T.StructField("row", T.StructType(docs.schema.fields)), *T.StructType.fromDDL("score double, predicted int").fields])
-    return docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(scored, schema)
+    # Rows stay with Spark; not to be worked out again for each use of its result.
+    found = F.arrow_udf(scored, "score double, predicted int").asNondeterministic()
+    done = docs.select(whole_row(docs).alias("row"), found(F.col("text").cast("string")).alias("_f"))
+    return done.select("row", "_f.score", "_f.predicted")
