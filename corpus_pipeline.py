@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.llm.common import remove_path, scratch_path, table
+from quillmere.llm.common import durable, remove_path, scratch_path, table, whole_row
 from quillmere.llm.decontaminate import find_items
 from quillmere.llm.language_id import identify, train_profiles
 from quillmere.llm.line_dedup import drop_frequent_lines
@@ -22,11 +22,56 @@ WORDS = r"[\p{L}\p{N}]"
 LEAST_CLASS, CLASS_SCORES = 5, 30
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose id is not among ``ids`` (one column, ``_id``). A null id is among none."""
-    ids = ids.distinct()
-    dropped = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(dropped, docs["doc_id"] == dropped["_id"], "left_anti")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(_whole, text, _key): the row, its text, and a whole number that only rows alike in doc_id and text share.
+
+    It is the doc_id, but for rows that have none, or share theirs with another text: those get numbers
+    beyond all doc_ids, each distinct (doc_id, text) its own. A null text counts as empty.
+    """
+    whole, doc_id, text = whole_row(docs).alias("_whole"), F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    same = {"_i": doc_id, "_h": F.xxhash64(text), "_c": F.crc32(text.cast("binary")), "_n": F.length(text)}
+    ids = docs.select(*[c.alias(x) for x, c in same.items()])
+    spread = ids.groupBy("_i").agg(F.min("_h").alias("low"), F.max("_h").alias("high"))
+    odd = durable(spread.where("_i is null or low <> high").select(F.col("_i").alias("_odd")))
+    if not odd.limit(1).count():
+        return docs.select(whole, "text", doc_id.alias("_key"))
+    kinds = ids.join(odd, ids["_i"].eqNullSafe(odd["_odd"]), "left_semi").distinct()
+    top = docs.agg(F.max(doc_id)).first()[0] or 0
+    numbers = durable(kinds.select(*[F.col(x).alias(f"{x}2") for x in same], F.monotonically_increasing_id().alias("_own")))
+    if top + numbers.agg(F.max("_own")).first()[0] >= 2**63 - 1:
+        raise ValueError("doc_ids leave no numbers beyond them")
+    numbers = F.broadcast(numbers) if numbers.count() <= BROADCAST_IDS else numbers
+    wide = docs.select(whole, "text", *[c.alias(x) for x, c in same.items()])
+    hit = wide["_i"].eqNullSafe(numbers["_i2"])
+    for x in ("_h", "_c", "_n"):
+        hit &= wide[x] == numbers[f"{x}2"]
+    return wide.join(numbers, hit, "left").select("_whole", "text", F.coalesce(F.col("_own") + F.lit(top + 1), "_i").alias("_key"))
+
+
+def _rows(keyed: DataFrame, docs: DataFrame) -> DataFrame:
+    return keyed.select(*[F.col("_whole")[c].alias(c) for c in docs.columns])
+
+
+def _without(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose key is not among ``keys`` (one column, ``_drop``)."""
+    keys = durable(keys.distinct())
+    dropped = F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+    return keyed.join(dropped, keyed["_key"] == dropped["_drop"], "left_anti")
+
+
+def _once(keyed: DataFrame) -> DataFrame:
+    """One row of each key; any one of rows that differ in other columns."""
+    again = durable(keyed.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("_key").alias("_drop")))
+    n = again.count()
+    if not n:
+        return keyed
+    again = F.broadcast(again) if n <= BROADCAST_IDS else again
+    hit = keyed["_key"] == again["_drop"]
+    return keyed.join(again, hit, "left_anti").unionByName(keyed.join(again, hit, "left_semi").dropDuplicates(["_key"]))
+
+
+def _texts(keyed: DataFrame) -> DataFrame:
+    return keyed.select(F.col("_key").alias("doc_id"), "text")
 
 
 def _length_class(text: Column) -> Column:
@@ -54,52 +99,70 @@ def least_scores(docs: DataFrame, profiles: tuple[list[str], np.ndarray]) -> dic
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: those with a letter whose cosine with the best language is not far under what labelled texts of their length have.
 
-    Texts under 32 characters have too few n-grams for the cosine to tell, so a letter is enough.
+    Null texts and those without a letter go. Rows are judged by their text alone, repeated ones alike; doc_id and other
+    columns make no difference, a null lang only means that the row teaches nothing. No documents give none. Texts under 32 characters have too few n-grams for the cosine to tell, so a letter is enough.
     So it is for every text where no row has both a lang and a letter, as there is no language to compare with.
     """
     profiles = train_profiles(docs.select("text", "lang"))
     if not profiles[0]:
         # A prototype of zeros: any text with a letter gets its name, with score 0.
         anything = (["any"], np.zeros((1, profiles[1].shape[1])))
-        return identify(docs, anything).where(F.col("lang_pred") != "und").select("row.*")
+        return identify(docs, anything).where(F.col("lang_pred") != "und").select(*[F.col("row")[c].alias(c) for c in docs.columns])
     found = identify(docs, profiles).where(F.col("lang_pred") != "und")
     need = F.lit(0.0)
     for least_class, least in sorted(least_scores(docs, profiles).items()):
         need = F.when(_length_class(F.col("row.text")) >= least_class, F.lit(least)).otherwise(need)
-    return found.where(F.col("score") >= need).select("row.*")
+    return found.where(F.col("score") >= need).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that ten documents share; the first of those keeps its line.
 
-    A group of near duplicates counts as the one document that near dedup keeps, and null-id rows of one text
-    as one, so that copies make no line frequent and reach near dedup whole. A document that had letters or digits
-    and has none left is dropped; every other stays.
+    A group of near duplicates counts as the one document that near dedup keeps, and rows alike in doc_id and
+    text as one, so that copies make no line frequent and reach near dedup whole. A document that had letters or digits
+    and has none left is dropped; every other stays, empty and null texts too (a null text becomes empty). Rows with a
+    null doc_id, or texts that share one, are documents of their own. No documents give none.
     """
-    copies = near_duplicates(docs.select("doc_id", "text")).where(~F.col("kept")).select(F.col("doc_id").alias("_id"))
-    known, unknown = docs.select("doc_id", "text").where("doc_id is not null"), docs.select("doc_id", "text").where("doc_id is null")
-    counted = _without(known, copies).unionByName(unknown.dropDuplicates(["text"]))
-    found = drop_frequent_lines(docs, min_docs=10, keep_first=True, counted=counted)
+    keyed = _keyed(docs)
+    copies = near_duplicates(_texts(keyed)).where(~F.col("kept")).select(F.col("doc_id").alias("_drop"))
+    counted = _texts(_once(_without(keyed, copies)))
+    # The operator knows a document by its doc_id, so the key goes by that name there.
+    named = keyed.select(F.col("_key").alias("doc_id"), "text", "_whole")
+    found = drop_frequent_lines(named, min_docs=10, keep_first=True, counted=counted)
     emptied = (F.col("n_dropped") > 0) & F.coalesce(F.col("row.text").rlike(WORDS), F.lit(False)) & ~F.col("text").rlike(WORDS)
     found = found.where(~emptied)
     renewed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return found.select(*[renewed[c].alias(c) if c in renewed else F.col("row")[c].alias(c) for c in docs.columns])
+    return found.select(*[renewed[c].alias(c) if c in renewed else F.col("row._whole")[c].alias(c) for c in docs.columns])
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, and all that are in none."""
-    found = near_duplicates(docs.select("doc_id", "text"))
-    return _without(docs, found.where(~F.col("kept")).select(F.col("doc_id").alias("_id")))
+    """One document of each group of near duplicates, and all that are in none.
+
+    The one with the smallest doc_id stays (rows without a doc_id, and texts that share one, come after all others).
+    Of rows alike in doc_id and text one stays. Texts without words are in no group. No documents give none.
+    """
+    keyed = _keyed(docs)
+    found = near_duplicates(_texts(keyed))
+    return _rows(_once(_without(keyed, found.where(~F.col("kept")).select(F.col("doc_id").alias("_drop")))), docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
-    found = find_items(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.select(F.col("doc_id").alias("_id")))
+    """Documents that contain no benchmark item.
+
+    Each row is judged by its own text, whatever its doc_id; repeated rows stay or go together, null and empty texts
+    stay, and so do all rows where there are no items. No documents give none.
+    """
+    keyed = _keyed(docs)
+    found = find_items(_texts(keyed), table(spark, sf_dir, "benchmark"))
+    return _rows(_without(keyed, found.select(F.col("doc_id").alias("_drop"))), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 4096 tokens."""
+    """Pieces of all documents in sequences of at most 4096 tokens, as op1 gives them.
+
+    Null texts are empty and give one piece, repeated and null doc_ids are packed row by row, ties between pieces of one
+    length go any way. No documents give no rows.
+    """
     return pack_documents(docs, vocabulary_path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
