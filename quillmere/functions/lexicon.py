@@ -200,3 +200,21 @@ COMPOUND_HINTS = ["historia", "stad", "landet", "kung"]
 HTTP_BUCKETS = [0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0]
 SEARCH_BUCKETS = [0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.0]
 CRAWL_BUCKETS = [1, 5, 10, 30, 60, 120, 300, 600]
+
+# Patterns by which answers are drawn from texts.
+ASKED_DEFINITION = r"vad (?:är|innebär|betyder) (.+?)(?:\?|$)"
+STEP = r"(\d+)\.\s+([^\n]{10,200})"
+ASKED_COMPARISON = r"skillnad(?:en)? mellan (.+?) och (.+?)(?:\?|$)"
+DEFINITION_VERBS = ("är", "innebär", "betyder")
+
+# Patterns and words of intents, official addresses and reformulations.
+OFFICIAL_PATTERN = r"(?:ansöka|tillstånd|myndighet|lag)($|[^\p{L}\p{N}_])"
+GUIDE_PATTERN = r"(?U)\bhur\b.*(?:ansöka|göra|får|kan)|steg för steg|instruktion"
+NEWS_PATTERN = "senaste|idag|igår|nyhet|aktuellt"
+DEFINITION_PATTERN = r"(^|[^\p{L}\p{N}_])vad.*(?:är|betyder)|skillnad mellan|förklaring"
+PRACTICAL_PATTERN = "öppettid|adress|telefon|pris|timmar|schema"
+OFFICIAL_URLS = [".gov.se", "migrationsverket", "skatteverket", "riksdagen", "regeringen"]
+PAIR_PATTERN = r"mellan\s+(.+?)\s+(?:och|eller)\s+(.+?)(?:\?|$)"
+REFORMULATED_HOURS = ["öppet", "timmar", "hours", "klocka"]
+REFORMULATED_ADDRESS = ["address", "plats", "väg", "street"]
+REFORMULATED_PHONE = ["phone", "ring", "call"]

@@ -130,6 +130,17 @@ def language_variants(query: Column) -> Column:
     return F.struct(query.alias("original"), reformulated.alias("reformulated"), expand_query(reformulated).alias("expanded"))
 
 
+def alternate_terms(query: Column) -> Column:
+    """(reformulated, tokens, filtered): the reformulated query's tokens, and those of letters only, longer than two, that are no stopwords. [STR12]
+
+    What follows are ``swedish.split_all`` (balanced), ``stem`` and the distinct stems in order.
+    """
+    stop, reformulated = words(L.STOPWORDS), reformulate_question(query)
+    tokens = tokenize(reformulated)
+    kept = F.filter(tokens, lambda t: t.rlike(r"^\p{L}+$") & (F.length(t) > 2) & ~F.array_contains(stop, t))
+    return F.struct(reformulated.alias("reformulated"), tokens.alias("tokens"), kept.alias("filtered"))
+
+
 def question_type(query: Column, table: dict[str, list[str]] = L.QUESTION_TYPES) -> Column:
     """The last kind one of whose words begins the query or stands in it. [STR13]"""
     q = F.lower(query)
@@ -175,12 +186,12 @@ def query_variants(query: Column) -> Column:
     parts = F.filter(F.split(F.regexp_replace(normal, r"\s+", " "), " "), lambda w: w != "")
     n = F.size(parts)
     empty = F.array().cast("array<string>")
-    no_article = F.when((n > 1) & parts[0].isin(L.ARTICLES), F.array(F.array_join(F.slice(parts, 2, 1000), " "))).otherwise(empty)
+    no_article = F.when((n > 1) & parts[0].isin(L.ARTICLES), F.array(F.array_join(F.slice(parts, 2, F.greatest(n - 1, F.lit(0))), " "))).otherwise(empty)
     one = F.try_element_at(parts, F.lit(1))
     cut = [F.when((n == 1) & (F.length(one) > 4) & one.endswith(s) & (F.length(one) > len(s) + 2), F.substring(one, F.lit(1), F.length(one) - len(s))) for s in L.DEFINITE_SUFFIXES]
     cut = F.filter(F.array(*cut), lambda x: x.isNotNull() & (F.length(x) > 2))
     hints = F.filter(F.array(*[F.when(normal.contains(h) & (n > 1), F.trim(F.replace(normal, F.lit(h), F.lit("")))) for h in L.COMPOUND_HINTS]), lambda x: x.isNotNull() & (x != ""))
-    capital = F.when(n > 0, F.array(F.array_join(F.transform(parts, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 10_000))), " "))).otherwise(empty)
+    capital = F.when(n > 0, F.array(F.array_join(F.transform(parts, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), " "))).otherwise(empty)
     first = F.when(lowered.rlike(starter) & (cleaned != ""), F.array(cleaned)).otherwise(empty)
     return F.array_distinct(F.concat(F.array(query), first, no_article, cut, hints, capital))
 

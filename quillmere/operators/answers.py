@@ -40,21 +40,21 @@ def _extract(text: Column, pattern: Column, group: int) -> Column:
 
 
 def _sentence(text: Column) -> Column:
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 10_000)))
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, F.lit(2), F.length(text))))
 
 
 def definition(query: Column, content: Column) -> Column:
     """The first sentence that says what the asked-for term is; always given with "är". [STR20]"""
-    asked = r"vad (?:är|innebär|betyder) (.+?)(?:\?|$)"
+    asked = L.ASKED_DEFINITION
     term = F.trim(F.regexp_extract(F.lower(query), asked, 1))
-    found = [_extract(content, F.concat(F.lit("(?iu)"), _quoted(term), F.lit(rf" {verb} ([^\.]+\.)")), 1) for verb in ("är", "innebär", "betyder")]
+    found = [_extract(content, F.concat(F.lit("(?iu)"), _quoted(term), F.lit(rf" {verb} ([^\.]+\.)")), 1) for verb in L.DEFINITION_VERBS]
     first = F.coalesce(*[F.when(x != "", x) for x in found])
     return F.when(F.lower(query).rlike(asked) & first.isNotNull(), F.concat(_sentence(term), F.lit(" är "), first))
 
 
 def procedure(content: Column) -> Column:
     """The first five of three or more numbered steps, and how many more there are. [STR21]"""
-    pattern = r"(\d+)\.\s+([^\n]{10,200})"
+    pattern = L.STEP
     numbers, texts = (F.regexp_extract_all(content, F.lit(pattern), F.lit(k)) for k in (1, 2))
     steps = F.zip_with(numbers, texts, lambda n, t: F.concat(n, F.lit(". "), F.trim(t)))
     more = F.when(F.size(steps) > 5, F.concat(F.lit("\n\n(+ "), (F.size(steps) - 5).cast("string"), F.lit(" fler steg)"))).otherwise("")
@@ -63,7 +63,7 @@ def procedure(content: Column) -> Column:
 
 def comparison(query: Column, content: Column) -> Column:
     """The passage that sets the two asked-for terms against each other. [STR22]"""
-    asked = r"skillnad(?:en)? mellan (.+?) och (.+?)(?:\?|$)"
+    asked = L.ASKED_COMPARISON
     a, b = (F.trim(F.regexp_extract(F.lower(query), asked, k)) for k in (1, 2))
     patterns = [
         F.concat(F.lit("(?iu)skillnad(?:en)? mellan "), _quoted(a), F.lit(" och "), _quoted(b), F.lit(r" (?:är|innebär) ([^\.]+\.)")),

@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmere.functions import lexicon as L
-
-
-def _durable(df: DataFrame) -> DataFrame:
-    """Checkpointed in the folder the cluster names, or a folder of our own where none is named."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="quillmere-checkpoint-"))
-    return df.checkpoint(eager=True)
+from quillmere.shared import durable
 
 
 def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = L.ITERATIONS, damping: float = L.DAMPING, every: int = 5) -> DataFrame:
@@ -26,18 +17,18 @@ def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = L.ITERATIO
     degree and nowhere else. Sums are partial before each shuffle; edges keep
     one partitioning over all iterations, and lineage is cut every few.
     """
-    vertices = _durable(vertices.select("id").distinct())
+    vertices = durable(vertices.select("id").distinct())
     n = vertices.count()
     if not n:
         return vertices.withColumn("score", F.lit(0.0))
     degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    links = _durable(edges.join(degree, "src").join(vertices.withColumnRenamed("id", "dst"), "dst", "left_semi").repartition("src"))
+    links = durable(edges.join(degree, "src").join(vertices.withColumnRenamed("id", "dst"), "dst", "left_semi").repartition("src"))
     ranks = vertices.withColumn("score", F.lit(1.0 / n))
     for turn in range(1, iterations + 1):
         sent = links.join(ranks, links["src"] == ranks["id"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") / F.col("degree")).alias("got"))
         ranks = vertices.join(sent, "id", "left").select("id", ((1 - damping) / n + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
         if turn % every == 0:
-            ranks = _durable(ranks)
+            ranks = durable(ranks)
     top = ranks.agg(F.max("score").alias("top"))  # one row
     return ranks.crossJoin(F.broadcast(top)).select("id", F.when(F.col("top") > 0, F.col("score") / F.col("top")).otherwise(0.0).alias("score"))
 

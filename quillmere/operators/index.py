@@ -1,8 +1,11 @@
 """Inverted index: documents, postings and term statistics as tables, and searches over them.
 
-A posting is a row (term, doc_id, tf). Nothing nests postings, so a frequent
-term is many rows in many partitions. Aggregates are partial before each
+A posting is a row (term, doc_id, tf, dl), dl being the document's length, which saves scores a join. Nothing nests
+postings, so a frequent term is many rows in many partitions. Aggregates are partial before each
 shuffle. Queries come as a table (query_id, term), so one plan answers a batch.
+
+A saved index has its postings in the order of terms, in small row groups; the terms of a batch of queries go to the scan
+as a filter, which reads the row groups that hold them.
 """
 
 from __future__ import annotations
@@ -15,24 +18,28 @@ from pyspark.sql.window import Window
 
 from quillmere.functions import lexicon as L
 from quillmere.functions import text as T
+from quillmere.shared import local_table, partitions_of, whole_row
 
+#: Distinct terms of a batch of queries that go to the scan as a filter; more are joined.
+FILTER_TERMS = 1000
 
 def collapse_copies(docs: DataFrame, content: str = "text", newest: str = "doc_id") -> DataFrame:
     """One row for each content hash, the newest one. [PRJ6, WIN7]
 
     max_by adds up before the shuffle, so any number of copies is no group in one task.
     """
-    hashed = docs.withColumn("content_hash", F.md5(F.col(content)))
-    kept = hashed.groupBy("content_hash").agg(F.max_by(F.struct(*docs.columns), F.col(newest)).alias("_row"))
-    return kept.select("content_hash", "_row.*")
+    hashed = docs.select(F.md5(F.col(content)).alias("content_hash"), whole_row(docs).alias("_row"))
+    kept = hashed.groupBy("content_hash").agg(F.max_by("_row", F.struct(F.col("_row")[newest], F.col("_row")[content])).alias("_row"))
+    return kept.select("content_hash", *[F.col("_row")[c].alias(c) for c in docs.columns if c != "content_hash"])
 
 
 def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", stemmed: bool = True) -> DataFrame:
-    """(term, doc_id, tf). Terms are stemmed once each posting, after counting. [AGG1]"""
-    counted = docs.select(F.col(doc_id).alias("doc_id"), F.explode(T.terms(F.col(text))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
+    """(term, doc_id, tf, dl). Terms are stemmed once each posting, after counting. [AGG1, AGG2]"""
+    found = docs.select(F.col(doc_id).alias("doc_id"), T.terms(F.col(text)).alias("tokens"))
+    counted = found.select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("token")).groupBy("doc_id", "dl", "token").agg(F.count("*").alias("tf"))
     if not stemmed:
-        return counted.select(F.col("token").alias("term"), "doc_id", "tf")
-    return counted.groupBy(T.stem(F.col("token")).alias("term"), "doc_id").agg(F.sum("tf").alias("tf"))
+        return counted.select(F.col("token").alias("term"), "doc_id", "tf", "dl")
+    return counted.groupBy(T.stem(F.col("token")).alias("term"), "doc_id", "dl").agg(F.sum("tf").alias("tf")).select("term", "doc_id", "tf", "dl")
 
 
 def document_lengths(post: DataFrame) -> DataFrame:
@@ -63,18 +70,21 @@ def term_statistics(post: DataFrame, n: int, variant=idf_smooth) -> DataFrame:
 
 @dataclass
 class Index:
-    """The three tables, and the number of documents."""
+    """The tables, the number of documents, and the mean length of those with terms."""
 
     documents: DataFrame
     postings: DataFrame
     terms: DataFrame
     n: int
+    average: float
 
     @classmethod
     def build(cls, docs: DataFrame, stemmed: bool = True) -> Index:
-        n = docs.count()
+        """``documents`` get a ``head``, the text's first 200 characters, which is what hits are shown with."""
+        size = F.size(T.terms(F.col("text")))
+        n, average = docs.agg(F.count("*"), F.avg(F.when(size > 0, size))).first()
         post = postings(docs, stemmed=stemmed)
-        return cls(docs, post, term_statistics(post, n), n)
+        return cls(docs.withColumn("head", F.substring("text", 1, 200)), post, term_statistics(post, n), n, average or 0.0)
 
     def save(self, path: str) -> Index:
         """Writes the tables, postings range-partitioned by term so that a search reads few files; gives the saved index. [SNK3]
@@ -83,16 +93,18 @@ class Index:
         """
         spark = self.documents.sparkSession
         self.documents.write.mode("overwrite").parquet(f"{path}/documents")
-        self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        # Half a million postings or so a row group.
+        self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.option("parquet.block.size", 2 << 20).mode("overwrite").parquet(f"{path}/postings")
         saved = spark.read.parquet(f"{path}/postings")
-        term_statistics(saved, self.n).write.mode("overwrite").parquet(f"{path}/terms")
+        term_statistics(saved, self.n).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+        local_table(spark, {"n": [self.n], "average": [self.average]}, "n long, average double").write.mode("overwrite").parquet(f"{path}/about")
         return self.load(spark, path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
         """[SRC3]"""
-        docs = spark.read.parquet(f"{path}/documents")
-        return cls(docs, spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), docs.count())
+        about = spark.read.parquet(f"{path}/about").first()
+        return cls(*(spark.read.parquet(f"{path}/{x}") for x in ("documents", "postings", "terms")), about["n"], about["average"])
 
     def document(self, doc_id: object) -> DataFrame:
         """[SRC4]"""
@@ -100,10 +112,16 @@ class Index:
 
     def stats(self) -> DataFrame:
         """[AGG3, AGG10]"""
-        lengths = document_lengths(self.postings).agg(F.avg("dl").alias("avg_doc_length"), F.sum("dl").alias("total_terms"))
-        counts = self.postings.agg(F.count("*").alias("total_postings"))
+        counts = self.postings.agg(F.count("*").alias("total_postings"), F.coalesce(F.sum("tf"), F.lit(0)).alias("total_terms"))
         terms = self.terms.agg(F.count("*").alias("num_terms"))
-        return lengths.crossJoin(counts).crossJoin(terms).withColumn("num_documents", F.lit(self.n).cast("long"))
+        return counts.crossJoin(terms).withColumns({"num_documents": F.lit(self.n).cast("long"), "avg_doc_length": F.lit(self.average)})
+
+    def counts(self, links: DataFrame) -> DataFrame:
+        """The relational backend's four counts; documents that have a status must be active. [AGG11, FLT6]"""
+        docs = self.documents.where(F.col("status") == "active") if "status" in self.documents.columns else self.documents
+        names = {"num_documents": docs, "num_terms": self.terms, "index_entries": self.postings, "page_links": links}
+        sums = [df.agg(F.count("*").alias(name)) for name, df in names.items()]  # one row each
+        return sums[0].crossJoin(sums[1]).crossJoin(sums[2]).crossJoin(sums[3])
 
     def verify(self) -> DataFrame:
         """Whether each indexed document exists. [the intent of index verification]"""
@@ -111,18 +129,30 @@ class Index:
         return known.agg((F.count("*") == 0).alias("valid"), F.count("*").alias("missing"))
 
 
-def matching(post: DataFrame, queries: DataFrame, cap: int | None = L.POSTING_CAP) -> DataFrame:
-    """(query_id, term, doc_id, tf) of the queries' terms; of a term with more postings than ``cap`` those of the highest tf. [JN1, WIN1]
+def holding(table: DataFrame, queries: DataFrame) -> DataFrame:
+    """Rows of a table of the index whose term some query asks for. [FLT7]"""
+    wanted = queries.select("term").distinct()
+    few = [r["term"] for r in wanted.limit(FILTER_TERMS + 1).collect()]
+    return table.where(F.col("term").isin(few)) if len(few) <= FILTER_TERMS else table.join(wanted, "term", "left_semi")
+
 
-    The distinct terms are few beside the postings; AQE broadcasts them where
-    they are small enough. The cap is a window group limit, applied before the shuffle.
+def capped(post: DataFrame, cap: int) -> DataFrame:
+    """Of each term the ``cap`` postings of the highest tf, ties to the smaller id. [WIN1]
+
+    A frequent term is ranked in as many parts as there are partitions first, so that what one task has to rank in the end
+    is at most ``cap`` rows a part.
     """
-    wanted = queries.select("term").distinct()
-    found = post.join(wanted, "term", "left_semi")
-    if cap is not None:
-        rank = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("tf"), F.asc("doc_id")))
-        found = found.withColumn("_rank", rank).where(F.col("_rank") <= cap).drop("_rank")
-    return found.join(queries, "term")
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(partitions_of(post.sparkSession)))
+    best = [F.desc("tf"), F.asc("doc_id")]
+    part = F.row_number().over(Window.partitionBy("term", "_salt").orderBy(*best))
+    some = post.withColumn("_salt", salt).withColumn("_rank", part).where(F.col("_rank") <= cap).drop("_salt", "_rank")
+    return some.withColumn("_rank", F.row_number().over(Window.partitionBy("term").orderBy(*best))).where(F.col("_rank") <= cap).drop("_rank")
+
+
+def matching(post: DataFrame, queries: DataFrame, cap: int | None = L.POSTING_CAP) -> DataFrame:
+    """(query_id, term, doc_id, tf, dl) of the queries' terms; of a term with more postings than ``cap`` those of the highest tf. [JN1]"""
+    found = holding(post, queries)
+    return (found if cap is None else capped(found, cap)).join(queries, "term")
 
 
 def top_per_query(scored: DataFrame, limit: int, score: str = "score") -> DataFrame:
@@ -137,24 +167,23 @@ def candidate_limit(limit: int) -> int:
 
 def search_tfidf(index: Index, queries: DataFrame, limit: int = 100, cap: int | None = L.POSTING_CAP) -> DataFrame:
     """(query_id, doc_id, score, rank): sums of tf * idf; a term that a query repeats counts each time. [AGG8, MTH1, JN3]"""
-    hits = matching(index.postings, queries, cap).join(index.terms.select("term", "idf"), "term", "left")
+    hits = matching(index.postings, queries, cap).join(holding(index.terms, queries).select("term", "idf"), "term", "left")
     scored = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("tf") * F.coalesce("idf", F.lit(1.0))).alias("score"))
     return top_per_query(scored, limit)
 
 
 def search_relational(index: Index, queries: DataFrame, limit: int = 100) -> DataFrame:
     """Sums of tf_idf * idf, as the relational backend scores. [AGG9, JN9, JN12, FLT7]"""
-    hits = matching(index.postings, queries, None).join(term_statistics(index.postings, index.n, idf_sql), "term")
+    idf = holding(index.terms, queries).select("term", idf_sql(F.lit(index.n), F.col("df")).alias("idf"))
+    hits = matching(index.postings, queries, None).join(idf, "term")
     scored = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("tf") * F.col("idf") * F.col("idf")).alias("score"))
     return top_per_query(scored, limit)
 
 
 def search_bm25(index: Index, queries: DataFrame, limit: int = 100) -> DataFrame:
     """[MTH10]"""
-    lengths = document_lengths(index.postings)
-    average = lengths.agg(F.avg("dl").alias("avgdl"))  # one row
-    hits = matching(index.postings, queries, None).join(index.terms.select("term", "df"), "term").join(lengths, "doc_id").crossJoin(F.broadcast(average))
-    scored = hits.groupBy("query_id", "doc_id").agg(F.sum(bm25(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("df"), F.lit(index.n))).alias("score"))
+    hits = matching(index.postings, queries, None).join(holding(index.terms, queries).select("term", "df"), "term")
+    scored = hits.groupBy("query_id", "doc_id").agg(F.sum(bm25(F.col("tf"), F.col("dl"), F.lit(index.average), F.col("df"), F.lit(index.n))).alias("score"))
     return top_per_query(scored, limit)
 
 
@@ -166,7 +195,7 @@ def term_view(post: DataFrame, terms: DataFrame) -> DataFrame:
 
 def query_table(spark: SparkSession, queries: dict[int, list[str]]) -> DataFrame:
     rows = [(q, t) for q, ts in queries.items() for t in ts]
-    return spark.createDataFrame(rows, "query_id long, term string")
+    return local_table(spark, {"query_id": [q for q, _ in rows], "term": [t for _, t in rows]}, "query_id long, term string")
 
 
 def upsert_documents(old: DataFrame, new: DataFrame, key: str = "doc_id", updated: tuple[str, ...] = ("url", "title", "crawled_at")) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmere.operators.ranking import age_days, safe_divide
+from quillmere.shared import durable, partitions_of
+from quillmere.streaming.machines import cache_entry, run_batch
 
 
 def counters(events: DataFrame, labels: list[str]) -> DataFrame:
@@ -28,26 +30,53 @@ def summary(events: DataFrame, value: str, labels: list[str]) -> DataFrame:
     return events.groupBy(*labels).agg(F.count(value).alias("n"), F.sum(value).alias("total"))
 
 
-def gauges(events: DataFrame, key: str, value: str, ts: str) -> DataFrame:
-    """The last value of each key. [AGG19]"""
-    return events.groupBy(key).agg(F.max_by(value, ts).alias("value"))
+def gauges(events: DataFrame, key: str, value: str, ts: str, tie: str = "event_id") -> DataFrame:
+    """The last value of each key, of several at one time that of the largest ``tie``. [AGG19]"""
+    return events.groupBy(key).agg(F.max_by(value, F.struct(ts, tie)).alias("value"))
+
+
+def in_parts(events: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Events dealt in order to tasks, whatever the number of keys: ``_part`` rises with (key, order). Kept in the shared folder."""
+    dealt = events.repartitionByRange(max(2, partitions_of(events.sparkSession)), key, *order)
+    return durable(dealt.withColumn("_part", F.spark_partition_id()))
 
 
 def running_mean(events: DataFrame, value: str, ts: str, key: str) -> DataFrame:
-    """The mean so far at each event. [AGG14]"""
-    return events.withColumn("mean", F.avg(value).over(Window.partitionBy(key).orderBy(ts, "event_id").rowsBetween(Window.unboundedPreceding, 0)))
+    """The mean so far at each event. [AGG14]
+
+    Sums run within parts, and what the parts before hold (one row for each key and part) is added, so a key with most of the events is no one task's.
+    """
+    parts = in_parts(events.withColumn("_v", F.col(value).cast("double")), key, [ts, "event_id"])
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = parts.groupBy(key, "_part").agg(F.sum("_v").alias("_s"), F.count("_v").alias("_n"))
+    offsets = sums.select(key, "_part", F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"))
+    own = Window.partitionBy(key, "_part").orderBy(ts, "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    run = parts.withColumns({"_run": F.coalesce(F.sum("_v").over(own), F.lit(0.0)), "_count": F.count("_v").over(own)})
+    mean = F.try_divide(F.col("_s") + F.col("_run"), F.col("_n") + F.col("_count"))
+    return run.join(offsets, [key, "_part"]).withColumn("mean", mean).select(*[c for c in events.columns], "mean")
 
 
-def cache_log(requests: DataFrame, key: str, ts: str, ttl: str = "24 hours") -> DataFrame:
-    """Each request with whether the cache had its key: seen before within the ttl of the entry's last filling.
+def quantile(events: DataFrame, value: str, key: str, q: float) -> DataFrame:
+    """(key, quantile): the exact quantile of each key, between two values where it falls between. Nulls do not count.
 
-    With every miss filling the cache, an entry lives from a miss on; as long as requests of a
-    key come closer than the ttl to the miss before, they hit. A gap of the
-    ttl or more since the previous request is surely a miss. [AGG15, DT3, STM6]
+    Values are put in order over all tasks and ranked within parts; only the two rows on either side of the place are kept.
     """
-    w = Window.partitionBy(key).orderBy(ts, "event_id")
-    before = F.lag(ts).over(w)
-    return requests.withColumn("hit", F.coalesce(F.col(ts) <= before + F.expr(f"INTERVAL {ttl}"), F.lit(False)))
+    parts = in_parts(events.where(F.col(value).isNotNull()).select(F.col(key), F.col(value).cast("double").alias("_v")), key, ["_v"])
+    counts = parts.groupBy(key, "_part").agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy(key)
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(key, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), ((F.sum("_n").over(whole) - 1) * q).alias("_place"))
+    rank = F.row_number().over(Window.partitionBy(key, "_part").orderBy("_v")) - 1
+    placed = parts.withColumn("_own", rank).join(offsets, [key, "_part"]).withColumn("_rank", F.col("_before") + F.col("_own"))
+    near = placed.where((F.col("_rank") == F.floor("_place")) | (F.col("_rank") == F.ceil("_place")))
+    low, high, share = F.min("_v"), F.max("_v"), F.max(F.col("_place") - F.floor("_place"))
+    return near.groupBy(key).agg((low + (high - low) * share).alias("quantile"))
+
+
+def cache_log(requests: DataFrame, key: str) -> DataFrame:
+    """Requests (event_id, ts, key) with whether the cache had their key; see ``machines.cache_entry``. [AGG15, DT3]"""
+    found = run_batch(requests.withColumn("ok", F.lit(True)), key, cache_entry()).select("event_id", (F.col("result") == "hit").alias("hit"))
+    return requests.join(found, "event_id")
 
 
 def cache_stats(log: DataFrame, ms: str) -> DataFrame:
@@ -75,7 +104,9 @@ def recent_errors(lines: DataFrame, n: int = 10) -> DataFrame:
 def performance(events: DataFrame, operation: str, ms: str, ok: Column, target: float = 500.0) -> DataFrame:
     """(operation, mean_ms, p95_ms, n, within_target): means over successes only, 0 without any. [AGG20, AGG22]"""
     mean = F.coalesce(F.avg(F.when(ok, F.col(ms))), F.lit(0.0))
-    return events.groupBy(operation).agg(mean.alias("mean_ms"), F.percentile(ms, 0.95).alias("p95_ms"), F.count("*").alias("n")).withColumn("within_target", F.col("mean_ms") < target)
+    sums = events.groupBy(operation).agg(mean.alias("mean_ms"), F.count("*").alias("n"))
+    p95 = quantile(events, ms, operation, 0.95).withColumnRenamed("quantile", "p95_ms")
+    return sums.join(p95, operation, "left").select(operation, "mean_ms", "p95_ms", "n", (F.col("mean_ms") < target).alias("within_target"))
 
 
 def crawl_rollup(pages: DataFrame, as_of: Column) -> DataFrame:
@@ -107,16 +138,9 @@ def retained(events: DataFrame, ts: str, as_of: Column, days: int = 90) -> tuple
     return events.where(~old), events.agg(F.count_if(old).alias("deleted"))
 
 
-def adaptive_timeout(outcomes: Column, start: int = 30, low: int = 10, high: int = 60) -> Column:
-    """The timeout after an array of outcomes: 2 less after each 5 successes in a row, 5 more after each 2 failures in a row. [WIN9]"""
-    first = F.struct(F.lit(start).alias("t"), F.lit(0).alias("ok"), F.lit(0).alias("bad"))
-
-    def step(a: Column, good: Column) -> Column:
-        ok, bad = F.when(good, a["ok"] + 1).otherwise(0), F.when(good, 0).otherwise(a["bad"] + 1)
-        t = F.when(ok >= 5, F.greatest(F.lit(low), a["t"] - 2)).when(bad >= 2, F.least(F.lit(high), a["t"] + 5)).otherwise(a["t"])
-        return F.struct(t.alias("t"), F.when(ok >= 5, 0).otherwise(ok).alias("ok"), F.when(bad >= 2, 0).otherwise(bad).alias("bad"))
-
-    return F.aggregate(outcomes, first, step, lambda a: a["t"])
+def due(last: Column, now: Column, seconds: int) -> Column:
+    """Whether an update is due: the interval has passed, or there was none yet. [FLT20]"""
+    return F.coalesce(F.unix_micros(now) - F.unix_micros(last) >= seconds * 1_000_000, F.lit(True))
 
 
 def alert_payload(alerts: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,13 +11,23 @@ from pyspark.sql import functions as F
 from quillmere.functions import lexicon as L
 from quillmere.functions import text as T
 
-_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+_AMPERSANDS = ("amp", "#38", "#038", "#x26", "#X26")
 
 
 def unescape(text: Column) -> Column:
-    for old, new in _ENTITIES:
-        text = F.replace(text, F.lit(old), F.lit(new))
-    return text
+    """Text with its character references, by name (those of HTML 4, with a semicolon) and by number, replaced; others stay as they are."""
+    names = F.create_map(*[F.lit(x) for name, code in name2codepoint.items() for x in (name, code)])
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit("&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"), F.lit(1)))
+
+    def character(ref: Column) -> Column:
+        number = F.when(ref.rlike("^#[xX]"), F.conv(F.substring(ref, F.lit(3), F.length(ref)), 16, 10).cast("int")).when(ref.startswith("#"), F.substring(ref, F.lit(2), F.length(ref)).cast("int"))
+        code = F.coalesce(number, names[ref])
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+    # Ampersands last, so that what they yield is not taken for a reference.
+    ordered = F.concat(F.filter(found, lambda x: ~x.isin(*_AMPERSANDS)), F.filter(found, lambda x: x.isin(*_AMPERSANDS)))
+    return F.aggregate(ordered, text, lambda acc, ref: F.replace(acc, F.concat(F.lit("&"), ref, F.lit(";")), F.coalesce(character(ref), F.concat(F.lit("&"), ref, F.lit(";")))))
 
 
 def _or(value: Column, default: str) -> Column:
@@ -40,11 +51,27 @@ def language(html: Column) -> Column:
     return _or(F.regexp_extract(html, r'(?is)<html[^>]*\slang=["\']?([A-Za-z-]+)', 1), "sv")
 
 
+def _content_block(html: Column) -> Column:
+    """What is inside the first div whose class names content, up to the end tag that is its own; to the end where it has none."""
+    rest = F.regexp_extract(html, r'(?is)(<div\b[^>]*class=["\'][^"\']*content[^"\']*["\'].*)$', 1)
+    parts = F.split(rest, r"(?i)(?=<div\b|</div\b)")
+    first = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("end"))
+
+    def step(a: Column, part: Column) -> Column:
+        depth = a["depth"] + F.when(part.rlike(r"(?i)^<div\b"), 1).when(part.rlike(r"(?i)^</div\b"), -1).otherwise(0)
+        closed = (a["end"] == 0) & (depth == 0) & (a["at"] > 0)
+        return F.struct((a["at"] + 1).alias("at"), depth.alias("depth"), F.when(closed, a["at"]).otherwise(a["end"]).alias("end"))
+
+    end = F.aggregate(parts, first, step, lambda a: a["end"])
+    inside = F.array_join(F.slice(parts, F.lit(1), F.when(end > 0, end).otherwise(F.size(parts))), "")
+    return F.when(rest != "", F.regexp_replace(inside, "(?is)^<div[^>]*>", ""))
+
+
 def main_text(html: Column) -> Column:
     """Text of main, article, the content block, body or all, without scripts and styles, white space collapsed. [PRJ4]"""
     bare = F.regexp_replace(html, r"(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>", " ")
-    blocks = [r"(?is)<main[^>]*>(.*)</main>", r"(?is)<article[^>]*>(.*)</article>", r'(?is)<div[^>]*class=["\'][^"\']*content[^"\']*["\'][^>]*>(.*)</div>', r"(?is)<body[^>]*>(.*)</body>"]
-    block = F.coalesce(*[F.when(bare.rlike(b), F.regexp_extract(bare, b, 1)) for b in blocks], bare)
+    taken = lambda b: F.when(bare.rlike(b), F.regexp_extract(bare, b, 1))
+    block = F.coalesce(taken(r"(?is)<main[^>]*>(.*)</main>"), taken(r"(?is)<article[^>]*>(.*)</article>"), _content_block(bare), taken(r"(?is)<body[^>]*>(.*)</body>"), bare)
     return F.trim(F.regexp_replace(unescape(F.regexp_replace(F.regexp_replace(block, r"(?s)<!--.*?-->", " "), r"<[^>]+>", " ")), r"\s+", " "))
 
 

@@ -7,11 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmere.functions import text as T
+from quillmere.shared import quoted, whole_row
 
 
 def latest(df: DataFrame, key: str, by: str) -> DataFrame:
-    """The newest row of each key. Adds up before the shuffle. [WIN7, SRC12, SNK11]"""
-    return df.groupBy(key).agg(F.max_by(F.struct(*df.columns), F.col(by)).alias("_row")).select("_row.*")
+    """The newest row of each key, of several at one time the largest in its columns' order. Adds up before the shuffle. [WIN7, SRC12, SNK11]"""
+    rows = df.select(F.col(quoted(key)).alias("_key"), whole_row(df).alias("_row"))
+    kept = rows.groupBy("_key").agg(F.max_by("_row", F.struct(F.col("_row")[by], F.col("_row"))).alias("_row"))
+    return kept.select(*[F.col("_row")[c].alias(c) for c in df.columns])
+
+
+def active(rows: DataFrame) -> DataFrame:
+    """[FLT6]"""
+    return rows.where(F.col("status") == "active")
 
 
 def sanitized(accounts: DataFrame) -> DataFrame:
@@ -21,7 +29,7 @@ def sanitized(accounts: DataFrame) -> DataFrame:
 
 def login(accounts: DataFrame, username: str, password: str) -> DataFrame:
     """The active account with this name and password, if any. [FLT16]"""
-    return accounts.where((F.col("username") == username) & (F.col("status") == "active") & (F.col("password_hash") == T.password_hash(F.lit(password))))
+    return active(accounts).where((F.col("username") == username) & (F.col("password_hash") == T.password_hash(F.lit(password))))
 
 
 def known_apps(apps: Column, registry: list[str]) -> Column:
@@ -49,6 +57,11 @@ def feed_documents(raw: DataFrame, id_column: str = "id") -> DataFrame:
     return rows.select(F.col(f"d.{id_column}").alias("doc_id"), F.coalesce(F.nullif(F.col("d.titel"), F.lit("")), F.col("d.undertitel")).alias("title"), F.col("d.dokument_url_html").alias("url"), F.to_timestamp("d.datum").alias("last_modified"))
 
 
+def date_range(today: Column, days: int = 7) -> Column:
+    """(from, to) of the last days, as feeds want them. [DT5]"""
+    return F.struct(F.date_format(F.date_sub(today.cast("date"), days), "yyyy-MM-dd").alias("from"), F.date_format(today, "yyyy-MM-dd").alias("to"))
+
+
 def merge_feeds(feeds: list[DataFrame], limit: int) -> DataFrame:
     """[SET3, TOP6]"""
     union = feeds[0]

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmere.functions import lexicon as L
+from quillmere.functions import swedish
 from quillmere.functions import text as T
+from quillmere.shared import quoted
 
 
 def _found(q: Column, values: list[str]) -> Column:
@@ -50,25 +52,32 @@ def temporal(query: Column) -> Column:
     )
 
 
-def context(query: Column) -> Column:
-    """Everything known of a query in one struct. [SEM4, SEM5]"""
-    q = F.lower(query)
-    place, body, time = geography(query), institutions(query), temporal(query)
-    word = r"(?:ansöka|tillstånd|myndighet|lag)($|[^\p{L}\p{N}_])"
+def with_context(rows: DataFrame, query: str, name: str = "context") -> DataFrame:
+    """Rows and everything known of their query in one struct. [SEM4, SEM5]
+
+    Each part is a column of its own before others use it, so that it is worked out once.
+    """
+    q = F.col("_q")
+    kept = [F.col(quoted(c)) for c in rows.columns]
+    parts = rows.select(*kept, F.lower(F.col(query)).alias("_q")).select(*kept, "_q", geography(q).alias("_p"), institutions(q).alias("_b"), temporal(q).alias("_t"))
+    place, body, time = F.col("_p"), F.col("_b"), F.col("_t")
     intent = (
-        F.when(q.rlike(r"(?U)\bhur\b.*(?:ansöka|göra|får|kan)|steg för steg|instruktion"), "GUIDE")
-        .when(body["official"] | q.rlike(word), "OFFICIAL").when(q.rlike("senaste|idag|igår|nyhet|aktuellt"), "NEWS")
-        .when(q.rlike(r"(^|[^\p{L}\p{N}_])vad.*(?:är|betyder)|skillnad mellan|förklaring"), "DEFINITION")
-        .when(q.rlike("öppettid|adress|telefon|pris|timmar|schema"), "PRACTICAL_INFO").when(F.size(place["locations"]) > 0, "LOCAL").otherwise("GENERAL")
+        F.when(q.rlike(L.GUIDE_PATTERN), "GUIDE")
+        .when(body["official"] | q.rlike(L.OFFICIAL_PATTERN), "OFFICIAL").when(q.rlike(L.NEWS_PATTERN), "NEWS")
+        .when(q.rlike(L.DEFINITION_PATTERN), "DEFINITION")
+        .when(q.rlike(L.PRACTICAL_PATTERN), "PRACTICAL_INFO").when(F.size(place["locations"]) > 0, "LOCAL").otherwise("GENERAL")
     )
+    known = parts.select(*kept, "_p", "_b", "_t", intent.alias("_i"))
+    intent = F.col("_i")
     confidence = F.when(intent == "DEFINITION", 0.85).when(intent == "LOCAL", 0.8).when(intent == "GENERAL", 0.0).otherwise(0.9)
     fresh = F.when(intent == "NEWS", 3.0).when(intent == "PRACTICAL_INFO", 2.0).otherwise(time["boost"])
-    return F.struct(
+    whole = F.struct(
         place["scope"].alias("scope"), place["locations"].alias("locations"), place["boost"].alias("region_boost"), body["agencies"].alias("agencies"),
         body["official"].alias("official"), body["boost"].alias("official_boost"), time["expressions"].alias("expressions"), time["holidays"].alias("holidays"),
         time["max_age_days"].alias("max_age_days"), fresh.alias("freshness_boost"), intent.alias("intent"), confidence.alias("confidence"),
         (place["boost"] * body["boost"] * fresh).alias("multiplier"),
     )
+    return known.select(*kept, whole.alias(name))
 
 
 def ranking_factors(c: Column) -> Column:
@@ -85,14 +94,14 @@ def answer_preferences(intent: Column) -> Column:
 
 
 def document_signals(url: Column, title: Column, content: Column) -> Column:
-    """(official, category, scope, institutions, authority_boost) of a document. Title compounds come from ``swedish.split_all``. [SEM6]"""
+    """(official, category, scope, institutions, compounds, authority_boost) of a document; compounds are the parts of the title's words. [SEM6]"""
     u, t, body = F.lower(url), F.lower(title), F.lower(content)
-    official = T.any_of(u, [".gov.se", "migrationsverket", "skatteverket", "riksdagen", "regeringen"])
+    official = T.any_of(u, L.OFFICIAL_URLS)
     category = (
         F.when(body.contains("guide") | t.contains("hur "), "GUIDE").when(body.contains("definition") | t.contains("vad är"), "DEFINITION")
         .when(u.contains("news") | u.contains("nyheter"), "NEWS").when(official, "OFFICIAL").otherwise("GENERAL")
     )
-    return F.struct(official.alias("official"), category.alias("category"), geography(title)["scope"].alias("scope"), institutions(title)["agencies"].alias("institutions"), F.when(official, 3.0).otherwise(1.0).alias("authority_boost"))
+    return F.struct(official.alias("official"), category.alias("category"), geography(title)["scope"].alias("scope"), institutions(title)["agencies"].alias("institutions"), swedish.split_all(F.filter(F.split(t, r"\s+"), lambda w: w != ""), "known").alias("compounds"), F.when(official, 3.0).otherwise(1.0).alias("authority_boost"))
 
 
 def relevance_boost(c: Column, d: Column) -> Column:
@@ -112,12 +121,12 @@ def reformulations(query: Column, intent: Column) -> Column:
     """[STR33] The patterns of guides are removed as literal text, so only plain ones match."""
     q = F.lower(query)
     guide = F.array(F.trim(F.replace(F.replace(q, F.lit("steg för steg"), F.lit("")), F.lit("instruktion"), F.lit(""))))
-    pair = r"mellan\s+(.+?)\s+(?:och|eller)\s+(.+?)(?:\?|$)"
+    pair = L.PAIR_PATTERN
     terms = F.when(q.rlike(pair), F.array(F.trim(F.regexp_extract(q, pair, 1)), F.trim(F.regexp_extract(q, pair, 2)))).otherwise(_strings())
     extra = lambda hit, values: F.when(hit, T.words(values)).otherwise(_strings())
     practical = F.concat(
-        extra(q.contains("öppet"), ["öppet", "timmar", "hours", "klocka"]), extra(q.contains("adress") | q.contains("lokalisering"), ["address", "plats", "väg", "street"]),
-        extra(q.contains("telefon") | q.contains("nummer"), ["phone", "ring", "call"]),
+        extra(q.contains("öppet"), L.REFORMULATED_HOURS), extra(q.contains("adress") | q.contains("lokalisering"), L.REFORMULATED_ADDRESS),
+        extra(q.contains("telefon") | q.contains("nummer"), L.REFORMULATED_PHONE),
     )
     return F.when(intent == "GUIDE", guide).when(intent == "DEFINITION", terms).when(intent == "PRACTICAL_INFO", practical).otherwise(_strings())
 

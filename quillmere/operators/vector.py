@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,24 +21,51 @@ def cosine(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(dot(a, b), norm), F.lit(0.0))))
 
 
-#: Query vectors that may meet all documents at once, broadcast; more go in blocks.
+#: Query vectors that may meet all documents at once, sent to each task; more go in blocks.
 QUERY_BLOCK = 1000
 
 
+def _unit(rows: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
+
+
 def search(vectors: DataFrame, queries: DataFrame, top: int = 100, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, vec_id, score, rank) of each query's nearest vectors. [SEM12, JN18, TOP4]
 
     ``queries`` (query_id, vector) is a stated set; it meets the vectors in
-    blocks of bounded size. Unit vectors are made once; each block keeps a best-k before the shuffle.
+    blocks of bounded size. Unit vectors are made once, a block of queries and a batch of vectors are one matrix product, and
+    a task passes on the best of each query only. Scores are rounded to twelve places before they are ranked, ties to the smaller vec_id.
+    Vectors are of one length; null ones take no part.
     """
-    rows = queries.select("query_id", "vector")
+    rows = queries.select("query_id", "vector").where("vector is not null")
     n = -(-rows.count() // block) or 1
     dealt = rows.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(n)))
     found = None
     for k in range(n):
-        asked = F.broadcast(dealt.where(F.col("_block") == k).drop("_block"))
-        scored = vectors.select("vec_id", "embedding").crossJoin(asked).select("query_id", "vec_id", cosine(F.col("vector"), F.col("embedding")).alias("score"))
-        found = scored if found is None else found.unionByName(scored)
+        asked = dealt.where(F.col("_block") == k).select("query_id", "vector").toPandas()
+        if not len(asked) and found is not None:
+            continue
+        shared = vectors.sparkSession.sparkContext.broadcast((asked["query_id"].to_numpy(np.int64), _unit(np.array(asked["vector"].tolist(), np.float64).reshape(len(asked), -1))))
+
+        def nearest(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            query_ids, units = shared.value
+            ids, scores = np.empty((len(query_ids), 0), np.int64), np.empty((len(query_ids), 0))
+            for batch in batches:
+                if not batch.num_rows or not len(query_ids):
+                    continue
+                held = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                ids = np.concatenate([ids, np.broadcast_to(batch.column(0).to_numpy(), (len(query_ids), batch.num_rows))], axis=1)
+                scores = np.concatenate([scores, np.clip(units @ _unit(held).T, 0.0, 1.0).round(12)], axis=1)
+                if ids.shape[1] > top:
+                    best = np.lexsort((ids, -scores), axis=1)[:, :top]
+                    ids, scores = np.take_along_axis(ids, best, 1), np.take_along_axis(scores, best, 1)
+            if ids.size:
+                columns = [pa.array(np.repeat(query_ids, ids.shape[1])), pa.array(ids.ravel()), pa.array(scores.ravel())]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
+
+        part = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null and embedding is not null").mapInArrow(nearest, "query_id long, vec_id long, score double")
+        found = part if found is None else found.unionByName(part)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id")))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= top)
 

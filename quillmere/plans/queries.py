@@ -14,6 +14,7 @@ from quillmere.functions import lexicon as L
 from quillmere.functions import swedish
 from quillmere.functions import text as T
 from quillmere.operators import answers, graph, index, ops, pages, portal, ranking, understanding, vector
+from quillmere.shared import changed, local_table, remove_path, scratch_path
 from quillmere.streaming import machines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,12 +60,24 @@ _ASKED = {1: ["the", "that"], 2: ["une", "eau"], 3: ["of", "of", "in"], 4: ["der
 _ASKED_SQL = "q AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{t}')" for k, ts in _ASKED.items() for t in ts) + ") AS v(query_id, term))"
 
 
-def _unstemmed(spark: SparkSession, sf_dir: str) -> index.Index:
-    """An index of the distinct documents, terms as they stand."""
+#: Indexes saved in this application, by application and folder, with what their documents were when they were indexed.
+_SAVED: dict[tuple[str, str], tuple[object, index.Index]] = {}
+
+
+def _built(spark: SparkSession, sf_dir: str) -> index.Index:
+    """An index of the distinct documents, terms as they stand; not saved."""
     docs = index.collapse_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return index.Index.build(docs.select("doc_id", "text"), stemmed=False)
 
 
+def _unstemmed(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The same, saved in the shared folder when it is first asked for, and again when the documents have changed."""
+    key, now = (spark.sparkContext.applicationId, sf_dir), changed(spark, f"{sf_dir}/documents.parquet")
+    if key not in _SAVED or _SAVED[key][0] != now:
+        _SAVED[key] = (now, _built(spark, sf_dir).save(scratch_path(spark, "index")))
+    return _SAVED[key][1]
+
+
 # --- tokens and the index -----------------------------------------------------------------------------------------
 @query(f"SELECT term, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest({_TOKENS}) AS term FROM documents) GROUP BY 1")
 def tokenize_counts(spark, sf_dir):
@@ -102,6 +115,17 @@ def index_stats(spark, sf_dir):
     return _unstemmed(spark, sf_dir).stats().select(_r(F.col("avg_doc_length")).alias("avg_doc_length"), "total_postings", "num_terms", "num_documents")
 
 
+@query(f"""WITH {_POSTINGS} SELECT CAST((SELECT count(*) FROM post) AS BIGINT) AS postings, CAST((SELECT sum(tf) FROM post) AS BIGINT) AS tokens, CAST((SELECT count(*) FROM terms) AS BIGINT) AS terms""")
+def index_build(spark, sf_dir):
+    """Builds and saves an index, and counts what was saved. [SNK3, SRC3]"""
+    path = scratch_path(spark, "built")
+    saved = _built(spark, sf_dir).save(path)
+    sums = saved.postings.agg(F.count("*"), F.coalesce(F.sum("tf"), F.lit(0))).first()
+    found = local_table(spark, {"postings": [sums[0]], "tokens": [sums[1]], "terms": [saved.terms.count()]}, "postings long, tokens long, terms long")
+    remove_path(spark, path)
+    return found
+
+
 @query(f"WITH {_POSTINGS} SELECT term, CAST(df AS BIGINT) AS df, round(ln((n + 1) / (df + 1)) + 1, 6) AS idf, round(ln((n + 1) / (df + 1)), 6) AS idf_sql FROM terms, n")
 def term_idf(spark, sf_dir):
     ix = _unstemmed(spark, sf_dir)
@@ -124,7 +148,7 @@ def _hits(found: DataFrame) -> DataFrame:
 
 @query(_search_sql("tf * (ln((n + 1) / (df + 1)) + 1)"))
 def tfidf_search_topk(spark, sf_dir):
-    return _hits(index.search_tfidf(_unstemmed(spark, sf_dir), index.query_table(spark, _ASKED), 10))
+    return _hits(index.search_tfidf(_unstemmed(spark, sf_dir), index.query_table(spark, _ASKED), 10, cap=None))
 
 
 @query(_search_sql("tf * ln((n + 1) / (df + 1)) * ln((n + 1) / (df + 1))"))
@@ -158,11 +182,13 @@ def snippet_wordcount(spark, sf_dir):
     return docs.select("doc_id", F.substring("text", 1, 200).alias("first_200"), T.word_count(F.col("text")).alias("words"), T.clean_snippet(F.col("text")).alias("snippet"))
 
 
-@query(f"""WITH {_POSTINGS}, old AS (SELECT term, doc_id, tf FROM post WHERE doc_id % 3 <> 0), new AS (SELECT term, doc_id, tf + 1 AS tf FROM post WHERE doc_id % 2 = 0)
-  SELECT term, doc_id, CAST(coalesce(new.tf, old.tf) AS BIGINT) AS tf FROM old FULL JOIN new USING (term, doc_id)""")
+@query(f"""WITH {_POSTINGS}, both_sides AS (SELECT term, doc_id, tf, 1 AS side FROM post UNION ALL SELECT term, doc_id, tf + 1, 2 FROM post WHERE doc_id % 2 = 0 UNION ALL SELECT 'new-term', doc_id, 7, 2 FROM docs)
+  SELECT term, doc_id, CAST(arg_max(tf, side) AS BIGINT) AS tf FROM both_sides GROUP BY 1, 2""")
 def upsert_postings(spark, sf_dir):
-    post = _unstemmed(spark, sf_dir).postings
-    return index.upsert_postings(post.where("doc_id % 3 <> 0"), post.where("doc_id % 2 = 0").withColumn("tf", F.col("tf") + 1))
+    ix = _unstemmed(spark, sf_dir)
+    old = ix.postings.select("term", "doc_id", "tf")
+    fresh = ix.documents.select(F.lit("new-term").alias("term"), "doc_id", F.lit(7).cast("long").alias("tf"))
+    return index.upsert_postings(old, old.where("doc_id % 2 = 0").withColumn("tf", F.col("tf") + 1).unionByName(fresh))
 
 
 @query(f"""WITH {_POSTINGS} SELECT term, CAST(sum(tf) AS BIGINT) AS total, CAST(count(*) AS BIGINT) AS docs FROM post GROUP BY 1""")
@@ -172,14 +198,13 @@ def nested_index_round_trip(spark, sf_dir):
 
 
 @query(f"""WITH {_POSTINGS}, r AS (SELECT term, doc_id, tf, row_number() OVER (PARTITION BY term ORDER BY tf DESC, doc_id) AS rk FROM post)
-  SELECT term, doc_id, CAST(tf AS BIGINT) AS tf FROM r JOIN (SELECT DISTINCT term FROM (VALUES {", ".join(f"('{t}')" for ts in _ASKED.values() for t in ts)}) AS v(term)) USING (term) WHERE rk <= 50""")
+  SELECT term, doc_id, CAST(tf AS BIGINT) AS tf FROM r WHERE rk <= {L.POSTING_CAP}""")
 def capped_postings(spark, sf_dir):
-    asked = index.query_table(spark, {1: sorted({t for ts in _ASKED.values() for t in ts})})
-    return index.matching(_unstemmed(spark, sf_dir).postings, asked, cap=50).select("term", "doc_id", "tf")
+    return index.capped(_unstemmed(spark, sf_dir).postings, L.POSTING_CAP).select("term", "doc_id", "tf")
 
 
 # --- pages --------------------------------------------------------------------------------------------------------
-_UNESCAPE = "replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
+_UNESCAPE = "replace(replace(replace(replace(replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
 _HOST = "regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)"
 
 
@@ -244,10 +269,14 @@ def frontier_resume(spark, sf_dir):
     return pages.unvisited(rows.select("url"), rows.where("page_id % 3 = 0"))
 
 
-@query(f"""SELECT CAST(count(DISTINCT {_HOST}) AS BIGINT) AS domains, CAST(count(*) AS BIGINT) AS pages, CAST(31 AS BIGINT) AS age_days, true AS needs_update FROM pages""")
+_CRAWLED = "TIMESTAMP '2024-02-20 12:00:00'"
+
+
+@query(f"""SELECT CAST(count(DISTINCT user_id) AS BIGINT) AS domains, CAST(count(*) AS BIGINT) AS pages, CAST(floor((epoch({_CRAWLED}) - epoch(max(ts))) / 86400) AS BIGINT) AS age_days,
+  floor((epoch({_CRAWLED}) - epoch(max(ts))) / 86400) > 30 AS needs_update FROM events""")
 def crawl_rollup(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select(pages.host(F.col("url")).alias("domain"), F.lit("2024-01-01").cast("timestamp").alias("crawled_at"))
-    return ops.crawl_rollup(rows, F.lit("2024-02-01 12:00:00").cast("timestamp"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("domain"), F.col("ts").cast("timestamp").alias("crawled_at"))
+    return ops.crawl_rollup(rows, F.lit("2024-02-20 12:00:00").cast("timestamp"))
 
 
 # --- queries and their understanding -------------------------------------------------------------------------------
@@ -291,7 +320,15 @@ def query_intent(spark, sf_dir):
     return _asked(spark, sf_dir).select("id", T.detect_intent(F.col("text")).alias("d")).select("id", "d.intent", "d.confidence")
 
 
-@query()
+_INTENT_SQL = f"""CASE {" ".join(f"WHEN {_PHRASE(ps)} THEN '{k}'" for k, ps in L.INTENT_PHRASES.items())} WHEN {_ANY_PLACE} THEN 'local' ELSE 'information' END"""
+_WORD_RUNS = r"regexp_extract_all(q, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+')"
+_BOOST_ROWS = ", ".join(f"('{k}', '{n}', CAST({b} AS DOUBLE))" for k, v in L.INTENT_BOOSTS.items() for n, b in v.items())
+
+
+@query(rf"""{_ASK}, b AS (SELECT * FROM (VALUES {_BOOST_ROWS}) AS v(intent, factor, boost)),
+  w AS (SELECT id, {_INTENT_SQL} AS intent, array_to_string(list_filter({_WORD_RUNS}, lambda x: x NOT IN ('hur', 'vad', 'vilken', 'var', 'när', 'ärvid', 'är', 'man')), '') AS t FROM q)
+  SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(t, '[?!]', '', 'g'), '(^|[^\p{{L}}\p{{N}}_])skillnaden mellan($|[^\p{{L}}\p{{N}}_])', '\1\2', 'g'), '\s+', ' ', 'g')) AS reformatted, factor, boost
+  FROM w JOIN b USING (intent)""")
 def intent_boosts(spark, sf_dir):
     found = _asked(spark, sf_dir).select("id", T.intent_query(F.col("text")).alias("reformatted"), T.intent_boosts(T.detect_intent(F.col("text"))["intent"]).alias("b"))
     return found.select("id", "reformatted", F.explode("b").alias("factor", "boost"))
@@ -303,17 +340,39 @@ def question_reformulation(spark, sf_dir):
     return _asked(spark, sf_dir).select("id", T.reformulate_question(F.col("text")).alias("reformulated"))
 
 
-@query()
+_REFORMULATED = f"trim(regexp_replace(trim(regexp_replace(trim(q), '\\?$', '')), '^(?:{'|'.join(L.STARTERS)})', ''))"
+_BOTH_WAYS = {w: [x for key, others in L.EXPANSIONS.items() for x in (others if key == w else [key] if w in others else [])] for w in dict.fromkeys([*L.EXPANSIONS, *(w for v in L.EXPANSIONS.values() for w in v)])}
+
+
+def _sql_map(table_: dict[str, list[str]]) -> str:
+    return "MAP {" + ", ".join(f"'{k}': [{_sql_list(v)}]" for k, v in table_.items()) + "}"
+
+
+@query(rf"""{_ASK}, m AS (SELECT {_sql_map(_BOTH_WAYS)} AS m), f AS (SELECT id, {_REFORMULATED} AS reformulated FROM q),
+  w AS (SELECT id, reformulated, list_filter(list_transform(regexp_split_to_array(trim(lower(reformulated)), '\s+'), lambda x: regexp_replace(regexp_replace(x, '[.,;:?!]+$', ''), '^[.,;:?!]+', '')), lambda x: x <> '') AS w FROM f)
+  SELECT id, reformulated, coalesce(array_to_string(list_filter(string_split(list_reduce(list_prepend('|', w), lambda a, x: a || x || '|' || coalesce(array_to_string(list_transform(
+    list_filter(coalesce(m[x], []), lambda y, i: list_position(m[x], y) = i AND NOT contains(a || x || '|', '|' || y || '|')), lambda y: y || '|'), ''), '')), '|'), lambda x: x <> ''), ' '), '') AS expanded FROM w, m""")
 def query_expansion(spark, sf_dir):
     return _asked(spark, sf_dir).select("id", T.language_variants(F.col("text")).alias("v")).select("id", "v.reformulated", "v.expanded")
 
 
-@query()
+_STARTS = "^(?:" + "|".join(L.VARIANT_STARTERS) + r")\s+"
+_CUT = "[" + ", ".join(f"CASE WHEN n = 1 AND length(p[1]) > 4 AND ends_with(p[1], '{x}') AND length(p[1]) > {len(x) + 2} THEN left(p[1], length(p[1]) - {len(x)}) END" for x in L.DEFINITE_SUFFIXES) + "]"
+_HINTS = "[" + ", ".join(f"CASE WHEN contains(s, '{h}') AND n > 1 THEN trim(replace(s, '{h}', '')) END" for h in L.COMPOUND_HINTS) + "]"
+
+
+@query(f"""{_ASK}, z AS (SELECT id, text, trim(q) AS l, trim(regexp_replace(trim(q), '{_STARTS}', '')) AS c, regexp_matches(trim(q), '{_STARTS}') AS hit FROM q),
+  b AS (SELECT *, CASE WHEN hit THEN c ELSE l END AS s FROM z), d AS (SELECT *, list_filter(regexp_split_to_array(s, '\\s+'), lambda x: x <> '') AS p FROM b), e AS (SELECT *, len(p) AS n FROM d),
+  v AS (SELECT id, list_concat([text], CASE WHEN hit AND c <> '' THEN [c] ELSE [] END, CASE WHEN n > 1 AND p[1] IN ({_sql_list(L.ARTICLES)}) THEN [array_to_string(p[2:], ' ')] ELSE [] END,
+    list_filter({_CUT}, lambda x: x IS NOT NULL AND length(x) > 2), list_filter({_HINTS}, lambda x: x IS NOT NULL AND x <> ''),
+    CASE WHEN n > 0 THEN [array_to_string(list_transform(p, lambda w: CASE WHEN left(w, 1) = 'ß' THEN 'SS' ELSE upper(left(w, 1)) END || substring(w, 2)), ' ')] ELSE [] END) AS v FROM e),
+  u AS (SELECT id, unnest(v) AS variant, generate_subscripts(v, 1) AS pos FROM v), o AS (SELECT id, variant, min(pos) AS pos FROM u GROUP BY 1, 2)
+  SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS INTEGER) AS ord, variant FROM o""")
 def query_variants(spark, sf_dir):
     return _asked(spark, sf_dir).select("id", F.posexplode(T.query_variants(F.col("text"))).alias("ord", "variant"))
 
 
-@query()
+@query(f"{_ASK}, m AS (SELECT {_sql_map(L.SYNONYMS)} AS m), t AS (SELECT id, unnest({_TERMS}) AS t FROM q) SELECT DISTINCT id, term FROM (SELECT id, unnest(list_prepend(t, coalesce(m[t], []))) AS term FROM t, m)")
 def synonym_expansion(spark, sf_dir):
     return _asked(spark, sf_dir).select("id", F.explode(T.synonyms(T.terms(F.col("text")))).alias("term"))
 
@@ -356,27 +415,66 @@ def word_similarity(spark, sf_dir):
     return rows.join(other, "item_id").select(F.col("item_id").alias("a"), (F.col("item_id") + 1).alias("b"), _r(T.jaccard(F.col("w"), F.col("v"))).alias("similarity"))
 
 
-@query()
+@query(rf"""WITH a AS (SELECT item_id, list_distinct(flatten(list_transform(regexp_extract_all(lower(text), '{T.TOKEN}'), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3))))) AS w FROM benchmark)
+  SELECT x.item_id, round(len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))), 6) AS similarity FROM a x JOIN a y ON y.item_id = x.item_id + 1""")
 def trigram_similarity(spark, sf_dir):
     rows = table(spark, sf_dir, "benchmark").select("item_id", T.trigrams(F.col("text")).alias("w"))
     other = rows.select((F.col("item_id") - 1).alias("item_id"), F.col("w").alias("v"))
     return rows.join(other, "item_id").select("item_id", _r(T.jaccard(F.col("w"), F.col("v"))).alias("similarity"))
 
 
-@query()
+#: A word that is in many documents and one that is in some, so that the conjunction tells.
+_MATCHED = "that the"
+
+
+@query(f"""WITH {_STEM_SQL.replace("SELECT w AS term, CASE", ", stems AS (SELECT w AS term, CASE") + ")"},
+  t AS (SELECT DISTINCT doc_id, stem FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents) JOIN stems USING (term))
+  SELECT doc_id FROM t WHERE stem IN (SELECT stem FROM stems WHERE term IN ({_sql_list(_MATCHED.split())})) GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT stem) FROM stems WHERE term IN ({_sql_list(_MATCHED.split())}))""")
 def full_text_match(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(T.matches_all(F.lit("the that of"), F.col("text"))).select("doc_id")
+    return table(spark, sf_dir, "documents").where(T.matches_all(F.lit(_MATCHED), F.col("text"))).select("doc_id")
 
 
-@query()
+_NAMED = {"PERSON": ["sson", "sen", "berg", "ström"], "PLACE": ["stad", "borg", "köping", "by"], "ORGANIZATION": ["verket", "myndigheten", "styrelsen"]}
+_NAMED_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(w), '{x}')" for x in v) + f" THEN '{k}'" for k, v in _NAMED.items()) + " END"
+
+
+@query(rf"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda x: length(x) > 2 AND regexp_matches(x, '^\p{{Lu}}')) AS ws FROM documents),
+  k AS (SELECT unnest(['PERSON', 'PLACE', 'ORGANIZATION', 'TIME']) AS kind)
+  SELECT doc_id, kind, md5(array_to_string(list_filter(ws, lambda w: coalesce({_NAMED_SQL}, '') = kind), ' ')) AS words FROM w, k""")
 def entities(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(T.entities(F.col("text"))).alias("kind", "words")).select("doc_id", "kind", F.size("words").alias("n"))
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.entities(F.col("text"))).alias("kind", "words"))
+    return found.select("doc_id", "kind", F.md5(F.array_join("words", " ")).alias("words"))
 
 
-@query()
+def _first_hit(values: dict[str, object] | list[str], column: str = "q") -> str:
+    return f"list_filter([{_sql_list(list(values))}], lambda v: contains({column}, v))"
+
+
+def _case(table_: dict[str, object], column: str, other: str = "NULL") -> str:
+    show = lambda v: f"'{v}'" if isinstance(v, str) else str(v)
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {show(v)}" for k, v in table_.items()) + f" ELSE {other} END"
+
+
+#: Everything known of a query, from ``q``; the columns of ``understanding.with_context``.
+_SCOPES = "list_filter([" + ", ".join(f"CASE WHEN contains(q, '{k}') OR contains(q, '{v.lower()}') THEN '{v}' END" for k, v in L.SCOPE_COUNTIES.items()) + "], lambda x: x IS NOT NULL)"
+_CONTEXT_SQL = rf"""g AS (SELECT *, {_SCOPES} AS hits, {_first_hit(L.SCOPE_CITIES)}[1] AS city, {_first_hit(L.AGENCIES)} AS agencies, {" OR ".join(f"contains(q, '{w}')" for w in L.OFFICIAL_WORDS)} AS word, {_first_hit(L.FRESHNESS)}[-1] AS fresh FROM q),
+  h AS (SELECT *, coalesce({_case(L.SCOPE_CITIES, "city")}, hits[-1]) AS scope, CASE WHEN city IS NOT NULL THEN 2.0 WHEN len(hits) > 0 THEN 1.5 ELSE 1.0 END AS region_boost, word OR len(agencies) > 0 AS official,
+    CASE WHEN word THEN 2.0 WHEN len(agencies) > 0 THEN 3.0 ELSE 1.0 END AS official_boost, len(hits) > 0 OR city IS NOT NULL AS placed,
+    coalesce({_case({k: b for k, (_, b) in L.FRESHNESS.items()}, "fresh")}, 1.0) AS time_boost, {_case({k: d for k, (d, _) in L.FRESHNESS.items()}, "fresh")} AS max_age_days FROM g),
+  i AS (SELECT *, CASE WHEN regexp_matches(q, '(^|[^\p{{L}}\p{{N}}_])hur($|[^\p{{L}}\p{{N}}_].*)(ansöka|göra|får|kan)') OR regexp_matches(q, 'steg för steg|instruktion') THEN 'GUIDE' WHEN official OR regexp_matches(q, '{L.OFFICIAL_PATTERN}') THEN 'OFFICIAL'
+    WHEN regexp_matches(q, '{L.NEWS_PATTERN}') THEN 'NEWS' WHEN regexp_matches(q, '{L.DEFINITION_PATTERN}') THEN 'DEFINITION' WHEN regexp_matches(q, '{L.PRACTICAL_PATTERN}') THEN 'PRACTICAL_INFO' WHEN placed THEN 'LOCAL' ELSE 'GENERAL' END AS intent FROM h),
+  c AS (SELECT *, CASE intent WHEN 'DEFINITION' THEN 0.85 WHEN 'LOCAL' THEN 0.8 WHEN 'GENERAL' THEN 0.0 ELSE 0.9 END AS confidence, CASE intent WHEN 'NEWS' THEN 3.0 WHEN 'PRACTICAL_INFO' THEN 2.0 ELSE time_boost END AS freshness_boost FROM i)"""
+
+
+@query(f"""{_ASK}, {_CONTEXT_SQL} SELECT id, scope, CAST(region_boost AS DOUBLE) AS region_boost, official, CAST(official_boost AS DOUBLE) AS official_boost, CAST(freshness_boost AS DOUBLE) AS freshness_boost, CAST(max_age_days AS INTEGER) AS max_age_days, intent,
+  CAST(confidence AS DOUBLE) AS confidence, CAST(region_boost * official_boost * freshness_boost AS DOUBLE) AS multiplier, round(CAST(region_boost * official_boost * freshness_boost * {_case(L.INTENT_MULTIPLIERS, "intent")} AS DOUBLE), 6) AS combined,
+  CAST(CASE WHEN official THEN 3.0 ELSE 1.0 END * CASE WHEN intent = 'DEFINITION' THEN 1.8 ELSE 1.0 END AS DOUBLE) AS authority_boost, CAST({_case(L.LENGTH_FACTORS, "intent")} AS DOUBLE) AS content_length_factor FROM c""")
 def semantic_context(spark, sf_dir):
-    found = _asked(spark, sf_dir).select("id", understanding.context(F.col("text")).alias("c")).select("id", "c", understanding.ranking_factors(F.col("c")).alias("f"))
-    return found.select("id", "c.scope", "c.region_boost", "c.official", "c.official_boost", "c.freshness_boost", "c.max_age_days", "c.intent", "c.confidence", "c.multiplier", "f.combined", "f.authority_boost", "f.content_length_factor")
+    known = understanding.with_context(_asked(spark, sf_dir), "text", "c")
+    found = known.select("id", "c", understanding.ranking_factors(F.col("c")).alias("f"))
+    return found.select(
+        "id", "c.scope", "c.region_boost", "c.official", "c.official_boost", "c.freshness_boost", "c.max_age_days", "c.intent", "c.confidence", "c.multiplier", _r(F.col("f.combined")).alias("combined"), "f.authority_boost", "f.content_length_factor",
+    )
 
 
 _COUNTY = "CASE " + " ".join(f"WHEN {{0}} = '{c}' THEN '{k}'" for c, k in L.CITIES.items()) + " " + " ".join(f"WHEN {{0}} = '{c}' THEN '{c}'" for c in L.COUNTIES) + " END"
@@ -391,7 +489,13 @@ def regional_boost(spark, sf_dir):
     return rows.select("page_id", _r(score).alias("score"), understanding.county_of(F.col("doc")).alias("county"))
 
 
-@query()
+_KNOWN = _sql_list([*L.CITIES, *L.COUNTIES])
+_PLACE_PATTERNS = [r"i ([\p{L}\p{N}_\s]+?)(?:\s|$|,|\.)", r"från ([\p{L}\p{N}_\s]+?)(?:\s|$|,|\.)", r"([\p{L}\p{N}_\s]+?) kommun", r"([\p{L}\p{N}_\s]+?) län"]
+_QUERY_PLACE = "coalesce(" + ", ".join(f"CASE WHEN trim(regexp_extract(q, '{p}', 1)) IN ({_KNOWN}) THEN trim(regexp_extract(q, '{p}', 1)) END" for p in _PLACE_PATTERNS) + ")"
+
+
+@query(f"""{_ASK}, c AS (SELECT id, q, {_first_hit(L.CITIES)} AS cities, {_first_hit(L.COUNTIES)} AS counties FROM q)
+  SELECT id, {_QUERY_PLACE} AS place, array_to_string(list_concat(cities, list_filter(counties, lambda x: NOT list_contains(cities, x))), ',') AS named FROM c""")
 def places(spark, sf_dir):
     asked = _asked(spark, sf_dir)
     return asked.select("id", understanding.query_place(F.col("text")).alias("place"), F.array_join(understanding.places_in(F.col("text")), ",").alias("named"))
@@ -409,19 +513,6 @@ def answer_kinds(spark, sf_dir):
     return _asked(spark, sf_dir).select("id", answers.classify(F.col("text")).alias("a")).select("id", "a.kind", "a.confidence")
 
 
-@query()
-def answers_found(spark, sf_dir):
-    rows = [
-        (1, "Vad är en lag?", 1, "https://riksdagen.se/lag", "Lag", "Text. En lag är en regel som alla följer. Mer."),
-        (2, "Hur man bakar bröd", 1, "https://x.se/a", "Bröd", "1. Blanda allt noga här\n2. Baka degen en timme\n3. Ät brödet med smör\n"),
-        (3, "skillnad mellan katt och hund", 3, "https://x.se/b", "Djur", "En katt jamar ofta medan hund skäller högt. Slut."),
-        (3, "skillnad mellan katt och hund", 1, "https://x.se/c", "Djur", "Ingenting."),
-        (4, "skatt 2024", 2, "https://www.skatt.gov.se/x", "Skatt", "Kort.\n\n" + "Detta stycke handlar om skatten och är längre än femtio tecken."),
-    ]
-    ranked = spark.createDataFrame(rows, "query_id long, query string, rank int, url string, title string, content string")
-    return answers.best_answers(ranked)
-
-
 # --- ranking, graph, vectors ---------------------------------------------------------------------------------------
 _AS_OF = "2024-02-01 00:00:00"
 
@@ -441,11 +532,11 @@ _AS_OF = "2024-02-01 00:00:00"
   SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(s, 2) AS score FROM r WHERE rank <= 10""")
 def seven_factor_rank(spark, sf_dir):
     ix = _unstemmed(spark, sf_dir)
-    found = index.search_tfidf(ix, index.query_table(spark, _ASKED), index.candidate_limit(10))
+    found = index.search_tfidf(ix, index.query_table(spark, _ASKED), index.candidate_limit(10), cap=None)
     d = F.col("doc_id")
     domain = F.when(d % 2 == 0, "riksdagen.se").otherwise("example.se")
     documents = ix.documents.select(
-        d, F.concat(F.lit("https://"), domain).alias("url"), domain.alias("domain"), F.substring("text", 1, 40).alias("title"), F.substring("text", 1, 200).alias("snippet"),
+        d, F.concat(F.lit("https://"), domain).alias("url"), domain.alias("domain"), F.substring("head", 1, 40).alias("title"), F.col("head").alias("snippet"),
         (F.lit(_AS_OF).cast("timestamp") - F.make_dt_interval(days=(d % 400).cast("int"))).alias("crawled_at"), ranking.authority(domain).alias("authority"),
     )
     ranks = ix.documents.where(d % 5 != 0).select(d, (d % 7 / 7).alias("pagerank"))
@@ -506,7 +597,7 @@ def vector_topk(spark, sf_dir):
   er AS (SELECT query_id, doc_id, s, {_RANKED} AS rk FROM e)
   SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, round(0.7 * coalesce(kt.s / m, 0) + 0.3 * coalesce(x.s, 0), 6) AS score FROM kt FULL JOIN (SELECT * FROM er WHERE rk <= 100) x USING (query_id, doc_id)""")
 def hybrid_fusion(spark, sf_dir):
-    keyword = index.search_tfidf(_unstemmed(spark, sf_dir), index.query_table(spark, _ASKED), 100)
+    keyword = index.search_tfidf(_unstemmed(spark, sf_dir), index.query_table(spark, _ASKED), 100, cap=None)
     vectors = table(spark, sf_dir, "embeddings")
     asked = vectors.where("vec_id between 1 and 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     near = vector.search(vectors, asked, 100).withColumnRenamed("vec_id", "doc_id")
@@ -548,21 +639,28 @@ def value_summary(spark, sf_dir):
     return ops.summary(_events(spark, sf_dir), "value", ["event_type"]).select("event_type", "n", _r(F.col("total"), 4).alias("total"))
 
 
-@query("SELECT user_id, arg_max(value, ts) AS value FROM events GROUP BY 1")
+@query("SELECT user_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1")
 def gauges(spark, sf_dir):
     return ops.gauges(_events(spark, sf_dir), "user_id", "value", "ts")
 
 
-@query("SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS mean FROM events")
+@query("SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) + 1e-7, 4) AS mean FROM events")
 def running_mean(spark, sf_dir):
-    return ops.running_mean(_events(spark, sf_dir), "value", "ts", "event_type").select("event_id", _r(F.col("mean")).alias("mean"))
+    return ops.running_mean(_events(spark, sf_dir), "value", "ts", "event_type").select("event_id", _r(F.col("mean") + 1e-7, 4).alias("mean"))
+
 
+#: Each entry's filling: the first request of a key, then the first one after the entry before has expired.
+_FILLS = """e AS (SELECT *, row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id) AS same FROM events),
+  f(user_id, ts) AS (SELECT user_id, min(ts) FROM events GROUP BY 1 UNION ALL
+    SELECT user_id, nxt FROM (SELECT f.user_id, (SELECT min(x.ts) FROM events x WHERE x.user_id = f.user_id AND x.ts > f.ts + INTERVAL 24 HOURS) AS nxt FROM f) WHERE nxt IS NOT NULL),
+  l AS (SELECT e.*, f.ts IS NULL OR e.same > 1 AS hit FROM e LEFT JOIN f ON f.user_id = e.user_id AND f.ts = e.ts)"""
 
-@query("""WITH l AS (SELECT *, coalesce(ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 24 HOURS, false) AS hit FROM events),
+
+@query(f"""WITH RECURSIVE {_FILLS},
   s AS (SELECT count(*) FILTER (hit) AS h, count(*) FILTER (NOT hit) AS m, coalesce(sum(value) FILTER (hit), 0) AS s FROM l)
   SELECT CAST(h AS BIGINT) AS hits, CAST(m AS BIGINT) AS misses, round(s, 4) AS saved_ms, round(h / (h + m), 6) AS hit_rate, round(s / h, 6) AS saved_per_hit FROM s""")
 def cache_hit_stats(spark, sf_dir):
-    found = ops.cache_stats(ops.cache_log(_events(spark, sf_dir), "user_id", "ts"), "value")
+    found = ops.cache_stats(ops.cache_log(_events(spark, sf_dir), "user_id"), "value")
     return found.select("hits", "misses", _r(F.col("saved_ms"), 4).alias("saved_ms"), _r(F.col("hit_rate")).alias("hit_rate"), _r(F.col("saved_per_hit")).alias("saved_per_hit"))
 
 
@@ -617,30 +715,64 @@ def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("ok", F.col("event_type") != "error")
 
 
-@query()
+def _folded(start: str, step: str, result: str) -> str:
+    """SQL of a machine: ``start`` gives the state after a key's first event, ``step`` after each next one (state s, event r), as a struct with the result in it."""
+    return f"""WITH RECURSIVE r AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS at, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+    s AS (SELECT r.event_id, r.user_id, r.rn, {start} AS s FROM r WHERE rn = 1 UNION ALL SELECT r.event_id, r.user_id, r.rn, {step} AS s FROM s AS p JOIN r ON r.user_id = p.user_id AND r.rn = p.rn + 1)
+    SELECT event_id, CAST(user_id AS VARCHAR) AS "key", {result} AS result FROM s"""
+
+
+def _rate_sql(most: int, window: int, block: int) -> str:
+    kept = f"list_filter(p.s.times, lambda t: t > r.at - {window})"
+    shut = f"({block} > 0 AND r.at < p.s.until)"
+    return _folded(
+        "{'times': [r.at], 'until': 0.0::DOUBLE, 'result': 'allowed'}",
+        f"CASE WHEN {shut} THEN {{'times': p.s.times, 'until': p.s.until, 'result': 'refused'}} WHEN len({kept}) >= {most} THEN {{'times': {kept}, 'until': r.at + {block}, 'result': 'refused'}} "
+        f"ELSE {{'times': list_append({kept}, r.at), 'until': p.s.until, 'result': 'allowed'}} END",
+        "s.result",
+    )
+
+
+@query(_rate_sql(5, 6 * 3600, 0))
 def rate_limit(spark, sf_dir):
     return machines.run_batch(_calls(spark, sf_dir), "user_id", machines.rate_limit(5, 6 * 3600.0))
 
 
-@query()
+@query(_rate_sql(3, 12 * 3600, 24 * 3600))
 def rate_limit_block(spark, sf_dir):
     return machines.run_batch(_calls(spark, sf_dir), "user_id", machines.rate_limit(3, 12 * 3600.0, 24 * 3600.0))
 
 
-@query()
+@query(_folded("{'sent': r.at, 'result': 'sent'}", "CASE WHEN r.at - p.s.sent < 86400 THEN {'sent': p.s.sent, 'result': 'held'} ELSE {'sent': r.at, 'result': 'sent'} END", "s.result"))
 def alert_cooldown(spark, sf_dir):
     return machines.run_batch(_calls(spark, sf_dir).withColumn("ok", F.lit(False)), "user_id", machines.cooldown(24 * 3600.0))
 
 
-@query()
+_HALF = "(p.s.open AND r.at - p.s.since >= 86400)"
+
+
+@query(_folded(
+    "{'open': false, 'n': CASE WHEN r.ok THEN 0 ELSE 1 END, 'since': CASE WHEN r.ok THEN 0.0 ELSE r.at END, 'result': 'closed'}",
+    f"""CASE WHEN p.s.open AND NOT {_HALF} THEN {{'open': true, 'n': p.s.n, 'since': p.s.since, 'result': 'refused'}}
+      WHEN r.ok AND {_HALF} THEN {{'open': false, 'n': 0, 'since': 0.0::DOUBLE, 'result': 'closed'}} WHEN r.ok THEN {{'open': false, 'n': p.s.n, 'since': p.s.since, 'result': 'closed'}}
+      WHEN {_HALF} OR p.s.n + 1 >= 3 THEN {{'open': true, 'n': p.s.n + 1, 'since': r.at, 'result': 'open'}} ELSE {{'open': false, 'n': p.s.n + 1, 'since': r.at, 'result': 'closed'}} END""",
+    "s.result",
+))
 def circuit_breaker(spark, sf_dir):
     return machines.run_batch(_calls(spark, sf_dir), "user_id", machines.circuit_breaker(3, 24 * 3600.0))
 
 
-@query()
+_GOOD, _BAD = "(CASE WHEN r.ok THEN p.s.good + 1 ELSE 0 END)", "(CASE WHEN r.ok THEN 0 ELSE p.s.bad + 1 END)"
+
+
+@query(_folded(
+    "{'t': 30, 'good': CASE WHEN r.ok THEN 1 ELSE 0 END, 'bad': CASE WHEN r.ok THEN 0 ELSE 1 END}",
+    f"""{{'t': CASE WHEN {_GOOD} >= 5 THEN greatest(10, p.s.t - 2) WHEN {_BAD} >= 2 THEN least(60, p.s.t + 5) ELSE p.s.t END,
+      'good': CASE WHEN {_GOOD} >= 5 THEN 0 ELSE {_GOOD} END, 'bad': CASE WHEN {_BAD} >= 2 THEN 0 ELSE {_BAD} END}}""",
+    "CAST(s.t AS VARCHAR)",
+))
 def adaptive_timeout(spark, sf_dir):
-    ordered = _calls(spark, sf_dir).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "ok"))).alias("e"))
-    return ordered.select("user_id", ops.adaptive_timeout(F.transform("e", lambda x: x["ok"])).alias("timeout"))
+    return machines.run_batch(_calls(spark, sf_dir), "user_id", machines.adaptive_timeout())
 
 
 # --- portal --------------------------------------------------------------------------------------------------------
@@ -656,7 +788,7 @@ def variant_union(spark, sf_dir):
     return portal.union_until(hits, spare, 2)
 
 
-@query("SELECT user_id, arg_max(event_id, event_id) AS event_id FROM events GROUP BY 1")
+@query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")
 def latest_rows(spark, sf_dir):
     return portal.latest(table(spark, sf_dir, "events"), "user_id", "event_id").select("user_id", "event_id")
 

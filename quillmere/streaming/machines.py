@@ -20,10 +20,14 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Machine:
-    """``start`` makes a state, ``step`` takes (state, seconds, ok) and gives (state, result)."""
+    """``start`` makes a state, ``step`` takes (state, seconds, ok) and gives (state, result).
+
+    ``memory``: seconds without events after which a state is as good as a new one; None where it never is.
+    """
 
     start: Callable[[], list]
     step: Callable[[list, float, bool], tuple[list, str]]
+    memory: float | None = None
 
 
 def rate_limit(most: int = 60, window: float = 60.0, block: float = 0.0) -> Machine:
@@ -38,7 +42,7 @@ def rate_limit(most: int = 60, window: float = 60.0, block: float = 0.0) -> Mach
             return [now + block, *times], "refused"
         return [until, *times, now], "allowed"
 
-    return Machine(lambda: [0.0], step)
+    return Machine(lambda: [0.0], step, window + block)
 
 
 def cooldown(seconds: float = 300.0) -> Machine:
@@ -51,7 +55,7 @@ def cooldown(seconds: float = 300.0) -> Machine:
             return state, "held"
         return [now], "sent"
 
-    return Machine(list, step)
+    return Machine(list, step, seconds)
 
 
 def circuit_breaker(failures: int = 5, recovery: float = 60.0) -> Machine:
@@ -73,6 +77,32 @@ def circuit_breaker(failures: int = 5, recovery: float = 60.0) -> Machine:
     return Machine(lambda: [0.0, 0.0, 0.0], step)
 
 
+def cache_entry(ttl: float = 24 * 3600.0) -> Machine:
+    """hit or miss of requests for a key: a miss fills the cache, and the entry lives for the ttl from then on, hits or not. [AGG15, DT3, STM6]"""
+
+    def step(state: list, now: float, _: bool) -> tuple[list, str]:
+        if state and now <= state[0] + ttl:
+            return state, "hit"
+        return [now], "miss"
+
+    return Machine(list, step, ttl)
+
+
+def adaptive_timeout(start: int = 30, low: int = 10, high: int = 60) -> Machine:
+    """The timeout after each outcome: 2 less after each 5 successes in a row, 5 more after each 2 failures in a row. [WIN9, STM10]"""
+
+    def step(state: list, _: float, ok: bool) -> tuple[list, str]:
+        timeout, good, bad = state
+        good, bad = (good + 1, 0) if ok else (0, bad + 1)
+        if good >= 5:
+            timeout, good = max(low, timeout - 2), 0
+        elif bad >= 2:
+            timeout, bad = min(high, timeout + 5), 0
+        return [timeout, good, bad], str(int(timeout))
+
+    return Machine(lambda: [float(start), 0.0, 0.0], step)
+
+
 def run_batch(events: DataFrame, key: str, machine: Machine) -> DataFrame:
     """Events (event_id, ts, key, ok) with the machine's result. Rows of equal time go by event_id."""
     rows = events.select("event_id", F.col(key).cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("ok").cast("boolean").alias("ok"))
@@ -92,13 +122,22 @@ def run_batch(events: DataFrame, key: str, machine: Machine) -> DataFrame:
     return ordered.mapInPandas(fold, "event_id long, key string, result string")
 
 
-def run_stream(events: DataFrame, key: str, machine: Machine, idle_ms: int = 3_600_000) -> DataFrame:
-    """The same over a stream; a key's state goes after an hour without events. Needs the RocksDB state store. [STM4, STM5, STM10, WIN4]"""
+#: Hours that a stream may run behind before states are forgotten too early.
+LAG = 48
+
+
+def run_stream(events: DataFrame, key: str, machine: Machine) -> DataFrame:
+    """The same over a stream, whose batches come in the order of time. Needs the RocksDB state store. [STM4, STM5, STM10, WIN4]
+
+    A key's state goes when there were no events for as long as the machine remembers, and an hour at least, beside ``LAG``;
+    it stays where the machine never forgets. A batch's events of one key are held together to be sorted.
+    """
+    forget = None if machine.memory is None else int((max(3600.0, machine.memory) + LAG * 3600) * 1000)
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
     class Fold(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.state = handle.getValueState("state", "values array<double>", idle_ms)
+            self.state = handle.getValueState("state", "values array<double>", forget)
 
         def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer: Any) -> Iterator[pd.DataFrame]:  # noqa: N802
             batch = pd.concat(list(rows)).sort_values(["at", "event_id"])
