@@ -18,6 +18,8 @@ from quillmere.llm.vocabularies import vocabulary_path
 BROADCAST_IDS = 1_000_000
 #: What a text with words in it holds.
 WORDS = r"[\p{L}\p{N}]"
+#: Words of the shortest benchmark item that is looked for: a shorter one is in any number of clean documents.
+LEAST_ITEM = 6
 #: Length class from which the cosine decides, and labelled scores that a class needs for a median of its own.
 LEAST_CLASS, CLASS_SCORES = 5, 30
 
@@ -153,7 +155,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     stay, and so do all rows where there are no items. No documents give none.
     """
     keyed = _keyed(docs)
-    found = find_items(_texts(keyed), table(spark, sf_dir, "benchmark"))
+    found = find_items(_texts(keyed), table(spark, sf_dir, "benchmark"), least_words=LEAST_ITEM)
     return _rows(_without(keyed, found.select(F.col("doc_id").alias("_drop"))), docs)
 
 

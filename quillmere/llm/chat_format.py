@@ -6,11 +6,12 @@ string, so no control string of a text survives and every text can be had back.
 
 Turns of a batch are laid out together: numpy finds the bytes that need a
 backslash, computes lengths and offsets of all segments and the place of each
-byte, and copies headers and contents into one preallocated buffer, which becomes
-an Arrow array without another copy.
+byte, and copies headers and contents into one preallocated buffer. The offsets of conversations in
+it make it an Arrow array of their texts, without another copy. The last part of a batch
+waits, unformatted, for the next batch.
 
-A conversation is a row for each part of at most ``part_bytes`` (one turn at
-least), so a conversation of any length streams through a task.
+A conversation is a row for each part: a part ends with the first turn that brings it to ``part_bytes``, so a conversation of
+any length streams through a task.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmere.llm.common import bound_batches
+
 BEGIN, MIDDLE, END = b"[INST] ", b" [/INST]", b"</s>"
 #: Each begins with a character that is nowhere else in any of them, so none can arise where two segments meet.
 CONTROLS = (b"<s>", b"</s>", b"[INST]", b"[/INST]")
@@ -111,47 +114,61 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant", part_by
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
     ordered = rows.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "role", "text")
+    bound_batches(turns.sparkSession)
 
     def formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, part, held, spans, n_turns, size = None, 0, [], [], 0, 0
-        begun = False
-
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([now], pa.int64()), pa.array([part], pa.int64()), pa.array([n_turns], pa.int64()), pa.array([b"".join(held)], pa.binary()).cast(pa.string()),
-                    pa.array([[a for a, _ in spans]], pa.list_(pa.int64())), pa.array([[n for _, n in spans]], pa.list_(pa.int64())),
-                ],
-                names=["conv_id", "part", "n_turns", "formatted", "loss_begin", "loss_length"],
-            )
-
+        held, number = None, 0  # rows of the last conversation, and the parts it has already
         for rows in batches:
-            if not rows.num_rows:
-                continue
-            conv_ids = rows.column(0).to_pylist()
-            contents = escape(Column.of(rows.column(3)))
-            laid, starts = assemble([BEGIN, escape(Column.of(rows.column(2))), MIDDLE, contents, END], rows.num_rows)
-            data, offsets = laid.data.tobytes(), laid.offsets.tolist()
-            loss = np.array([x == loss_role for x in rows.column(2).to_pylist()])
-            text_begin, text_length = (starts[3] - laid.offsets[:-1]).tolist(), np.diff(contents.offsets).tolist()
-            done = []
-            low = 0
-            while low < len(conv_ids):
-                high = low
-                if begun and (conv_ids[low] != now or size >= part_bytes):
-                    done.append(flush())
-                    part = part + 1 if conv_ids[low] == now else 0
-                    held, spans, n_turns, size = [], [], 0, 0
-                now, begun = conv_ids[low], True
-                base, limit = size - offsets[low], part_bytes
-                while high < len(conv_ids) and conv_ids[high] == now and (high == low or base + offsets[high] < limit):
-                    if loss[high]:
-                        spans.append((base + offsets[high] + text_begin[high], text_length[high]))
-                    high += 1
-                held.append(data[offsets[low] : offsets[high]])
-                n_turns, size, low = n_turns + high - low, base + offsets[high], high
-            yield from done
-        if begun:
-            yield flush()
+            if rows.num_rows:
+                waiting = rows if held is None else pa.Table.from_batches([held, rows]).combine_chunks().to_batches()[0]
+                out, held, number = format_rows(waiting, number, loss_role, part_bytes, last=False)
+                if out is not None:
+                    yield out
+        if held is not None:
+            yield format_rows(held, number, loss_role, part_bytes, last=True)[0]
 
     return ordered.select("conv_id", "turn", "role", "text").mapInArrow(formatted, PART_SCHEMA)
+
+
+def _strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The bytes between offsets as strings, on the same buffer."""
+    if len(data) >= 1 << 31:
+        raise ValueError("turns of two gigabytes at once")
+    return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
+
+
+def format_rows(rows: pa.RecordBatch, number: int, loss_role: str, part_bytes: int, last: bool) -> tuple[pa.RecordBatch | None, pa.RecordBatch | None, int]:
+    """Parts of the rows (conv_id, turn, role, text), which lie in order; rows that have to wait for others; and the number
+    of their part. ``number``: that of the first row's part. Unless the rows are the ``last`` ones, those of the last part wait.
+    """
+    n = rows.num_rows
+    # A null conv_id is a conversation, too.
+    conv, null = rows.column(0).fill_null(0).to_numpy(zero_copy_only=False), np.asarray(rows.column(0).is_null())
+    new = np.concatenate(([True], (conv[1:] != conv[:-1]) | (null[1:] != null[:-1])))
+    contents = escape(Column.of(rows.column(3)))
+    laid, starts = assemble([BEGIN, escape(Column.of(rows.column(2))), MIDDLE, contents, END], n)
+    # First row and number of each part.
+    edges, numbers = [], []
+    bounds = np.append(np.flatnonzero(new), n)
+    for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        at, k = low, number if low == 0 else 0
+        while at < high:
+            edges.append(at)
+            numbers.append(k)
+            # The part's last row is the first to bring it to its size.
+            full = int(np.searchsorted(laid.offsets[at + 1 : high + 1], laid.offsets[at] + part_bytes))
+            at, k = at + full + 1, k + 1
+    held = None
+    if not last:  # what comes next may belong to the last part, or number its parts on from it
+        held, number = rows.slice(edges[-1]), numbers[-1]
+        n, edges, numbers = edges[-1], edges[:-1], numbers[:-1]
+    if not edges:
+        return None, held, number
+    first = np.array([*edges, n])
+    loss = np.flatnonzero(np.asarray(rows.column(2).slice(0, n).to_numpy(zero_copy_only=False) == loss_role))
+    part = np.searchsorted(first, loss, "right") - 1
+    spans = np.append(0, np.cumsum(np.bincount(part, minlength=len(edges)))).astype(np.int32)
+    begin, length = starts[3][loss] - laid.offsets[first[part]], np.diff(contents.offsets)[loss]
+    lists = [pa.ListArray.from_arrays(pa.array(spans), pa.array(x.astype(np.int64))) for x in (begin, length)]
+    columns = [rows.column(0).take(pa.array(edges)), pa.array(numbers, pa.int64()), pa.array(np.diff(first).astype(np.int64)), _strings(laid.data, laid.offsets[first]), *lists]
+    return pa.RecordBatch.from_arrays(columns, names=["conv_id", "part", "n_turns", "formatted", "loss_begin", "loss_length"]), held, number

@@ -1,46 +1,20 @@
-"""What several operators of this subpackage share: durable intermediate tables, size checks and text helpers."""
+"""What several operators of this subpackage share: batches bounded in bytes, held-out ids and input tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmere.shared import durable, partitions_of, quoted, remove_path, scratch_path, shared_folder, whole_row
+
+__all__ = ["BATCH_BYTES", "SPACE_BYTES", "bound_batches", "durable", "held_out", "partitions_of", "quoted", "remove_path", "scratch_path", "shared_folder", "table", "whole_row"]
+
 #: White space of the contracts: space and the control characters tab to carriage return.
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 #: Bytes of rows that a Python worker is handed at once (one row at least).
 BATCH_BYTES = 4 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a temporary folder on one machine (tests), and an error on a cluster,
-    whose executors would each write to a disk of their own.
-    """
-    sc = spark.sparkContext
-    told = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not told:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        told = "file://" + tempfile.mkdtemp(prefix="quillmere-checkpoint-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(told)
-    return told
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, with its lineage cut.
-
-    Spark's cleaner deletes the files when nothing refers to them any more, and
-    a lost executor takes nothing with it.
-    """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def bound_batches(spark: SparkSession) -> None:
     """From now on this session hands Python workers at most ``BATCH_BYTES`` at once, however long its rows are."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -49,25 +23,6 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
-def whole_row(df: DataFrame) -> Column:
-    """All columns of ``df`` as one, whatever their names."""
-    return F.struct(*[F.col(quoted(c)).alias(c) for c in df.columns])
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder for a table the caller deletes with ``remove_path``."""
-    return f"{shared_folder(spark).rstrip('/')}/quillmere-{name}-{uuid.uuid4().hex}"
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def held_out(doc_id: Column) -> Column:
     """Whether crc32 of the id as text leaves remainder 2 by 4. A null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -76,6 +31,3 @@ def held_out(doc_id: Column) -> Column:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-
-def partitions_of(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -18,8 +18,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Alternates two steps until the edges change no more: every node links its
     larger neighbours (large star), then its smaller ones and itself (small
     star), to the smallest. Both need only a minimum for each node, which is
-    added up before the shuffle, so a hub with any number of neighbours is
-    no group in one task. Null nodes and loops are left out; no edges give no rows.
+    added up before the shuffle. A hub's edges meet its minimum in a join, which adaptive execution can deal
+    out to several tasks only where Spark's thresholds for skew are passed. Null nodes and loops are left out; no edges give no rows.
     """
     edges = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = durable(edges)

@@ -1,7 +1,8 @@
 """Benchmark passages in documents, found by pigeonhole and Myers' bit-parallel distance.
 
-Texts are sequences of words: letters and digits, lower-cased, everything else
-in ASCII parts them. A document contains an item if some run of its words is
+Texts are sequences of words: runs of letters, marks and digits of any script, composed and lower-cased; everything else,
+punctuation and symbols of any script, parts them. In scripts that are written without spaces (Chinese, Japanese, Thai and their
+like) each character is a word. A document contains an item if some run of its words is
 within the item's budget of word edits (insert, delete, replace). An item of n
 words has a budget of ``rate`` * n. It is cut into budget + 1 pieces; an edit
 touches one piece at most, so one piece stands unchanged in the document. Pieces
@@ -11,6 +12,7 @@ verified by Myers' bit-parallel distance over the words around it.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -19,18 +21,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.llm.common import bound_batches, durable
+from quillmere.llm.common import bound_batches, durable, remove_path, scratch_path
 
 RATE = 0.2
-#: Items whose pieces are held by a task at once; more are searched for in blocks.
-ITEMS = 20_000
+#: Items, and bytes of their texts, that a task holds at once; more are searched for in blocks, an item of more bytes in one of its own.
+ITEMS, ITEM_BYTES = 20_000, 8 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-#: ASCII letters lower-cased, digits, bytes of other characters; the rest is space.
-_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: Blocks of scripts without spaces between words.
+UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
+class _Letters(dict):
+    """Code point to what it stands for: itself in lower case, in unspaced scripts with a space on both sides, or a space."""
+
+    def __missing__(self, cp: int) -> str:
+        c = chr(cp)
+        if unicodedata.category(c)[0] not in "LMN":
+            value = " "
+        elif any(a <= cp <= b for a, b in UNSPACED):
+            value = f" {c} "
+        else:
+            value = c.lower()
+        self[cp] = value
+        return value
+
+
+_LETTERS = _Letters()
+#: The same for one-byte characters, none of which becomes several.
+_TABLE = bytes(ord(_LETTERS[b]) for b in range(256))
+
+
+def words_of(text: str | None) -> list[bytes] | list[str]:
+    """Words in order; of a text of one-byte characters as Latin-1, for speed (``either`` gives the other form)."""
+    text = text or ""
+    try:
+        return text.encode("latin-1").translate(_TABLE).split()
+    except UnicodeEncodeError:
+        pass
+    if not unicodedata.is_normalized("NFC", text):
+        text = unicodedata.normalize("NFC", text)
+    return text.translate(_LETTERS).split()
+
+
+def either(word: bytes | str) -> list[bytes | str]:
+    """Both forms that a word may have, if it has two."""
+    if isinstance(word, bytes):
+        return [word, word.decode("latin-1")]
+    try:
+        return [word, word.encode("latin-1")]
+    except UnicodeEncodeError:
+        return [word]
 
 
 def budget(n: int, rate: float) -> int:
@@ -71,18 +111,24 @@ def myers_ends(item: list[int], text: list[int], k: int) -> list[tuple[int, int]
 class Items:
     """Benchmark items by word numbers, and their pieces by length in words."""
 
-    vocabulary: dict[bytes, int] = field(default_factory=dict)
+    vocabulary: dict[bytes | str, int] = field(default_factory=dict)
     items: list[tuple[int, list[int], int]] = field(default_factory=list)  # id, words, budget
     #: Length to sorted hashes, and for each hash its (item, place) list.
     tables: dict[int, tuple[np.ndarray, list[list[tuple[int, int]]]]] = field(default_factory=dict)
 
     @classmethod
-    def of(cls, rows: list[tuple[int, str | None]], rate: float) -> Items:
+    def of(cls, rows: list[tuple[int, str | None]], rate: float, least: int = 1) -> Items:
         self = cls()
+        n = 0
         by_length: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for item_id, text in rows:
-            words = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            if not words:
+            words = []
+            for w in words_of(text):
+                if w not in self.vocabulary:
+                    n += 1
+                    self.vocabulary.update(dict.fromkeys(either(w), n))
+                words.append(self.vocabulary[w])
+            if len(words) < max(1, least):
                 continue
             k = budget(len(words), rate)
             number = len(self.items)
@@ -149,38 +195,48 @@ def window_hashes(ids: np.ndarray, length: int) -> np.ndarray:
     return mixed
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, items_at_once: int = ITEMS) -> DataFrame:
+def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least_words: int = 1, items_at_once: int = ITEMS, bytes_at_once: int = ITEM_BYTES) -> DataFrame:
     """(doc_id, item_id, distance, begin, end): each item that a document contains, with its best run in words of the document.
 
     Whole texts are searched. Null texts, and items or texts without words,
-    contain nothing and are in nothing. Rows with a null or the same id are searched
+    contain nothing and are in nothing, and items of fewer than ``least_words`` words are not searched for. Rows with a null or the same id are searched
     each; ties go to the run that ends first. Other columns are ignored.
-    ``benchmark`` is (item_id, text); beyond ``items_at_once`` rows it is searched for in
+    ``benchmark`` is (item_id, text); beyond ``items_at_once`` rows or ``bytes_at_once`` bytes it is searched for in
     blocks, each with one pass over the documents.
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    n_blocks = -(-bench.count() // items_at_once) or 1
-    if n_blocks > 1:
-        # Twice as many as would do if they were dealt evenly; the hash only deals them.
-        n_blocks *= 2
+    text = F.col("text").cast("string")
+    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text")).where("text is not null")
+    n, size = bench.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    # Twice as many as would do if they were dealt evenly; the hash only deals them.
+    n_blocks = max(-(-n // items_at_once), -(-size // bytes_at_once), 1)
+    n_blocks = 2 * n_blocks if n_blocks > 1 else 1
     bench = durable(bench.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))))
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = None
+    searched = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    if n_blocks == 1:
+        return _find(searched, bench, rate, least_words)
+    # Each block's finds are written, so that no more than one block's items are in memory.
+    path = scratch_path(spark, "found")
     for block in range(n_blocks):
-        rows = [tuple(r) for r in bench.where(F.col("block") == block).select("item_id", "text").collect()]
-        shared = spark.sparkContext.broadcast(Items.of(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])), rate))
-
-        def searched(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = shared.value
-            for rows in batches:
-                out = []
-                for doc_id, value in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
-                    out.extend((doc_id, *x) for x in items.search(value.as_py()))
-                columns = list(zip(*out, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()], strict=True)], names=["doc_id", "item_id", "distance", "begin", "end"])
-
-        part = text.mapInArrow(searched, "doc_id long, item_id long, distance int, begin long, end long")
-        found = part if found is None else found.unionByName(part)
+        _find(searched, bench.where(F.col("block") == block), rate, least_words).write.mode("append").parquet(path)
+    found = durable(spark.read.parquet(path))
+    remove_path(spark, path)
     return found
+
+
+def _find(docs: DataFrame, bench: DataFrame, rate: float, least: int) -> DataFrame:
+    """The finds of one block of items."""
+    rows = [tuple(r) for r in bench.select("item_id", "text").collect()]
+    shared = docs.sparkSession.sparkContext.broadcast(Items.of(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])), rate, least))
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = shared.value
+        for rows in batches:
+            out = []
+            for doc_id, value in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
+                out.extend((doc_id, *x) for x in items.search(value.as_py()))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()], strict=True)], names=["doc_id", "item_id", "distance", "begin", "end"])
+
+    return docs.mapInArrow(searched, "doc_id long, item_id long, distance int, begin long, end long")

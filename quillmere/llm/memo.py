@@ -18,19 +18,28 @@ pre-tokenizers part letters from punctuation), and so is a single line feed; tex
 Latin-1 characters are lower-cased beforehand where the vocabulary would do it
 (such letters change in nothing else).
 
-Memories last as long as a worker process. One with ``limit`` entries becomes
+Memories last as long as a worker process. One that holds ``limit`` bytes becomes
 the old one, from which what is met again is taken over, and the one before it is
-forgotten; that changes speed and nothing else.
+forgotten; that changes speed and nothing else. Chunks of more than ``LONGEST`` characters
+(texts without white space, say) are not remembered; ``WordMemo`` cuts those of more than ``CUT`` where a piece ends
+for certain: after an ASCII digit, which is a piece by itself, before an ASCII letter or digit, and
+between punctuation and letters of Chinese or Japanese, where nothing is composed.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 
+#: Characters of a chunk that is remembered, and from which on a chunk is cut further.
+LONGEST, CUT = 64, 4096
+#: Bytes of a memory.
+LIMIT = 80 << 20
+
 #: Characters that Python's split takes as white space but the vocabulary's pattern does not.
 _PYTHON_ONLY = re.compile("[\x1c-\x1f]")
 #: White space other than the space, tab, line feed and carriage return.
@@ -51,19 +60,24 @@ def library_tokenizer(path: str):
 class _Memory(dict):
     def __init__(self, make: Callable[[str], object], limit: int):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.old, self.size = make, limit, {}, 0
 
     def __missing__(self, chunk: str) -> object:
-        if len(self) >= self.limit:
+        if len(chunk) > LONGEST:
+            return self.make(chunk)
+        if self.size >= self.limit:
             self.old = dict(self)
             self.clear()
+            self.size = 0
         value = self.old.get(chunk)
         if value is None:
             value = self.make(chunk)
         self[chunk] = value
+        self.size += 100 + sys.getsizeof(chunk) + sys.getsizeof(value)  # 100: its share of the table
         return value
 
 
+_SURE = re.compile("(?<=[0-9])(?=[0-9A-Za-z])|(?<=[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])(?=[\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff])")
 _CLOSING = re.compile("(?<=[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff])([.,;:!?])(?=[ \n])")
 
 
@@ -80,7 +94,7 @@ def _latin1(text: str) -> bool:
 class WordMemo:
     """Token ids of a text, for a vocabulary that lower-cases and removes white space."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = LIMIT):
         tokenizer = library_tokenizer(path)
         self.memory = _Memory(lambda x: np.asarray(tokenizer.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes(), limit)
 
@@ -98,6 +112,8 @@ class WordMemo:
             chunks = _CLOSING.sub(" \\1", text.lower()).split()
         else:
             chunks = text.split()
+        if len(text) > CUT and any(len(c) > CUT for c in chunks):
+            chunks = [part for c in chunks for part in (_SURE.split(c) if len(c) > CUT else (c,))]
         return b"".join(map(self.memory.__getitem__, chunks))
 
 
@@ -107,8 +123,8 @@ class SpaceMemo:
     #: A chunk with no space before it begins with this; chunks stand for themselves with a space before.
     BARE, LINE = "\x00", "\x01"
 
-    def __init__(self, path: str, limit: int = 600_000):
-        tokenizer = library_tokenizer(path)
+    def __init__(self, path: str, limit: int = LIMIT):
+        self.tokenizer = tokenizer = library_tokenizer(path)
         count = lambda x: len(tokenizer.encode(x, add_special_tokens=False).ids)
         self.whole = count
         self.memory = _Memory(lambda x: count(x[1:] if x[:1] == self.BARE else "\n" if x == self.LINE else " " + x), limit)
@@ -136,13 +152,3 @@ class SpaceMemo:
             chunks = _SAFE_SPACE.split(text)
         chunks[0] = self.BARE + chunks[0]
         return sum(map(self.memory.__getitem__, chunks))
-
-    def stable(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Where chunks of ``text`` begin, in characters, and the tokens of each. All but the first begin at a proven boundary."""
-        chunks = text.split(" ") if self._plain(text) else _SAFE_SPACE.split(text)
-        begins = np.cumsum([0, *(len(x) + 1 for x in chunks[:-1])])
-        begins[1:] -= 1
-        odd = self.BARE in text or self.LINE in text
-        first, *later = chunks
-        counts = [self.whole(first), *((self.whole(" " + x) for x in later) if odd else map(self.memory.__getitem__, later))]
-        return begins, np.array(counts, dtype=np.int64)

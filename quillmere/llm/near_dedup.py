@@ -5,7 +5,7 @@
    are linked without being compared.
 2. Inverted lists of retained values bring classes together. Two sets of
    similarity 0.75 share most of their sketches, at least ``shared_at_least`` values
-   (exact for sets kept whole, four and a half standard deviations below the mean for others),
+   (exact for sets kept whole, five and a half standard deviations below the mean for others),
    so it is enough to list each class under all but so many of its values less one, rarest
    first (prefix filtering): a passage that many documents hold is not listed
    where anything rarer is.
@@ -13,7 +13,7 @@
    in the list. The union of two sketches estimates their similarity, and what
    may reach it is verified on the full sets.
 4. Links give components. Lists whose classes are still in several components
-   have every pair across components estimated, in blocks, and what may be
+   have every pair across components estimated, in blocks bounded in classes and in bytes, and what may be
    similar verified; lists of much the same members are gone through as one.
    So each pair that shares a listed value is linked, ruled out, or in one
    component anyway.
@@ -36,11 +36,11 @@ from pyspark.sql import functions as F
 from quillmere.llm.common import bound_batches, durable, partitions_of
 from quillmere.llm.components import connected_components
 
-K, WORDS, PERCENT, SIGMAS = 64, 5, 75, 4.5
+K, WORDS, PERCENT, SIGMAS = 64, 5, 75, 5.5
 #: Counters of the table that tells common values from rare ones. Its size is fixed; it only orders values.
 COUNTERS = 1 << 20
-#: Classes in a block of the pairs across components.
-BLOCK = 512
+#: Classes in a block of the pairs across components, and bytes of their full sets; one class at least.
+BLOCK, BLOCK_BYTES = 512, 8 << 20
 #: Percent of members by which lists are put together.
 ALIKE = 30
 #: Ids that may be broadcast to pick out texts; more are joined.
@@ -167,16 +167,23 @@ def may_be_similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool
     return hits >= t * n - SIGMAS * sqrt(t * (1 - t) * n)
 
 
-def shared_values(sketches: list[np.ndarray]) -> np.ndarray:
-    """How many values each pair of sketches shares, by one matrix product over the values that repeat."""
+def shared_values(sketches: list[np.ndarray], step: int = 2048) -> np.ndarray:
+    """How many values each pair of sketches shares, by matrix products over the values that repeat, some at a time."""
     sizes = np.array([len(x) for x in sketches])
     _, column, counts = np.unique(np.concatenate(sketches), return_inverse=True, return_counts=True)
     again = counts > 1
     place = np.cumsum(again) - 1
     use = again[column]
-    holds = np.zeros((len(sketches), int(again.sum())), dtype=np.float32)
-    holds[np.repeat(np.arange(len(sketches)), sizes)[use], place[column[use]]] = 1
-    return holds @ holds.T
+    row, at = np.repeat(np.arange(len(sketches)), sizes)[use], place[column[use]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    shared = np.zeros((len(sketches), len(sketches)), dtype=np.float32)
+    for low in range(0, int(again.sum()), step):
+        part = slice(*np.searchsorted(at, [low, low + step]))
+        holds = np.zeros((len(sketches), step), dtype=np.float32)
+        holds[row[part], at[part] - low] = 1
+        shared += holds @ holds.T
+    return shared
 
 
 def enough_shared(shared: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -239,22 +246,25 @@ def _groups(members: DataFrame) -> DataFrame:
     return members.join(labels, "value", "left").select(F.coalesce("label", "value").alias("group"), "c", "component").distinct()
 
 
-def _across(lists: DataFrame, docs: DataFrame, components: DataFrame) -> DataFrame:
+def _across(lists: DataFrame, docs: DataFrame, classes: DataFrame, components: DataFrame) -> DataFrame:
     """Links (a, b) between different components of one list, as many as it takes to join what belongs together.
 
     Every pair of a list and of different components is estimated, and what may be similar verified on the full sets,
-    in blocks of a bounded number of classes; a pair that links of its block have joined meanwhile is passed over.
+    in blocks of a bounded number of classes and of bytes; a pair that links of its block have joined meanwhile is passed over.
     """
     spark = docs.sparkSession
     placed = lists.join(components, lists["c"] == components["node"], "left").select("value", "c", F.coalesce("component", "c").alias("component"))
     # In a list of two the only pair was tested.
     open_lists = placed.groupBy("value").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high and m > 2").select("value", "m")
     members = durable(placed.join(open_lists, "value"))
-    grouped = durable(_groups(members))
-    sizes = grouped.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    grouped = durable(_groups(members).join(classes.select("c", "n"), "c"))
+    wanted = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int")
+    # Kept apart, so that the join with them is one that Spark deals out anew where a group is large.
+    sizes = durable(grouped.groupBy("group").agg(wanted.alias("blocks"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("group", "blocks"))
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_IDS else sizes
     own = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
     dealt = (
-        grouped.join(sizes.select("group", "blocks"), "group").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        grouped.join(sizes, "group").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "component")
         .join(_sets(docs, durable(grouped.select(F.col("c").alias("_id")).distinct())), "c")
         .repartition(partitions_of(spark), "group", "i", "j").sortWithinPartitions("group", "i", "j", "own", "c")
@@ -334,7 +344,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = sized.select("doc_id", "d1", "d2").join(several, "doc_id").join(reps, ["d1", "d2"]).select(F.col("doc_id").alias("u"), F.col("c").alias("v"))
     edges = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(own)
     components = durable(connected_components(edges))
-    more = _across(multi.select("value", "c"), docs, components)
+    more = _across(multi.select("value", "c"), docs, classes, components)
     if more.limit(1).count():
         components = durable(connected_components(edges.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))))
     placed = all_sketches.select("doc_id", "n", "d1", "d2").join(reps, ["d1", "d2"], "left")

@@ -6,11 +6,15 @@ linear weights a vector for each term; the inner product of two terms' vectors
 is the weight of their meeting in one text, so a pair (an insult and the mention
 of a group, say) can count for more than its parts.
 
-The machine is fitted on the driver on a bounded sample of labelled rows: those
-whose ids hash lowest, ``sample`` of them at most, as lists of term hashes. Terms must be in
-``min_docs`` texts of the sample; of those whose tie to the label is ``least_tie`` standard deviations
-or more the ``terms`` strongest are used, and beside them every term whose tie among the texts of one of these is
-``pair_tie`` or more.
+The machine is fitted on a bounded sample of labelled rows: those whose ids hash lowest, ``sample`` of them at most.
+Executors hash the sample's terms and count them with the label. Terms must be in ``min_docs`` texts of the sample. Used are
+
+* the ``terms`` strongest of those whose tie to the label is ``least_tie`` standard deviations or more, and
+* the ``terms`` strongest of those that are tied to the label by ``pair_tie`` among the texts of another term, which
+  itself need only have a hint of a tie (``least_hint``; the ``hints`` strongest are gone through).
+
+So both parts of a pair are found where each by itself is harmless. The search for pairs goes over the sample as one
+matrix of at most ``ENTRIES`` places, which tasks share. Only the chosen terms of the sample's texts come to the driver, for the fit.
 """
 
 from __future__ import annotations
@@ -26,10 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.llm.common import bound_batches, whole_row
+from quillmere.llm.common import bound_batches, durable, partitions_of, whole_row
 
 #: Rows of the labelled sample at most.
 SAMPLE = 20_000
+#: Terms of texts, four bytes each, in the search for pairs at most; texts beyond, in the order of their ids' hashes, take no part in that search.
+ENTRIES = 12_000_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -52,7 +58,7 @@ class _TermMemo(dict):
 
 def term_hashes(memo: _TermMemo, text: str | None) -> np.ndarray:
     """Sorted distinct term hashes of a whole text; words are runs of letters, lower-cased."""
-    words = set(_WORD.findall((text or "").lower()))
+    words = {m[0] for m in _WORD.finditer((text or "").lower())}
     return np.unique(np.fromiter(chain.from_iterable(map(memo.__getitem__, words)), dtype=np.int32))
 
 
@@ -85,8 +91,24 @@ class Machine:
         return at[self.terms[at] == hashes]
 
 
-def sample_terms(docs: DataFrame, labels: DataFrame, sample: int) -> list[tuple[np.ndarray, int]]:
-    """(term hashes, label) of at most ``sample`` labelled documents, those whose ids hash lowest."""
+def _mapped(rows: DataFrame, column: str, f) -> DataFrame:
+    """(doc_id, y, places): ``f`` of each row's array of 32-bit numbers."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [f(np.frombuffer(x.as_py(), np.int32)).astype(np.int32).tobytes() for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "y", "places"])
+
+    return rows.select("doc_id", "y", column).mapInArrow(mapped, "doc_id long, y int, places binary")
+
+
+def sample_terms(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, y, terms) of at most ``sample`` labelled documents, those whose ids hash lowest; kept in the shared folder.
+
+    A null id or label teaches nothing. Of several labels of one id the highest counts, of several texts of one id the one
+    whose term hashes come first as bytes. Null and empty texts have no terms. Clashing column names make no difference.
+    """
+    bound_batches(docs.sparkSession)
     label = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("_y"))
     chosen = label.orderBy(F.xxhash64("_id"), "_id").limit(sample)
 
@@ -99,77 +121,128 @@ def sample_terms(docs: DataFrame, labels: DataFrame, sample: int) -> list[tuple[
     # `sample` rows of two numbers: bounded, so it may be broadcast.
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = text.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    rows = joined.select("doc_id", "text", "_y").mapInArrow(hashed, "doc_id long, terms binary, y int").groupBy("doc_id").agg(F.min(F.struct("terms", "y")).alias("s")).select("doc_id", "s.*").toPandas()
-    rows = rows.sort_values("doc_id")
-    return [(np.frombuffer(t, np.int32), int(y)) for t, y in zip(rows["terms"], rows["y"], strict=True)]
+    rows = joined.select("doc_id", "text", "_y").mapInArrow(hashed, "doc_id long, terms binary, y int").groupBy("doc_id").agg(F.min(F.struct("terms", "y")).alias("s"))
+    return durable(rows.select("doc_id", "s.y", "s.terms"))
+
 
+def count_terms(rows: DataFrame) -> DataFrame:
+    """(term, n, positive): texts of the sample that hold a term, and the toxic ones of these."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = [np.frombuffer(x.as_py(), np.int32) for x in batch.column(1)]
+            if not sum(map(len, terms)):
+                continue
+            toxic = np.repeat(np.array(batch.column(0).to_pylist()), [len(t) for t in terms])
+            values, slot, n = np.unique(np.concatenate(terms), return_inverse=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n.astype(np.int64)), pa.array(np.bincount(slot, weights=toxic).astype(np.int64))], names=["term", "n", "positive"])
 
-def _counts(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values in order and how often each occurs, by one sort in place: the driver holds a value four bytes, once."""
-    values = np.concatenate(parts)
-    values.sort()
-    begins = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.empty(0, np.int64)
-    return values[begins], np.diff(np.append(begins, len(values)))
+    return rows.select("y", "terms").mapInArrow(counted, "term int, n long, positive long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("positive").alias("positive"))
 
 
 def _tie(n: np.ndarray, positive: np.ndarray, share: float) -> np.ndarray:
     """Standard deviations between the toxic texts of terms in ``n`` texts each and what their share would give."""
-    expected = n * share
-    return np.abs(positive - expected) / np.sqrt(np.maximum(expected * (1 - share), 1e-9))
+    return np.abs(positive - n * share) / np.sqrt(n * (share * (1 - share)))
 
 
-def pair_terms(rows: list[tuple[np.ndarray, int]], every: np.ndarray, known: np.ndarray, min_docs: int, least_tie: float) -> np.ndarray:
-    """Which of the terms ``every`` are tied to the label among the texts of one of the terms at ``known``.
-
-    So a term that by itself says nothing, but turns the texts of another one toxic or harmless, is found.
-    """
-    held: list[np.ndarray] = []
-    texts_of: dict[int, list[int]] = {int(u): [] for u in known}
-    is_known = np.zeros(len(every), dtype=bool)
-    is_known[known] = True
-    for i, (t, _) in enumerate(rows):
-        at = np.minimum(np.searchsorted(every, t), len(every) - 1)
-        at = at[every[at] == t].astype(np.int32)
-        held.append(at)
-        for u in at[is_known[at]].tolist():
-            texts_of[u].append(i)
-    tied = np.zeros(len(every), dtype=bool)
-    for texts in texts_of.values():
-        toxic = [i for i in texts if rows[i][1]]
-        if not 0 < len(toxic) < len(texts):
-            continue
-        n = np.bincount(np.concatenate([held[i] for i in texts]), minlength=len(every))
-        positive = np.bincount(np.concatenate([held[i] for i in toxic]), minlength=len(every))
-        tied |= (n >= min_docs) & (_tie(n, positive, len(toxic) / len(texts)) >= least_tie)
-    return np.flatnonzero(tied)
-
-
-def fit(rows: list[tuple[np.ndarray, int]], terms: int = 5_000, min_docs: int = 6, least_tie: float = 4.0, pair_tie: float = 8.0, factors: int = 4, epochs: int = 12, seed: int = 11) -> Machine:
-    """A machine fitted by AdaGrad on logistic loss. Without both labels it scores every text by their share."""
-    y = np.array([y for _, y in rows], dtype=np.float64)
+@dataclass
+class Matrix:
+    """Places of the sample's terms, text after text, with where each text begins and its label."""
+
+    places: np.ndarray
+    begins: np.ndarray
+    y: np.ndarray
+    n_terms: int
+
+    def partners(self, hints: np.ndarray, min_docs: int, least_tie: float) -> tuple[np.ndarray, np.ndarray]:
+        """Terms tied to the label among the texts of one of the terms ``hints``, and how strongly at most.
+
+        So a term that by itself says nothing, but turns the texts of another one toxic or harmless, is found; the
+        other one is given too.
+        """
+        best = np.zeros(self.n_terms)
+        wanted = np.zeros(self.n_terms, dtype=bool)
+        wanted[hints] = True
+        at = np.flatnonzero(wanted[self.places])
+        text = np.searchsorted(self.begins, at, "right") - 1
+        order = np.argsort(self.places[at], kind="stable")
+        of, text = self.places[at][order], text[order]
+        for part in np.split(np.arange(len(of)), np.flatnonzero(of[1:] != of[:-1]) + 1):
+            texts = text[part]
+            toxic = self.y[texts] > 0
+            if not 0 < toxic.sum() < len(texts):
+                continue
+            held = [self.places[self.begins[i] : self.begins[i + 1]] for i in texts]
+            n = np.bincount(np.concatenate(held), minlength=self.n_terms)
+            positive = np.bincount(np.concatenate([x for x, y in zip(held, toxic, strict=True) if y]), minlength=self.n_terms)
+            u = of[part[0]]
+            common = np.flatnonzero((n >= min_docs) & (n < len(texts)))
+            tie = _tie(n[common], positive[common], toxic.mean())
+            hit = tie >= least_tie
+            best[common[hit]] = np.maximum(best[common[hit]], tie[hit])
+            if hit.any():
+                best[u] = max(best[u], tie[hit].max())
+        found = np.flatnonzero(best)
+        return found, best[found]
+
+
+def pair_terms(rows: DataFrame, common: np.ndarray, hints: np.ndarray, most: int, min_docs: int, least_tie: float) -> np.ndarray:
+    """The ``most`` strongest of the terms ``common`` that ``Matrix.partners`` finds; blocks of ``hints`` are dealt to tasks."""
+    spark = rows.sparkSession
+    known = spark.sparkContext.broadcast(common)
+    placed = durable(_mapped(rows, "terms", lambda t: np.searchsorted(known.value, t[np.isin(t, known.value, assume_unique=True)])))
+    sizes = placed.select(F.xxhash64("doc_id").alias("h"), "doc_id", (F.octet_length("places") / 4).cast("long").alias("n")).toPandas().sort_values(["h", "doc_id"])
+    used = sizes["doc_id"][sizes["n"].cumsum() <= ENTRIES]
+    if len(used) < len(sizes):
+        placed = placed.join(F.broadcast(spark.createDataFrame([(int(x),) for x in used], "doc_id long")), "doc_id", "left_semi")
+    got = placed.select("doc_id", "y", "places").toPandas().sort_values("doc_id")
+    parts = [np.frombuffer(x, np.int32) for x in got["places"]]
+    if not parts or not len(hints):
+        return np.empty(0, np.int32)
+    matrix = spark.sparkContext.broadcast(Matrix(np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])]), got["y"].to_numpy(), len(common)))
+    blocks = max(1, min(len(hints), 4 * spark.sparkContext.defaultParallelism))
+    dealt = spark.createDataFrame([(np.ascontiguousarray(hints[b::blocks]).astype(np.int64).tobytes(),) for b in range(blocks)], "hints binary").repartition(min(blocks, max(1, partitions_of(spark))))
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0):
+                found, tie = matrix.value.partners(np.frombuffer(x.as_py(), np.int64), min_docs, least_tie)
+                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(tie)], names=["place", "tie"])
+
+    best = dealt.mapInArrow(searched, "place long, tie double").groupBy("place").agg(F.max("tie").alias("tie")).orderBy(F.desc("tie"), "place").limit(most)
+    return common[np.array([r["place"] for r in best.collect()], dtype=np.int64)]
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = 5_000, hints: int = 5_000, min_docs: int = 6, least_tie: float = 4.0, least_hint: float = 1.5, pair_tie: float = 8.0, **how) -> Machine:
+    """A machine from (doc_id, text) and (doc_id, toxic); see the module. Without both labels, or without terms, it scores every text by the label's share."""
+    rows = sample_terms(docs, labels, sample)
+    n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    chosen = np.empty(0, np.int32)
+    if 0 < toxic < n:
+        share = toxic / n
+        tie = F.abs(F.col("positive") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)))
+        counts = durable(count_terms(rows).where(F.col("n") >= min_docs).withColumn("tie", tie))
+        strongest = lambda least, most: np.array([r["term"] for r in counts.where(F.col("tie") >= least).orderBy(F.desc("tie"), "term").limit(most).collect()], dtype=np.int32)
+        # Every term is in `min_docs` texts of the sample, so their number is bounded with the sample.
+        common = np.sort(counts.select("term").toPandas()["term"].to_numpy(np.int32))
+        hinted = np.searchsorted(common, strongest(least_hint, hints))
+        chosen = np.union1d(strongest(least_tie, terms), pair_terms(rows, common, hinted, terms, min_docs, pair_tie)).astype(np.int32)
+    own = rows.sparkSession.sparkContext.broadcast(chosen)
+    got = _mapped(rows, "terms", lambda t: np.searchsorted(own.value, t[np.isin(t, own.value, assume_unique=True)])).toPandas().sort_values("doc_id")
+    return fit(chosen, [np.frombuffer(x, np.int32) for x in got["places"]], got["y"].to_numpy(np.float64), **how)
+
+
+def fit(terms: np.ndarray, features: list[np.ndarray], y: np.ndarray, factors: int = 4, epochs: int = 12, seed: int = 11) -> Machine:
+    """A machine over ``terms`` fitted by AdaGrad on logistic loss, from texts as places in ``terms``. Without both labels, or without terms, it scores every text by their share."""
     share = (y.sum() + 0.5) / (len(y) + 1)
-    empty = Machine(np.empty(0, np.int32), float(np.log(share / (1 - share))), np.empty(0), np.empty((0, factors)))
-    if not 0 < y.sum() < len(y):
-        return empty
-    every, df = _counts([t for t, _ in rows])
-    if not len(every):
-        return empty
-    of_label, n_label = _counts([t for t, label in rows if label])
-    positive = np.zeros(len(every))
-    positive[np.searchsorted(every, of_label)] = n_label
-    tie = _tie(df, positive, share)
-    usable = np.flatnonzero((df >= min_docs) & (tie >= least_tie))
-    chosen = usable[np.argsort(-tie[usable], kind="stable")[:terms]]
-    common = np.flatnonzero(df >= min_docs)
-    paired = common[pair_terms(rows, every[common], np.searchsorted(common, chosen), min_docs, pair_tie)]
-    chosen = np.union1d(chosen, paired)
     rng = np.random.default_rng(seed)
-    machine = Machine(every[chosen], empty.bias, np.zeros(len(chosen)), rng.normal(0, 0.01, (len(chosen), factors)))
-    features = [machine.places(t) for t, _ in rows]
-    g_w, g_v, g_b = np.full(len(chosen), 1e-6), np.full((len(chosen), factors), 1e-6), 1e-6
+    machine = Machine(terms, float(np.log(share / (1 - share))), np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), factors)))
+    if not 0 < y.sum() < len(y) or not len(terms):
+        return Machine(np.empty(0, np.int32), machine.bias, np.empty(0), np.empty((0, factors)))
+    g_w, g_v, g_b = np.full(len(terms), 1e-6), np.full((len(terms), factors), 1e-6), 1e-6
     rate, l2_w, l2_v, batch = 0.1, 2e-4, 2e-3, 64
     for _ in range(epochs):
-        order = rng.permutation(len(rows))
+        order = rng.permutation(len(y))
         for low in range(0, len(order), batch):
             part = order[low : low + batch]
             own = [features[i] for i in part]

@@ -57,8 +57,8 @@ def test_runs_compact_and_settle(spark):
     runs = line_dedup.LineRuns(spark, min_docs=4, fanout=2)
     try:
         for b in range(5):
-            rows = [(k, k, 1, (b, b * 10 + k)) for k in range(6) if k <= b]
-            runs.add(spark.createDataFrame(rows, "h1 long, h2 long, n long, first struct<b:int,d:long>"))
+            rows = [(k, k, 1, (b, False, b * 10 + k)) for k in range(6) if k <= b]
+            runs.add(spark.createDataFrame(rows, "h1 long, h2 long, n long, first struct<b:int,u:boolean,d:long>"))
         got = sorted((r.h1, r.first.b, r.first.d) for r in runs.frequent().collect())
     finally:
         runs.close()
@@ -124,6 +124,7 @@ def test_near_duplicates_against_brute_force(spark, seed):
 def test_near_duplicates_without_broadcast_and_with_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 0)
     monkeypatch.setattr(near_dedup, "BLOCK", 5)
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 3000)
     rows = near_rows(7)
     assert Counter(tuple(r) for r in near_duplicates(frame(spark, rows)).collect()) == brute_components(rows)
     assert near_duplicates(frame(spark, rows).limit(0)).count() == 0
@@ -160,7 +161,8 @@ def test_shards(spark, tmp_path):
     big = {(r.depth, r.prefix, r.chunk) for r in got if r.n_bytes > limit}
     assert all(n <= limit or key in big for key, n in size.items()) and len(big) == 1
     assert assign_shards(frame(spark, rows).limit(0), limit).count() == 0
-    docs = frame(spark, [(i, "t" * 50) for i in range(100)])
-    write_shards(docs, str(tmp_path / "s"), limit)
+    docs = frame(spark, [(i, "t" * 50) for i in range(100)] + [(3, "r" * 40)] * 30 + [(None, "n" * 30)] * 3).withColumnRenamed("c", "shard")
+    column = write_shards(docs, str(tmp_path / "s"), limit)
     back = spark.read.parquet(str(tmp_path / "s"))
-    assert back.count() == 100 and back.groupBy("shard").agg(F.sum(F.length("text")).alias("n")).where(f"n > {limit}").count() == 0
+    assert column == "shard_" and back.where("shard = 'x'").count() == 133 and back.groupBy(column).agg(F.sum(F.length("text")).alias("n")).where(f"n > {limit}").count() == 0
+    assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter((r.doc_id, r.text) for r in docs.collect())

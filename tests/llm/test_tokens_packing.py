@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from quillmere.llm import token_counts
 from quillmere.llm.memo import SpaceMemo, WordMemo, library_tokenizer
 from quillmere.llm.packing import pack_documents, plan_slots
 from quillmere.llm.token_counts import count_spliced, count_tokens
@@ -25,14 +26,54 @@ def documents(spark, texts):
 
 def test_memos_agree_with_library():
     words, spaces = library_tokenizer(vocabulary_path("word_bpe_49k.json")), library_tokenizer(vocabulary_path("byte_bpe_50k.json"))
-    word_memo, space_memo = WordMemo(vocabulary_path("word_bpe_49k.json"), 20), SpaceMemo(vocabulary_path("byte_bpe_50k.json"), 20)
+    word_memo, space_memo = WordMemo(vocabulary_path("word_bpe_49k.json"), 4000), SpaceMemo(vocabulary_path("byte_bpe_50k.json"), 4000)
     rng = random.Random(5)
     parts = ["a", "The", " ", "  ", "\n", "é", "é", "\xa0", "\x1c", "'s", "1", "23", "!", "<|endoftext|>", "　", "ß", "中", "Word", "ÉTÉ", ".", ",", "!!", "ĉ", "µ", "\x00", "\x01", "\t", "a.\n", "b, "]
     for text in [t or "" for t in TEXTS] + ["".join(rng.choices(parts, k=rng.randrange(40))) for _ in range(4000)]:
         assert word_memo.ids(text) == np.array(words.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
         n = len(spaces.encode(text, add_special_tokens=False).ids)
         assert space_memo.count(text) == n, repr(text)
-        assert count_spliced(space_memo, text, 7, 2) == n, repr(text)
+        assert count_spliced(spaces, text, 7, 2) == n and count_spliced(spaces, text, 20, 17) == n, repr(text)
+
+
+def _without_spaces(rng, n):
+    """Texts of kinds that have no white space, of about ``n`` characters."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    return {
+        "base64": "".join(rng.choices(letters, k=n)),
+        "chinese": "".join("".join(rng.choices("中文字母本在这里的是不了人我他有大来上国", k=12)) + rng.choice("。，！") for _ in range(n // 13)),
+        "japanese": "".join(rng.choices("これはテストです日本語の文章がぎゃ", k=n)),
+        "one run": "a" * n,
+        "special": "".join(rng.choices(["<|endoftext|>", "<|endof", "text|>", "x"], k=n // 8)),
+        "marks": "".join(rng.choices(["e\u0301", "!", "'s", "7", "か\u3099", "。"], k=n)),
+    }
+
+
+@pytest.mark.parametrize("kind", ["base64", "chinese", "japanese", "one run", "special", "marks"])
+def test_texts_without_white_space(kind):
+    text = _without_spaces(random.Random(1), 60_000 if kind != "one run" else 9_000)[kind]
+    words, spaces = library_tokenizer(vocabulary_path("word_bpe_49k.json")), library_tokenizer(vocabulary_path("byte_bpe_50k.json"))
+    n = len(spaces.encode(text, add_special_tokens=False).ids)
+    assert count_spliced(spaces, text, 4000, 64) == n and count_spliced(spaces, text) == n
+    memo, counter = WordMemo(vocabulary_path("word_bpe_49k.json")), SpaceMemo(vocabulary_path("byte_bpe_50k.json"))
+    assert counter.count(text) == n
+    assert memo.ids(text) == np.array(words.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert all(len(c) <= 64 for c in [*memo.memory, *counter.memory])
+
+
+def test_memory_is_bounded_in_bytes():
+    memo = WordMemo(vocabulary_path("word_bpe_49k.json"), 50_000)
+    memo.ids(" ".join(f"word{i}" for i in range(20_000)))
+    assert memo.memory.size <= 51_000 and len(memo.memory) + len(memo.memory.old) < 1000
+
+
+def test_splices_where_alignment_fails_at_first(monkeypatch):
+    spaces, spans = library_tokenizer(vocabulary_path("byte_bpe_50k.json")), []
+    real = token_counts.encode_words
+    monkeypatch.setattr(token_counts, "encode_words", lambda t, x: spans.append(len(x)) or real(t, x))
+    text = "word " * 50 + "z" * 900 + " word" * 600
+    assert count_spliced(spaces, text, 200, 20) == len(spaces.encode(text, add_special_tokens=False).ids)
+    assert 900 < max(spans) < len(text) and spans.count(max(spans)) <= 2
 
 
 def test_count_tokens(spark):
