@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.llm.common import bound_batches
+from quillmere.llm.common import bound_batches, released
 
 BEGIN, MIDDLE, END = b"[INST] ", b" [/INST]", b"</s>"
 #: Each begins with a character that is nowhere else in any of them, so none can arise where two segments meet.
@@ -116,6 +116,7 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant", part_by
     ordered = rows.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "role", "text")
     bound_batches(turns.sparkSession)
 
+    @released
     def formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, number = None, 0  # rows of the last conversation, and the parts it has already
         for rows in batches:

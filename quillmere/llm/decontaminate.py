@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.llm.common import bound_batches, durable, remove_path, scratch_path
+from quillmere.llm.common import bound_batches, durable, released, remove_path, scratch_path
 
 RATE = 0.2
 #: Items, and bytes of their texts, that a task holds at once; more are searched for in blocks, an item of more bytes in one of its own.
@@ -230,6 +230,7 @@ def _find(docs: DataFrame, bench: DataFrame, rate: float, least: int) -> DataFra
     rows = [tuple(r) for r in bench.select("item_id", "text").collect()]
     shared = docs.sparkSession.sparkContext.broadcast(Items.of(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])), rate, least))
 
+    @released
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
         for rows in batches:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.llm.common import bound_batches, whole_row
+from quillmere.llm.common import bound_batches, released, whole_row
 
 #: Symbols: 0 for what is no letter, 1 to 26 for a to z, the rest for other letters by their code point.
 SYMBOLS, N = 64, 3
@@ -116,6 +116,7 @@ def train_profiles(docs: DataFrame, dims: int = 1024, seed: int = 7) -> tuple[li
     """
     bound_batches(docs.sparkSession)
 
+    @released
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, totals = Letters(dims, seed), {}
 
@@ -181,6 +182,7 @@ def identify(docs: DataFrame, profiles: tuple[list[str], np.ndarray], seed: int
     names, prototypes = profiles
     shared = docs.sparkSession.sparkContext.broadcast((names, prototypes))
 
+    @released
     def identified(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names, prototypes = shared.value
         letters = Letters(prototypes.shape[1], seed)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.llm.common import SPACE_BYTES, bound_batches, durable, partitions_of, remove_path, scratch_path, whole_row
+from quillmere.llm.common import SPACE_BYTES, bound_batches, durable, partitions_of, released, remove_path, scratch_path, whole_row
 
 KEYS = ["h1", "h2"]
 #: Line keys that a task gathers before it counts them and passes them on, 40 bytes each; those of one document at least.
@@ -131,6 +131,7 @@ def _counted(batch: list[int], doc_ids: list[int | None], keys: list[bytes], siz
 def count_line_keys(docs: DataFrame, batches: int) -> DataFrame:
     """(batch, h1, h2, n, first) of the keys of each task's documents. Rows with a null id are in the last batch."""
 
+    @released
     def counted(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list, list, list, list] = ([], [], [], [])
         n = 0
@@ -208,6 +209,7 @@ def _apply(docs: DataFrame, lookup: DataFrame | None, known, keep_first: bool) -
             seen.add(f)
         return drop
 
+    @released
     def applied(stream: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for ids, values, positions in stream:
             texts, n_lines, n_dropped = [], [], []
@@ -234,6 +236,7 @@ def _apply(docs: DataFrame, lookup: DataFrame | None, known, keep_first: bool) -
 def _positions(docs: DataFrame, frequent: DataFrame, keep_first: bool) -> DataFrame:
     """(_id, _hash, positions) of the lines to drop, by joining line hashes with the frequent keys."""
 
+    @released
     def hashed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in stream:
             for doc_id, text_hash, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2), strict=True):

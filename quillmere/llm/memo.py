@@ -38,7 +38,7 @@ import numpy as np
 #: Characters of a chunk that is remembered, and from which on a chunk is cut further.
 LONGEST, CUT = 64, 4096
 #: Bytes of a memory.
-LIMIT = 80 << 20
+LIMIT = 48 << 20
 
 #: Characters that Python's split takes as white space but the vocabulary's pattern does not.
 _PYTHON_ONLY = re.compile("[\x1c-\x1f]")

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.llm.common import bound_batches, durable, partitions_of
+from quillmere.llm.common import bound_batches, durable, partitions_of, released
 from quillmere.llm.components import connected_components
 
 K, WORDS, PERCENT, SIGMAS = 64, 5, 75, 5.5
@@ -90,6 +90,7 @@ def shared_at_least(n: int, k: int = K, percent: int = PERCENT) -> int:
 def sketch(docs: DataFrame) -> DataFrame:
     """(doc_id, n, d1, d2, sketch): set size, 128-bit digest of the set and its K smallest hashes. Empty sets have null digests."""
 
+    @released
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _WordMemo()
         for rows in batches:
@@ -114,6 +115,7 @@ def sketch(docs: DataFrame) -> DataFrame:
 def _common_values(classes: DataFrame):
     """A broadcast table of fixed size: how often values of each hash bucket repeat within tasks."""
 
+    @released
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, dtype=np.int64)
         for rows in batches:
@@ -137,6 +139,7 @@ def _rarest(own: np.ndarray, n: int, table: np.ndarray) -> np.ndarray:
 def _listed(classes: DataFrame, common) -> DataFrame:
     """(value, c): each class under its rarest retained values."""
 
+    @released
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             ids, values = [], []
@@ -200,6 +203,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 def _judge(pairs: DataFrame, right: DataFrame, left: DataFrame, column: str, judge) -> DataFrame:
     """Pairs (a, b) that ``judge`` lets pass on both sides' ``column``; the pairs are joined with each side in turn."""
 
+    @released
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             keep = [judge(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(rows.column(2), rows.column(3), strict=True)]
@@ -215,6 +219,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
+    @released
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _WordMemo()
         for rows in batches:
@@ -271,6 +276,7 @@ def _across(lists: DataFrame, docs: DataFrame, classes: DataFrame, components: D
         .select("group", "i", "j", "own", "c", "component", "shingles")
     )
 
+    @released
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for rows in batches:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmere.llm.common import bound_batches, durable, partitions_of
+from quillmere.llm.common import bound_batches, durable, partitions_of, released
 from quillmere.llm.memo import WordMemo
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -40,6 +40,7 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_
     bound_batches(docs.sparkSession)
     end = int(end_id).to_bytes(4, "little")
 
+    @released
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordMemo.shared(vocabulary)
         for batch in batches:
@@ -145,6 +146,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     # The plan's size is bounded by `capacity` alone (see above), so it may be broadcast.
     plan = spark.sparkContext.broadcast((told[:, 0] << 48 | told[:, 1], told))
 
+    @released
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, planned = plan.value
         for batch in batches:

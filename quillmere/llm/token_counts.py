@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.llm.common import bound_batches
+from quillmere.llm.common import bound_batches, released
 from quillmere.llm.memo import SpaceMemo
 
 WINDOW, OVERLAP = 32_768, 256
@@ -80,6 +80,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512, window: int
 
     bound_batches(docs.sparkSession)
 
+    @released
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = SpaceMemo.shared(vocabulary)
         for batch in batches:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmere.llm.common import bound_batches, durable, partitions_of
+from quillmere.llm.common import bound_batches, durable, partitions_of, released
 
 BLOCK_SCHEMA = "block long, top double, wide boolean, ids binary, vectors binary"
 #: Bytes of a tile's vectors, and of the vectors sorted by a task.
@@ -99,6 +99,7 @@ def _blocks(quantized: DataFrame, n: int, dims: int, size: int, unit: float) ->
         values = [0, float(np.sqrt(rows.column(2)[0].as_py())), wide, rows.column(0).to_numpy().tobytes(), vectors.astype(np.float64 if wide else np.int32).tobytes()]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, [pa.int64(), pa.float64(), pa.bool_(), pa.binary(), pa.binary()], strict=True)], names=_NAMES)
 
+    @released
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for rows in batches:
@@ -215,6 +216,7 @@ def top_products(queries: DataFrame, vectors: DataFrame, k: int = 20, tile: int
     def parts(ids: np.ndarray, whole: np.ndarray, floors: np.ndarray, size: int = 512) -> list[_Search]:
         return [_Search(_Block(ids[at : at + size], whole[at : at + size], turn, head, unit), k, floors[at : at + size].copy(), unit) for at in range(0, len(ids), size)]
 
+    @released
     def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = _Block(*_vectors(*first, dims), turn, head, unit)
         for rows in batches:
@@ -269,6 +271,7 @@ def _search(tiles: DataFrame, candidates: DataFrame, n_blocks: int, parts, block
     slot = F.pmod(F.col("place") * lanes + F.col("lane"), F.lit(tasks)).cast("int")
     dealt = both.repartitionById(tasks, slot).sortWithinPartitions("place", "lane", "kind", "block")
 
+    @released
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searches: list[_Search] = []
         number = 0

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.llm.common import bound_batches, durable, partitions_of, whole_row
+from quillmere.llm.common import bound_batches, durable, partitions_of, released, whole_row
 
 #: Rows of the labelled sample at most.
 SAMPLE = 20_000
@@ -112,6 +112,7 @@ def sample_terms(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Da
     label = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("_y"))
     chosen = label.orderBy(F.xxhash64("_id"), "_id").limit(sample)
 
+    @released
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _TermMemo()
         for rows in batches:
@@ -203,6 +204,7 @@ def pair_terms(rows: DataFrame, common: np.ndarray, hints: np.ndarray, most: int
     blocks = max(1, min(len(hints), 4 * spark.sparkContext.defaultParallelism))
     dealt = spark.createDataFrame([(np.ascontiguousarray(hints[b::blocks]).astype(np.int64).tobytes(),) for b in range(blocks)], "hints binary").repartition(min(blocks, max(1, partitions_of(spark))))
 
+    @released
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.column(0):
@@ -276,6 +278,7 @@ def score_toxicity(docs: DataFrame, machine: Machine, threshold: float = 0.3) ->
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
+    @released
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memo, own = _TermMemo(), shared.value
         for texts in batches:
