@@ -111,9 +111,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
         anything = (["any"], np.zeros((1, profiles[1].shape[1])))
         return identify(docs, anything).where(F.col("lang_pred") != "und").select(*[F.col("row")[c].alias(c) for c in docs.columns])
     found = identify(docs, profiles).where(F.col("lang_pred") != "und")
-    need = F.lit(0.0)
-    for least_class, least in sorted(least_scores(docs, profiles).items()):
-        need = F.when(_length_class(F.col("row.text")) >= least_class, F.lit(least)).otherwise(need)
+    known = least_scores(docs, profiles)
+    # By length class; one without a score takes that of the next shorter one. The class is worked out once a text.
+    needs = [known[max((k for k in known if k <= c), default=c)] if any(k <= c for k in known) else 0.0 for c in range(64)]
+    need = F.get(F.array(*[F.lit(float(x)) for x in needs]), _length_class(F.col("row.text")))
     return found.where(F.col("score") >= need).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
