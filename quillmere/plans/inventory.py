@@ -26,6 +26,13 @@ def _kept(spark, path: str, df: DataFrame) -> DataFrame:
     return found
 
 
+def _ended(stream, seconds: int = 900) -> None:
+    """Waits for a stream over what is there; one that does not end is stopped and is an error."""
+    if not stream.awaitTermination(seconds):
+        stream.stop()
+        raise TimeoutError(f"a stream did not end within {seconds} seconds")
+
+
 # --- sources and sinks --------------------------------------------------------------------------------------------
 @query(f"""SELECT url, {_HOST} AS domain, 'new' AS title, md5(html) AS content FROM pages UNION ALL SELECT 'http://only.old/' || page_id, 'only.old', 'old', md5(html) FROM pages WHERE page_id < 5""")
 def page_files(spark, sf_dir):
@@ -174,7 +181,7 @@ def polled_feed(spark, sf_dir):
     schema = "doc_id long, title string, url string, last_modified string"
     for _ in range(2):
         found.write.mode("append").json(f"{path}/in")
-        windows.poll_feed(spark, f"{path}/in", schema, lambda rows, _: rows.write.mode("append").parquet(f"{path}/out"), f"{path}/state", every=None).awaitTermination()
+        _ended(windows.poll_feed(spark, f"{path}/in", schema, lambda rows, _: rows.write.mode("append").parquet(f"{path}/out"), f"{path}/state", every=None))
     return _kept(spark, path, spark.read.parquet(f"{path}/out").withColumn("last_modified", F.col("last_modified").cast("timestamp_ntz")))
 
 
@@ -591,7 +598,7 @@ def _streamed(spark, sf_dir, machine: machines.Machine) -> DataFrame:
     try:
         events = spark.readStream.schema(rows.drop("third").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
         writer = machines.run_stream(events, "user_id", machine).writeStream.option("checkpointLocation", f"{path}/state").option("path", f"{path}/out").format("parquet")
-        writer.trigger(availableNow=True).start().awaitTermination()
+        _ended(writer.trigger(availableNow=True).start())
     finally:
         spark.conf.set(key, before)
     return _kept(spark, path, spark.read.schema("event_id long, key string, result string").parquet(f"{path}/out"))
@@ -637,6 +644,6 @@ def tumbling_stream(spark, sf_dir):
     events = windows.with_event_time(spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).parquet(f"{path}/in"), late="1 hour")
     kept: list[DataFrame] = []
     sink = lambda rows, _: rows.write.mode("overwrite").parquet(f"{path}/out{len(kept)}") or kept.append(rows)
-    windows.tumbling(events, "6 hours").writeStream.outputMode("complete").foreachBatch(sink).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    _ended(windows.tumbling(events, "6 hours").writeStream.outputMode("complete").foreachBatch(sink).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start())
     found = spark.read.parquet(f"{path}/out{len(kept) - 1}")
     return _kept(spark, path, found.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", _r(F.col("total"), 4).alias("total")))

@@ -126,13 +126,14 @@ def run_batch(events: DataFrame, key: str, machine: Machine) -> DataFrame:
 LAG = 48
 
 
-def run_stream(events: DataFrame, key: str, machine: Machine) -> DataFrame:
+def run_stream(events: DataFrame, key: str, machine: Machine, clean_up: bool = False) -> DataFrame:
     """The same over a stream, whose batches come in the order of time. Needs the RocksDB state store. [STM4, STM5, STM10, WIN4]
 
-    A key's state goes when there were no events for as long as the machine remembers, and an hour at least, beside ``LAG``;
-    it stays where the machine never forgets. A batch's events of one key are held together to be sorted.
+    With ``clean_up`` a key's state goes when there were no events for as long as the machine remembers, and an hour at least, beside ``LAG``;
+    it stays where the machine never forgets. That needs processing time, under which a stream that only takes what is there
+    (``availableNow``) does not end by itself. A batch's events of one key are held together to be sorted.
     """
-    forget = None if machine.memory is None else int((max(3600.0, machine.memory) + LAG * 3600) * 1000)
+    forget = int((max(3600.0, machine.memory) + LAG * 3600) * 1000) if clean_up and machine.memory is not None else None
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
     class Fold(StatefulProcessor):
@@ -153,4 +154,4 @@ def run_stream(events: DataFrame, key: str, machine: Machine) -> DataFrame:
             pass
 
     rows = events.select("event_id", F.col(key).cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("ok").cast("boolean").alias("ok"))
-    return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=Fold(), outputStructType="event_id long, key string, result string", outputMode="Append", timeMode="ProcessingTime")
+    return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=Fold(), outputStructType="event_id long, key string, result string", outputMode="Append", timeMode="None" if forget is None else "ProcessingTime")

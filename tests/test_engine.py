@@ -156,7 +156,7 @@ def test_stream_equals_batch(spark, tmp_path, name):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = machines.run_stream(source, "user_id", made[name]).writeStream.format("memory").queryName(f"s_{name}").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(300)
     want = {tuple(r) for r in machines.run_batch(df, "user_id", made[name]).collect()}
     assert {tuple(r) for r in spark.table(f"s_{name}").collect()} == want
 
