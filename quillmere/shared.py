@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -24,14 +25,16 @@ def shared_folder(spark: SparkSession) -> str:
         told = "file://" + tempfile.mkdtemp(prefix="quillmere-checkpoint-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(told)
+    # Read by Spark whenever it checkpoints; without it nothing is ever deleted.
+    spark._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return told
 
 
 def durable(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, with its lineage cut.
 
-    Spark's cleaner deletes the files when nothing refers to them any more, and
-    a lost executor takes nothing with it.
+    Spark's cleaner deletes the files when nothing refers to them any more (``shared_folder`` sees to its switch; ``swept``
+    has it look at once), and a lost executor takes nothing with it.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -47,6 +50,32 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Scratch:
+    """Tables that a job keeps in the shared folder while it runs, deleted together when it is over."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def path(self, name: str = "kept") -> str:
+        self.paths.append(scratch_path(self.spark, name))
+        return self.paths[-1]
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        path = self.path()
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        while self.paths:
+            remove_path(self.spark, self.paths.pop())
+
+
+def swept(spark: SparkSession) -> None:
+    """Has both sides look for what nothing refers to any more, so that checkpoints and shuffle files of a finished step go."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def changed(spark: SparkSession, path: str) -> tuple[int, int, int]:
     """Files, bytes and the time of the last change under a path: other content is another triple."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
