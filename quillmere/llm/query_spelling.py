@@ -20,7 +20,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op13_spelling_variants": op13_spelling_variants}
-#: The checksum is worked out byte by byte from a table of 256 remainders; near words meet on what is left when one code point is deleted.
+#: The checksum is worked out byte by byte from a table of 256 remainders; near words meet on what is left when one code point is deleted (at the same place in both, or in the longer one).
 ORACLE_SQL = {
     "op13_spelling_variants": rf"""
     WITH RECURSIVE bits(v, c, k) AS (
@@ -37,8 +37,11 @@ ORACLE_SQL = {
         lambda a, y: xor(a // 256, t[xor(a % 256, y) + 1])), CAST(4294967295 AS BIGINT)) AS h FROM b, crc),
     p AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, CAST(h % length(run) AS INTEGER)) || substring(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, n FROM h),
     w AS (SELECT word, sum(n) AS n FROM p WHERE length(word) >= {LEAST_LENGTH} GROUP BY 1 HAVING sum(n) >= {LEAST_COUNT}),
-    cut AS (SELECT word, n, word AS k FROM w UNION SELECT word, n, left(word, CAST(i - 1 AS INTEGER)) || substring(word, CAST(i + 1 AS INTEGER)) FROM w, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS i)),
-    near AS (SELECT DISTINCT a.word AS word, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.k = b.k AND a.word <> b.word WHERE levenshtein(a.word, b.word) = 1),
+    cut AS (SELECT word, n, i, left(word, CAST(i - 1 AS INTEGER)) || substring(word, CAST(i + 1 AS INTEGER)) AS k FROM w, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS i)),
+    pairs AS (
+      SELECT a.word AS word, b.word AS other FROM cut a JOIN cut b ON a.k = b.k AND a.i = b.i AND a.word <> b.word
+      UNION SELECT k, cut.word FROM cut JOIN w ON k = w.word UNION SELECT cut.word, k FROM cut JOIN w ON k = w.word),
+    near AS (SELECT pairs.word, other, w.n AS m FROM pairs JOIN w ON other = w.word),
     best AS (SELECT word, count(*) AS n_near, max(m) AS m, arg_min(other, (-m, other)) AS other FROM near GROUP BY 1),
     f AS (SELECT word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= {TIMES} * w.n THEN other END AS form, CASE WHEN m >= {TIMES} * w.n THEN m END AS form_n FROM w LEFT JOIN best USING (word)),
     chain(word, here, depth) AS (SELECT word, word, 0 FROM f UNION ALL SELECT chain.word, f.form, depth + 1 FROM chain JOIN f ON f.word = chain.here WHERE f.form IS NOT NULL),
