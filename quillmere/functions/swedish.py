@@ -119,3 +119,8 @@ def split_all(tokens: Column, kind: str = "marked") -> Column:
         return lists.map(lambda ws: None if ws is None else [p for w in ws for p in splitter(w)])
 
     return split(tokens)
+
+
+def registered() -> dict:
+    """The splitters by the names that SQL knows them by."""
+    return {f"split_{kind}": split_udf(kind) for kind in SPLITTERS}
