@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 from html.entities import name2codepoint
+from urllib.parse import urldefrag, urljoin
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from quillmere.functions import lexicon as L
 from quillmere.functions import text as T
+from quillmere.functions.html import Page, attributes
 
 _AMPERSANDS = ("amp", "#38", "#038", "#x26", "#X26")
 
@@ -34,61 +39,101 @@ def _or(value: Column, default: str) -> Column:
     return F.coalesce(F.nullif(value, F.lit("")), F.lit(default))
 
 
+_FIELDS = StructType([StructField(x, StringType()) for x in ("title", "description", "keywords", "language", "content")] + [StructField("links", ArrayType(StringType()))])
+#: Elements whose text is no content.
+_UNSEEN = frozenset(["script", "style", "noscript"])
+
+
+def _content(page: Page) -> str:
+    """Text of the first main, else the first article, else the first div of class content, else the body, else all."""
+    seen = page.without(_UNSEEN)
+    tests = (
+        lambda x: page.tags[x] == "main", lambda x: page.tags[x] == "article",
+        lambda x: page.tags[x] == "div" and "content" in attributes(page.attrs[x]).get("class", "").split(), lambda x: page.tags[x] == "body",
+    )
+    top = next((x for x in (page.first(lambda x, test=test: seen[x] and test(x)) for test in tests) if x is not None), 0)
+    inside = page.inside(top)
+    return " ".join(" ".join(text for node, _, text in page.texts if inside[node] and seen[node]).split())
+
+
+def _read(html: str | None, url: str | None) -> dict | None:
+    if html is None:
+        return None
+    page = Page(html)
+    first = lambda name: page.first(lambda x: page.tags[x] == name)
+    own = lambda x: attributes(page.attrs[x]) if x is not None else {}
+    named = page.first(lambda x: page.tags[x] == "title")
+    metas = [own(x) for x in range(1, len(page.tags)) if page.tags[x] == "meta"]
+    said = {name: next((m.get("content", "") for m in metas if m.get("name", "").lower() == name), "") for name in ("description", "keywords")}
+    links = set()
+    for x in range(1, len(page.tags)):
+        if page.tags[x] == "a":
+            href = own(x).get("href")
+            if href is not None:
+                try:
+                    links.add(urldefrag(urljoin(url or "", href.strip()))[0])
+                except ValueError:  # no URL, a bracket that does not close for instance
+                    continue
+    return {
+        "title": "".join(text for node, _, text in page.texts if node == named).strip() if named else "", **said,
+        "language": own(first("html")).get("lang", ""), "content": _content(page), "links": sorted(links),
+    }
+
+
+@F.arrow_udf(_FIELDS)
+def _fields(html: pa.Array, url: pa.Array) -> pa.Array:
+    return pa.array([_read(h.as_py(), u.as_py()) for h, u in zip(html, url, strict=True)], to_arrow_type(_FIELDS))
+
+
+def fields(html: Column, url: Column | None = None) -> Column:
+    """What a page's markup holds, read once: title, description, keywords, language, content and all links, absolute and without fragment. Null for a null page."""
+    return _fields(html, F.lit(None).cast("string") if url is None else url)
+
+
 def title(html: Column) -> Column:
     """[PRJ1, COL5]"""
-    return _or(F.trim(unescape(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))), "Untitled")
+    return _or(fields(html)["title"], "Untitled")
 
 
 def meta(html: Column, name: str) -> Column:
-    """The content of a meta tag, its attributes in either order; empty without. [PRJ2]"""
-    one = F.regexp_extract(html, rf'(?is)<meta[^>]*name=["\']{name}["\'][^>]*content=["\']([^"\']*)', 1)
-    other = F.regexp_extract(html, rf'(?is)<meta[^>]*content=["\']([^"\']*)["\'][^>]*name=["\']{name}["\']', 1)
-    return F.coalesce(F.nullif(one, F.lit("")), other)
+    """The content of the meta tag ``description`` or ``keywords``; empty without. [PRJ2]"""
+    return F.coalesce(fields(html)[name], F.lit(""))
 
 
 def language(html: Column) -> Column:
     """[PRJ3]"""
-    return _or(F.regexp_extract(html, r'(?is)<html[^>]*\slang=["\']?([A-Za-z-]+)', 1), "sv")
-
-
-def _content_block(html: Column) -> Column:
-    """What is inside the first div whose class names content, up to the end tag that is its own; to the end where it has none."""
-    rest = F.regexp_extract(html, r'(?is)(<div\b[^>]*class=["\'][^"\']*content[^"\']*["\'].*)$', 1)
-    parts = F.split(rest, r"(?i)(?=<div\b|</div\b)")
-    first = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("end"))
-
-    def step(a: Column, part: Column) -> Column:
-        depth = a["depth"] + F.when(part.rlike(r"(?i)^<div\b"), 1).when(part.rlike(r"(?i)^</div\b"), -1).otherwise(0)
-        closed = (a["end"] == 0) & (depth == 0) & (a["at"] > 0)
-        return F.struct((a["at"] + 1).alias("at"), depth.alias("depth"), F.when(closed, a["at"]).otherwise(a["end"]).alias("end"))
-
-    end = F.aggregate(parts, first, step, lambda a: a["end"])
-    inside = F.array_join(F.slice(parts, F.lit(1), F.when(end > 0, end).otherwise(F.size(parts))), "")
-    return F.when(rest != "", F.regexp_replace(inside, "(?is)^<div[^>]*>", ""))
+    return _or(fields(html)["language"], "sv")
 
 
 def main_text(html: Column) -> Column:
-    """Text of main, article, the content block, body or all, without scripts and styles, white space collapsed. [PRJ4]"""
-    bare = F.regexp_replace(html, r"(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>", " ")
-    taken = lambda b: F.when(bare.rlike(b), F.regexp_extract(bare, b, 1))
-    block = F.coalesce(taken(r"(?is)<main[^>]*>(.*)</main>"), taken(r"(?is)<article[^>]*>(.*)</article>"), _content_block(bare), taken(r"(?is)<body[^>]*>(.*)</body>"), bare)
-    return F.trim(F.regexp_replace(unescape(F.regexp_replace(F.regexp_replace(block, r"(?s)<!--.*?-->", " "), r"<[^>]+>", " ")), r"\s+", " "))
+    """Text of the first main, article, content block or body, else of all, without scripts and styles, white space collapsed. [PRJ4]"""
+    return fields(html)["content"]
 
 
 def host(url: Column) -> Column:
     return F.regexp_extract(url, r"^[a-zA-Z]+://([^/?#]+)", 1)
 
 
+def _without_dots(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments; ``..`` at the top is dropped."""
+    parts = F.split(path, "/", -1)
+    step = lambda a, p: F.when(p == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(1)))).when(p == ".", a).otherwise(F.concat(a, F.array(p)))
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), F.array(F.lit("")), step)
+    ends = F.element_at(parts, -1).isin(".", "..")
+    return F.concat(F.array_join(kept, "/"), F.when(ends | (F.size(kept) == 1), F.lit("/")).otherwise(F.lit("")))
+
+
 def resolve(base: Column, href: Column) -> Column:
-    """An absolute URL without fragment. [COL10]"""
+    """An absolute URL without dot segments and fragment. [COL10]"""
     scheme, origin = F.regexp_extract(base, "^([a-zA-Z]+)://", 1), F.regexp_extract(base, "^([a-zA-Z]+://[^/?#]+)", 1)
-    path = F.regexp_extract(base, r"^[a-zA-Z]+://[^/?#]+(/[^?#]*/|/)?", 1)
-    full = (
-        F.when(href.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(origin, href)).when(href.startswith("#") | (href == ""), base).when(href.startswith("?"), F.concat(F.regexp_replace(base, "[?#].*$", ""), href))
-        .otherwise(F.concat(origin, _or(path, "/"), href))
+    folder = F.regexp_extract(base, r"^[a-zA-Z]+://[^/?#]+(/[^?#]*/|/)?", 1)
+    bare = F.regexp_replace(href, "#.*$", "")
+    path, rest = F.regexp_extract(bare, r"^([^?]*)", 1), F.regexp_extract(bare, r"^[^?]*(.*)$", 1)
+    return (
+        F.when(bare.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), bare).when(bare.startswith("//"), F.concat(scheme, F.lit(":"), bare))
+        .when(bare == "", F.regexp_replace(base, "#.*$", "")).when(bare.startswith("?"), F.concat(F.regexp_replace(base, "[?#].*$", ""), bare))
+        .when(bare.startswith("/"), F.concat(origin, _without_dots(path), rest)).otherwise(F.concat(origin, _without_dots(F.concat(_or(folder, "/"), path)), rest))
     )
-    return F.regexp_replace(full, "#.*$", "")
 
 
 def crawlable(url: Column, domain: Column) -> Column:
@@ -98,18 +143,18 @@ def crawlable(url: Column, domain: Column) -> Column:
 
 def links(html: Column, url: Column) -> Column:
     """Distinct crawlable links of a page, sorted. [PRJ5]"""
-    found = F.transform(F.regexp_extract_all(html, F.lit(r'(?is)<a\s[^>]*href=["\']([^"\']*)["\']'), F.lit(1)), lambda h: resolve(url, h))
-    return F.array_sort(F.array_distinct(F.filter(found, lambda u: crawlable(u, host(url)))))
+    return F.filter(F.coalesce(fields(html, url)["links"], F.array().cast("array<string>")), lambda u: crawlable(u, host(url)))
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """Fields of raw pages (url, html). [PRJ1-PRJ8]"""
-    text = main_text(F.col("html"))
-    fields = pages.select(
-        "url", host(F.col("url")).alias("domain"), title(F.col("html")).alias("title"), text.alias("content"), links(F.col("html"), F.col("url")).alias("links"),
-        meta(F.col("html"), "description").alias("meta_description"), meta(F.col("html"), "keywords").alias("meta_keywords"), language(F.col("html")).alias("language"),
+    """Fields of raw pages (url, html); one pass over the markup. A null page has an empty content and no links. [PRJ1-PRJ8]"""
+    read = pages.select("url", fields(F.col("html"), F.col("url")).alias("f"))
+    crawled = F.filter(F.coalesce("f.links", F.array().cast("array<string>")), lambda u: crawlable(u, host(F.col("url"))))
+    named = read.select(
+        "url", host(F.col("url")).alias("domain"), _or(F.col("f.title"), "Untitled").alias("title"), F.coalesce("f.content", F.lit("")).alias("content"), crawled.alias("links"),
+        F.coalesce("f.description", F.lit("")).alias("meta_description"), F.coalesce("f.keywords", F.lit("")).alias("meta_keywords"), _or(F.col("f.language"), "sv").alias("language"),
     )
-    return fields.withColumns({"content_hash": F.md5("content"), "word_count": T.word_count(F.col("content")), "snippet": F.substring("content", 1, 200)})
+    return named.withColumns({"content_hash": F.md5("content"), "word_count": T.word_count(F.col("content")), "snippet": F.substring("content", 1, 200)})
 
 
 def allowed_domain(url: Column, domains: list[str]) -> Column:

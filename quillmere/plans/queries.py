@@ -204,7 +204,8 @@ def capped_postings(spark, sf_dir):
 
 
 # --- pages --------------------------------------------------------------------------------------------------------
-_UNESCAPE = "replace(replace(replace(replace(replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
+#: References that stand in the pages; those known from old times count without their semicolon.
+_UNESCAPE = "regexp_replace(replace(replace(regexp_replace(replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;?', '\"', 'g'), '&#39;', ''''), '&nbsp;', ' '), '&amp;?', '&', 'g')"
 _HOST = "regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)"
 
 
@@ -216,8 +217,8 @@ def html_title_lang(spark, sf_dir):
 
 
 @query(f"""WITH b AS (SELECT page_id, regexp_replace(html, '(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', ' ', 'g') AS h FROM pages),
-  m AS (SELECT page_id, CASE WHEN regexp_matches(h, '(?is)<main[^>]*>(.*)</main>') THEN regexp_extract(h, '(?is)<main[^>]*>(.*)</main>', 1)
-    WHEN regexp_matches(h, '(?is)<article[^>]*>(.*)</article>') THEN regexp_extract(h, '(?is)<article[^>]*>(.*)</article>', 1) ELSE regexp_extract(h, '(?is)<body[^>]*>(.*)</body>', 1) END AS h FROM b),
+  m AS (SELECT page_id, CASE WHEN regexp_matches(h, '(?is)<main[^>]*>(.*?)</main>') THEN regexp_extract(h, '(?is)<main[^>]*>(.*?)</main>', 1)
+    WHEN regexp_matches(h, '(?is)<article[^>]*>(.*?)</article>') THEN regexp_extract(h, '(?is)<article[^>]*>(.*?)</article>', 1) ELSE regexp_extract(h, '(?is)<body[^>]*>(.*)</body>', 1) END AS h FROM b),
   t AS (SELECT page_id, trim(regexp_replace({_UNESCAPE.format("regexp_replace(regexp_replace(h, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g')")}, '\\s+', ' ', 'g')) AS content FROM m)
   SELECT page_id, md5(content) AS content_hash, CAST(len(list_filter(regexp_split_to_array(content, '\\s+'), lambda x: x <> '')) AS INTEGER) AS word_count FROM t""")
 def html_main_text(spark, sf_dir):
