@@ -37,6 +37,8 @@ LONGEST, LIMIT = 64, 64 << 20
 HELD = 4 << 20
 _CUT = re.compile("(?<=[^\\s▁᠎]) (?=[^\\s▁᠎])")
 
+_OPEN = re.compile("^[\\s▁\u180e]|[\\s▁\u180e]\\Z|^\\Z")
+
 
 def _byte_level() -> dict[str, int]:
     """What a byte-level vocabulary writes for each byte: printable ones as themselves, the others from U+0100 on."""
@@ -59,6 +61,7 @@ class Aligner:
         written = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(written)]
         self.cut = not any("▁" in p.lstrip("▁") for p in written) and self.b_bytes[self.b.encode("a")[0]][:1] == b" "
+        self.a_length, self.b_length = (np.array([len(x) for x in table], np.int64) for table in (self.a_bytes, self.b_bytes))
         self.memory, self.old, self.size = {}, {}, 0
 
     @classmethod
@@ -67,38 +70,59 @@ class Aligner:
         """The aligner of this process."""
         return cls(byte_level, pieces)
 
-    def align(self, piece: str) -> tuple[int, int, int, bytes, str] | None:
-        """(A tokens, B tokens, groups, keys of the links, groups in writing) of a space and ``piece``; None where bytes differ."""
-        a, b = self.a.encode(" " + piece, add_special_tokens=False).ids, self.b.encode(piece)
-        real = (" " + piece).encode("utf-8", "surrogatepass")
-        a_parts, b_parts = [self.a_bytes[x] for x in a], [self.b_bytes[x] for x in b]
-        if b"".join(a_parts) != real or b"".join(b_parts) != real:
-            return None
-        a_ends, b_ends = np.cumsum([len(x) for x in a_parts]), np.cumsum([len(x) for x in b_parts])
+    def align(self, pieces: list[str]) -> dict[str, tuple | bool]:
+        """Each piece with (A tokens, B tokens, groups, keys of its links, groups in writing) of a space and it; False where bytes differ.
+
+        The pieces are encoded together as one text, which has a boundary of both sides after each; those with white space at an end are encoded alone.
+        """
+        if len(pieces) > 1 and any(map(_OPEN.search, pieces)):
+            whole = [p for p in pieces if not _OPEN.search(p)]
+            found = self.align(whole) if whole else {}
+            return found | {p: v for x in pieces if x not in found for p, v in self.align([x]).items()}
+        text = " ".join(pieces)
+        a, b = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
+        real = (" " + text).encode("utf-8", "surrogatepass")
+        if b"".join(map(self.a_bytes.__getitem__, a)) != real or b"".join(map(self.b_bytes.__getitem__, b)) != real:
+            return {pieces[0]: False} if len(pieces) == 1 else {p: found for x in pieces for p, found in self.align([x]).items()}
+        a_ids, b_ids = np.array(a, np.int64), np.array(b, np.int64)
+        a_ends, b_ends = np.cumsum(self.a_length[a_ids]), np.cumsum(self.b_length[b_ids])
         ends = np.union1d(a_ends, b_ends)
-        a_at, b_at = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
-        a_ids, b_ids = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
-        common = np.intersect1d(a_ends, b_ends)
-        a_stops, b_stops = np.searchsorted(a_ends, common) + 1, np.searchsorted(b_ends, common) + 1
-        groups, i, j = [], 0, 0
-        for p, q in zip(a_stops.tolist(), b_stops.tolist(), strict=True):
-            groups.append(f"{','.join(map(str, a[i:p]))}|{','.join(map(str, b[j:q]))}")
+        keys = b_ids[np.searchsorted(b_ends, ends)] << 32 | a_ids[np.searchsorted(a_ends, ends)]
+        common = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        a_stops, b_stops = (np.searchsorted(a_ends, common) + 1).tolist(), (np.searchsorted(b_ends, common) + 1).tolist()
+        a_text, b_text, groups, i, j = list(map(str, a)), list(map(str, b)), [], 0, 0
+        for p, q in zip(a_stops, b_stops, strict=True):
+            groups.append(f"{a_text[i] if p == i + 1 else ','.join(a_text[i:p])}|{b_text[j] if q == j + 1 else ','.join(b_text[j:q])}")
             i, j = p, q
-        return len(a), len(b), len(common), (b_ids[b_at] << 32 | a_ids[a_at]).tobytes(), ";".join(groups)
-
-    def remembered(self, piece: str) -> tuple[int, int, int, bytes, str] | None:
-        found = self.memory.get(piece, 0)
-        if found != 0:
-            return found
-        if len(piece) > LONGEST:
-            return self.align(piece)
+        stops = np.cumsum([1 + len(x.encode("utf-8", "surrogatepass")) for x in pieces])
+        places = [np.searchsorted(x, stops, side="right").tolist() for x in (a_ends, b_ends, common, ends)]
+        found, (i, j, g, k), data = {}, (0, 0, 0, 0), keys.tobytes()
+        for piece, p, q, h, m in zip(pieces, *places, strict=True):
+            found[piece] = p - i, q - j, h - g, data[8 * k : 8 * m], ";".join(groups[g:h])
+            i, j, g, k = p, q, h, m
+        return found
+
+    def known(self, pieces: set[str]) -> dict[str, tuple | bool]:
+        """What is remembered of the pieces, and the rest aligned; those that are not too long are remembered from now on."""
         if self.size >= LIMIT:
             self.memory, self.old, self.size = {}, self.memory, 0
-        found = self.old.get(piece, 0)
-        if found == 0:
-            found = self.align(piece)
-        self.memory[piece] = found
-        self.size += 400 + 2 * len(piece) + (len(found[3]) + len(found[4]) if found else 0)
+        found, memory, old = {}, self.memory, self.old
+        new = []
+        for piece in pieces:
+            value = memory.get(piece)
+            if value is None:
+                new.append(piece)
+            else:
+                found[piece] = value
+        if new:
+            values = {p: old[p] for p in new if p in old}
+            if missing := [p for p in new if p not in values]:
+                values |= self.align(missing)
+            found |= values
+            for piece, value in values.items():
+                if len(piece) <= LONGEST:
+                    memory[piece] = value
+                    self.size += 400 + 2 * len(piece) + (len(value[3]) + len(value[4]) if value else 0)
         return found
 
     def text(self, text: str | None) -> tuple[int, int, int, str, np.ndarray]:
@@ -106,11 +130,11 @@ class Aligner:
         none = 0, 0, 0, "", np.empty(0, np.int64)
         if not text:
             return none
-        remembered = self.remembered
-        parts = [remembered(p) for p in (_CUT.split(text) if self.cut else (text,))]
-        if None in parts:
+        pieces = _CUT.split(text) if self.cut else [text]
+        known = self.known(set(pieces))
+        if False in known.values():
             return none
-        n_a, n_b, n_groups, keys, groups = zip(*parts, strict=True)
+        n_a, n_b, n_groups, keys, groups = zip(*map(known.__getitem__, pieces), strict=True)
         return sum(n_a), sum(n_b), sum(n_groups), hashlib.sha256(";".join(groups).encode()).hexdigest(), np.frombuffer(b"".join(keys), np.int64)
 
 
