@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmere.operators.ranking import age_days, safe_divide
-from quillmere.shared import durable, partitions_of
-from quillmere.streaming.machines import cache_entry, run_batch
+from quillmere.shared import durable, partitions_of, quoted
+from quillmere.streaming.machines import cache_entry, run_rows
 
 
 def counters(events: DataFrame, labels: list[str]) -> DataFrame:
@@ -53,7 +53,14 @@ def running_mean(events: DataFrame, value: str, ts: str, key: str) -> DataFrame:
     own = Window.partitionBy(key, "_part").orderBy(ts, "event_id").rowsBetween(Window.unboundedPreceding, 0)
     run = parts.withColumns({"_run": F.coalesce(F.sum("_v").over(own), F.lit(0.0)), "_count": F.count("_v").over(own)})
     mean = F.try_divide(F.col("_s") + F.col("_run"), F.col("_n") + F.col("_count"))
-    return run.join(offsets, [key, "_part"]).withColumn("mean", mean).select(*[c for c in events.columns], "mean")
+    joined = _with_offsets(run, offsets, key)
+    return joined.withColumn("mean", mean).select(*[c for c in events.columns], "mean")
+
+
+def _with_offsets(rows: DataFrame, offsets: DataFrame, key: str) -> DataFrame:
+    """Rows with their part's offsets; rows without a key are a group too."""
+    named = offsets.withColumnsRenamed({key: "_key2", "_part": "_part2"})
+    return rows.join(named, rows[key].eqNullSafe(named["_key2"]) & (rows["_part"] == named["_part2"])).drop("_key2", "_part2")
 
 
 def quantile(events: DataFrame, value: str, key: str, q: float) -> DataFrame:
@@ -67,16 +74,15 @@ def quantile(events: DataFrame, value: str, key: str, q: float) -> DataFrame:
     before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(key, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), ((F.sum("_n").over(whole) - 1) * q).alias("_place"))
     rank = F.row_number().over(Window.partitionBy(key, "_part").orderBy("_v")) - 1
-    placed = parts.withColumn("_own", rank).join(offsets, [key, "_part"]).withColumn("_rank", F.col("_before") + F.col("_own"))
+    placed = _with_offsets(parts.withColumn("_own", rank), offsets, key).withColumn("_rank", F.col("_before") + F.col("_own"))
     near = placed.where((F.col("_rank") == F.floor("_place")) | (F.col("_rank") == F.ceil("_place")))
     low, high, share = F.min("_v"), F.max("_v"), F.max(F.col("_place") - F.floor("_place"))
     return near.groupBy(key).agg((low + (high - low) * share).alias("quantile"))
 
 
 def cache_log(requests: DataFrame, key: str) -> DataFrame:
-    """Requests (event_id, ts, key) with whether the cache had their key; see ``machines.cache_entry``. [AGG15, DT3]"""
-    found = run_batch(requests.withColumn("ok", F.lit(True)), key, cache_entry()).select("event_id", (F.col("result") == "hit").alias("hit"))
-    return requests.join(found, "event_id")
+    """Requests (event_id, ts, key) with whether the cache had their key, row by row; see ``machines.cache_entry``. [AGG15, DT3]"""
+    return run_rows(requests, key, cache_entry(), ok=F.lit(True)).withColumn("hit", F.col("result") == "hit").select(*[F.col(quoted(c)) for c in requests.columns], "hit")
 
 
 def cache_stats(log: DataFrame, ms: str) -> DataFrame:
@@ -105,8 +111,8 @@ def performance(events: DataFrame, operation: str, ms: str, ok: Column, target:
     """(operation, mean_ms, p95_ms, n, within_target): means over successes only, 0 without any. [AGG20, AGG22]"""
     mean = F.coalesce(F.avg(F.when(ok, F.col(ms))), F.lit(0.0))
     sums = events.groupBy(operation).agg(mean.alias("mean_ms"), F.count("*").alias("n"))
-    p95 = quantile(events, ms, operation, 0.95).withColumnRenamed("quantile", "p95_ms")
-    return sums.join(p95, operation, "left").select(operation, "mean_ms", "p95_ms", "n", (F.col("mean_ms") < target).alias("within_target"))
+    p95 = quantile(events, ms, operation, 0.95).withColumnsRenamed({"quantile": "p95_ms", operation: "_operation"})
+    return sums.join(p95, sums[operation].eqNullSafe(p95["_operation"]), "left").select(operation, "mean_ms", "p95_ms", "n", (F.col("mean_ms") < target).alias("within_target"))
 
 
 def crawl_rollup(pages: DataFrame, as_of: Column) -> DataFrame:

@@ -30,15 +30,25 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
 
 
+def _finite(name: str) -> Column:
+    """Whether a vector and all its components are there and finite."""
+    odd = F.exists(name, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    return F.coalesce(F.col(name).isNotNull() & ~odd, F.lit(False))
+
+
 def search(vectors: DataFrame, queries: DataFrame, top: int = 100, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, vec_id, score, rank) of each query's nearest vectors. [SEM12, JN18, TOP4]
 
     ``queries`` (query_id, vector) is a stated set; it meets the vectors in
     blocks of bounded size. Unit vectors are made once, a block of queries and a batch of vectors are one matrix product, and
     a task passes on the best of each query only. Scores are rounded to twelve places before they are ranked, ties to the smaller vec_id.
-    Vectors are of one length; null ones take no part.
+    The queries' vectors are of one length; rows without an id, and vectors that are null, of another length, or hold nulls or what is no finite number, take no part.
     """
-    rows = queries.select("query_id", "vector").where("vector is not null")
+    rows = queries.select("query_id", "vector").where(F.col("query_id").isNotNull() & _finite("vector"))
+    lengths = [r[0] for r in rows.select(F.size("vector")).distinct().limit(2).collect()]
+    if len(lengths) > 1:
+        raise ValueError("the queries' vectors have different lengths")
+    vectors = vectors.where(_finite("embedding") & (F.size("embedding") == F.lit(lengths[0] if lengths else 0)))
     n = -(-rows.count() // block) or 1
     dealt = rows.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(n)))
     found = None

@@ -181,7 +181,7 @@ def polled_feed(spark, sf_dir):
     schema = "doc_id long, title string, url string, last_modified string"
     for _ in range(2):
         found.write.mode("append").json(f"{path}/in")
-        _ended(windows.poll_feed(spark, f"{path}/in", schema, lambda rows, _: rows.write.mode("append").parquet(f"{path}/out"), f"{path}/state", every=None))
+        _ended(windows.poll_feed(spark, f"{path}/in", schema, lambda rows, _: rows.write.mode("append").parquet(f"{path}/out"), f"{path}/state", every=None, moment="last_modified", within="3650 days"))
     return _kept(spark, path, spark.read.parquet(f"{path}/out").withColumn("last_modified", F.col("last_modified").cast("timestamp_ntz")))
 
 
@@ -586,39 +586,44 @@ def user_sessions(spark, sf_dir):
 
 
 # --- streams ------------------------------------------------------------------------------------------------------
-def _streamed(spark, sf_dir, machine: machines.Machine) -> DataFrame:
-    """What a machine gives over the events as a stream of three batches in the order of time."""
-    path = scratch_path(spark, "stream")
-    rows = _calls(spark, sf_dir).withColumn("third", F.ntile(3).over(_by_time()))
-    for k in (1, 2, 3):
-        rows.where(F.col("third") == k).drop("third").coalesce(1).write.mode("append").parquet(f"{path}/in")
+def _streamed(spark, sf_dir, run) -> DataFrame:
+    """What ``run`` makes of the events as a stream that is ended and started again from its checkpoint for each third of the time."""
+    path, rows = scratch_path(spark, "stream"), _calls(spark, sf_dir)
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = rows.agg(F.percentile_approx(micros, F.array(F.lit(1 / 3), F.lit(2 / 3)), F.lit(1000))).first()[0] or (0, 0)
     key, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     before = spark.conf.get(key)
     spark.conf.set(key, store)
     try:
-        events = spark.readStream.schema(rows.drop("third").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-        writer = machines.run_stream(events, "user_id", machine).writeStream.option("checkpointLocation", f"{path}/state").option("path", f"{path}/out").format("parquet")
-        _ended(writer.trigger(availableNow=True).start())
+        for third in (micros < low, (micros >= low) & (micros < high), micros >= high):
+            rows.where(third).write.mode("append").parquet(f"{path}/in")
+            found = run(spark.readStream.schema(rows.schema).parquet(f"{path}/in"))
+            _ended(found.writeStream.option("checkpointLocation", f"{path}/state").option("path", f"{path}/out").format("parquet").trigger(availableNow=True).start())
     finally:
         spark.conf.set(key, before)
-    return _kept(spark, path, spark.read.schema("event_id long, key string, result string").parquet(f"{path}/out"))
-
-
-def _by_time():
-    from pyspark.sql.window import Window
-
-    return Window.orderBy("ts", "event_id")
+    return _kept(spark, path, spark.read.schema(found.schema).parquet(f"{path}/out"))
 
 
 def _register_streams() -> None:
     from quillmere.plans.queries import ORACLE_SQL, QUERIES
 
+    # The last two forget a key when event time has passed it by.
     streams = {
-        "circuit_breaker": machines.circuit_breaker(3, 24 * 3600.0), "adaptive_timeout": machines.adaptive_timeout(), "rate_limit_block": machines.rate_limit(3, 12 * 3600.0, 24 * 3600.0),
+        "circuit_breaker": (machines.circuit_breaker(3, 24 * 3600.0), False), "adaptive_timeout": (machines.adaptive_timeout(), False),
+        "rate_limit_block": (machines.rate_limit(3, 12 * 3600.0, 24 * 3600.0), True), "alert_cooldown": (machines.cooldown(24 * 3600.0), True),
     }
-    for name, machine in streams.items():
+
+    def streamed(name: str, machine: machines.Machine, clean_up: bool):
+        forced = name == "alert_cooldown"
+
+        def run(events: DataFrame) -> DataFrame:
+            return machines.run_stream(events.withColumn("ok", F.lit(False)) if forced else events, "user_id", machine, clean_up)
+
+        return lambda spark, sf_dir: _streamed(spark, sf_dir, run)
+
+    for name, (machine, clean_up) in streams.items():
         # The same results as in one batch. [STM4, STM5, STM10, WIN4]
-        QUERIES[f"{name}_stream"] = lambda spark, sf_dir, machine=machine: _streamed(spark, sf_dir, machine)
+        QUERIES[f"{name}_stream"] = streamed(name, machine, clean_up)
         ORACLE_SQL[f"{name}_stream"] = ORACLE_SQL[name]
 
 
@@ -633,14 +638,22 @@ _FILLED = """e AS (SELECT *, row_number() OVER (PARTITION BY user_id, ts ORDER B
 @query(f"WITH RECURSIVE {_FILLED} SELECT e.event_id, CAST(e.user_id AS VARCHAR) AS \"key\", CASE WHEN f.ts IS NULL OR e.same > 1 THEN 'hit' ELSE 'miss' END AS result FROM e LEFT JOIN f ON f.user_id = e.user_id AND f.ts = e.ts")
 def cache_entries_stream(spark, sf_dir):
     """[STM6, DT3]"""
-    return _streamed(spark, sf_dir, machines.cache_entry())
+    return _streamed(spark, sf_dir, lambda events: machines.run_stream(events, "user_id", machines.cache_entry()))
+
+
+@query()
+def lru_cache_stream(spark, sf_dir):
+    """Caches of 20 entries, one for each kind of event, asked for users. SQL has no such state; tests hold it against a model. [STM6, WIN11]"""
+    kinds = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("kind"))
+    named = lambda events: events.join(kinds, "event_id")
+    return _streamed(spark, sf_dir, lambda events: machines.run_cache(named(events), "kind", "user_id", 20))
 
 
 @query("SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS window_start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def tumbling_stream(spark, sf_dir):
     """[STM2, STM3]"""
     path = scratch_path(spark, "tumbling")
-    table(spark, sf_dir, "events").coalesce(1).write.parquet(f"{path}/in")
+    table(spark, sf_dir, "events").write.parquet(f"{path}/in")
     events = windows.with_event_time(spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).parquet(f"{path}/in"), late="1 hour")
     kept: list[DataFrame] = []
     sink = lambda rows, _: rows.write.mode("overwrite").parquet(f"{path}/out{len(kept)}") or kept.append(rows)

@@ -10,6 +10,7 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -17,7 +18,9 @@ def session(app: str = "quillmere", **settings: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     for key, value in (SETTINGS | settings).items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def ship_package(spark: SparkSession) -> None:

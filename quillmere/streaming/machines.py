@@ -9,13 +9,19 @@ many, with only the state in memory.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from quillmere.shared import whole_row
 
 
 @dataclass(frozen=True)
@@ -103,55 +109,137 @@ def adaptive_timeout(start: int = 30, low: int = 10, high: int = 60) -> Machine:
     return Machine(lambda: [float(start), 0.0, 0.0], step)
 
 
-def run_batch(events: DataFrame, key: str, machine: Machine) -> DataFrame:
-    """Events (event_id, ts, key, ok) with the machine's result. Rows of equal time go by event_id."""
-    rows = events.select("event_id", F.col(key).cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("ok").cast("boolean").alias("ok"))
-    ordered = rows.repartition("key").sortWithinPartitions("key", "at", "event_id")
+def run_rows(events: DataFrame, key: str, machine: Machine, ts: str = "ts", ok: Column | None = None, event_id: str = "event_id") -> DataFrame:
+    """Every row of ``events``, all its columns, with the machine's ``result``. Rows of equal time go by event_id; rows without a key are one key's.
+
+    Null times come first, as time 0.
+    """
+    row, at = whole_row(events), F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")) / 1e6, F.lit(0.0))
+    outcome = F.coalesce((F.col("ok") if ok is None else ok).cast("boolean"), F.lit(False))
+    rows = events.select(F.col(key).cast("string").alias("_key"), at.alias("_at"), F.col(event_id).alias("_id"), outcome.alias("_ok"), row.alias("_row"))
+    ordered = rows.repartition("_key").sortWithinPartitions("_key", "_at", "_id").select("_key", "_at", "_ok", "_row")
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = object(), None
         for batch in batches:
             results = []
-            for name, at, ok in zip(batch["key"], batch["at"], batch["ok"], strict=True):
+            for name, at, ok in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if name != now:
                     now, state = name, machine.start()
-                state, result = machine.step(state, at, bool(ok))
+                state, result = machine.step(state, at, ok)
                 results.append(result)
-            yield pd.DataFrame({"event_id": batch["event_id"], "key": batch["key"], "result": results})
+            yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(results, pa.string())], names=["_row", "result"])
+
+    kinds = StructType([StructField("_row", ordered.schema["_row"].dataType), StructField("result", StringType())])
+    found = ordered.mapInArrow(fold, kinds)
+    return found.select(*[F.col("_row")[c].alias(c) for c in events.columns], "result")
 
-    return ordered.mapInPandas(fold, "event_id long, key string, result string")
+
+def run_batch(events: DataFrame, key: str, machine: Machine) -> DataFrame:
+    """(event_id, key, result) of events (event_id, ts, key, ok)."""
+    found = run_rows(events.select("event_id", F.col(key).alias("_name"), "ts", "ok"), "_name", machine)
+    return found.select("event_id", F.col("_name").cast("string").alias("key"), "result")
 
 
-#: Hours that a stream may run behind before states are forgotten too early.
-LAG = 48
+#: How late a row may come after later ones before it is left out, where states are cleaned up.
+LATE = "48 hours"
 
 
-def run_stream(events: DataFrame, key: str, machine: Machine, clean_up: bool = False) -> DataFrame:
+def run_stream(events: DataFrame, key: str, machine: Machine, clean_up: bool = False, late: str = LATE) -> DataFrame:
     """The same over a stream, whose batches come in the order of time. Needs the RocksDB state store. [STM4, STM5, STM10, WIN4]
 
-    With ``clean_up`` a key's state goes when there were no events for as long as the machine remembers, and an hour at least, beside ``LAG``;
-    it stays where the machine never forgets. That needs processing time, under which a stream that only takes what is there
-    (``availableNow``) does not end by itself. A batch's events of one key are held together to be sorted.
+    With ``clean_up`` a key's state goes by a timer in event time, when the watermark (``late`` behind the latest event) is past the key's last event by more than
+    the machine remembers; it stays where the machine never forgets. Rows behind the watermark are left out then, and only then. A batch's events of one
+    key are held together to be sorted.
     """
-    forget = int((max(3600.0, machine.memory) + LAG * 3600) * 1000) if clean_up and machine.memory is not None else None
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+    forget = None if not clean_up or machine.memory is None else int(machine.memory * 1000) + 1
+
     class Fold(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.state = handle.getValueState("state", "values array<double>", forget)
+            self.handle = handle
+            self.state = handle.getValueState("state", "values array<double>, timer long")
 
         def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer: Any) -> Iterator[pd.DataFrame]:  # noqa: N802
             batch = pd.concat(list(rows)).sort_values(["at", "event_id"])
-            held = list(self.state.get()[0]) if self.state.exists() else machine.start()
-            results = []
+            told, due = self.state.get() if self.state.exists() else (machine.start(), None)
+            held, results = list(told), []
             for at, ok in zip(batch["at"], batch["ok"], strict=True):
                 held, result = machine.step(held, at, bool(ok))
                 results.append(result)
-            self.state.update(([float(x) for x in held],))
+            if forget is not None:
+                if due is not None:
+                    self.handle.deleteTimer(int(due))
+                due = int(batch["at"].max() * 1000) + forget
+                self.handle.registerTimer(due)
+            self.state.update(([float(x) for x in held], due))
             yield pd.DataFrame({"event_id": batch["event_id"], "key": batch["key"], "result": results})
 
+        def handleExpiredTimer(self, key: Any, timer: Any, expired: Any) -> Iterator[pd.DataFrame]:  # noqa: N802
+            self.state.clear()
+            return iter([])
+
+        def close(self) -> None:
+            pass
+
+    timed = events if forget is None else events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    stamp = [] if forget is None else ["ts"]
+    rows = timed.select("event_id", F.col(key).cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("ok").cast("boolean").alias("ok"), *stamp)
+    return rows.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=Fold(), outputStructType="event_id long, key string, result string", outputMode="Append", timeMode="None" if forget is None else "EventTime"
+    )
+
+
+def run_cache(requests: DataFrame, cache: str, key: str, capacity: int, ttl: float = 24 * 3600.0) -> DataFrame:
+    """(event_id, result) of a stream of requests (event_id, ts) to caches of ``capacity`` entries: hit, or miss, or evicting where the miss cost another entry its place. [STM6, WIN11]
+
+    An entry lives ``ttl`` seconds from its filling; a hit makes it the last used, and the one used longest ago goes first (ties: the smaller key). Entries
+    past their time go before any other. One cache is one key of the stream, so its entries, ``capacity`` at most, are its state: a map from
+    key to filling and last use, written as far as it changes. Needs the RocksDB state store.
+    """
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    class Cache(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.entries = handle.getMapState("entries", "key string", "filled double, used double")
+
+        def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer: Any) -> Iterator[pd.DataFrame]:  # noqa: N802
+            batch = pd.concat(list(rows)).sort_values(["at", "event_id"])
+            before = {k[0]: tuple(v) for k, v in self.entries.iterator()}
+            held, results = dict(before), []
+            for name, at in zip(batch["key"], batch["at"], strict=True):
+                held, result = cache_step(held, name, at, capacity, ttl)
+                results.append(result)
+            for k in before.keys() - held.keys():
+                self.entries.removeKey((k,))
+            for k, v in held.items():
+                if before.get(k) != v:
+                    self.entries.updateValue((k,), v)
+            yield pd.DataFrame({"event_id": batch["event_id"], "result": results})
+
         def close(self) -> None:
             pass
 
-    rows = events.select("event_id", F.col(key).cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("ok").cast("boolean").alias("ok"))
-    return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=Fold(), outputStructType="event_id long, key string, result string", outputMode="Append", timeMode="None" if forget is None else "ProcessingTime")
+    rows = requests.select("event_id", F.coalesce(F.col(cache).cast("string"), F.lit("")).alias("cache"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    return rows.groupBy("cache").transformWithStateInPandas(statefulProcessor=Cache(), outputStructType="event_id long, result string", outputMode="Append", timeMode="None")
+
+
+def cache_step(held: dict[str, tuple[float, float]], name: str, at: float, capacity: int, ttl: float) -> tuple[dict[str, tuple[float, float]], str]:
+    """The entries (filled, used) after a request, which may be changed in place, and what it was."""
+    if name in held and at <= held[name][0] + ttl:
+        held[name] = (held[name][0], at)
+        return held, "hit"
+    held.pop(name, None)
+    if len(held) >= capacity:
+        held = {k: v for k, v in held.items() if at <= v[0] + ttl}
+    result = "miss"
+    if len(held) >= capacity:
+        held.pop(min(held, key=lambda k: (held[k][1], k)))
+        result = "evicting"
+    held[name] = (at, at)
+    return held, result
+
+
+# The worker that starts a stream's processor on the driver's side knows nothing of files that were added to the session, so what is here goes to it whole.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
