@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.shared import Scratch, durable, partitions_of, quoted, remove_path, scratch_path, shared_folder, whole_row
+from quillmere.shared import Scratch, durable, partitions_of, quoted, remove_path, scratch_path, shared_folder, swept, whole_row
 
-__all__ = ["BATCH_BYTES", "SPACE_BYTES", "Scratch", "bound_batches", "durable", "held_out", "partitions_of", "quoted", "released", "remove_path", "scratch_path", "shared_folder", "table", "whole_row"]
+__all__ = ["BATCH_BYTES", "SPACE_BYTES", "Scratch", "bound_batches", "durable", "held_out", "partitions_of", "quoted", "released", "remove_path", "scratch_path", "shared_folder", "swept", "table", "whole_row"]
 
 #: White space of the contracts: space and the control characters tab to carriage return.
 SPACE_BYTES = b" \t\n\x0b\x0c\r"

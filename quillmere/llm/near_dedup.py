@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.llm.common import bound_batches, durable, partitions_of, released
+from quillmere.llm.common import Scratch, bound_batches, durable, partitions_of, released, swept
 from quillmere.llm.components import connected_components
 
 K, WORDS, PERCENT, SIGMAS = 64, 5, 75, 5.5
@@ -45,6 +45,8 @@ BLOCK, BLOCK_BYTES = 512, 8 << 20
 ALIKE = 30
 #: Ids that may be broadcast to pick out texts; more are joined.
 BROADCAST_IDS = 500_000
+#: Rows of one key from which on a join deals them out to several tasks.
+HOT_ROWS = 50_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -200,8 +202,23 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _judge(pairs: DataFrame, right: DataFrame, left: DataFrame, column: str, judge) -> DataFrame:
-    """Pairs (a, b) that ``judge`` lets pass on both sides' ``column``; the pairs are joined with each side in turn."""
+def salted_join(big: DataFrame, small: DataFrame, key: list[str], counts: DataFrame, spread: str, scratch: Scratch, how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small`` (a row a key at most) on ``key``; keys with many rows are dealt out by ``spread`` to several tasks.
+
+    ``counts`` (key, m) says how many rows of ``big`` a key has. Those beyond ``HOT_ROWS`` are few, a row in so many, and broadcast with their parts.
+    """
+    hot = scratch.kept(counts.where(F.col("m") > HOT_ROWS).select(*key, F.ceil(F.col("m") / HOT_ROWS).cast("int").alias("_parts")))
+    if not hot.limit(1).count():
+        return big.join(small, key, how)
+    hot = F.broadcast(hot)
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = big.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("_parts")
+    copied = small.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(copied, [*key, "_salt"], how).drop("_salt")
+
+
+def _judge(pairs: DataFrame, sides: DataFrame, column: str, judge, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) that ``judge`` lets pass on both sides' ``column``; the pairs are joined with each side in turn, a hub's in parts."""
 
     @released
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,8 +226,9 @@ def _judge(pairs: DataFrame, right: DataFrame, left: DataFrame, column: str, jud
             keep = [judge(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(rows.column(2), rows.column(3), strict=True)]
             yield rows.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    first = pairs.join(right.select(F.col("c").alias("b"), F.col(column).alias("_y")), "b")
-    both = first.join(left.select(F.col("c").alias("a"), F.col(column).alias("_x")), "a")
+    each = lambda x: pairs.groupBy(x).agg(F.count("*").alias("m"))
+    first = salted_join(pairs, sides.select(F.col("c").alias("b"), F.col(column).alias("_y")), ["b"], each("b"), "a", scratch)
+    both = salted_join(first, sides.select(F.col("c").alias("a"), F.col(column).alias("_x")), ["a"], each("a"), "b", scratch)
     return both.select("a", "b", "_x", "_y").mapInArrow(judged, "a long, b long")
 
 
@@ -230,10 +248,14 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs of classes (a, b) whose sketches allow it and whose full sets are similar."""
-    likely = durable(_judge(pairs, classes, classes, "sketch", may_be_similar).distinct())
-    ids = durable(likely.select(F.col("a").alias("_id")).union(likely.select("b")).distinct())
-    sets = durable(_sets(docs, ids))
-    return durable(_judge(likely, sets, sets, "shingles", similar).distinct())
+    scratch = Scratch(docs.sparkSession)
+    likely = scratch.kept(_judge(pairs, classes, "sketch", may_be_similar, scratch).distinct())
+    ids = scratch.kept(likely.select(F.col("a").alias("_id")).union(likely.select("b")).distinct())
+    sets = scratch.kept(_sets(docs, ids))
+    found = durable(_judge(likely, sets, "shingles", similar, scratch).distinct())
+    scratch.clear()
+    swept(docs.sparkSession)
+    return found
 
 
 def _groups(members: DataFrame) -> DataFrame:
@@ -258,20 +280,22 @@ def _across(lists: DataFrame, docs: DataFrame, classes: DataFrame, components: D
     in blocks of a bounded number of classes and of bytes; a pair that links of its block have joined meanwhile is passed over.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     placed = lists.join(components, lists["c"] == components["node"], "left").select("value", "c", F.coalesce("component", "c").alias("component"))
     # In a list of two the only pair was tested.
     open_lists = placed.groupBy("value").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high and m > 2").select("value", "m")
-    members = durable(placed.join(open_lists, "value"))
-    grouped = durable(_groups(members).join(classes.select("c", "n"), "c"))
+    counts = open_lists.select("value", "m")
+    members = scratch.kept(salted_join(placed, open_lists, ["value"], counts, "c", scratch))
+    grouped = scratch.kept(_groups(members).join(classes.select("c", "n"), "c"))
     wanted = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int")
     # Kept apart, so that the join with them is one that Spark deals out anew where a group is large.
-    sizes = durable(grouped.groupBy("group").agg(wanted.alias("blocks"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("group", "blocks"))
+    sizes = scratch.kept(grouped.groupBy("group").agg(wanted.alias("blocks"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("group", "blocks"))
     sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_IDS else sizes
     own = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
     dealt = (
         grouped.join(sizes, "group").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "component")
-        .join(_sets(docs, durable(grouped.select(F.col("c").alias("_id")).distinct())), "c")
+        .join(_sets(docs, scratch.kept(grouped.select(F.col("c").alias("_id")).distinct())), "c")
         .repartition(partitions_of(spark), "group", "i", "j").sortWithinPartitions("group", "i", "j", "own", "c")
         .select("group", "i", "j", "own", "c", "component", "shingles")
     )
@@ -289,7 +313,10 @@ def _across(lists: DataFrame, docs: DataFrame, classes: DataFrame, components: D
         if len(held) > 1:
             yield _link_block(key[1] != key[2], held)
 
-    return durable(dealt.mapInArrow(joined, "a long, b long").distinct())
+    found = durable(dealt.mapInArrow(joined, "a long, b long").distinct())
+    scratch.clear()
+    swept(spark)
+    return found
 
 
 def _link_block(two: bool, held: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
@@ -333,28 +360,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     null doc_id is a document by itself: null component_id, kept. Other columns
     are ignored; no rows give none.
     """
-    bound_batches(docs.sparkSession)
-    all_sketches = durable(sketch(docs))
+    spark = docs.sparkSession
+    bound_batches(spark)
+    scratch = Scratch(spark)
+    all_sketches = scratch.kept(sketch(docs))
     sized = all_sketches.where("n > 0 and doc_id is not null")
-    reps = durable(sized.groupBy("d1", "d2").agg(F.min("doc_id").alias("c")))
-    hit = (sized["d1"] == reps["d1"]) & (sized["d2"] == reps["d2"]) & (sized["doc_id"] == reps["c"])
-    classes = durable(sized.join(reps, hit).select("c", "n", "sketch"))
+    # Rows of one digest have one sketch; the aggregation keeps one before the shuffle, however many copies there are.
+    reps = scratch.kept(sized.groupBy("d1", "d2").agg(F.min("doc_id").alias("c"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("m")))
+    classes = reps.select("c", "n", "sketch")
     common = _common_values(classes)
-    lists = _listed(classes, common)
-    hubs = lists.groupBy("value").agg(F.min("c").alias("a"), F.count("*").alias("m")).where("m > 1")
-    multi = durable(lists.join(hubs, "value").select("value", "c", "a"))
-    pairs = durable(multi.where("a <> c").select("a", F.col("c").alias("b")).distinct())
+    lists = scratch.kept(_listed(classes, common))
+    hubs = scratch.kept(lists.groupBy("value").agg(F.min("c").alias("a"), F.count("*").alias("m")).where("m > 1"))
+    multi = scratch.kept(salted_join(lists, hubs.select("value", "a"), ["value"], hubs, "c", scratch))
+    pairs = scratch.kept(multi.where("a <> c").select("a", F.col("c").alias("b")).distinct())
     links = _verified(pairs, docs, classes)
     # A doc_id with several texts links their classes.
     several = sized.groupBy("doc_id").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).where("low <> high").select("doc_id")
-    own = sized.select("doc_id", "d1", "d2").join(several, "doc_id").join(reps, ["d1", "d2"]).select(F.col("doc_id").alias("u"), F.col("c").alias("v"))
+    own = sized.select("doc_id", "d1", "d2").join(several, "doc_id").join(reps.select("d1", "d2", "c"), ["d1", "d2"]).select(F.col("doc_id").alias("u"), F.col("c").alias("v"))
     edges = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(own)
     components = durable(connected_components(edges))
     more = _across(multi.select("value", "c"), docs, classes, components)
     if more.limit(1).count():
         components = durable(connected_components(edges.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))))
-    placed = all_sketches.select("doc_id", "n", "d1", "d2").join(reps, ["d1", "d2"], "left")
-    placed = placed.withColumn("c", F.when(F.col("doc_id").isNotNull(), F.col("c")))
-    reached = placed.join(components, placed["c"] == components["node"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "c", "doc_id"))
-    return reached.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    # A class has one row, so its component is found before the rows of copies are, which a large class has dealt out.
+    named = reps.join(components, reps["c"] == components["node"], "left").select("d1", "d2", F.coalesce("component", "c").alias("component"))
+    rows = all_sketches.select("doc_id", "n", "d1", "d2", F.monotonically_increasing_id().alias("_row"))
+    reached = salted_join(rows, named, ["d1", "d2"], reps.select("d1", "d2", "m"), "_row", scratch, "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    found = durable(reached.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")))
+    scratch.clear()
+    swept(spark)
+    return found
