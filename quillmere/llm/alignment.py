@@ -10,7 +10,8 @@
 
 A text is cut at single spaces between other characters: there a token begins on both sides (the byte-level pre-tokenizer starts a piece
 with the space, and no piece of B holds a space after another character), so groups never cross it, and what has been found for a short
-piece is remembered. ``Aligner`` checks the vocabulary for that and takes texts whole otherwise.
+piece is remembered. A single line feed, and closing punctuation between a Latin-1 letter and a space, are parts by themselves where no piece of B has a
+line feed or such punctuation after a letter. ``Aligner`` checks the vocabulary for all that and cuts less, or not at all, otherwise.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmere.llm.common import Scratch, bound_batches, durable, partitions_of, released
-from quillmere.llm.memo import library_tokenizer
+from quillmere.llm.memo import CLOSING, SpaceMemo, library_tokenizer
 
 #: Characters of a piece that is remembered, and bytes of the memory.
 LONGEST, LIMIT = 64, 64 << 20
@@ -37,6 +38,9 @@ LONGEST, LIMIT = 64, 64 << 20
 HELD = 4 << 20
 _CUT = re.compile("(?<=[^\\s▁᠎]) (?=[^\\s▁᠎])")
 
+#: What a part begins with that has no space before it.
+BARE = "\0"
+_CLOSED = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff][.,;:!?]")
 _OPEN = re.compile("^[\\s▁\u180e]|[\\s▁\u180e]\\Z|^\\Z")
 
 
@@ -63,6 +67,9 @@ class Aligner:
         self.cut = not any("▁" in p.lstrip("▁") for p in written) and self.b_bytes[self.b.encode("a")[0]][:1] == b" "
         self.a_length, self.b_length = (np.array([len(x) for x in table], np.int64) for table in (self.a_bytes, self.b_bytes))
         self.memory, self.old, self.size = {}, {}, 0
+        #: What a piece that has no space before it is encoded after, and its value.
+        self.before = {k: self._together([k])[k] for k in ("a", "a\n")}
+        self.fine = self.cut and not any("\n" in p or _CLOSED.search(p) for p in written) and all(self.before.values())
 
     @classmethod
     @lru_cache(maxsize=1)
@@ -71,19 +78,22 @@ class Aligner:
         return cls(byte_level, pieces)
 
     def align(self, pieces: list[str]) -> dict[str, tuple | bool]:
-        """Each piece with (A tokens, B tokens, groups, keys of its links, groups in writing) of a space and it; False where bytes differ.
+        """Each piece with (A tokens, B tokens, groups, keys of its links, groups in writing) of a space and it, or of it alone where it begins with ``BARE``; False where bytes differ."""
+        bare = {p: "a" if p == BARE + "\n" else "a\n" for p in pieces if p[:1] == BARE}
+        found = self._together(list(dict.fromkeys([*(x + p[1:] for p, x in bare.items()), *(p for p in pieces if p not in bare)])))
+        return {p: self._after(found[bare[p] + p[1:]], self.before[bare[p]]) if p in bare else found[p] for p in pieces}
 
-        The pieces are encoded together as one text, which has a boundary of both sides after each; those with white space at an end are encoded alone.
-        """
+    def _together(self, pieces: list[str]) -> dict[str, tuple | bool]:
+        """The same without marks. Pieces are encoded as one text, which has a boundary of both sides after each; those with white space at an end alone."""
         if len(pieces) > 1 and any(map(_OPEN.search, pieces)):
             whole = [p for p in pieces if not _OPEN.search(p)]
-            found = self.align(whole) if whole else {}
-            return found | {p: v for x in pieces if x not in found for p, v in self.align([x]).items()}
+            found = self._together(whole) if whole else {}
+            return found | {p: v for x in pieces if x not in found for p, v in self._together([x]).items()}
         text = " ".join(pieces)
         a, b = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
         real = (" " + text).encode("utf-8", "surrogatepass")
         if b"".join(map(self.a_bytes.__getitem__, a)) != real or b"".join(map(self.b_bytes.__getitem__, b)) != real:
-            return {pieces[0]: False} if len(pieces) == 1 else {p: found for x in pieces for p, found in self.align([x]).items()}
+            return {pieces[0]: False} if len(pieces) == 1 else {p: found for x in pieces for p, found in self._together([x]).items()}
         a_ids, b_ids = np.array(a, np.int64), np.array(b, np.int64)
         a_ends, b_ends = np.cumsum(self.a_length[a_ids]), np.cumsum(self.b_length[b_ids])
         ends = np.union1d(a_ends, b_ends)
@@ -102,6 +112,22 @@ class Aligner:
             i, j, g, k = p, q, h, m
         return found
 
+    @staticmethod
+    def _after(whole: tuple | bool, first: tuple) -> tuple | bool:
+        """The value of what stands after ``first``, of which no token reaches beyond."""
+        if not whole:
+            return False
+        return whole[0] - first[0], whole[1] - first[1], whole[2] - first[2], whole[3][len(first[3]) :], whole[4][len(first[4]) + 1 :]
+
+    def pieces(self, text: str) -> list[str]:
+        """Parts of a text with a space before each that does not begin with ``BARE``."""
+        if self.fine and "▁" not in text and SpaceMemo.plain(text):
+            text = CLOSING.sub(f" {BARE}\\1", text)
+            if "\n\n" not in text and "\t" not in text and "\r" not in text and text[:1] != "\n" and text[-1:] != "\n":
+                text = text.replace("\n", f" {BARE}\n {BARE}")
+            return text.split(" ")
+        return _CUT.split(text) if self.cut else [text]
+
     def known(self, pieces: set[str]) -> dict[str, tuple | bool]:
         """What is remembered of the pieces, and the rest aligned; those that are not too long are remembered from now on."""
         if self.size >= LIMIT:
@@ -130,8 +156,8 @@ class Aligner:
         none = 0, 0, 0, "", np.empty(0, np.int64)
         if not text:
             return none
-        pieces = _CUT.split(text) if self.cut else [text]
-        known = self.known(set(pieces))
+        pieces = self.pieces(text) if BARE not in text else [text]
+        known = self.known(set(pieces)) if BARE not in text else self._together(pieces)
         if False in known.values():
             return none
         n_a, n_b, n_groups, keys, groups = zip(*map(known.__getitem__, pieces), strict=True)
@@ -288,11 +314,13 @@ def _looked_up(links: DataFrame, partial: DataFrame, scratch: Scratch, folder: s
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = Shards(folder, about)
         for batch in batches:
-            sums = []
-            for keys, links in _unpacked(batch):
-                counts = shards.counts(keys)
-                sums.append((int(links[counts == sent.value[keys >> 32]].sum()), int((links * counts).sum())))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array([x[0] for x in sums], pa.int64()), pa.array([x[1] for x in sums], pa.int64())], names=[*batch.schema.names[:6], "n_best", "count_sum"])
+            rows = list(_unpacked(batch))
+            ends = np.cumsum([len(k) for k, _ in rows], dtype=np.int64)
+            keys, n = (np.concatenate([r[i] for r in rows] or [np.empty(0, np.int64)]) for i in range(2))
+            asked, at = np.unique(keys, return_inverse=True)
+            counts = shards.counts(asked)[at]
+            sums = [np.diff(np.concatenate(([0], np.cumsum(x)))[ends], prepend=0) for x in (np.where(counts == sent.value[keys >> 32], n, 0), n * counts)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], *map(pa.array, sums)], names=[*batch.schema.names[:6], "n_best", "count_sum"])
 
     return links.mapInArrow(looked_up, "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long")
 

@@ -78,7 +78,7 @@ class _Memory(dict):
 
 
 _SURE = re.compile("(?<=[0-9])(?=[0-9A-Za-z])|(?<=[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])(?=[\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff])")
-_CLOSING = re.compile("(?<=[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff])([.,;:!?])(?=[ \n])")
+CLOSING = re.compile("(?<=[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff])([.,;:!?])(?=[ \n])")
 
 
 def _latin1(text: str) -> bool:
@@ -109,7 +109,7 @@ class WordMemo:
         if _PYTHON_ONLY.search(text):
             chunks = [text]
         elif "<|" not in text and _latin1(text):
-            chunks = _CLOSING.sub(" \\1", text.lower()).split()
+            chunks = CLOSING.sub(" \\1", text.lower()).split()
         else:
             chunks = text.split()
         if len(text) > CUT and any(len(c) > CUT for c in chunks):
@@ -136,15 +136,15 @@ class SpaceMemo:
         return cls(path)
 
     @staticmethod
-    def _plain(text: str) -> bool:
+    def plain(text: str) -> bool:
         """Whether every space stands between characters that are not white space."""
         return not (any(pair in text for pair in _NEAR_SPACE) or text[:1] == " " or text[-1:] == " " or _RARE_SPACE.search(text))
 
     def count(self, text: str) -> int:
         if self.BARE in text or self.LINE in text:
             return self.whole(text)
-        if self._plain(text):
-            text = _CLOSING.sub(" \0\\1", text)
+        if self.plain(text):
+            text = CLOSING.sub(" \0\\1", text)
             if "\n\n" not in text and "\t" not in text and "\r" not in text and text[:1] != "\n" and text[-1:] != "\n":
                 text = text.replace("\n", " \x01 \0")
             chunks = text.split(" ")

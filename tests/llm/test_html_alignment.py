@@ -55,9 +55,9 @@ def test_alignment_equals_brute_force(spark, mapped):
 
 def test_whole_texts_without_cuts_give_the_same():
     cut, whole = Aligner(A, B), Aligner(A, B)
-    whole.cut = False
+    whole.cut = whole.fine = False
     rng = random.Random(4)
-    assert cut.cut
+    assert cut.cut and cut.fine
     for _ in range(3000):
         text = "".join(rng.choices(PARTS, k=rng.randrange(0, 20)))
         x, y = cut.text(text), whole.text(text)
