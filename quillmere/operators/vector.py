@@ -48,7 +48,8 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 100, block: int =
     lengths = [r[0] for r in rows.select(F.size("vector")).distinct().limit(2).collect()]
     if len(lengths) > 1:
         raise ValueError("the queries' vectors have different lengths")
-    vectors = vectors.where(_finite("embedding") & (F.size("embedding") == F.lit(lengths[0] if lengths else 0)))
+    length = lengths[0] if lengths else 0
+    vectors = vectors.where(_finite("embedding") & (F.size("embedding") == length))
     n = -(-rows.count() // block) or 1
     dealt = rows.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(n)))
     found = None
@@ -56,7 +57,7 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 100, block: int =
         asked = dealt.where(F.col("_block") == k).select("query_id", "vector").toPandas()
         if not len(asked) and found is not None:
             continue
-        shared = vectors.sparkSession.sparkContext.broadcast((asked["query_id"].to_numpy(np.int64), _unit(np.array(asked["vector"].tolist(), np.float64).reshape(len(asked), -1))))
+        shared = vectors.sparkSession.sparkContext.broadcast((asked["query_id"].to_numpy(np.int64), _unit(np.array(asked["vector"].tolist(), np.float64).reshape(len(asked), length))))
 
         def nearest(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             query_ids, units = shared.value

@@ -176,7 +176,7 @@ def run_stream(events: DataFrame, key: str, machine: Machine, clean_up: bool = F
             self.state.update(([float(x) for x in held], due))
             yield pd.DataFrame({"event_id": batch["event_id"], "key": batch["key"], "result": results})
 
-        def handleExpiredTimer(self, key: Any, timer: Any, expired: Any) -> Iterator[pd.DataFrame]:  # noqa: N802
+        def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
             self.state.clear()
             return iter([])
 
