@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from quillmere.functions import lexicon as L
 from quillmere.operators.index import top_per_query
+from quillmere.shared import durable
+
+#: Candidates whose ids are broadcast to pick out their rows, 8 bytes each; more are joined.
+BROADCAST_CANDIDATES = 1_000_000
 
 
 def authority(domain: Column, table: dict[str, float] = L.AUTHORITY) -> Column:
@@ -70,12 +74,14 @@ def rank(candidates: DataFrame, documents: DataFrame, pagerank: DataFrame, out_l
 
     ``documents`` has doc_id, url, domain, title, snippet, crawled_at, authority;
     ``pagerank`` doc_id, pagerank; ``out_links`` doc_id, links; ``queries`` query_id, terms.
-    Candidates without a document are dropped; a missing PageRank is 0.1.
+    Candidates without a document are dropped; a missing PageRank is 0.1. ``factors`` holds each factor on 0 to 100.
     """
-    joined = (
-        candidates.select("query_id", "doc_id", "score").join(documents, "doc_id")
-        .join(pagerank, "doc_id", "left").join(out_links, "doc_id", "left").join(queries, "query_id")
-    )
+    held = durable(candidates.select("query_id", "doc_id", "score"))
+    if held.count() <= BROADCAST_CANDIDATES:
+        # So the tables are read once and what is shuffled of them is what the candidates need.
+        ids = F.broadcast(durable(held.select("doc_id").distinct()))
+        documents, pagerank, out_links = (t.join(ids, "doc_id", "left_semi") for t in (documents, pagerank, out_links))
+    joined = held.join(documents, "doc_id").join(pagerank, "doc_id", "left").join(out_links, "doc_id", "left").join(queries, "query_id")
     factors = {
         "tf_idf": tfidf_factor(F.col("score"), F.size("terms")),
         "pagerank": F.coalesce("pagerank", F.lit(0.1)),
