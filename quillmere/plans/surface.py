@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from quillmere.functions import catalog
 from quillmere.functions import text as T
-from quillmere.operators import index, pages, positions, trigrams
+from quillmere.operators import blocks, index, positions, trigrams
 from quillmere.operators.positions import All, Any, Not, Phrase, Word
 from quillmere.operators.segments import SegmentedIndex
-from quillmere.plans.queries import _ASKED, _TERMS, _TOKENS, _search_sql, query, table
+from quillmere.plans.queries import _ASKED, _TERMS, _TOKENS, _hits, _search_sql, _unstemmed, query, table
 from quillmere.shared import Scratch, durable
 
 
@@ -121,3 +121,13 @@ def closest_titles(spark, sf_dir):
     """Of every page the five most similar other titles."""
     rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("query_id"))
     return trigrams.closest(_titles(spark, sf_dir), rows, 5, 0.3).select("query_id", "class", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query(_search_sql("ln((n - df + 0.5) / (df + 0.5) + 1) * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))"))
+def block_max_search(spark, sf_dir):
+    """The hits of BM25 from the blocks that can hold them. [JN1, TOP1]"""
+    scratch = Scratch(spark)
+    found, _ = blocks.search(blocks.BlockIndex.save(_unstemmed(spark, sf_dir), scratch.path("blocks")), index.query_table(spark, _ASKED), 10)
+    found = durable(_hits(found))
+    scratch.clear()
+    return found

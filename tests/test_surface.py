@@ -350,3 +350,70 @@ def test_cache_of_bounded_size_equals_a_model(spark, tmp_path):
             want[i] = "evicting"
         held[key] = (t, t)
     assert {r.event_id: r.result for r in got} == want and set(want.values()) == {"hit", "miss", "evicting"}
+
+
+def test_blocks_give_the_hits_of_scoring_everything(spark, tmp_path):
+    from quillmere.operators import blocks
+
+    rng = random.Random(4)
+    weights = [1 / (k + 1) for k in range(40)]
+    texts = {k: " ".join(rng.choices([f"ord{x}" for x in range(40)], weights, k=rng.choice([3, 9, 40, 200]))) for k in range(400)}
+    ix = index.Index.build(docs_of(spark, texts))
+    asked = index.query_table(spark, {1: ["ord0"], 2: ["ord0", "ord1", "ord1"], 3: ["ord37", "ord0"], 4: ["nowhere"], 5: ["ord39"]})
+
+
+    def hits(df):
+        """Scores by rank, and the documents above the last score; which of equal sums comes first is up to their last digits."""
+        rows = [(r.query_id, r["rank"], r.doc_id, round(r.score, 9)) for r in df.collect()]
+        last = {q: min(s for p, _, _, s in rows if p == q) for q, *_ in rows}
+        return sorted((q, rank, s) for q, rank, _, s in rows), sorted((q, d) for q, _, d, s in rows if s > last[q])
+
+    want = hits(index.search_bm25(ix, asked, 10))
+    for per in (1, 8, 1000):
+        found, report = blocks.search(blocks.BlockIndex.save(ix, str(tmp_path / str(per)), per), asked, 10, first=2)
+        assert hits(found) == want
+        read = {r.query_id: (r.read, r.postings) for r in report.collect()}
+        assert all(a <= b for a, b in read.values())
+        if per == 1:
+            assert read[1][0] < read[1][1] / 2
+
+
+def test_search_from_any_folder(tmp_path):
+    """The session sends the package to its workers, so a job may be started anywhere."""
+    import subprocess
+    import sys
+
+    code = """
+import sys; sys.path.insert(0, sys.argv[1])
+from quillmere.session import session
+from quillmere.operators import vector
+spark = session(**{"spark.master": "local[1]", "spark.ui.enabled": "false"})
+v = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id long, embedding array<double>")
+print("HITS", vector.search(v, v.selectExpr("vec_id AS query_id", "embedding AS vector"), 1).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "HITS 1" in done.stdout, done.stderr[-2000:]
+
+
+def test_checkpoints_go_when_nothing_refers_to_them(spark, tmp_path):
+    import gc
+    import time
+
+    from quillmere.shared import durable, shared_folder, swept
+
+    folder = shared_folder(spark).removeprefix("file:")
+    count = lambda: sum(len(fs) for _, _, fs in os.walk(folder))
+    swept(spark)
+    time.sleep(2)
+    before = count()
+    kept = durable(spark.range(100).repartition(3))
+    assert count() > before and kept.count() == 100
+    del kept
+    gc.collect()
+    for _ in range(20):
+        swept(spark)
+        time.sleep(0.5)
+        if count() <= before:
+            break
+    assert count() <= before
