@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.llm.common import durable
+from quillmere.llm.common import durable, swept
 
 
 def _spread(edges: DataFrame, hubs: DataFrame) -> DataFrame:
@@ -34,6 +34,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = _spread(large, hubs).unionByName(hubs.select("u", F.col("m").alias("v"))).distinct()
         edges = durable(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+        # What the round has shuffled, and the edges before it, take disk until both sides have been swept.
+        del both, hubs, larger, large, small
+        swept(edges.sparkSession)
         if now == before:
             break
         before = now

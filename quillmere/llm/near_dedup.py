@@ -254,6 +254,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     sets = scratch.kept(_sets(docs, ids))
     found = durable(_judge(likely, sets, "shingles", similar, scratch).distinct())
     scratch.clear()
+    del likely, ids, sets
     swept(docs.sparkSession)
     return found
 
@@ -369,11 +370,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = scratch.kept(sized.groupBy("d1", "d2").agg(F.min("doc_id").alias("c"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("m")))
     classes = reps.select("c", "n", "sketch")
     common = _common_values(classes)
-    lists = scratch.kept(_listed(classes, common))
-    hubs = scratch.kept(lists.groupBy("value").agg(F.min("c").alias("a"), F.count("*").alias("m")).where("m > 1"))
-    multi = scratch.kept(salted_join(lists, hubs.select("value", "a"), ["value"], hubs, "c", scratch))
-    pairs = scratch.kept(multi.where("a <> c").select("a", F.col("c").alias("b")).distinct())
+    brief = Scratch(spark)
+    lists = brief.kept(_listed(classes, common))
+    hubs = brief.kept(lists.groupBy("value").agg(F.min("c").alias("a"), F.count("*").alias("m")).where("m > 1"))
+    multi = scratch.kept(salted_join(lists, hubs.select("value", "a"), ["value"], hubs, "c", brief))
+    brief.clear()
+    pairs = brief.kept(multi.where("a <> c").select("a", F.col("c").alias("b")).distinct())
+    del lists, hubs
+    swept(spark)
     links = _verified(pairs, docs, classes)
+    brief.clear()
     # A doc_id with several texts links their classes.
     several = sized.groupBy("doc_id").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).where("low <> high").select("doc_id")
     own = sized.select("doc_id", "d1", "d2").join(several, "doc_id").join(reps.select("d1", "d2", "c"), ["d1", "d2"]).select(F.col("doc_id").alias("u"), F.col("c").alias("v"))
