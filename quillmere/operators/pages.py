@@ -90,9 +90,13 @@ def fields(html: Column, url: Column | None = None) -> Column:
     return _fields(html, F.lit(None).cast("string") if url is None else url)
 
 
+def named(found: Column) -> Column:
+    """The title among ``fields``. [PRJ1, COL5]"""
+    return _or(found["title"], "Untitled")
+
+
 def title(html: Column) -> Column:
-    """[PRJ1, COL5]"""
-    return _or(fields(html)["title"], "Untitled")
+    return named(fields(html))
 
 
 def meta(html: Column, name: str) -> Column:
@@ -141,20 +145,23 @@ def crawlable(url: Column, domain: Column) -> Column:
     return F.coalesce(host(url).contains(domain) & url.rlike("^https?://") & ~url.rlike(r"(?i)\.(" + "|".join(L.SKIP_EXTENSIONS) + ")$"), F.lit(False))
 
 
+def crawled_links(found: Column, url: Column) -> Column:
+    """Distinct crawlable links among the ``fields`` of the page at ``url``, sorted. [PRJ5]"""
+    return F.filter(F.coalesce(found["links"], F.array().cast("array<string>")), lambda u: crawlable(u, host(url)))
+
+
 def links(html: Column, url: Column) -> Column:
-    """Distinct crawlable links of a page, sorted. [PRJ5]"""
-    return F.filter(F.coalesce(fields(html, url)["links"], F.array().cast("array<string>")), lambda u: crawlable(u, host(url)))
+    return crawled_links(fields(html, url), url)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Fields of raw pages (url, html); one pass over the markup. A null page has an empty content and no links. [PRJ1-PRJ8]"""
     read = pages.select("url", fields(F.col("html"), F.col("url")).alias("f"))
-    crawled = F.filter(F.coalesce("f.links", F.array().cast("array<string>")), lambda u: crawlable(u, host(F.col("url"))))
-    named = read.select(
-        "url", host(F.col("url")).alias("domain"), _or(F.col("f.title"), "Untitled").alias("title"), F.coalesce("f.content", F.lit("")).alias("content"), crawled.alias("links"),
+    told = read.select(
+        "url", host(F.col("url")).alias("domain"), named(F.col("f")).alias("title"), F.coalesce("f.content", F.lit("")).alias("content"), crawled_links(F.col("f"), F.col("url")).alias("links"),
         F.coalesce("f.description", F.lit("")).alias("meta_description"), F.coalesce("f.keywords", F.lit("")).alias("meta_keywords"), _or(F.col("f.language"), "sv").alias("language"),
     )
-    return named.withColumns({"content_hash": F.md5("content"), "word_count": T.word_count(F.col("content")), "snippet": F.substring("content", 1, 200)})
+    return told.withColumns({"content_hash": F.md5("content"), "word_count": T.word_count(F.col("content")), "snippet": F.substring("content", 1, 200)})
 
 
 def allowed_domain(url: Column, domains: list[str]) -> Column:

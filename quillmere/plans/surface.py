@@ -7,11 +7,13 @@ import re
 from pyspark.sql import functions as F
 
 from quillmere.functions import catalog
+from quillmere.functions import lexicon as L
 from quillmere.functions import text as T
 from quillmere.operators import blocks, index, positions, trigrams
 from quillmere.operators.positions import All, Any, Not, Phrase, Word
 from quillmere.operators.segments import SegmentedIndex
-from quillmere.plans.queries import _ASKED, _TERMS, _TOKENS, _hits, _search_sql, _unstemmed, query, table
+from quillmere.operators.site import Site
+from quillmere.plans.queries import _ASKED, _ASKED_SQL, _CASE_AUTHORITY, _HOST, _SKIP, _TERMS, _TOKENS, _UNESCAPE, _hits, _search_sql, _unstemmed, query, table
 from quillmere.shared import Scratch, durable
 
 
@@ -131,3 +133,45 @@ def block_max_search(spark, sf_dir):
     found = durable(_hits(found))
     scratch.clear()
     return found
+
+
+def _site_sql(turns: int = 20) -> str:
+    """Fields by patterns, which fit these pages, then index, links, PageRank and factors."""
+    block = lambda name: f"regexp_matches(h, '(?is)<{name}[^>]*>(.*?)</{name}>') THEN regexp_extract(h, '(?is)<{name}[^>]*>(.*?)</{name}>', 1)"
+    rank = [
+        f"""r{k + 1} AS MATERIALIZED (SELECT v.id, 0.15 / nv + 0.85 * coalesce(g, 0) AS s FROM v CROSS JOIN nv LEFT JOIN (
+        SELECT dst, sum(s / d) AS g FROM edges JOIN deg USING (src) JOIN r{k} ON id = src GROUP BY 1) ON dst = id)"""
+        for k in range(turns)
+    ]
+    factors = ("tf_idf", "pagerank", "authority", "recency", "density", "structure", "language")
+    weights = " + ".join(f"f_{k} * {L.WEIGHTS[k]}" for k in factors)
+    return rf"""WITH b AS (SELECT page_id, url, html, regexp_replace(html, '(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', ' ', 'g') AS h FROM pages),
+    m AS (SELECT page_id, url, html, CASE WHEN {block("main")} WHEN {block("article")} ELSE regexp_extract(h, '(?is)<body[^>]*>(.*)</body>', 1) END AS h FROM b),
+    p AS (SELECT page_id, url, {_HOST} AS d, trim(regexp_replace({_UNESCAPE.format("regexp_replace(regexp_replace(h, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g')")}, '\s+', ' ', 'g')) AS text,
+      coalesce(nullif(trim({_UNESCAPE.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}), ''), 'Untitled') AS title,
+      list_distinct(list_filter(list_transform(regexp_extract_all(html, '(?is)<a\s[^>]*href="([^"]*)"', 1), lambda x: regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1) || x), lambda x: NOT regexp_matches(x, '(?i)\.({_SKIP})$'))) AS links FROM m),
+    newest AS (SELECT md5(text) AS hash, max(page_id) AS newest FROM p GROUP BY 1),
+    docs AS (SELECT page_id AS doc_id, url, d, text, title, links FROM p JOIN newest ON page_id = newest),
+    targets AS (SELECT url, max(newest) AS dst FROM p JOIN newest ON md5(text) = hash GROUP BY 1),
+    edges AS (SELECT DISTINCT src, dst FROM (SELECT doc_id AS src, unnest(links) AS url FROM docs) JOIN targets USING (url)),
+    v AS (SELECT doc_id AS id FROM docs), nv AS (SELECT count(*) AS nv FROM v), deg AS (SELECT src, count(*) AS d FROM edges GROUP BY 1), r0 AS (SELECT id, 1.0 / nv AS s FROM v, nv), {", ".join(rank)},
+    pr AS (SELECT id AS doc_id, s / (SELECT max(s) FROM r{turns}) AS pagerank FROM r{turns}),
+    tok AS (SELECT doc_id, unnest({_TERMS}) AS term FROM docs), post AS (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY 1, 2), terms AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
+    {_ASKED_SQL}, t AS (SELECT query_id, count(*) AS nt, list(term) AS ts FROM q GROUP BY 1),
+    c AS (SELECT query_id, doc_id, sum(tf * (ln((nv + 1) / (df + 1)) + 1)) AS s FROM q JOIN post USING (term) JOIN terms USING (term), nv GROUP BY 1, 2),
+    k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rk FROM c),
+    f AS (SELECT query_id, doc_id, least(1.0, s / nt / 10) AS f_tf_idf, pagerank AS f_pagerank, least(1.0, CAST({_CASE_AUTHORITY} AS DOUBLE) / 3.5) AS f_authority, 0.5 AS f_recency,
+      least(1.0, list_sum(list_transform(ts, lambda w: CASE WHEN contains(lower(title), w) THEN 3 ELSE 0 END + CASE WHEN contains(lower(left(text, 200)), w) THEN 1 ELSE 0 END)) / (nt * 4)) AS f_density,
+      CASE WHEN len(links) < 5 THEN len(links) / 5 WHEN len(links) <= 50 THEN 1.0 ELSE 50 / len(links) END AS f_structure,
+      least(1.0, CASE WHEN ends_with(d, '.se') THEN 0.5 ELSE 0 END + CASE WHEN regexp_matches(lower(title), '[åäö]') THEN 0.3 ELSE 0 END + CASE WHEN contains(d, '.gov.se') OR contains(d, 'riksdag') THEN 0.2 ELSE 0 END) AS f_language
+      FROM k JOIN docs USING (doc_id) JOIN pr USING (doc_id) JOIN t USING (query_id) WHERE rk <= 500),
+    g AS (SELECT *, greatest(0.0, least(100.0, {weights})) AS s FROM f),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS rank FROM g)
+    SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(CAST(s AS DOUBLE), 2) AS score, {", ".join(f"round(CAST(f_{k} AS DOUBLE) * 100, 1) AS {k}" for k in factors)} FROM r WHERE rank <= 10"""
+
+
+@query(_site_sql())
+def pages_search(spark, sf_dir):
+    """From the crawled pages to ranked hits with their factors: fields, copies, index, links, PageRank, seven factors."""
+    found = Site.build(table(spark, sf_dir, "pages"), stemmed=False).search(_ASKED, F.lit("2024-02-01 00:00:00").cast("timestamp"))
+    return found.select("query_id", "rank", "doc_id", "score", "factors.*")

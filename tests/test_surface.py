@@ -417,3 +417,35 @@ def test_checkpoints_go_when_nothing_refers_to_them(spark, tmp_path):
         if count() <= before:
             break
     assert count() <= before
+
+
+def test_pages_end_to_end(spark, tmp_path):
+    """Copies, links to copies, a hub, dead links and dates, from the markup to the factors."""
+    from quillmere.operators.site import Site
+
+    page = lambda title, text, *hrefs: f"<html><title>{title}</title><nav>" + "".join(f"<a href='{h}'>l</a>" for h in hrefs) + f"</nav><main>{text}</main>"
+    at = datetime(2024, 1, 1)
+    rows = [
+        (1, "https://riksdagen.se/lag", page("Lag &amp; rätt", "lagen om lag", "/gammal", "https://other.se/x", "/bild.png"), at),
+        (2, "https://riksdagen.se/ny", page("Ny", "lag igen", "lag#del", "gammal"), at + timedelta(days=30)),
+        (3, "https://riksdagen.se/gammal", page("Kopia", "samma text om lag", "/lag"), None),
+        (4, "https://riksdagen.se/kopia", page("Kopia", "samma text om lag", "./lag", "../../lag?x=1"), None),
+        (5, "https://riksdagen.se/tom", None, None),
+        (None, "https://riksdagen.se/utan", page("U", "lag"), None),
+    ]
+    site = Site.build(spark.createDataFrame(rows, "page_id long, url string, html string, crawled_at timestamp"), stemmed=False)
+    assert {r.doc_id: r.links for r in site.documents.collect()} == {1: 1, 2: 2, 4: 2, 5: 0}
+    # 3 and 4 are one text, so a link to 3 counts for 4.
+    edges = {(1, 4), (2, 1), (2, 4), (4, 1)}
+    score = dict.fromkeys((1, 2, 4, 5), 0.25)
+    for _ in range(20):
+        out = Counter(a for a, _ in edges)
+        score = {v: 0.15 / 4 + 0.85 * sum(score[a] / out[a] for a, b in edges if b == v) for v in score}
+    want = {v: s / max(score.values()) for v, s in score.items()}
+    assert {r.doc_id: r.pagerank for r in site.ranks.collect()} == pytest.approx(want)
+    hits = site.save(str(tmp_path / "site")).search({1: ["lag", "rätt"]}, F.lit("2024-02-01").cast("timestamp")).collect()
+    assert {r.doc_id for r in hits} == {1, 2, 4}
+    first = next(r for r in hits if r.doc_id == 1)
+    assert first.title == "Lag & rätt" and first.factors.density == 87.5 and first.factors.pagerank == round(100 * want[1], 1)
+    assert first.factors.recency == round(100 * 2.718281828459045 ** (-31 / 365), 1) and next(r for r in hits if r.doc_id == 4).factors.recency == 50.0
+    assert first.factors.structure == 20.0 and first.factors.language == 100.0
