@@ -6,7 +6,8 @@ linear weights a vector for each term; the inner product of two terms' vectors
 is the weight of their meeting in one text, so a pair (an insult and the mention
 of a group, say) can count for more than its parts.
 
-The machine is fitted on a bounded sample of labelled rows: those whose ids hash lowest, ``sample`` of them at most.
+The machine is fitted on a bounded sample of labelled rows: those whose ids hash lowest, ``sample`` of them at most and with ``entries`` terms
+in all at most, so the sample is bounded in rows and in bytes, for everything that is learned.
 Executors hash the sample's terms and count them with the label. Terms must be in ``min_docs`` texts of the sample. Used are
 
 * the ``terms`` strongest of those whose tie to the label is ``least_tie`` standard deviations or more, and
@@ -14,7 +15,9 @@ Executors hash the sample's terms and count them with the label. Terms must be i
   itself need only have a hint of a tie (``least_hint``; the ``hints`` strongest are gone through).
 
 So both parts of a pair are found where each by itself is harmless. The search for pairs goes over the sample as one
-matrix of at most ``ENTRIES`` places, which tasks share. Only the chosen terms of the sample's texts come to the driver, for the fit.
+matrix of its places, which tasks share. The terms of pairs are kept only where they pay: a machine with them and one without are fitted on three
+fourths of the sample, and the one with the lower loss on the other fourth says which terms the last fit has. Only the chosen terms of the sample's texts
+come to the driver.
 """
 
 from __future__ import annotations
@@ -32,10 +35,8 @@ from pyspark.sql import functions as F
 
 from quillmere.llm.common import bound_batches, durable, partitions_of, released, whole_row
 
-#: Rows of the labelled sample at most.
-SAMPLE = 20_000
-#: Terms of texts, four bytes each, in the search for pairs at most; texts beyond, in the order of their ids' hashes, take no part in that search.
-ENTRIES = 12_000_000
+#: Rows of the labelled sample at most, and terms of its texts at most, four bytes each.
+SAMPLE, ENTRIES = 20_000, 12_000_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -102,8 +103,8 @@ def _mapped(rows: DataFrame, column: str, f) -> DataFrame:
     return rows.select("doc_id", "y", column).mapInArrow(mapped, "doc_id long, y int, places binary")
 
 
-def sample_terms(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, y, terms) of at most ``sample`` labelled documents, those whose ids hash lowest; kept in the shared folder.
+def sample_terms(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int = ENTRIES) -> DataFrame:
+    """(doc_id, y, terms) of labelled documents, those whose ids hash lowest: at most ``sample``, with at most ``entries`` terms in all (the first has any number); kept in the shared folder.
 
     A null id or label teaches nothing. Of several labels of one id the highest counts, of several texts of one id the one
     whose term hashes come first as bytes. Null and empty texts have no terms. Clashing column names make no difference.
@@ -123,7 +124,15 @@ def sample_terms(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Da
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = text.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
     rows = joined.select("doc_id", "text", "_y").mapInArrow(hashed, "doc_id long, terms binary, y int").groupBy("doc_id").agg(F.min(F.struct("terms", "y")).alias("s"))
-    return durable(rows.select("doc_id", "s.y", "s.terms"))
+    rows = durable(rows.select("doc_id", "s.y", "s.terms"))
+    # Two numbers a row of the sample.
+    sizes = rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", (F.octet_length("terms") / 4).cast("long").alias("n")).toPandas().sort_values(["h", "doc_id"])
+    fits = sizes["n"].cumsum() <= entries
+    if fits.all() or not len(sizes):
+        return rows
+    last = sizes[fits].tail(1) if fits.any() else sizes.head(1)
+    edge = F.struct(F.lit(int(last["h"].iloc[0])).alias("h"), F.lit(int(last["doc_id"].iloc[0])).alias("doc_id"))
+    return durable(rows.where(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id")) <= edge))
 
 
 def count_terms(rows: DataFrame) -> DataFrame:
@@ -192,10 +201,6 @@ def pair_terms(rows: DataFrame, common: np.ndarray, hints: np.ndarray, most: int
     spark = rows.sparkSession
     known = spark.sparkContext.broadcast(common)
     placed = durable(_mapped(rows, "terms", lambda t: np.searchsorted(known.value, t[np.isin(t, known.value, assume_unique=True)])))
-    sizes = placed.select(F.xxhash64("doc_id").alias("h"), "doc_id", (F.octet_length("places") / 4).cast("long").alias("n")).toPandas().sort_values(["h", "doc_id"])
-    used = sizes["doc_id"][sizes["n"].cumsum() <= ENTRIES]
-    if len(used) < len(sizes):
-        placed = placed.join(F.broadcast(spark.createDataFrame([(int(x),) for x in used], "doc_id long")), "doc_id", "left_semi")
     got = placed.select("doc_id", "y", "places").toPandas().sort_values("doc_id")
     parts = [np.frombuffer(x, np.int32) for x in got["places"]]
     if not parts or not len(hints):
@@ -215,11 +220,15 @@ def pair_terms(rows: DataFrame, common: np.ndarray, hints: np.ndarray, most: int
     return common[np.array([r["place"] for r in best.collect()], dtype=np.int64)]
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = 5_000, hints: int = 5_000, min_docs: int = 6, least_tie: float = 4.0, least_hint: float = 1.5, pair_tie: float = 8.0, **how) -> Machine:
-    """A machine from (doc_id, text) and (doc_id, toxic); see the module. Without both labels, or without terms, it scores every text by the label's share."""
-    rows = sample_terms(docs, labels, sample)
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = 5_000, hints: int = 5_000, min_docs: int = 6, least_tie: float = 4.0, least_hint: float = 1.5, pair_tie: float = 8.0, entries: int = ENTRIES, **how) -> Machine:
+    """A machine from (doc_id, text) and (doc_id, toxic); see the module. Without both labels, or without terms, it scores every text by the label's share.
+
+    Of terms tied equally the one of the smaller hash is stronger. Texts of any length count as a whole, each distinct term once. Null ids, labels and texts as
+    ``sample_terms`` has them.
+    """
+    rows = sample_terms(docs, labels, sample, entries)
     n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    chosen = np.empty(0, np.int32)
+    chosen = paired = np.empty(0, np.int32)
     if 0 < toxic < n:
         share = toxic / n
         tie = F.abs(F.col("positive") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)))
@@ -228,10 +237,26 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
         # Every term is in `min_docs` texts of the sample, so their number is bounded with the sample.
         common = np.sort(counts.select("term").toPandas()["term"].to_numpy(np.int32))
         hinted = np.searchsorted(common, strongest(least_hint, hints))
-        chosen = np.union1d(strongest(least_tie, terms), pair_terms(rows, common, hinted, terms, min_docs, pair_tie)).astype(np.int32)
-    own = rows.sparkSession.sparkContext.broadcast(chosen)
+        chosen = np.sort(strongest(least_tie, terms)).astype(np.int32)
+        paired = np.union1d(chosen, pair_terms(rows, common, hinted, terms, min_docs, pair_tie)).astype(np.int32)
+    own = rows.sparkSession.sparkContext.broadcast(paired)
     got = _mapped(rows, "terms", lambda t: np.searchsorted(own.value, t[np.isin(t, own.value, assume_unique=True)])).toPandas().sort_values("doc_id")
-    return fit(chosen, [np.frombuffer(x, np.int32) for x in got["places"]], got["y"].to_numpy(np.float64), **how)
+    y, features = got["y"].to_numpy(np.float64), [np.frombuffer(x, np.int32) for x in got["places"]]
+    if len(paired) == len(chosen):
+        return fit(paired, features, y, **how)
+    alone = np.searchsorted(paired, chosen)
+    fewer = [np.searchsorted(alone, x[np.isin(x, alone, assume_unique=True)]) for x in features]
+    tested = np.random.default_rng(3).permutation(len(y)) % 4 == 0
+    losses = [held_loss(t, f, y, tested, **how) for t, f in ((paired, features), (chosen, fewer))]
+    return fit(paired, features, y, **how) if losses[0] < losses[1] else fit(chosen, fewer, y, **how)
+
+
+def held_loss(terms: np.ndarray, features: list[np.ndarray], y: np.ndarray, tested: np.ndarray, **how) -> float:
+    """Mean logistic loss on the texts ``tested`` of a machine fitted on the others."""
+    machine = fit(terms, [x for x, t in zip(features, tested, strict=True) if not t], y[~tested], **how)
+    places = features if len(machine.terms) else [np.empty(0, np.int64)] * len(features)
+    raw = machine.raw([x for x, t in zip(places, tested, strict=True) if t])
+    return float(np.logaddexp(0, np.where(y[tested] > 0, -raw, raw)).mean())
 
 
 def fit(terms: np.ndarray, features: list[np.ndarray], y: np.ndarray, factors: int = 4, epochs: int = 12, seed: int = 11) -> Machine:
