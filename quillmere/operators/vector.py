@@ -25,12 +25,12 @@ def cosine(a: Column, b: Column) -> Column:
 QUERY_BLOCK = 1000
 
 
-def _unit(rows: np.ndarray) -> np.ndarray:
+def unit(rows: np.ndarray) -> np.ndarray:
     norm = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
     return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
 
 
-def _finite(name: str) -> Column:
+def finite(name: str) -> Column:
     """Whether a vector and all its components are there and finite."""
     odd = F.exists(name, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     return F.coalesce(F.col(name).isNotNull() & ~odd, F.lit(False))
@@ -44,12 +44,12 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 100, block: int =
     a task passes on the best of each query only. Scores are rounded to twelve places before they are ranked, ties to the smaller vec_id.
     The queries' vectors are of one length; rows without an id, and vectors that are null, of another length, or hold nulls or what is no finite number, take no part.
     """
-    rows = queries.select("query_id", "vector").where(F.col("query_id").isNotNull() & _finite("vector"))
+    rows = queries.select("query_id", "vector").where(F.col("query_id").isNotNull() & finite("vector"))
     lengths = [r[0] for r in rows.select(F.size("vector")).distinct().limit(2).collect()]
     if len(lengths) > 1:
         raise ValueError("the queries' vectors have different lengths")
     length = lengths[0] if lengths else 0
-    vectors = vectors.where(_finite("embedding") & (F.size("embedding") == length))
+    vectors = vectors.where(finite("embedding") & (F.size("embedding") == length))
     n = -(-rows.count() // block) or 1
     dealt = rows.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(n)))
     found = None
@@ -57,7 +57,7 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 100, block: int =
         asked = dealt.where(F.col("_block") == k).select("query_id", "vector").toPandas()
         if not len(asked) and found is not None:
             continue
-        shared = vectors.sparkSession.sparkContext.broadcast((asked["query_id"].to_numpy(np.int64), _unit(np.array(asked["vector"].tolist(), np.float64).reshape(len(asked), length))))
+        shared = vectors.sparkSession.sparkContext.broadcast((asked["query_id"].to_numpy(np.int64), unit(np.array(asked["vector"].tolist(), np.float64).reshape(len(asked), length))))
 
         def nearest(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             query_ids, units = shared.value
@@ -67,7 +67,7 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 100, block: int =
                     continue
                 held = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
                 ids = np.concatenate([ids, np.broadcast_to(batch.column(0).to_numpy(), (len(query_ids), batch.num_rows))], axis=1)
-                scores = np.concatenate([scores, np.clip(units @ _unit(held).T, 0.0, 1.0).round(12)], axis=1)
+                scores = np.concatenate([scores, np.clip(units @ unit(held).T, 0.0, 1.0).round(12)], axis=1)
                 if ids.shape[1] > top:
                     best = np.lexsort((ids, -scores), axis=1)[:, :top]
                     ids, scores = np.take_along_axis(ids, best, 1), np.take_along_axis(scores, best, 1)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillmere.functions import catalog
 from quillmere.functions import lexicon as L
 from quillmere.functions import text as T
-from quillmere.operators import blocks, index, positions, trigrams
+from quillmere.operators import blocks, cells, index, positions, trigrams, vector
 from quillmere.operators.positions import All, Any, Not, Phrase, Word
 from quillmere.operators.segments import SegmentedIndex
 from quillmere.operators.site import Site
@@ -175,3 +175,19 @@ def pages_search(spark, sf_dir):
     """From the crawled pages to ranked hits with their factors: fields, copies, index, links, PageRank, seven factors."""
     found = Site.build(table(spark, sf_dir, "pages"), stemmed=False).search(_ASKED, F.lit("2024-02-01 00:00:00").cast("timestamp"))
     return found.select("query_id", "rank", "doc_id", "score", "factors.*")
+
+
+@query()
+def cell_search(spark, sf_dir):
+    """Of each query the true ten nearest that the cells give, and the vectors read for them; recall is measured in tests. [SEM12]"""
+    scratch = Scratch(spark)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    held = cells.CellIndex.save(rows, scratch.path("cells"))
+    probes = held.tune(asked, 10, 0.9)
+    true = vector.search(rows, asked, 10).select("query_id", "vec_id")
+    found = held.search(asked, 10, probes).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    hits = true.join(found, ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.count("*").alias("wanted"), F.count("hit").alias("found"))
+    done = durable(hits.join(held.read_for(asked, probes), "query_id").withColumn("vectors", F.lit(rows.count()).cast("long")))
+    scratch.clear()
+    return done

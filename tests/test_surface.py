@@ -449,3 +449,28 @@ def test_pages_end_to_end(spark, tmp_path):
     assert first.title == "Lag & rätt" and first.factors.density == 87.5 and first.factors.pagerank == round(100 * want[1], 1)
     assert first.factors.recency == round(100 * 2.718281828459045 ** (-31 / 365), 1) and next(r for r in hits if r.doc_id == 4).factors.recency == 50.0
     assert first.factors.structure == 20.0 and first.factors.language == 100.0
+
+
+def test_cells_find_the_neighbours_and_read_less(spark, tmp_path):
+    import numpy as np
+
+    from quillmere.operators.cells import CellIndex
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 16))
+    rows = [(k, (centres[k % 12] + 0.4 * rng.normal(size=16)).tolist()) for k in range(1200)] + [(5000, None), (None, [1.0] * 16), (5001, [1.0]), (5002, [float("nan")] * 16)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = vectors.where("vec_id % 40 = 0").selectExpr("vec_id AS query_id", "embedding AS vector")
+    held = CellIndex.save(vectors, str(tmp_path / "cells"), cells=12)
+    assert held.vectors.count() == 1200
+    true = {(r.query_id, r.vec_id): (r.score, r["rank"]) for r in vector.search(vectors, asked, 10).collect()}
+    every = {(r.query_id, r.vec_id): (r.score, r["rank"]) for r in held.search(asked, 10, 12, block=7).collect()}
+    assert every == true
+    probes = held.tune(asked, 10, 0.9)
+    found = {(r.query_id, r.vec_id) for r in held.search(asked, 10, probes).collect()}
+    assert probes < 12 and len(found & set(true)) >= 0.9 * len(true)
+    assert all(r.read < 1200 for r in held.read_for(asked, probes).collect())
+    files = held.search(asked.where("query_id = 0"), 10, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(cell" in files or "PartitionFilters: [cell" in files
+    none = CellIndex.save(vectors.limit(0), str(tmp_path / "none"))
+    assert none.vectors.count() == 0
