@@ -202,13 +202,13 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def salted_join(big: DataFrame, small: DataFrame, key: list[str], counts: DataFrame, spread: str, scratch: Scratch, how: str = "inner") -> DataFrame:
+def salted_join(big: DataFrame, small: DataFrame, key: list[str], counts: DataFrame, spread: str, how: str = "inner") -> DataFrame:
     """``big`` joined with ``small`` (a row a key at most) on ``key``; keys with many rows are dealt out by ``spread`` to several tasks.
 
     ``counts`` (key, m) says how many rows of ``big`` a key has. Those beyond ``HOT_ROWS`` are few, a row in so many, and broadcast with their parts.
     """
-    hot = scratch.kept(counts.where(F.col("m") > HOT_ROWS).select(*key, F.ceil(F.col("m") / HOT_ROWS).cast("int").alias("_parts")))
-    if not hot.limit(1).count():
+    hot = counts.where(F.col("m") > HOT_ROWS).select(*key, F.ceil(F.col("m") / HOT_ROWS).cast("int").alias("_parts"))
+    if not hot.count():
         return big.join(small, key, how)
     hot = F.broadcast(hot)
     parts = F.coalesce("_parts", F.lit(1))
@@ -217,8 +217,11 @@ def salted_join(big: DataFrame, small: DataFrame, key: list[str], counts: DataFr
     return dealt.join(copied, [*key, "_salt"], how).drop("_salt")
 
 
-def _judge(pairs: DataFrame, sides: DataFrame, column: str, judge, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) that ``judge`` lets pass on both sides' ``column``; the pairs are joined with each side in turn, a hub's in parts."""
+def _judge(pairs: DataFrame, hubs: DataFrame, sides: DataFrame, column: str, judge) -> DataFrame:
+    """Pairs (a, b) that ``judge`` lets pass on both sides' ``column``; the pairs are joined with each side in turn.
+
+    ``hubs`` (a, m): a may be in any number of pairs, so its are dealt out; b is in as many as there are values it is listed under.
+    """
 
     @released
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,9 +229,8 @@ def _judge(pairs: DataFrame, sides: DataFrame, column: str, judge, scratch: Scra
             keep = [judge(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(rows.column(2), rows.column(3), strict=True)]
             yield rows.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    each = lambda x: pairs.groupBy(x).agg(F.count("*").alias("m"))
-    first = salted_join(pairs, sides.select(F.col("c").alias("b"), F.col(column).alias("_y")), ["b"], each("b"), "a", scratch)
-    both = salted_join(first, sides.select(F.col("c").alias("a"), F.col(column).alias("_x")), ["a"], each("a"), "b", scratch)
+    first = pairs.join(sides.select(F.col("c").alias("b"), F.col(column).alias("_y")), "b")
+    both = salted_join(first, sides.select(F.col("c").alias("a"), F.col(column).alias("_x")), ["a"], hubs, "b")
     return both.select("a", "b", "_x", "_y").mapInArrow(judged, "a long, b long")
 
 
@@ -249,12 +251,13 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs of classes (a, b) whose sketches allow it and whose full sets are similar."""
     scratch = Scratch(docs.sparkSession)
-    likely = scratch.kept(_judge(pairs, classes, "sketch", may_be_similar, scratch).distinct())
+    hubs = pairs.groupBy("a").agg(F.count("*").alias("m"))
+    likely = scratch.kept(_judge(pairs, hubs, classes, "sketch", may_be_similar).distinct())
     ids = scratch.kept(likely.select(F.col("a").alias("_id")).union(likely.select("b")).distinct())
     sets = scratch.kept(_sets(docs, ids))
-    found = durable(_judge(likely, sets, "shingles", similar, scratch).distinct())
+    found = durable(_judge(likely, hubs, sets, "shingles", similar).distinct())
     scratch.clear()
-    del likely, ids, sets
+    del likely, ids, sets, hubs
     swept(docs.sparkSession)
     return found
 
@@ -284,9 +287,8 @@ def _across(lists: DataFrame, docs: DataFrame, classes: DataFrame, components: D
     scratch = Scratch(spark)
     placed = lists.join(components, lists["c"] == components["node"], "left").select("value", "c", F.coalesce("component", "c").alias("component"))
     # In a list of two the only pair was tested.
-    open_lists = placed.groupBy("value").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high and m > 2").select("value", "m")
-    counts = open_lists.select("value", "m")
-    members = scratch.kept(salted_join(placed, open_lists, ["value"], counts, "c", scratch))
+    open_lists = scratch.kept(placed.groupBy("value").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high and m > 2").select("value", "m"))
+    members = scratch.kept(salted_join(placed, open_lists, ["value"], open_lists, "c"))
     grouped = scratch.kept(_groups(members).join(classes.select("c", "n"), "c"))
     wanted = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int")
     # Kept apart, so that the join with them is one that Spark deals out anew where a group is large.
@@ -373,7 +375,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     brief = Scratch(spark)
     lists = brief.kept(_listed(classes, common))
     hubs = brief.kept(lists.groupBy("value").agg(F.min("c").alias("a"), F.count("*").alias("m")).where("m > 1"))
-    multi = scratch.kept(salted_join(lists, hubs.select("value", "a"), ["value"], hubs, "c", brief))
+    multi = scratch.kept(salted_join(lists, hubs.select("value", "a"), ["value"], hubs, "c"))
     brief.clear()
     pairs = brief.kept(multi.where("a <> c").select("a", F.col("c").alias("b")).distinct())
     del lists, hubs
@@ -391,7 +393,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # A class has one row, so its component is found before the rows of copies are, which a large class has dealt out.
     named = reps.join(components, reps["c"] == components["node"], "left").select("d1", "d2", F.coalesce("component", "c").alias("component"))
     rows = all_sketches.select("doc_id", "n", "d1", "d2", F.monotonically_increasing_id().alias("_row"))
-    reached = salted_join(rows, named, ["d1", "d2"], reps.select("d1", "d2", "m"), "_row", scratch, "left")
+    reached = salted_join(rows, named, ["d1", "d2"], reps.select("d1", "d2", "m"), "_row", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     found = durable(reached.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")))
     scratch.clear()
