@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.llm.common import durable, remove_path, scratch_path, table, whole_row
+from quillmere.llm.common import durable, remove_path, scratch_path, swept, table, whole_row
 from quillmere.llm.decontaminate import find_items
 from quillmere.llm.language_id import identify, train_profiles
 from quillmere.llm.line_dedup import drop_frequent_lines
@@ -18,8 +18,10 @@ from quillmere.llm.vocabularies import vocabulary_path
 BROADCAST_IDS = 1_000_000
 #: What a text with words in it holds.
 WORDS = r"[\p{L}\p{N}]"
-#: Words of the shortest benchmark item that is looked for: a shorter one is in any number of clean documents.
+#: Words of the shortest benchmark item that is looked for inside documents: a shorter one is in any number of clean documents, so it must be all that a document says.
 LEAST_ITEM = 6
+#: A text of fewer words than that, and at least one; longer ones fail at the word too many.
+FEW_WORDS = rf"^[^\p{{L}}\p{{N}}]*+(?:[\p{{L}}\p{{N}}]++[^\p{{L}}\p{{N}}]++){{0,{LEAST_ITEM - 2}}}[\p{{L}}\p{{N}}]++[^\p{{L}}\p{{N}}]*+$"
 #: Length class from which the cosine decides, and labelled scores that a class needs for a median of its own.
 LEAST_CLASS, CLASS_SCORES = 5, 30
 
@@ -149,15 +151,24 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _rows(_once(_without(keyed, found.where(~F.col("kept")).select(F.col("doc_id").alias("_drop")))), docs)
 
 
+def _said(text: Column) -> Column:
+    """The words of a text in lower case, one space between; null where it has ``LEAST_ITEM`` of them or more, or none."""
+    return F.when(text.rlike(FEW_WORDS), F.array_join(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), " "))
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item.
+    """Documents that contain no benchmark item, and are none of fewer words than are looked for inside documents.
 
     Each row is judged by its own text, whatever its doc_id; repeated rows stay or go together, null and empty texts
     stay, and so do all rows where there are no items. No documents give none.
     """
     keyed = _keyed(docs)
-    found = find_items(_texts(keyed), table(spark, sf_dir, "benchmark"), least_words=LEAST_ITEM)
-    return _rows(_without(keyed, found.select(F.col("doc_id").alias("_drop"))), docs)
+    items = table(spark, sf_dir, "benchmark")
+    found = find_items(_texts(keyed), items, least_words=LEAST_ITEM).select(F.col("doc_id").alias("_drop"))
+    short = items.select(_said(F.col("text")).alias("_item")).where("_item is not null").distinct()
+    brief = keyed.select(_said(F.col("text")).alias("_say"), F.col("_key").alias("_drop")).where("_say is not null")
+    found = found.unionByName(brief.join(short, F.col("_say") == F.col("_item"), "left_semi").select("_drop"))
+    return _rows(_without(keyed, found), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -187,6 +198,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if before:
             remove_path(spark, before)
         docs, before = spark.read.parquet(path), path
+        swept(spark)
     # Packing has kept what it needs of the texts when it returns.
     packed = STAGES[-1][1](spark, docs, sf_dir)
     remove_path(spark, before)
