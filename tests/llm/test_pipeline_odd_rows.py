@@ -56,3 +56,12 @@ def test_no_documents(spark, tmp_path):
     spark.createDataFrame([(1, "an item of the benchmark")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, str(tmp_path)).count() == 0
+
+
+def test_short_items_only_as_whole_documents(spark, tmp_path):
+    items = ["Paris.", "the red fox", None, "", "?!", "one two three four five six"]
+    spark.createDataFrame([(k, t) for k, t in enumerate(items)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = ["paris", " PARIS!\n", "Paris is big", "The red, fox", "the red fox ran", "", None, "...", "alpha beta gamma delta epsilon", "one two three four five six", "paris " * 400]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
+    assert {r.doc_id for r in left.collect()} == {2, 4, 5, 6, 7, 8, 10}
