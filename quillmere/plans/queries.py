@@ -259,9 +259,22 @@ def url_filter(spark, sf_dir):
     return rows.select("page_id", pages.crawlable(F.col("url"), F.lit("example")).alias("crawlable"), pages.allowed_domain(F.col("url"), ["example.com"]).alias("allowed"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', CAST({len(set(v.split()))} AS INTEGER))" for k, v in L.DOMAINS.items()) + ") AS v(category, n)")
+_DOMAIN_ROWS = ", ".join(f"('{d}', '{k}')" for k, v in L.DOMAINS.items() for d in v.split())
+
+
+@query(f"""WITH d AS (SELECT DISTINCT * FROM (VALUES {_DOMAIN_ROWS}) AS v(domain, category)), p AS (SELECT page_id, {_HOST} AS host FROM pages UNION ALL SELECT -1 - (row_number() OVER (ORDER BY domain, category)), 'www.' || domain FROM d),
+  h AS (SELECT page_id, regexp_replace(host, '^(www|m|blog)\\.', '') AS domain FROM p), c AS (SELECT coalesce(category, 'unlisted') AS category, domain, page_id FROM h LEFT JOIN d USING (domain))
+  SELECT category, CASE WHEN category = 'unlisted' THEN '' ELSE array_to_string(list_sort(list(DISTINCT domain)), ',') END AS domains, CAST(count(DISTINCT domain) AS INTEGER) AS n, CAST(count(*) AS BIGINT) AS pages FROM c GROUP BY 1""")
 def domain_categories(spark, sf_dir):
-    return pages.domain_categories(pages.domain_table(spark)).select("category", F.size("domains").alias("n"))
+    """Pages and their hosts by category of the domain list, with a page of each listed domain beside the crawled ones. [SRC14, SET7, AGG27, TOP10]"""
+    known = pages.domain_table(spark)
+    crawled = table(spark, sf_dir, "pages").select(pages.host(F.col("url")).alias("host")).unionByName(known.select(F.concat(F.lit("www."), "domain").alias("host")))
+    hosts = crawled.select(F.regexp_replace("host", r"^(www|m|blog)\.", "").alias("domain"))
+    placed = hosts.join(F.broadcast(known), "domain", "left").select("domain", F.coalesce("category", F.lit("unlisted")).alias("category"))
+    counts = placed.groupBy("category").agg(F.count_distinct("domain").cast("int").alias("n"), F.count("*").alias("pages"))
+    # Only the list's own domains, a bounded number, are put together.
+    named = pages.domain_categories(known).select("category", F.array_join("domains", ",").alias("domains"))
+    return counts.join(named, "category", "left").select("category", F.coalesce("domains", F.lit("")).alias("domains"), "n", "pages")
 
 
 @query(f"WITH p AS (SELECT url, {_HOST} AS d FROM pages) SELECT url FROM p WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)")
