@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillmere.functions import catalog
 from quillmere.functions import lexicon as L
 from quillmere.functions import text as T
-from quillmere.operators import blocks, cells, index, positions, trigrams, vector
+from quillmere.operators import blocks, cells, encoder, index, positions, trigrams, vector
 from quillmere.operators.positions import All, Any, Not, Phrase, Word
 from quillmere.operators.segments import SegmentedIndex
 from quillmere.operators.site import Site
@@ -191,3 +191,11 @@ def cell_search(spark, sf_dir):
     done = durable(hits.join(held.read_for(asked, probes), "query_id").withColumn("vectors", F.lit(rows.count()).cast("long")))
     scratch.clear()
     return done
+
+
+@query()
+def encoded_search(spark, sf_dir):
+    """Texts to vectors by the hashed projection, then of every fiftieth document the five most similar. Tests hold the vectors against a model. [SEM11, SEM12]"""
+    vectors = durable(encoder.embed(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    return vector.search(vectors, asked, 5)

@@ -474,3 +474,34 @@ def test_cells_find_the_neighbours_and_read_less(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(cell" in files or "PartitionFilters: [cell" in files
     none = CellIndex.save(vectors.limit(0), str(tmp_path / "none"))
     assert none.vectors.count() == 0
+
+
+def test_encoder_equals_a_model(spark):
+    import hashlib
+
+    import numpy as np
+
+    from quillmere.operators import encoder
+
+    texts = {1: "Ett två två-tre", 2: "", 3: None, 4: "ett två TVÅ-TRE", 5: "något helt annat", 6: "x " * 5000}
+    rows = spark.createDataFrame([(k, t) for k, t in texts.items()] + [(None, "x")], "doc_id long, text string")
+    got = {r.vec_id: np.array(r.embedding) for r in encoder.embed(rows).collect()}
+    assert set(got) == set(texts)
+    for k, text in texts.items():
+        want = np.zeros(64)
+        for word in T_tokens(text):
+            for x in np.frombuffer(hashlib.blake2b(word.encode(), digest_size=16).digest(), "<u4"):
+                want[(x >> 1) % 64] += 1 if x & 1 else -1
+        norm = np.sqrt((want**2).sum())
+        assert got[k] == pytest.approx(want / norm if norm else want, abs=1e-6)
+    vectors = encoder.embed(rows)
+    near = vector.search(vectors, vectors.where("vec_id = 1").selectExpr("vec_id AS query_id", "CAST(embedding AS array<double>) AS vector"), 2)
+    assert [r.vec_id for r in near.orderBy("rank").collect()] == [1, 4]
+    ones = encoder.encode(F.col("text"), lambda: lambda texts: np.ones((len(texts), 2), np.float32))
+    assert [r[0] for r in rows.select(ones).collect()] == [[1.0, 1.0]] * 7
+
+
+def T_tokens(text):
+    import re
+
+    return re.findall(r"\w+(?:-\w+)*", (text or "").lower())
