@@ -391,7 +391,27 @@ def synonym_expansion(spark, sf_dir):
     return _asked(spark, sf_dir).select("id", F.explode(T.synonyms(T.terms(F.col("text")))).alias("term"))
 
 
-@query()
+#: The most balanced cut of ``rest`` into likely parts, as (left, right); empty where there is none. Positions count from 0, joiners in their order.
+_BEST_CUT = f"""list_sort(list_filter(flatten(list_transform(range(3, CAST(length(rest) - 3 AS BIGINT)), lambda k: list_transform([1, 2, 3, 4], lambda j: {{
+    'b': -least(k, length(rest) - k - CASE WHEN j < 4 THEN 1 ELSE 0 END), 'k': k, 'j': j, 'l': left(rest, CAST(k AS INTEGER)), 'r': substring(rest, CAST(k + CASE WHEN j < 4 THEN 2 ELSE 1 END AS INTEGER)),
+    'ok': j = 4 OR substring(rest, CAST(k + 1 AS INTEGER), 1) = ['s', 'e', 'o', ''][j]}}))),
+  lambda c: c.ok AND (length(c.l) >= 4 OR (length(c.l) >= 3 AND c.l IN ({_sql_list(sorted(L.COMPONENTS_V1))}))) AND (length(c.r) >= 4 OR (length(c.r) >= 3 AND c.r IN ({_sql_list(sorted(L.COMPONENTS_V1))})))))"""
+_PLANNED = f"""tokens AS (SELECT id, unnest({_TERMS}) AS t, generate_subscripts({_TERMS}, 1) AS p FROM q),
+  cut(term, parts, rest) AS (
+    SELECT DISTINCT t, CAST([] AS VARCHAR[]), t FROM tokens
+    UNION ALL SELECT term, CASE WHEN len(best) > 0 THEN list_append(parts, best[1].l) ELSE list_append(parts, rest) END, CASE WHEN len(best) > 0 THEN best[1].r END
+    FROM (SELECT term, parts, rest, CASE WHEN length(rest) >= 8 THEN {_BEST_CUT} ELSE [] END AS best FROM cut WHERE rest IS NOT NULL)),
+  compounds AS (SELECT term, parts FROM cut WHERE rest IS NULL), m AS (SELECT {_sql_map(L.SYNONYMS)} AS m),
+  stemmed AS (SELECT w, CASE WHEN s IN ('fullt', 'löst') THEN left(x, length(x) - 1) WHEN s <> '' THEN left(x, length(x) - length(s)) ELSE x END AS stem FROM e),
+  whole AS (SELECT id, list(stem ORDER BY p) AS stems, flatten(list(parts ORDER BY p)) AS parts, list_sort(list_distinct(flatten(list(list_prepend(t, coalesce(m[t], []))))))  AS syn
+    FROM tokens JOIN compounds ON term = t JOIN stemmed ON w = t, m GROUP BY id),
+  numbered AS (SELECT id, stems, x, min(k) AS k FROM (SELECT id, stems, unnest(list_concat(stems, parts, syn)) AS x, generate_subscripts(list_concat(stems, parts, syn), 1) AS k FROM whole) GROUP BY ALL),
+  planned AS (SELECT id, any_value(stems) AS stems, list(x ORDER BY k) AS terms FROM numbered GROUP BY id),
+  capped AS (SELECT id, CASE WHEN len(terms) > {L.TERM_CAP} THEN stems[1:{L.TERM_CAP}] ELSE terms END AS terms FROM planned)
+  SELECT id, CAST(generate_subscripts(terms, 1) - 1 AS INTEGER) AS ord, unnest(terms) AS term FROM capped"""
+
+
+@query(_ASK.replace("WITH a AS", "WITH RECURSIVE asked AS", 1).replace(" FROM a)", " FROM asked)") + ", " + _STEM_SQL[: _STEM_SQL.index("SELECT w AS term")].rstrip().replace("FROM documents)", "FROM q)", 1) + ", " + _PLANNED)
 def search_term_planning(spark, sf_dir):
     asked = _asked(spark, sf_dir).select("id", T.terms(F.col("text")).alias("tokens"))
     parts = asked.withColumn("parts", swedish.split_all(F.col("tokens"), "balanced"))
