@@ -218,3 +218,11 @@ PAIR_PATTERN = r"mellan\s+(.+?)\s+(?:och|eller)\s+(.+?)(?:\?|$)"
 REFORMULATED_HOURS = ["öppet", "timmar", "hours", "klocka"]
 REFORMULATED_ADDRESS = ["address", "plats", "väg", "street"]
 REFORMULATED_PHONE = ["phone", "ring", "call"]
+
+# Patterns of the places that a query names, of domains, and the words that an intent's query does without (None: its marks), in order.
+PLACE_PATTERNS = [r"i ([\p{L}\p{N}_\s]+?)(?:\s|$|,|\.)", r"från ([\p{L}\p{N}_\s]+?)(?:\s|$|,|\.)", r"([\p{L}\p{N}_\s]+?) kommun", r"([\p{L}\p{N}_\s]+?) län"]
+VALID_DOMAIN = r"^[a-zA-Z0-9]([a-zA-Z0-9\-]{0,61}[a-zA-Z0-9])?(\.[a-zA-Z0-9]([a-zA-Z0-9\-]{0,61}[a-zA-Z0-9])?)*\.[a-zA-Z]{2,}$"
+INTENT_REMOVED = ["(?:hur|vad|vilken|var|när)", None, "ärvid", "är", "man", "skillnaden mellan"]
+
+# Colours of alerts by severity.
+ALERT_COLOURS = {"info": "#36a64f", "warning": "#ff9900", "error": "#ff0000", "critical": "#990000"}

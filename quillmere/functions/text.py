@@ -172,7 +172,7 @@ def intent_boosts(intent: Column) -> Column:
 def intent_query(query: Column) -> Column:
     """The query without question words. [STR17]"""
     q = F.lower(query)
-    for removed in ["(?:hur|vad|vilken|var|när)", None, "ärvid", "är", "man", "skillnaden mellan"]:
+    for removed in L.INTENT_REMOVED:
         q = F.regexp_replace(q, r"[?!]", "") if removed is None else F.regexp_replace(q, rf"(?U)\b{removed}\b", "")
     return F.trim(F.regexp_replace(q, r"\s+", " "))
 

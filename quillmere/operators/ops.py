@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillmere.functions import lexicon as L
 from quillmere.operators.ranking import age_days, safe_divide
 from quillmere.shared import durable, partitions_of, quoted
 from quillmere.streaming.machines import cache_entry, run_rows
@@ -152,7 +153,7 @@ def due(last: Column, now: Column, seconds: int) -> Column:
 def alert_payload(alerts: DataFrame) -> DataFrame:
     """A JSON payload by severity's colour. [PRJ15, SNK8]"""
     # Colours.
-    colour = F.create_map(*[F.lit(x) for x in ("info", "#36a64f", "warning", "#ff9900", "error", "#ff0000", "critical", "#990000")])
+    colour = F.create_map(*[F.lit(x) for pair in L.ALERT_COLOURS.items() for x in pair])
     body = F.struct(colour[F.lower("severity")].alias("color"), "title", F.col("message").alias("text"), F.unix_seconds("ts").alias("ts"))
     return alerts.select("*", F.to_json(F.struct(F.array(body).alias("attachments"))).alias("payload"))
 

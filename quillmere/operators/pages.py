@@ -172,7 +172,7 @@ def allowed_domain(url: Column, domains: list[str]) -> Column:
 
 def valid_domain(domain: Column) -> Column:
     """[FLT18]"""
-    return domain.rlike(r"^[a-zA-Z0-9]([a-zA-Z0-9\-]{0,61}[a-zA-Z0-9])?(\.[a-zA-Z0-9]([a-zA-Z0-9\-]{0,61}[a-zA-Z0-9])?)*\.[a-zA-Z]{2,}$")
+    return domain.rlike(L.VALID_DOMAIN)
 
 
 def valid_url(url: Column, schemes: tuple[str, ...] = ("http", "https")) -> Column:

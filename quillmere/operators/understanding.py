@@ -141,9 +141,7 @@ def places_in(query: Column) -> Column:
 def query_place(query: Column) -> Column:
     """The known place that a pattern names: i X, från X, X kommun, X län. [SEM9]"""
     q, known = F.lower(query), [*L.CITIES, *L.COUNTIES]
-    w = r"[\p{L}\p{N}_\s]"
-    patterns = [rf"i ({w}+?)(?:\s|$|,|\.)", rf"från ({w}+?)(?:\s|$|,|\.)", rf"({w}+?) kommun", rf"({w}+?) län"]
-    hits = [F.trim(F.regexp_extract(q, p, 1)) for p in patterns]
+    hits = [F.trim(F.regexp_extract(q, p, 1)) for p in L.PLACE_PATTERNS]
     return F.coalesce(*[F.when(h.isin(known), h) for h in hits])
 
 

@@ -112,11 +112,10 @@ def metric_lines(spark, sf_dir):
     return ops.exposition(counts.select(F.lit("requests_total").alias("name"), labels.alias("labels"), F.col("n").alias("value")))
 
 
-_COLOURS = {"info": "#36a64f", "warning": "#ff9900", "error": "#ff0000", "critical": "#990000"}
 _SEVERITY = "CASE user_id % 4 WHEN 0 THEN 'info' WHEN 1 THEN 'WARNING' WHEN 2 THEN 'Error' ELSE 'critical' END"
 
 
-@query(f"""SELECT event_id, '{{"attachments":[{{"color":"' || {_case(_COLOURS, f"lower({_SEVERITY})")} || '","title":"' || event_type || '","text":"user ' || user_id || '","ts":' || CAST(floor(epoch(ts)) AS BIGINT) || '}}]}}' AS payload FROM events""")
+@query(f"""SELECT event_id, '{{"attachments":[{{"color":"' || {_case(L.ALERT_COLOURS, f"lower({_SEVERITY})")} || '","title":"' || event_type || '","text":"user ' || user_id || '","ts":' || CAST(floor(epoch(ts)) AS BIGINT) || '}}]}}' AS payload FROM events""")
 def alert_payloads(spark, sf_dir):
     """[SNK8, PRJ15]"""
     alerts = _events(spark, sf_dir).select("event_id", F.expr(_SEVERITY).alias("severity"), F.col("event_type").alias("title"), F.concat(F.lit("user "), F.col("user_id")).alias("message"), "ts")
@@ -278,11 +277,8 @@ def robots(spark, sf_dir):
     return pages.robots_allowed(rows.select("url"), rules)
 
 
-_VALID_DOMAIN = r"^[a-zA-Z0-9]([a-zA-Z0-9\-]{0,61}[a-zA-Z0-9])?(\.[a-zA-Z0-9]([a-zA-Z0-9\-]{0,61}[a-zA-Z0-9])?)*\.[a-zA-Z]{2,}$"
-
-
-@query(rf"""SELECT page_id, regexp_matches({_HOST}, '{_VALID_DOMAIN}') AS domain, regexp_matches(CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN 'ftp://' || url ELSE url || ' x' END, '^(http|https)://[^\s/?#]+[^\s]*$') AS url,
-  regexp_matches(replace({_HOST}, '.', '..'), '{_VALID_DOMAIN}') AS doubled FROM pages""")
+@query(rf"""SELECT page_id, regexp_matches({_HOST}, '{L.VALID_DOMAIN}') AS domain, regexp_matches(CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN 'ftp://' || url ELSE url || ' x' END, '^(http|https)://[^\s/?#]+[^\s]*$') AS url,
+  regexp_matches(replace({_HOST}, '.', '..'), '{L.VALID_DOMAIN}') AS doubled FROM pages""")
 def url_formats(spark, sf_dir):
     """[FLT18]"""
     url, k = F.col("url"), F.col("page_id") % 3
@@ -364,14 +360,13 @@ def semantic_terms(spark, sf_dir):
     return rows.select("id", F.array_join(found, " ").alias("terms"))
 
 
-_PAIR = r"mellan\s+(.+?)\s+(?:och|eller)\s+(.+?)(?:\?|$)"
 _PRACTICAL = [(["öppet"], L.REFORMULATED_HOURS), (["adress", "lokalisering"], L.REFORMULATED_ADDRESS), (["telefon", "nummer"], L.REFORMULATED_PHONE)]
 _PRACTICAL_SQL = "list_concat(" + ", ".join(f"CASE WHEN {' OR '.join(f"contains(q, '{w}')" for w in ws)} THEN [{_sql_list(v)}] ELSE [] END" for ws, v in _PRACTICAL) + ")"
 
 
 @query(rf"""{_ASK}, i AS (SELECT unnest(['GUIDE', 'DEFINITION', 'PRACTICAL_INFO', 'NEWS']) AS intent)
   SELECT id, intent, array_to_string(CASE intent WHEN 'GUIDE' THEN [trim(replace(replace(q, 'steg för steg', ''), 'instruktion', ''))]
-    WHEN 'DEFINITION' THEN CASE WHEN regexp_matches(q, '{_PAIR}') THEN [trim(regexp_extract(q, '{_PAIR}', 1)), trim(regexp_extract(q, '{_PAIR}', 2))] ELSE [] END WHEN 'PRACTICAL_INFO' THEN {_PRACTICAL_SQL} ELSE [] END, '|') AS found FROM q, i""")
+    WHEN 'DEFINITION' THEN CASE WHEN regexp_matches(q, '{L.PAIR_PATTERN}') THEN [trim(regexp_extract(q, '{L.PAIR_PATTERN}', 1)), trim(regexp_extract(q, '{L.PAIR_PATTERN}', 2))] ELSE [] END WHEN 'PRACTICAL_INFO' THEN {_PRACTICAL_SQL} ELSE [] END, '|') AS found FROM q, i""")
 def reformulations(spark, sf_dir):
     """[STR33]"""
     rows = _asked(spark, sf_dir).withColumn("intent", F.explode(T.words(["GUIDE", "DEFINITION", "PRACTICAL_INFO", "NEWS"])))

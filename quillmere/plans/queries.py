@@ -60,8 +60,8 @@ _ASKED = {1: ["the", "that"], 2: ["une", "eau"], 3: ["of", "of", "in"], 4: ["der
 _ASKED_SQL = "q AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{t}')" for k, ts in _ASKED.items() for t in ts) + ") AS v(query_id, term))"
 
 
-#: Indexes saved in this application, by application and folder, with what their documents were when they were indexed.
-_SAVED: dict[tuple[str, str], tuple[object, index.Index]] = {}
+#: Indexes saved in this application, by application and folder, with what their documents were when they were indexed, and where they are.
+_SAVED: dict[tuple[str, str], tuple[object, index.Index, str]] = {}
 
 
 def _built(spark: SparkSession, sf_dir: str) -> index.Index:
@@ -71,10 +71,14 @@ def _built(spark: SparkSession, sf_dir: str) -> index.Index:
 
 
 def _unstemmed(spark: SparkSession, sf_dir: str) -> index.Index:
-    """The same, saved in the shared folder when it is first asked for, and again when the documents have changed."""
+    """The same, saved in the shared folder when it is first asked for, and again when the documents have changed; the old one goes then."""
     key, now = (spark.sparkContext.applicationId, sf_dir), changed(spark, f"{sf_dir}/documents.parquet")
     if key not in _SAVED or _SAVED[key][0] != now:
-        _SAVED[key] = (now, _built(spark, sf_dir).save(scratch_path(spark, "index")))
+        path = scratch_path(spark, "index")
+        found = _built(spark, sf_dir).save(path)
+        if key in _SAVED:
+            remove_path(spark, _SAVED[key][2])
+        _SAVED[key] = (now, found, path)
     return _SAVED[key][1]
 
 
@@ -294,7 +298,7 @@ def crawl_rollup(spark, sf_dir):
 
 
 # --- queries and their understanding -------------------------------------------------------------------------------
-#: Asked in the inventory's fixtures; joined with the conversations' texts.
+#: Asked in the inventory's fixtures; joined with the conversations' texts.
 _QUESTIONS = [
     "Hur ansöker jag arbetstillståndet?", "Var kan jag hitta sjukhus i Stockholm?", "Vad är öppettiderna idag?", "Kan jag söka stipendium?", "Hur lång är handläggningstiden?",
     "Vilka är kraven för antagning?", "riksdagsledamöter", "apotek", "svt.se", "restauranger malmö", "Vad är skillnaden mellan landsting och region?", "Öppettider systembolaget Stockholm",
