@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from quillmere.functions import catalog
 from quillmere.functions import lexicon as L
 from quillmere.functions import text as T
-from quillmere.operators import blocks, cells, encoder, index, positions, trigrams, vector
+from quillmere.operators import blocks, cells, encoder, index, pages, positions, trigrams, vector
 from quillmere.operators.positions import All, Any, Not, Phrase, Word
 from quillmere.operators.segments import SegmentedIndex
 from quillmere.operators.site import Site
 from quillmere.plans.queries import _ASKED, _ASKED_SQL, _CASE_AUTHORITY, _HOST, _SKIP, _TERMS, _TOKENS, _UNESCAPE, _hits, _search_sql, _unstemmed, query, table
 from quillmere.shared import Scratch, durable
+from quillmere.sources import folders
 
 
 @query(_search_sql("ln((n - df + 0.5) / (df + 0.5) + 1) * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))"))
@@ -199,3 +200,21 @@ def encoded_search(spark, sf_dir):
     vectors = durable(encoder.embed(table(spark, sf_dir, "documents").select("doc_id", "text")))
     asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector"))
     return vector.search(vectors, asked, 5)
+
+
+@query(f"SELECT url, {_HOST} AS domain, md5(html) AS content FROM pages")
+def page_folder_source(spark, sf_dir):
+    """All pages as one JSON file each in a folder for each host, read by the data source and, as a stream that is ended half-way, again; what both have read. [SRC1, SRC5, SRC7]"""
+    folders.register(spark)
+    scratch = Scratch(spark)
+    path, out, state = scratch.path("folders"), scratch.path("read"), scratch.path("state")
+    rows = table(spark, sf_dir, "pages").select("url", pages.host(F.col("url")).alias("domain"), F.md5("html").alias("content")).withColumn("folder", F.col("domain"))
+    half = F.pmod(F.xxhash64("url"), F.lit(2)) == 0
+    for part in (half, ~half):
+        rows.where(part).write.mode("append").partitionBy("folder").option("maxRecordsPerFile", 1).json(path)
+        source = spark.readStream.format("crawled_pages").option("settle", 0).load(path).select("url", "domain", "content")
+        source.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    batch, stream = spark.read.format("crawled_pages").load(path).select("url", "domain", "content"), spark.read.parquet(out)
+    found = durable(batch.intersectAll(stream).unionByName(batch.exceptAll(stream).withColumn("content", F.lit("only in batch"))).unionByName(stream.exceptAll(batch).withColumn("content", F.lit("only in the stream"))))
+    scratch.clear()
+    return found

@@ -505,3 +505,48 @@ def T_tokens(text):
     import re
 
     return re.findall(r"\w+(?:-\w+)*", (text or "").lower())
+
+
+def test_page_folders_in_batch_and_as_a_stream(spark, tmp_path):
+    """Both read every page once, what is added later too, after a restart; broken files are passed over."""
+    import json
+
+    from quillmere.sources import folders
+
+    folders.register(spark)
+    crawl = tmp_path / "crawl"
+
+    def save(domain, name, page):
+        (crawl / domain).mkdir(parents=True, exist_ok=True)
+        (crawl / domain / name).write_text(page if isinstance(page, str) else json.dumps(page, ensure_ascii=False), encoding="utf-8")
+
+    page = lambda k, **more: {"url": f"http://a.se/{k}", "domain": "a.se", "content": f"text å {k}", "links": ["x", 3], "status_code": 200, **more}
+    for k in range(5):
+        save("a.se" if k % 2 else "b.se", f"{k}.json", page(k))
+    save("a.se", "broken.json", "{no json")
+    save("a.se", "other.json", "[1]")
+    save("a.se", "empty.json", {"url": "http://a.se/none"})
+    save("a.se", "odd.json", page(9, status_code="x", title=7, links=None))
+    save("a.se", "notes.txt", page(50))
+    batch = spark.read.format("crawled_pages").load(str(crawl))
+    got = {r.url: r for r in batch.collect()}
+    assert set(got) == {f"http://a.se/{k}" for k in (0, 1, 2, 3, 4, 9)}
+    assert got["http://a.se/1"].links == ["x"] and got["http://a.se/1"].content == "text å 1"
+    assert (got["http://a.se/9"].status_code, got["http://a.se/9"].title, got["http://a.se/9"].links) == (None, None, None)
+    assert batch.rdd.getNumPartitions() == 2
+    assert spark.read.format("crawled_pages").option("domains", "b.se").load(f"file://{crawl}").count() == 3
+    assert spark.read.format("crawled_pages").load(str(tmp_path / "nowhere")).count() == 0
+
+    def run():
+        source = spark.readStream.format("crawled_pages").option("settle", 0).load(str(crawl)).select("url", "content")
+        q = source.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+        return Counter(r.url for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert run() == Counter(list(got))
+    for k in (20, 21):
+        save("c.se", f"{k}.json", page(k))
+    want = Counter([*got, "http://a.se/20", "http://a.se/21"])
+    assert run() == want and run() == want
+    save("c.se", "20.json", page(20, content="anew"))
+    assert run() == want + Counter(["http://a.se/20"])
