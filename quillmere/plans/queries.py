@@ -423,6 +423,26 @@ def search_term_planning(spark, sf_dir):
     return parts.select("id", F.posexplode(terms).alias("ord", "term"))
 
 
+_MARKERS_SQL = "MAP {" + ", ".join(f"'{k}': CAST({v} AS DOUBLE)" for k, v in L.MARKERS_V2.items()) + "}"
+
+
+@query(_ASK.replace("WITH a AS", "WITH RECURSIVE a AS", 1) + f""", tokens AS (SELECT DISTINCT unnest({_TERMS}) AS t FROM q),
+  cut(term, parts, rest) AS (
+    SELECT t, CAST([] AS VARCHAR[]), t FROM tokens
+    UNION ALL SELECT term, CASE WHEN len(best) > 0 THEN list_append(parts, best[1].l) ELSE list_append(parts, rest) END, CASE WHEN len(best) > 0 THEN best[1].r END
+    FROM (SELECT term, parts, rest, CASE WHEN length(rest) >= 8 THEN {_BEST_CUT} ELSE [] END AS best FROM cut WHERE rest IS NOT NULL)),
+  mk AS (SELECT t, list_sort(list_filter(list_transform(range(4, CAST(length(t) - 2 AS BIGINT)), lambda k: {{'w': -coalesce(({_MARKERS_SQL})[substring(t, CAST(k AS INTEGER), 1)], 0), 'k': k}}), lambda c: c.w < 0)) AS found FROM tokens)
+  SELECT term, array_to_string(parts, '+') AS balanced,
+    CASE WHEN length(t) >= 6 AND len(found) > 0 AND -found[1].w > 0.5 THEN left(t, CAST(found[1].k - 1 AS INTEGER)) || '+' || substring(t, CAST(found[1].k + 1 AS INTEGER)) ELSE t END AS marked
+  FROM cut JOIN mk ON term = t WHERE rest IS NULL""")
+def compound_cuts(spark, sf_dir):
+    """The two splitters that SQL can express, over all distinct terms asked for. [STR4-STR6, COL2]"""
+    terms = _asked(spark, sf_dir).select(F.explode(T.terms(F.col("text"))).alias("term")).distinct()
+    for kind in ("balanced", "marked"):
+        terms = swedish.split_terms(terms, "term", kind, kind)
+    return terms.select("term", *[F.array_join(k, "+").alias(k) for k in ("balanced", "marked")])
+
+
 @query()
 def compound_parts(spark, sf_dir):
     terms = _asked(spark, sf_dir).select(F.explode(T.terms(F.col("text"))).alias("term")).distinct()
