@@ -196,6 +196,21 @@ def test_similar_strings_equal_all_pairs(spark, threshold):
     assert "CartesianProduct" not in trigrams.similar(found, threshold)._jdf.queryExecution().toString()
 
 
+def test_similar_strings_in_blocks_shuffle_no_candidates(spark, monkeypatch):
+    monkeypatch.setattr(trigrams, "BLOCK", 16)
+    rng = random.Random(9)
+    rows = {k: " ".join("".join(rng.choice("abå") for _ in range(4)) for _ in range(3)) for k in range(120)}
+    found = trigrams.TrigramIndex.build(spark.createDataFrame(list(rows.items()), "id long, text string"), "id", "text")
+    sets = {k: frozenset(grams(t)) for k, t in rows.items()}
+    pairs = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in rows for b in rows if sets[a] != sets[b]}
+    similar = trigrams.similar(found, 0.3)
+    assert {(r.a, r.b): r.similarity for r in similar.collect()} == {(a, b): v for (a, b), v in pairs.items() if a < b and v >= 0.3}
+    assert "Join" not in similar._jdf.queryExecution().executedPlan().toString()
+    asked = spark.createDataFrame([(k,) for k in rows], "query_id long")
+    got = {(r.query_id, r["rank"]): r["class"] for r in trigrams.closest(found, asked, 2, 0.3).collect()}
+    assert got == {(a, n): b for a in rows for n, b in enumerate(sorted((b for b in rows if pairs.get((a, b), 0) >= 0.3), key=lambda b: (-pairs[a, b], b))[:2], 1)}
+
+
 # --- pages ----------------------------------------------------------------------------------------------------------
 READ = [
     ("<a href=/p>x</a><a href='/r&amp;s'>y</a><A HREF=\"../up\">z</A><a href='#top'>t</a><a>none</a><a href='mailto:x@a.se'>m</a><a href='//b.a.se/c'>o</a>", "http://a.se/x/y/z",
