@@ -49,8 +49,7 @@ def filter_tokens(tokens: Column, low: int = L.MIN_WORD, high: int = L.MAX_WORD)
 
 def remove_stopwords(tokens: Column, stopwords: list[str] = L.STOPWORDS) -> Column:
     """[FLT4]"""
-    stop = words(stopwords)
-    return F.filter(tokens, lambda t: ~F.array_contains(stop, F.lower(t)))
+    return F.filter(tokens, lambda t: ~F.lower(t).isin(stopwords))  # a hash set, where an array would be gone through for each token
 
 
 def terms(text: Column) -> Column:
@@ -260,8 +259,17 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def matches_all(query: Column, text: Column) -> Column:
-    """Whether every stem of the query is among the text's. [STR37]"""
-    return F.size(F.array_except(F.array_distinct(stems(query)), stems(text))) == 0
+    """Whether every stem of the query is among the text's. [STR37]
+
+    A word begins with its stem, so only those of the text's words that begin with a stem of the query are filtered and stemmed.
+    """
+
+    def held(wanted: Column) -> Column:
+        near = F.array_distinct(F.filter(tokenize(text), lambda t: F.exists(wanted, lambda s: t.startswith(s))))
+        return F.size(F.array_except(wanted, F.transform(remove_stopwords(filter_tokens(near)), stem))) == 0
+
+    # By way of an array, so that the query is stemmed once a row and not once a token.
+    return F.transform(F.array(F.array_distinct(stems(query))), held)[0]
 
 
 def suggest(prefix: Column, values: list[str] = L.SUGGESTIONS, limit: int = 5) -> Column:

@@ -229,3 +229,15 @@ def test_entry_has_every_query(spark):
 
     names, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(names) and __spark_entry__.entry(spark).count() > 0
+
+
+def test_full_text_match_stems_few_words(spark):
+    """The stems of a whole text are not made where few of its words begin as the query's do."""
+    from quillmere.functions import text as T
+
+    texts = ["the boats and bilarna that", "bilen", None, "", "båtarna bilar", "Båten och BILARNAS", "b i l", "bil-arna båt"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, text string")
+    for query in ("bilar", "bilar båten", "the that", "", "och", None):
+        want = {r.id: r.m for r in df.select("id", (F.size(F.array_except(F.array_distinct(T.stems(F.lit(query).cast("string"))), T.stems(F.col("text")))) == 0).alias("m")).collect()}
+        assert {r.id: r.m for r in df.select("id", T.matches_all(F.lit(query).cast("string"), F.col("text")).alias("m")).collect()} == want
+    assert "startswith" in df.select(T.matches_all(F.lit("bilar"), F.col("text")).alias("m"))._jdf.queryExecution().analyzed().toString().lower()
