@@ -34,9 +34,16 @@ def collapse_copies(docs: DataFrame, content: str = "text", newest: str = "doc_i
 
 
 def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", stemmed: bool = True) -> DataFrame:
-    """(term, doc_id, tf, dl). Terms are stemmed once each posting, after counting. [AGG1, AGG2]"""
-    found = docs.select(F.col(doc_id).alias("doc_id"), T.terms(F.col(text)).alias("tokens"))
-    counted = found.select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("token")).groupBy("doc_id", "dl", "token").agg(F.count("*").alias("tf"))
+    """(term, doc_id, tf, dl). Terms are stemmed once each posting, after counting. [AGG1, AGG2]
+
+    A row is a document. Its tokens are counted where they are: sorted, each run of equal ones is a posting, so that nothing is shuffled or spilled.
+    """
+    sorted_ = docs.select(F.col(doc_id).alias("doc_id"), F.sort_array(T.terms(F.col(text))).alias("tokens")).where("size(tokens) > 0")
+    first = lambda i: (i == 1) | (F.get("tokens", i - 1) != F.get("tokens", i - 2))
+    runs = sorted_.select("doc_id", "tokens", F.size("tokens").alias("dl"), F.filter(F.sequence(F.lit(1), F.size("tokens")), first).alias("_at"))
+    ends = F.concat(F.slice("_at", F.lit(2), F.size("_at")), F.array(F.col("dl") + 1))
+    posting = F.zip_with("_at", ends, lambda a, b: F.struct(F.get("tokens", a - 1).alias("token"), (b - a).cast("long").alias("tf")))
+    counted = runs.select("doc_id", F.col("dl").cast("long").alias("dl"), F.inline(posting))
     if not stemmed:
         return counted.select(F.col("token").alias("term"), "doc_id", "tf", "dl")
     return counted.groupBy(T.stem(F.col("token")).alias("term"), "doc_id", "dl").agg(F.sum("tf").alias("tf")).select("term", "doc_id", "tf", "dl")
@@ -91,8 +98,17 @@ class Index:
 
         Terms come from the saved postings, so texts are read once.
         """
-        spark = self.documents.sparkSession
         self.documents.write.mode("overwrite").parquet(f"{path}/documents")
+        return self._save_rest(path)
+
+    @classmethod
+    def written(cls, docs: DataFrame, path: str, stemmed: bool = True) -> Index:
+        """What ``build(docs).save(path)`` gives, with ``docs`` computed once: all else is read from the saved documents."""
+        docs.withColumn("head", F.substring("text", 1, 200)).write.mode("overwrite").parquet(f"{path}/documents")
+        return cls.build(docs.sparkSession.read.parquet(f"{path}/documents"), stemmed)._save_rest(path)
+
+    def _save_rest(self, path: str) -> Index:
+        spark = self.documents.sparkSession
         # Half a million postings or so a row group.
         self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.option("parquet.block.size", 2 << 20).mode("overwrite").parquet(f"{path}/postings")
         saved = spark.read.parquet(f"{path}/postings")
@@ -140,13 +156,15 @@ def capped(post: DataFrame, cap: int) -> DataFrame:
     """Of each term the ``cap`` postings of the highest tf, ties to the smaller id. [WIN1]
 
     A frequent term is ranked in as many parts as there are partitions first, so that what one task has to rank in the end
-    is at most ``cap`` rows a part.
+    is at most ``cap`` rows a part. Terms of no more postings than the cap, nearly all, are not ranked.
     """
+    over = F.broadcast(post.groupBy("term").agg(F.count("*").alias("_n")).where(F.col("_n") > cap).select("term"))
+    ranked, rest = post.join(over, "term", "left_semi"), post.join(over, "term", "left_anti")
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(partitions_of(post.sparkSession)))
     best = [F.desc("tf"), F.asc("doc_id")]
     part = F.row_number().over(Window.partitionBy("term", "_salt").orderBy(*best))
-    some = post.withColumn("_salt", salt).withColumn("_rank", part).where(F.col("_rank") <= cap).drop("_salt", "_rank")
-    return some.withColumn("_rank", F.row_number().over(Window.partitionBy("term").orderBy(*best))).where(F.col("_rank") <= cap).drop("_rank")
+    some = ranked.withColumn("_salt", salt).withColumn("_rank", part).where(F.col("_rank") <= cap).drop("_salt", "_rank")
+    return rest.unionByName(some.withColumn("_rank", F.row_number().over(Window.partitionBy("term").orderBy(*best))).where(F.col("_rank") <= cap).drop("_rank"))
 
 
 def matching(post: DataFrame, queries: DataFrame, cap: int | None = L.POSTING_CAP) -> DataFrame:

@@ -64,10 +64,10 @@ _ASKED_SQL = "q AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{t}')" for k, t
 _SAVED: dict[tuple[str, str], tuple[object, index.Index, str]] = {}
 
 
-def _built(spark: SparkSession, sf_dir: str) -> index.Index:
-    """An index of the distinct documents, terms as they stand; not saved."""
+def _built(spark: SparkSession, sf_dir: str, path: str) -> index.Index:
+    """An index of the distinct documents, terms as they stand, saved at a path."""
     docs = index.collapse_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return index.Index.build(docs.select("doc_id", "text"), stemmed=False)
+    return index.Index.written(docs.select("doc_id", "text"), path, stemmed=False)
 
 
 def _unstemmed(spark: SparkSession, sf_dir: str) -> index.Index:
@@ -75,7 +75,7 @@ def _unstemmed(spark: SparkSession, sf_dir: str) -> index.Index:
     key, now = (spark.sparkContext.applicationId, sf_dir), changed(spark, f"{sf_dir}/documents.parquet")
     if key not in _SAVED or _SAVED[key][0] != now:
         path = scratch_path(spark, "index")
-        found = _built(spark, sf_dir).save(path)
+        found = _built(spark, sf_dir, path)
         if key in _SAVED:
             remove_path(spark, _SAVED[key][2])
         _SAVED[key] = (now, found, path)
@@ -123,7 +123,7 @@ def index_stats(spark, sf_dir):
 def index_build(spark, sf_dir):
     """Builds and saves an index, and counts what was saved. [SNK3, SRC3]"""
     path = scratch_path(spark, "built")
-    saved = _built(spark, sf_dir).save(path)
+    saved = _built(spark, sf_dir, path)
     sums = saved.postings.agg(F.count("*"), F.coalesce(F.sum("tf"), F.lit(0))).first()
     found = local_table(spark, {"postings": [sums[0]], "tokens": [sums[1]], "terms": [saved.terms.count()]}, "postings long, tokens long, terms long")
     remove_path(spark, path)

@@ -241,3 +241,25 @@ def test_full_text_match_stems_few_words(spark):
         want = {r.id: r.m for r in df.select("id", (F.size(F.array_except(F.array_distinct(T.stems(F.lit(query).cast("string"))), T.stems(F.col("text")))) == 0).alias("m")).collect()}
         assert {r.id: r.m for r in df.select("id", T.matches_all(F.lit(query).cast("string"), F.col("text")).alias("m")).collect()} == want
     assert "startswith" in df.select(T.matches_all(F.lit("bilar"), F.col("text")).alias("m"))._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_postings_are_counted_where_they_are(spark, tmp_path):
+    rows = [(k, t) for k, t in enumerate(["bil båt bil", "båt", "", None, "och 12", "ö-stad zebra bil zebra zebra"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = index.postings(docs, stemmed=False)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {("bil", 0, 2, 3), ("båt", 0, 1, 3), ("båt", 1, 1, 1), ("ö-stad", 5, 1, 5), ("zebra", 5, 3, 5), ("bil", 5, 1, 5)}
+    assert sorted(map(tuple, found.select("term", "doc_id", "tf", "dl").collect())) == sorted(want)
+    saved, written = index.Index.build(docs, stemmed=False).save(str(tmp_path / "a")), index.Index.written(docs, str(tmp_path / "b"), stemmed=False)
+    assert (written.n, written.average) == (saved.n, saved.average)
+    for name in ("documents", "postings", "terms"):
+        a, b = getattr(saved, name), getattr(written, name)
+        assert a.schema == b.schema and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_cap_ranks_only_terms_over_it(spark):
+    post = spark.createDataFrame([("a", k, k % 3, 1) for k in range(20)] + [("b", k, 1, 1) for k in range(5)] + [("c", 1, 1, 1)], "term string, doc_id long, tf long, dl long")
+    found = index.capped(post, 5)
+    best = sorted(((-(k % 3), k) for k in range(20)))[:5]
+    assert sorted((r.term, r.doc_id) for r in found.collect()) == sorted([("a", k) for _, k in best] + [("b", k) for k in range(5)] + [("c", 1)])
+    assert "LeftAnti" in found._jdf.queryExecution().executedPlan().toString()
