@@ -43,7 +43,7 @@ def page_files(spark, sf_dir):
     old_only = rows.where("page_id < 5")
     both = own(rows, F.col("url"), "old", "2024-01-01").unionByName(own(rows, F.col("url"), "new", "2024-02-01")).unionByName(own(old_only, F.concat(F.lit("http://only.old/"), F.col("page_id")), "old", "2024-01-01"))
     unread = rows.where("page_id = 0").select("url", F.lit("none").alias("title"), F.lit(None).cast("string").alias("content"), F.lit("2025-01-01").alias("crawled_at"))
-    both.unionByName(unread).withColumn("domain", pages.host(F.col("url"))).withColumn("_folder", F.pmod(F.xxhash64("domain"), F.lit(8))).write.partitionBy("_folder").option("maxRecordsPerFile", 1).json(f"{path}/json")
+    files.write_singly(both.unionByName(unread).withColumn("domain", pages.host(F.col("url"))).withColumn("_folder", F.pmod(F.xxhash64("domain"), F.lit(8))), f"{path}/json")
     files.write_pages(files.read_pages(spark, f"{path}/json"), f"{path}/parquet")
     return _kept(spark, path, spark.read.parquet(f"{path}/parquet").select("url", "domain", "title", "content"))
 
@@ -241,7 +241,7 @@ def account_files(spark, sf_dir):
     """Accounts as one JSON file each by role; of a name in two files the one whose path comes last counts. [SRC12, COL6]"""
     path = scratch_path(spark, "accounts")
     rows = _accounts(spark, sf_dir).withColumn("k", F.substring("username", 10, 9).cast("long")).withColumn("full_name", F.concat(F.lit("Åsa "), F.col("full_name")))
-    one = lambda df, folder, mark: df.withColumn("email", F.lit(mark)).withColumn("folder", F.concat(F.lit(folder), F.col("role"))).write.mode("append").partitionBy("folder").option("maxRecordsPerFile", 1).json(path)
+    one = lambda df, folder, mark: files.write_singly(df.withColumn("email", F.lit(mark)).withColumn("_folder", F.concat(F.lit(folder), F.col("role"))), path, "append")
     one(rows, "a-", "first")
     one(rows.where("k % 4 = 0"), "b-", "later")
     return _kept(spark, path, files.read_accounts(spark, path).select("username", "role", "full_name", (F.col("email") == "later").alias("later")))

@@ -263,3 +263,22 @@ def test_cap_ranks_only_terms_over_it(spark):
     best = sorted(((-(k % 3), k) for k in range(20)))[:5]
     assert sorted((r.term, r.doc_id) for r in found.collect()) == sorted([("a", k) for _, k in best] + [("b", k) for k in range(5)] + [("c", 1)])
     assert "LeftAnti" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_of_one_url_and_time_all_stay(spark, tmp_path):
+    rows = [("u", "a", "2024-01-01", "x"), ("u", "b", "2024-02-01", "x"), ("u", "c", "2024-02-01", "x"), ("u", "c", "2024-02-01", "x"), ("v", "d", None, "y")]
+    files.write_pages(spark.createDataFrame(rows, "url string, content string, crawled_at string, domain string"), str(tmp_path / "p"))
+    assert sorted((r.url, r.content) for r in spark.read.parquet(str(tmp_path / "p")).collect()) == [("u", "b"), ("u", "c"), ("u", "c"), ("v", "d")]
+
+
+def test_files_of_one_row_are_written_by_many_tasks(spark, tmp_path):
+    path = str(tmp_path / "a")
+    rows = spark.range(200).coalesce(1).select(F.concat(F.lit("n"), F.col("id")).alias("username"), F.lit("user").alias("role"))
+    files.write_singly(rows.withColumn("_folder", F.lit("a")), path, "append")
+    files.write_singly(rows.where("id % 2 = 0").withColumn("role", F.lit("later")).withColumn("_folder", F.lit("b")), path, "append")
+    (tmp_path / "a" / "_folder=a" / "notes.txt").write_text("no account")
+    (tmp_path / "a" / "_folder=a" / "deep").mkdir()
+    (tmp_path / "a" / "_folder=a" / "deep" / "x.json").write_text('{"username": "deep"}')
+    written = list((tmp_path / "a").glob("*/*.json"))
+    assert len(written) == 300 and len({x.name.split("-")[1] for x in written}) > 8
+    assert sorted((r.username, r.role) for r in files.read_accounts(spark, path).collect()) == sorted((f"n{k}", "later" if k % 2 == 0 else "user") for k in range(200))
