@@ -38,9 +38,9 @@ def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", stemme
 
     A row is a document. Its tokens are counted where they are: sorted, each run of equal ones is a posting, so that nothing is shuffled or spilled.
     """
-    sorted_ = docs.select(F.col(doc_id).alias("doc_id"), F.sort_array(T.terms(F.col(text))).alias("tokens")).where("size(tokens) > 0")
+    sorted_ = docs.select(F.col(doc_id).alias("doc_id"), F.sort_array(T.terms(F.col(text))).alias("tokens"))
     first = lambda i: (i == 1) | (F.get("tokens", i - 1) != F.get("tokens", i - 2))
-    runs = sorted_.select("doc_id", "tokens", F.size("tokens").alias("dl"), F.filter(F.sequence(F.lit(1), F.size("tokens")), first).alias("_at"))
+    runs = sorted_.select("doc_id", "tokens", F.size("tokens").alias("dl"), F.when(F.size("tokens") > 0, F.filter(F.sequence(F.lit(1), F.size("tokens")), first)).alias("_at"))
     ends = F.concat(F.slice("_at", F.lit(2), F.size("_at")), F.array(F.col("dl") + 1))
     posting = F.zip_with("_at", ends, lambda a, b: F.struct(F.get("tokens", a - 1).alias("token"), (b - a).cast("long").alias("tf")))
     counted = runs.select("doc_id", F.col("dl").cast("long").alias("dl"), F.inline(posting))
