@@ -12,7 +12,9 @@ text are the tokens of its chunks in order:
   before each such space. Other white space stays inside its chunk.
 
 The library itself encodes each chunk when it is first seen, special strings
-included (they hold no white space). To have fewer different chunks, closing
+included (they hold no white space). A chunk of small Latin-1 letters and then ASCII punctuation is
+given to the library's BPE alone, in the two pieces that the vocabulary's pattern makes of it, where normaliser and pattern are those that ``_PLAIN_STEPS`` names: they change
+nothing else in it, and a special string has letters after punctuation. To have fewer different chunks, closing
 punctuation after a Latin-1 letter and before white space is a chunk of its own (both
 pre-tokenizers part letters from punctuation), and so is a single line feed; texts of
 Latin-1 characters are lower-cased beforehand where the vocabulary would do it
@@ -28,8 +30,10 @@ between punctuation and letters of Chinese or Japanese, where nothing is compose
 
 from __future__ import annotations
 
+import json
 import re
 import sys
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -39,6 +43,8 @@ import numpy as np
 LONGEST, CUT = 64, 4096
 #: Bytes of a memory.
 LIMIT = 48 << 20
+#: Whether this machine's unsigned integers are little-endian ones of 32 bits.
+_NATIVE = sys.byteorder == "little" and array("I").itemsize == 4
 
 #: Characters that Python's split takes as white space but the vocabulary's pattern does not.
 _PYTHON_ONLY = re.compile("[\x1c-\x1f]")
@@ -78,7 +84,24 @@ class _Memory(dict):
 
 
 _SURE = re.compile("(?<=[0-9])(?=[0-9A-Za-z])|(?<=[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])(?=[\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff])")
-CLOSING = re.compile("(?<=[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff])([.,;:!?])(?=[ \n])")
+#: The letter is looked back to last, so that the search jumps from mark to mark.
+CLOSING = re.compile("([.,;:!?])(?=[ \n])(?<=[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff].)")
+
+#: Small Latin-1 letters, then ASCII punctuation but the apostrophe.
+_PLAIN = re.compile("([a-z\xdf-\xf6\xf8-\xff]+)([!-&(-/:-@\\[-`{-~]*)")
+#: A normaliser and pattern that leave such a chunk's characters alone and part its letters from its punctuation.
+_PLAIN_STEPS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+#: What the byte-level step makes of those letters beyond ASCII: its characters for their two bytes in UTF-8.
+_BYTE_LEVEL = {c: "\xc3" + chr(0x143 if b == 0xAD else b if b > 0xA0 else b + 0xA2) for c in range(0xC0, 0x100) for b in [chr(c).encode()[1]]}
 
 
 def _latin1(text: str) -> bool:
@@ -95,8 +118,20 @@ class WordMemo:
     """Token ids of a text, for a vocabulary that lower-cases and removes white space."""
 
     def __init__(self, path: str, limit: int = LIMIT):
-        tokenizer = library_tokenizer(path)
-        self.memory = _Memory(lambda x: np.asarray(tokenizer.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes(), limit)
+        self.tokenizer = library_tokenizer(path)
+        steps = tuple(x and json.loads(x.__getstate__()) for x in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer))
+        self.piece = self.tokenizer.model.tokenize if steps == _PLAIN_STEPS and self.tokenizer.post_processor is None else None
+        self.memory = _Memory(self._encode, limit)
+
+    def _encode(self, chunk: str) -> bytes:
+        plain = self.piece and _PLAIN.fullmatch(chunk)
+        if plain:
+            letters, marks = plain.groups()
+            tokens = self.piece(letters if letters.isascii() else letters.translate(_BYTE_LEVEL))
+            ids = [t.id for t in (tokens + self.piece(marks) if marks else tokens)]
+        else:
+            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        return array("I", ids).tobytes() if _NATIVE else np.asarray(ids, dtype="<u4").tobytes()
 
     @classmethod
     @lru_cache(maxsize=2)
