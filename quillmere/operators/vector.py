@@ -36,11 +36,60 @@ def finite(name: str) -> Column:
     return F.coalesce(F.col(name).isNotNull() & ~odd, F.lit(False))
 
 
+#: Queries and vectors whose scores are in memory at once.
+TILE = 256, 2048
+
+
+class Best:
+    """The ``top`` of each of ``n`` queries among the vectors met so far: higher scores first, ties to the smaller id.
+
+    It holds ``n * top`` rows and the scores of one tile, however many vectors it meets at once.
+    """
+
+    def __init__(self, n: int, top: int):
+        self.top, self.least = top, np.full(n, -1.0)
+        self.rows, self.ids, self.scores = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+
+    def meet(self, units: np.ndarray, ids: np.ndarray, held: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """The queries' unit vectors, those at ``rows`` alone if it is given, meet unit vectors that have ``ids``."""
+        rows = np.arange(len(units)) if rows is None else rows
+        for i in range(0, len(rows), TILE[0]):
+            some = rows[i : i + TILE[0]]
+            for k in range(0, len(ids), TILE[1]):
+                self._tile(some, np.clip(units[some] @ held[k : k + TILE[1]].T, 0.0, 1.0).round(12), ids[k : k + TILE[1]])
+
+    def _tile(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        least = self.least[rows]
+        if scores.shape[1] > self.top and (least < 0).any():
+            least = np.maximum(least, np.partition(scores, -self.top, axis=1)[:, -self.top])
+        at, column = np.nonzero(scores >= least[:, None])
+        if not len(at):
+            return
+        all_rows = np.concatenate([self.rows, rows[at]])
+        all_ids, all_scores = np.concatenate([self.ids, ids[column]]), np.concatenate([self.scores, scores[at, column]])
+        order = np.lexsort((all_ids, -all_scores, all_rows))
+        sorted_rows = all_rows[order]
+        nth = np.arange(len(order)) - np.searchsorted(sorted_rows, sorted_rows)
+        order = order[nth < self.top]
+        self.rows, self.ids, self.scores = all_rows[order], all_ids[order], all_scores[order]
+        full = nth == self.top - 1
+        self.least[sorted_rows[full]] = self.scores[np.searchsorted(self.rows, sorted_rows[full], "right") - 1]
+
+    def batch(self, query_ids: np.ndarray) -> pa.RecordBatch:
+        """(query_id, vec_id, score) of what is held."""
+        return pa.RecordBatch.from_arrays([pa.array(query_ids[self.rows]), pa.array(self.ids), pa.array(self.scores)], names=["query_id", "vec_id", "score"])
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """The rows of a column of vectors of one length, as doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.empty((0, 0))
+
+
 def search(vectors: DataFrame, queries: DataFrame, top: int = 100, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, vec_id, score, rank) of each query's nearest vectors. [SEM12, JN18, TOP4]
 
     ``queries`` (query_id, vector) is a stated set; it meets the vectors in
-    blocks of bounded size. Unit vectors are made once, a block of queries and a batch of vectors are one matrix product, and
+    blocks of bounded size. Unit vectors are made once, tiles of a block of queries and a batch of vectors are matrix products, and
     a task passes on the best of each query only. Scores are rounded to twelve places before they are ranked, ties to the smaller vec_id.
     The queries' vectors are of one length; rows without an id, and vectors that are null, of another length, or hold nulls or what is no finite number, take no part.
     """
@@ -61,19 +110,11 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 100, block: int =
 
         def nearest(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             query_ids, units = shared.value
-            ids, scores = np.empty((len(query_ids), 0), np.int64), np.empty((len(query_ids), 0))
+            best = Best(len(query_ids), top)
             for batch in batches:
-                if not batch.num_rows or not len(query_ids):
-                    continue
-                held = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                ids = np.concatenate([ids, np.broadcast_to(batch.column(0).to_numpy(), (len(query_ids), batch.num_rows))], axis=1)
-                scores = np.concatenate([scores, np.clip(units @ unit(held).T, 0.0, 1.0).round(12)], axis=1)
-                if ids.shape[1] > top:
-                    best = np.lexsort((ids, -scores), axis=1)[:, :top]
-                    ids, scores = np.take_along_axis(ids, best, 1), np.take_along_axis(scores, best, 1)
-            if ids.size:
-                columns = [pa.array(np.repeat(query_ids, ids.shape[1])), pa.array(ids.ravel()), pa.array(scores.ravel())]
-                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
+                if batch.num_rows and len(query_ids):
+                    best.meet(units, batch.column(0).to_numpy(), unit(matrix(batch.column(1))))
+            yield best.batch(query_ids)
 
         part = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null and embedding is not null").mapInArrow(nearest, "query_id long, vec_id long, score double")
         found = part if found is None else found.unionByName(part)

@@ -3,16 +3,18 @@
 import os
 import random
 import threading
+import tracemalloc
 from collections import Counter
 from datetime import datetime, timedelta
 from itertools import pairwise
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillmere.functions import catalog, html
 from quillmere.functions import text as T
-from quillmere.operators import index, ops, pages, positions, ranking, segments, trigrams, vector
+from quillmere.operators import encoder, index, ops, pages, positions, ranking, segments, trigrams, vector
 from quillmere.operators.positions import All, Any, Not, Phrase, Word
 from quillmere.operators.segments import Conflict, SegmentedIndex
 from quillmere.streaming import machines
@@ -565,3 +567,30 @@ def test_page_folders_in_batch_and_as_a_stream(spark, tmp_path):
     assert run() == want and run() == want
     save("c.se", "20.json", page(20, content="anew"))
     assert run() == want + Counter(["http://a.se/20"])
+
+
+def test_best_of_a_task_holds_one_tile_whatever_it_meets():
+    rng = np.random.default_rng(4)
+    held, asked = vector.unit(rng.integers(-2, 3, (20_000, 16)).astype(float)), vector.unit(rng.integers(-2, 3, (600, 16)).astype(float))
+    held[5000:5200] = held[7]  # ties
+    ids = rng.permutation(20_000)
+    scores = np.clip(asked @ held.T, 0.0, 1.0).round(12)
+    wanted = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :10]
+    tracemalloc.start()
+    best = vector.Best(len(asked), 10)
+    best.meet(asked, ids[:13_000], held[:13_000])
+    best.meet(asked, ids[13_000:], held[13_000:])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20  # the scores of all pairs are 96 MB
+    assert (best.rows == np.repeat(np.arange(600), 10)).all()
+    assert (best.ids.reshape(600, 10) == ids[wanted]).all() and (best.scores.reshape(600, 10) == np.take_along_axis(scores, wanted, 1)).all()
+    few = vector.Best(2, 10)
+    few.meet(asked, ids[:3], held[:3], np.array([1]))
+    assert few.rows.tolist() == [1, 1, 1] and few.batch(np.array([8, 9]))["query_id"].to_pylist() == [9, 9, 9]
+
+
+def test_encoder_bounds_what_a_worker_is_handed(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+    encoder.embed(spark.createDataFrame([(1, "one")], "doc_id long, text string"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
