@@ -22,16 +22,31 @@ from quillmere.shared import durable, local_table
 SAMPLE, CELLS, TURNS, QUERY_BLOCK = 20_000, 4096, 12, 1000
 
 
+def nearest_centres(units: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each unit vector its nearest centre and the product with it, a tile of products at a time."""
+    own, best = np.empty(len(units), np.int64), np.empty(len(units))
+    for i in range(0, len(units), vector.TILE[0]):
+        near = units[i : i + vector.TILE[0]] @ centres.T
+        own[i : i + len(near)], best[i : i + len(near)] = near.argmax(axis=1), near.max(axis=1)
+    return own, best
+
+
+def probed_centres(units: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
+    """Of each unit vector its ``probes`` nearest centres."""
+    if not len(units):
+        return np.empty((0, 0), np.int64)
+    return np.concatenate([np.argsort(-(units[i : i + vector.TILE[0]] @ centres.T), axis=1, kind="stable")[:, :probes] for i in range(0, len(units), vector.TILE[0])])
+
+
 def fit_centres(units: np.ndarray, cells: int, turns: int = TURNS, seed: int = 7) -> np.ndarray:
     """Unit centres of unit vectors, by spherical k-means; an empty cell is begun anew at the vector that lies worst."""
     rng = np.random.default_rng(seed)
     centres = units[rng.choice(len(units), min(cells, len(units)), replace=False)]
     for _ in range(turns):
-        near = units @ centres.T
-        own = near.argmax(axis=1)
+        own, near = nearest_centres(units, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, own, units)
-        worst = iter(np.argsort(near.max(axis=1), kind="stable"))
+        worst = iter(np.argsort(near, kind="stable"))
         for empty in np.flatnonzero(np.bincount(own, minlength=len(centres)) == 0):
             sums[empty] = units[next(worst)]
         centres = vector.unit(sums)
@@ -63,8 +78,7 @@ class CellIndex:
 
         def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                own = (vector.unit(rows) @ shared.value.T).argmax(axis=1) if batch.num_rows else np.empty(0)
+                own, _ = nearest_centres(vector.unit(vector.matrix(batch.column(1))), shared.value)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32))], names=["vec_id", "embedding", "cell"])
 
         dealt = sound.mapInArrow(placed, "vec_id long, embedding array<double>, cell int")
@@ -88,7 +102,7 @@ class CellIndex:
         for k in range(blocks):
             asked = sound.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).toPandas()
             ids, units = asked["query_id"].to_numpy(np.int64), vector.unit(np.array(asked["vector"].tolist(), np.float64).reshape(len(asked), self.centres.shape[-1]))
-            probed = np.argsort(-(units @ self.centres.T), axis=1, kind="stable")[:, :probes] if len(ids) else np.empty((0, 0), int)
+            probed = probed_centres(units, self.centres, probes)
             by_cell: dict[int, list[int]] = {}
             for row, own in enumerate(probed.tolist()):
                 for cell in own:
@@ -97,16 +111,13 @@ class CellIndex:
 
             def nearest(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
                 ids, units, rows_of = shared.value
+                best = vector.Best(len(ids), top)
                 for batch in batches:
-                    cells = np.asarray(batch.column(2))
-                    held = vector.unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)) if batch.num_rows else None
+                    cells, held = np.asarray(batch.column(2)), vector.unit(vector.matrix(batch.column(1)))
                     for cell in np.unique(cells):
-                        at, rows = np.flatnonzero(cells == cell), rows_of[int(cell)]
-                        scores = np.clip(units[rows] @ held[at].T, 0.0, 1.0).round(12)
-                        names = np.broadcast_to(np.asarray(batch.column(0))[at], scores.shape)
-                        best = np.lexsort((names, -scores), axis=1)[:, :top]
-                        columns = [np.repeat(ids[rows], best.shape[1]), np.take_along_axis(names, best, 1).ravel(), np.take_along_axis(scores, best, 1).ravel()]
-                        yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["query_id", "vec_id", "score"])
+                        at = np.flatnonzero(cells == cell)
+                        best.meet(units, batch.column(0).to_numpy()[at], held[at], rows_of[int(cell)])
+                yield best.batch(ids)
 
             part = self.vectors.where(F.col("cell").isin([int(c) for c in by_cell])).select("vec_id", "embedding", "cell").mapInArrow(nearest, "query_id long, vec_id long, score double")
             found = part if found is None else found.unionByName(part)
@@ -119,9 +130,8 @@ class CellIndex:
 
         def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = vector.unit(np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, centres.shape[-1]))
-                own = np.argsort(-(rows @ centres.T), axis=1, kind="stable")[:, :probes]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), own.shape[1])), pa.array(own.ravel().astype(np.int32))], names=["query_id", "cell"])
+                own = probed_centres(vector.unit(vector.matrix(batch.column(1))), centres, probes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), own.shape[1])), pa.array(own.ravel().astype(np.int32))], names=["query_id", "cell"])
 
         asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).where(F.col("query_id").isNotNull() & vector.finite("vector") & (F.size("vector") == centres.shape[-1]))
         # A row for each cell, of which there are `CELLS` at most.
