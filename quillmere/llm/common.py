@@ -10,22 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.shared import Scratch, durable, partitions_of, quoted, remove_path, scratch_path, shared_folder, swept, whole_row
+from quillmere.shared import BATCH_BYTES, Scratch, bound_batches, durable, partitions_of, quoted, remove_path, scratch_path, shared_folder, swept, whole_row
 
 __all__ = ["BATCH_BYTES", "SPACE_BYTES", "Scratch", "bound_batches", "durable", "held_out", "partitions_of", "quoted", "released", "remove_path", "scratch_path", "shared_folder", "swept", "table", "whole_row"]
 
 #: White space of the contracts: space and the control characters tab to carriage return.
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
-#: Bytes of rows that a Python worker is handed at once (one row at least).
-BATCH_BYTES = 4 << 20
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """From now on this session hands Python workers at most ``BATCH_BYTES`` at once, however long its rows are."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key, None)
-    if now is None or not now.rstrip("bB").isdigit() or not 0 < int(now.rstrip("bB")) <= BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def released(f: Callable[..., Iterator]) -> Callable[..., Iterator]:

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+from quillmere.shared import bound_batches
+
 #: Numbers of a vector, places that a token adds to, and texts of a batch.
 DIMS, PLACES, BATCH = 64, 4, 256
 _TOKEN = re.compile(r"\w+(?:-\w+)*")
@@ -25,22 +27,20 @@ def hashed_projection(dims: int = DIMS, places: int = PLACES) -> Callable[[], Ca
     """Makes predictors of unit vectors: sums over tokens of plus or minus one at hashed places; zeros for a text without tokens."""
 
     def make() -> Callable[[np.ndarray], np.ndarray]:
-        known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        known: dict[str, bytes] = {}
 
-        def token(word: str) -> tuple[np.ndarray, np.ndarray]:
+        def token(word: str) -> bytes:
             if word not in known:
                 if len(known) >= 200_000:
                     known.clear()
-                drawn = np.frombuffer(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=4 * places).digest(), "<u4")
-                known[word] = (drawn >> 1) % dims, np.where(drawn & 1, 1.0, -1.0)
+                known[word] = hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=4 * places).digest()
             return known[word]
 
         def predict(texts: np.ndarray) -> np.ndarray:
             out = np.zeros((len(texts), dims))
             for row, text in zip(out, texts, strict=True):
-                for word in _TOKEN.findall((text or "").lower()):
-                    at, signs = token(word)
-                    np.add.at(row, at, signs)
+                drawn = np.frombuffer(b"".join(map(token, _TOKEN.findall((text or "").lower()))), "<u4")
+                row += np.bincount((drawn >> 1) % dims, np.where(drawn & 1, 1.0, -1.0), dims)
             norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
             return np.divide(out, norm, out=out, where=norm > 0).astype(np.float32)
 
@@ -57,4 +57,5 @@ def encode(text: Column, make: Callable[[], Callable[[np.ndarray], np.ndarray]]
 
 def embed(docs: DataFrame, id: str = "doc_id", text: str = "text", make=None) -> DataFrame:
     """(vec_id, embedding) of documents, as ``vector.search`` and the cells take them. Rows without an id are left out."""
+    bound_batches(docs.sparkSession)
     return docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("vec_id"), encode(F.col(text), make).alias("embedding"))
