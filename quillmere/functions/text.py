@@ -6,6 +6,7 @@ Ids in brackets name the operators of the inventory that a function covers.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -57,23 +58,39 @@ def terms(text: Column) -> Column:
     return remove_stopwords(filter_tokens(tokenize(text)))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it and wherever the expression stands."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def stem(word: Column) -> Column:
-    """The published Swedish Snowball stemmer as one expression. [STR2]"""
-    w = F.lower(word)
-    at = F.when(w.rlike(_R1), F.greatest(F.length(F.regexp_extract(w, _R1, 0)), F.lit(3))).otherwise(F.length(w))
-
-    def region(x: Column) -> Column:
-        return F.substring(x, at + 1, F.length(x))
-
-    def shorter(x: Column, n: Column | int) -> Column:
-        return F.substring(x, F.lit(1), F.length(x) - n)
-
-    suffix = F.regexp_extract(region(w), _STEP1, 0)
-    lone_s = region(w).endswith("s") & w.rlike("[bcdfghjklmnoprtvy]s$")
-    w1 = F.when(suffix != "", shorter(w, F.length(suffix))).when(lone_s, shorter(w, 1)).otherwise(w)
-    w2 = F.when(region(w1).rlike("(dd|gd|nn|dt|gt|kt|tt)$"), shorter(w1, 1)).otherwise(w1)
-    last = F.regexp_extract(region(w2), "(fullt|löst|els|lig|ig)$", 0)
-    return F.when(last.isin("fullt", "löst"), shorter(w2, 1)).when(last != "", shorter(w2, F.length(last))).otherwise(w2)
+    """The published Swedish Snowball stemmer as one expression. [STR2]
+
+    Each step names the one before several times, so each is bound; as nested expressions they would be computed hundreds of times a word.
+    """
+
+    def from_region(w: Column, at: Column) -> Column:
+        def region(x: Column) -> Column:
+            return F.substring(x, at + 1, F.length(x))
+
+        def shorter(x: Column, n: Column | int) -> Column:
+            return F.substring(x, F.lit(1), F.length(x) - n)
+
+        def first(suffix: Column) -> Column:
+            lone_s = region(w).endswith("s") & w.rlike("[bcdfghjklmnoprtvy]s$")
+            return F.when(suffix != "", shorter(w, F.length(suffix))).when(lone_s, shorter(w, 1)).otherwise(w)
+
+        def second(w1: Column) -> Column:
+            return F.when(region(w1).rlike("(dd|gd|nn|dt|gt|kt|tt)$"), shorter(w1, 1)).otherwise(w1)
+
+        def third(w2: Column) -> Column:
+            cut = lambda last: F.when(last.isin("fullt", "löst"), shorter(w2, 1)).when(last != "", shorter(w2, F.length(last))).otherwise(w2)
+            return bound(F.regexp_extract(region(w2), "(fullt|löst|els|lig|ig)$", 0), cut)
+
+        return bound(bound(bound(F.regexp_extract(region(w), _STEP1, 0), first), second), third)
+
+    start = lambda w: F.when(w.rlike(_R1), F.greatest(F.length(F.regexp_extract(w, _R1, 0)), F.lit(3))).otherwise(F.length(w))
+    return bound(F.lower(word), lambda w: bound(start(w), lambda at: from_region(w, at)))
 
 
 def stems(text: Column) -> Column:

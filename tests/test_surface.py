@@ -594,3 +594,13 @@ def test_encoder_bounds_what_a_worker_is_handed(spark):
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
     encoder.embed(spark.createDataFrame([(1, "one")], "doc_id long, text string"))
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+
+
+def test_stem_names_each_step_once(spark):
+    """In an aggregate's output, and in a lambda, nothing but the expression itself keeps a step from being computed again and again."""
+    stemmed = spark.createDataFrame([("husen",)], "w string").groupBy("w").count().select(T.stem(F.col("w")).alias("s"))
+    plan = stemmed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(heterna|") == 1 and plan.count("(dd|gd|nn|") == 1 and plan.count("(fullt|") == 1
+    words = [None, "", "husen", "Friheten", "jaktkarlens", "klokast", "skolorna", "vänligt", "grundlös", "rådlöst", "hopplöst", "kraftfullt", "as", "tyst", "dumt", "X"]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", T.stem(F.col("w")).alias("s"), F.transform(F.array("w"), T.stem)[0].alias("t")).collect()
+    assert all(r["s"] == r["t"] for r in rows) and {r["w"]: r["s"] for r in rows}["husen"] == "hus" and {r["w"]: r["s"] for r in rows}[None] is None
