@@ -127,12 +127,13 @@ class SegmentedIndex:
         return Index(self.documents(), self.postings(), terms, n["documents"], n["tokens"] / n["filled"] if n["filled"] else 0.0)
 
     # --- changing ---------------------------------------------------------------------------------------------
-    def _write_segment(self, docs: DataFrame | None, post: DataFrame, documents: DataFrame | None = None) -> Segment | None:
-        """A new segment of documents, or of live rows that are merged; None where there are no rows."""
+    def _write_segment(self, docs: DataFrame | None, post: DataFrame | None = None, documents: DataFrame | None = None) -> Segment | None:
+        """A new segment of documents, whose postings come from what was written, or of live rows that are merged; None where there are no rows."""
         name = uuid.uuid4().hex
         at = f"{self.path}/segments/{name}"
         rows = documents if docs is None else docs.withColumn("head", F.substring("text", 1, 200))
         rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.option("parquet.block.size", 8 << 20).parquet(f"{at}/documents")
+        post = postings(self._read("segments", name, "documents"), stemmed=self.stemmed) if post is None else post
         post.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.option("parquet.block.size", 2 << 20).parquet(f"{at}/postings")
         saved = self._read("segments", name, "postings")
         saved.groupBy("term").agg(F.count("*").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{at}/terms")
@@ -176,7 +177,7 @@ class SegmentedIndex:
         """
         rows = docs.where("doc_id is not null").withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
         rows = rows.groupBy("doc_id").agg(F.max_by(F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]), "text").alias("_r")).select("_r.*")
-        new = self._write_segment(rows, postings(rows, stemmed=self.stemmed))
+        new = self._write_segment(rows)
         if new is None:
             return self._commit(self.segments)
         old = self._without(self._read("segments", new.id, "documents").select("doc_id"))

@@ -604,3 +604,16 @@ def test_stem_names_each_step_once(spark):
     words = [None, "", "husen", "Friheten", "jaktkarlens", "klokast", "skolorna", "vänligt", "grundlös", "rådlöst", "hopplöst", "kraftfullt", "as", "tyst", "dumt", "X"]
     rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", T.stem(F.col("w")).alias("s"), F.transform(F.array("w"), T.stem)[0].alias("t")).collect()
     assert all(r["s"] == r["t"] for r in rows) and {r["w"]: r["s"] for r in rows}["husen"] == "hus" and {r["w"]: r["s"] for r in rows}[None] is None
+
+
+def test_a_segments_documents_are_computed_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(text):
+        seen.add(1)
+        return text
+
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.udf(told)(F.concat(F.lit("word"), F.col("id").cast("string"))).alias("text"))
+    kept = SegmentedIndex.create(spark, str(tmp_path / "index"), stemmed=False).add(docs)
+    assert seen.value == 40
+    assert kept.sizes() == {"documents": 40, "filled": 40, "tokens": 40, "postings": 40}
