@@ -88,8 +88,9 @@ class Index:
     @classmethod
     def build(cls, docs: DataFrame, stemmed: bool = True) -> Index:
         """``documents`` get a ``head``, the text's first 200 characters, which is what hits are shown with."""
-        size = F.size(T.terms(F.col("text")))
-        n, average = docs.agg(F.count("*"), F.avg(F.when(size > 0, size))).first()
+        # Sizes are a column of their own, so that they are computed once and not each time an aggregate names them.
+        sizes = docs.select(F.explode(F.array(F.size(T.terms(F.col("text"))))).alias("size"))
+        n, average = sizes.agg(F.count("*"), F.avg(F.when(F.col("size") > 0, F.col("size")))).first()
         post = postings(docs, stemmed=stemmed)
         return cls(docs.withColumn("head", F.substring("text", 1, 200)), post, term_statistics(post, n), n, average or 0.0)
 
