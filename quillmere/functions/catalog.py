@@ -13,11 +13,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.functions import lexicon as L
 from quillmere.session import ship_package
+from quillmere.shared import durable
 
 #: A run of letters, digits and underscores, hyphenated ones whole, as the column function takes it.
 _TOKEN = re.compile(r"\w+(?:-\w+)*")
@@ -70,19 +71,31 @@ def register(spark: SparkSession) -> list[str]:
     return [*definitions(), "tokenize", *swedish.registered()]
 
 
-#: The best ``{limit}`` documents of each row's query in ``{asked}`` (query_id, term) by BM25 over ``{documents}`` (doc_id, text).
-SEARCH = """
+#: What a search by ``{asked}`` (query_id, term) needs of ``{documents}`` (doc_id, text): of each document how often it has a term that is asked for, and under no term
+#: how many others it has. Few rows a document, so that no task holds all terms of its documents. ``docs``: the documents of that id, in its row without a term.
+COUNTED = """
 WITH docs AS (SELECT max(doc_id) AS doc_id, any_value(text) AS text FROM {documents} GROUP BY md5(text)),
-n AS (SELECT count(*) AS n FROM docs),
-tok AS (SELECT doc_id, t.token AS term FROM docs, LATERAL tokenize(text) t WHERE is_term(t.token)),
-post AS (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY term, doc_id),
-dl AS (SELECT doc_id, sum(tf) AS dl FROM post GROUP BY doc_id),
+tok AS (SELECT doc_id, t.token AS token FROM docs, LATERAL tokenize(text) t WHERE is_term(t.token) UNION ALL SELECT doc_id, NULL FROM docs),
+wanted AS (SELECT DISTINCT term FROM {asked})
+SELECT doc_id, term, count(token) AS tf, count(*) - count(token) AS docs FROM tok LEFT JOIN wanted ON token = term GROUP BY doc_id, term
+"""
+
+#: The best ``{limit}`` documents of each row's query in ``{asked}`` (query_id, term) by BM25 over what was ``{counted}`` for it.
+SEARCH = """
+WITH n AS (SELECT sum(docs) AS n FROM {counted}),
+dl AS (SELECT doc_id, sum(tf) AS dl FROM {counted} GROUP BY doc_id HAVING sum(tf) > 0),
 mean AS (SELECT avg(dl) AS avgdl FROM dl),
-hit AS (SELECT query_id, q.term, doc_id, tf FROM post p JOIN {asked} q ON p.term = q.term),
-df AS (SELECT term, count(*) AS df FROM post WHERE term IN (SELECT term FROM {asked}) GROUP BY term),
+hit AS (SELECT query_id, q.term, doc_id, tf FROM {counted} p JOIN {asked} q ON p.term = q.term),
+df AS (SELECT term, count(*) AS df FROM {counted} WHERE term IS NOT NULL GROUP BY term),
 scored AS (
   SELECT query_id, hit.doc_id, sum(bm25(tf, dl, avgdl, df, n)) AS score
   FROM hit JOIN df ON hit.term = df.term JOIN dl ON hit.doc_id = dl.doc_id CROSS JOIN n CROSS JOIN mean GROUP BY query_id, hit.doc_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored)
 SELECT query_id, doc_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= {limit}
 """
+
+
+def search(spark: SparkSession, documents: DataFrame, asked: DataFrame, limit: int = 10) -> DataFrame:
+    """(query_id, doc_id, score, rank) in SQL alone, after ``register``. What is counted is kept in the shared folder, so texts are read once."""
+    counted = durable(spark.sql(COUNTED, documents=documents, asked=asked))
+    return spark.sql(SEARCH, counted=counted, asked=asked, limit=limit)

@@ -22,7 +22,7 @@ from quillmere.sources import folders
 def sql_surface_search(spark, sf_dir):
     """BM25 in SQL alone: the table function reads tokens, the catalogue's functions choose and score them."""
     catalog.register(spark)
-    found = spark.sql(catalog.SEARCH, documents=table(spark, sf_dir, "documents").select("doc_id", "text"), asked=index.query_table(spark, _ASKED), limit=10)
+    found = catalog.search(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), index.query_table(spark, _ASKED), 10)
     return found.select("query_id", "doc_id", "score", F.col("rank").cast("int").alias("rank"))
 
 

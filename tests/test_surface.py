@@ -395,6 +395,19 @@ def test_blocks_give_the_hits_of_scoring_everything(spark, tmp_path):
             assert read[1][0] < read[1][1] / 2
 
 
+def test_search_in_sql_counts_few_rows_a_document(spark):
+    catalog.register(spark)
+    texts = {k: " ".join(f"ord{x}" for x in range(k)) for k in range(1, 12)} | {20: "", 21: "1 2", 22: "ord0 ord0", 23: "ord0 ord0"}
+    docs = spark.createDataFrame([*texts.items(), (30, None), (31, None)], "doc_id long, text string")
+    asked = index.query_table(spark, {1: ["ord0"], 2: ["ord0", "ord5", "ord5"], 3: ["nowhere"]})
+    counted = {(r.doc_id, r.term): (r.tf, r.docs) for r in spark.sql(catalog.COUNTED, documents=docs, asked=asked).collect()}
+    assert counted[11, None] == (9, 1) and counted[11, "ord5"] == (1, 0) and counted[23, "ord0"] == (2, 0) and counted[31, None] == (0, 1)
+    assert len(counted) == 15 + 12 + 6 and sum(n for _, n in counted.values()) == 15
+    found = {(r.query_id, r.doc_id, r.score, r["rank"]) for r in catalog.search(spark, docs, asked, 5).collect()}
+    ix = index.Index.build(index.collapse_copies(docs).select("doc_id", "text"), stemmed=False)
+    assert found == {(r.query_id, r.doc_id, round(r.score, 6), r["rank"]) for r in index.search_bm25(ix, asked, 5).collect()}
+
+
 def test_search_from_any_folder(tmp_path):
     """The session sends the package to its workers, so a job may be started anywhere."""
     import subprocess
