@@ -48,10 +48,14 @@ class BlockIndex:
         block = F.shiftleft(F.col("_part").cast("long"), 40) + F.floor(place / per_block)
         named = dealt.select("doc_id", block.alias("block"))
         post = index.postings.join(named, "doc_id").select("term", "block", "doc_id", "tf", "dl")
-        write = lambda df, name: df.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.option("parquet.block.size", 1 << 20).mode("overwrite").parquet(f"{path}/{name}")
-        write(post, "postings")
-        saved = spark.read.parquet(f"{path}/postings")
-        write(saved.groupBy("term", "block").agg(F.max(weight(F.col("tf"), F.col("dl"), index.average)).alias("bound"), F.count("*").alias("n")), "bounds")
+        # Rows of a term and block lie together in one task, so its bound stands on its first row: no aggregate has to hold all terms and blocks of a task.
+        ordered = Window.partitionBy("term", "block").orderBy("doc_id")
+        group, first = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), F.row_number().over(ordered) == 1
+        highest = F.max(weight(F.col("tf"), F.col("dl"), index.average)).over(group)
+        placed = post.repartitionByRange(index.tasks(), "term", "block").withColumns({"bound": F.when(first, highest), "n": F.when(first, F.count("*").over(group))})
+        placed.write.option("parquet.block.size", 1 << 20).mode("overwrite").parquet(f"{path}/postings")
+        firsts = spark.read.parquet(f"{path}/postings").where(F.col("n").isNotNull())
+        firsts.select("term", "block", "bound", "n").write.option("parquet.block.size", 1 << 20).mode("overwrite").parquet(f"{path}/bounds")
         index.terms.select("term", "df").repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
         local_table(spark, {"n": [index.n], "average": [index.average]}, "n long, average double").write.mode("overwrite").parquet(f"{path}/about")
         return cls.load(spark, path)
@@ -59,7 +63,8 @@ class BlockIndex:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> BlockIndex:
         about = spark.read.parquet(f"{path}/about").first()
-        return cls(*(spark.read.parquet(f"{path}/{x}") for x in ("postings", "bounds", "terms")), about["n"], about["average"])
+        post, bounds, terms = (spark.read.parquet(f"{path}/{x}") for x in ("postings", "bounds", "terms"))
+        return cls(post.select("term", "block", "doc_id", "tf", "dl"), bounds, terms, about["n"], about["average"])
 
 
 def _idf(index: BlockIndex, queries: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ as a filter, which reads the row groups that hold them.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,10 @@ from quillmere.shared import local_table, partitions_of, whole_row
 #: Distinct terms of a batch of queries that go to the scan as a filter; more are joined.
 FILTER_TERMS = 1000
 
+#: Tokens whose postings one task sorts when an index is saved.
+TASK_TOKENS = 1 << 21
+
+
 def collapse_copies(docs: DataFrame, content: str = "text", newest: str = "doc_id") -> DataFrame:
     """One row for each content hash, the newest one. [PRJ6, WIN7]
 
@@ -111,7 +116,7 @@ class Index:
     def _save_rest(self, path: str) -> Index:
         spark = self.documents.sparkSession
         # Half a million postings or so a row group.
-        self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.option("parquet.block.size", 2 << 20).mode("overwrite").parquet(f"{path}/postings")
+        self.postings.repartitionByRange(self.tasks(), "term", "doc_id").sortWithinPartitions("term", "doc_id").write.option("parquet.block.size", 2 << 20).mode("overwrite").parquet(f"{path}/postings")
         saved = spark.read.parquet(f"{path}/postings")
         term_statistics(saved, self.n).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
         local_table(spark, {"n": [self.n], "average": [self.average]}, "n long, average double").write.mode("overwrite").parquet(f"{path}/about")
@@ -123,6 +128,10 @@ class Index:
         about = spark.read.parquet(f"{path}/about").first()
         return cls(*(spark.read.parquet(f"{path}/{x}") for x in ("documents", "postings", "terms")), about["n"], about["average"])
 
+    def tasks(self) -> int:
+        """Tasks that sort the postings: as many as the tokens ask for, so that what one of them holds does not grow with the index."""
+        return max(self.documents.sparkSession.sparkContext.defaultParallelism, ceil(self.n * self.average / TASK_TOKENS))
+
     def document(self, doc_id: object) -> DataFrame:
         """[SRC4]"""
         return self.documents.where(F.col("doc_id") == F.lit(doc_id))

@@ -395,6 +395,22 @@ def test_blocks_give_the_hits_of_scoring_everything(spark, tmp_path):
             assert read[1][0] < read[1][1] / 2
 
 
+def test_blocks_are_sorted_by_as_many_tasks_as_the_tokens_ask_for(spark, tmp_path, monkeypatch):
+    """What one task holds does not grow with the index, and the bounds stand beside the postings they are of."""
+    from quillmere.operators import blocks
+
+    monkeypatch.setattr(index, "TASK_TOKENS", 100, raising=False)
+    ix = index.Index.build(docs_of(spark, {k: " ".join(f"ord{x}" for x in range(k % 40)) for k in range(200)}))
+    saved = blocks.BlockIndex.save(ix, str(tmp_path / "b"), 8)
+    assert saved.postings.columns == ["term", "block", "doc_id", "tf", "dl"] and len(list((tmp_path / "b" / "postings").glob("*.parquet"))) > 20
+    weighed = saved.postings.withColumn("w", blocks.weight(F.col("tf"), F.col("dl"), ix.average)).collect()
+    want = {}
+    for r in weighed:
+        bound, n = want.get((r.term, r.block), (0.0, 0))
+        want[r.term, r.block] = (max(bound, r.w), n + 1)
+    assert {(r.term, r.block): (r.bound, r.n) for r in saved.bounds.collect()} == want and saved.bounds.count() == len(want)
+
+
 def test_search_in_sql_counts_few_rows_a_document(spark):
     catalog.register(spark)
     texts = {k: " ".join(f"ord{x}" for x in range(k)) for k in range(1, 12)} | {20: "", 21: "1 2", 22: "ord0 ord0", 23: "ord0 ord0"}
