@@ -242,8 +242,11 @@ def upsert_postings(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def nested_index(post: DataFrame) -> DataFrame:
-    """(term, map of doc_id to tf), for export; a term's map is one value, so this is for small indexes. [COL9]"""
-    return post.groupBy("term").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("doc_id", "tf")))).alias("docs"))
+    """(term, map of doc_id to tf), for export; a term's map is one value, so this is for small indexes. [COL9]
+
+    Postings are dealt out by term as they are: lists begun before the shuffle would be sorted and spilled there, as many terms as there are, to be joined only afterwards.
+    """
+    return post.select("term", "doc_id", "tf").repartition("term").groupBy("term").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("doc_id", "tf")))).alias("docs"))
 
 
 def flatten_index(nested: DataFrame) -> DataFrame:

@@ -282,3 +282,12 @@ def test_files_of_one_row_are_written_by_many_tasks(spark, tmp_path):
     written = list((tmp_path / "a").glob("*/*.json"))
     assert len(written) == 300 and len({x.name.split("-")[1] for x in written}) > 8
     assert sorted((r.username, r.role) for r in files.read_accounts(spark, path).collect()) == sorted((f"n{k}", "later" if k % 2 == 0 else "user") for k in range(200))
+
+
+def test_nested_index_begins_no_lists_before_the_shuffle(spark):
+    rows = [(f"t{d % 7}", d, d % 3 + 1) for d in range(60)]
+    post = spark.createDataFrame([(*r, 9) for r in rows], "term string, doc_id long, tf long, dl long")
+    nested = index.nested_index(post)
+    plan = nested._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" in plan and "Aggregate" not in plan[plan.index("Exchange") :]
+    assert sorted(map(tuple, index.flatten_index(nested).collect())) == sorted(rows)
