@@ -2,7 +2,7 @@
 
 Each is a step (state, event) -> (state, result), pure Python and small. One
 batch form (events sorted within partitions, streamed with one key's state held)
-and one streaming form (``transformWithStateInPandas``) run any of them, so
+and one streaming form (``transformWithState``) run any of them, so
 both give the same results. A key's events are folded in order, however
 many, with only the state in memory.
 """
@@ -17,7 +17,7 @@ from typing import Any
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -161,22 +161,25 @@ def run_stream(events: DataFrame, key: str, machine: Machine, clean_up: bool = F
             self.handle = handle
             self.state = handle.getValueState("state", "values array<double>, timer long")
 
-        def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer: Any) -> Iterator[pd.DataFrame]:  # noqa: N802
-            batch = pd.concat(list(rows)).sort_values(["at", "event_id"])
-            told, due = self.state.get() if self.state.exists() else (machine.start(), None)
-            held, results = list(told), []
-            for at, ok in zip(batch["at"], batch["ok"], strict=True):
-                held, result = machine.step(held, at, bool(ok))
-                results.append(result)
+        # Rows, not pandas: most keys have a few events in a batch, for which a frame costs far more than the fold. Each call of the state is a message to
+        # the JVM, so the state is asked for once and written where it has changed.
+        def handleInputRows(self, key: Any, rows: Iterator[Row], timer: Any) -> Iterator[Row]:  # noqa: N802
+            batch = sorted(((r.at, r.event_id is not None, r.event_id, bool(r.ok)) for r in rows), key=lambda r: r[:3])
+            before = self.state.get()
+            held, due = (list(before[0]), before[1]) if before else (machine.start(), None)
+            for at, _, event_id, ok in batch:
+                held, result = machine.step(held, at, ok)
+                yield Row(event_id=event_id, key=key[0], result=result)
             if forget is not None:
                 if due is not None:
                     self.handle.deleteTimer(int(due))
-                due = int(batch["at"].max() * 1000) + forget
+                due = int(batch[-1][0] * 1000) + forget
                 self.handle.registerTimer(due)
-            self.state.update(([float(x) for x in held], due))
-            yield pd.DataFrame({"event_id": batch["event_id"], "key": batch["key"], "result": results})
+            after = ([float(x) for x in held], due)
+            if before is None or after != (list(before[0]), before[1]):
+                self.state.update(after)
 
-        def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
             self.state.clear()
             return iter([])
 
@@ -185,8 +188,9 @@ def run_stream(events: DataFrame, key: str, machine: Machine, clean_up: bool = F
 
     timed = events if forget is None else events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     stamp = [] if forget is None else ["ts"]
-    rows = timed.select("event_id", F.col(key).cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("ok").cast("boolean").alias("ok"), *stamp)
-    return rows.groupBy("key").transformWithStateInPandas(
+    at = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, F.lit(0.0))
+    rows = timed.select("event_id", F.col(key).cast("string").alias("key"), at.alias("at"), F.col("ok").cast("boolean").alias("ok"), *stamp)
+    return rows.groupBy("key").transformWithState(
         statefulProcessor=Fold(), outputStructType="event_id long, key string, result string", outputMode="Append", timeMode="None" if forget is None else "EventTime"
     )
 

@@ -330,6 +330,19 @@ def test_other_machines_as_streams(spark, tmp_path, name):
     assert {tuple(r) for r in got} == {tuple(r) for r in machines.run_batch(df, "user_id", made).collect()}
 
 
+def test_streams_fold_rows_and_take_null_times_first(spark, tmp_path, monkeypatch):
+    """A frame for every key costs more than the fold; rows without a time are those of time 0, as in the batch."""
+    from pyspark.sql import GroupedData
+
+    monkeypatch.delattr(GroupedData.__mro__[1], "transformWithStateInPandas")
+    start = datetime(2024, 1, 1)
+    rows = [(0, start, 1, False), (1, None, 1, None), (2, None, 2, False), (3, start, None, False), (4, start + timedelta(seconds=50), 2, False), (5, start + timedelta(seconds=5), 2, False), (6, start + timedelta(seconds=300), 2, False)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, ok boolean")
+    machine = machines.cooldown(100.0)
+    got = run_in_parts(spark, df, [df.where("event_id < 6"), df.where("event_id = 6")], lambda s: machines.run_stream(s, "user_id", machine), tmp_path, "nulls")
+    assert {tuple(r) for r in got} == {tuple(r) for r in machines.run_batch(df, "user_id", machine).collect()}
+
+
 def test_states_go_by_event_time(spark, tmp_path):
     """Key 1 is heard of once; when event time has passed it by, its state is gone, and the results are those of the batch."""
     start = datetime(2024, 1, 1)
