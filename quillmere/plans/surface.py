@@ -215,6 +215,6 @@ def page_folder_source(spark, sf_dir):
         source = spark.readStream.format("crawled_pages").option("settle", 0).load(path).select("url", "domain", "content")
         source.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     batch, stream = spark.read.format("crawled_pages").load(path).select("url", "domain", "content"), spark.read.parquet(out)
-    found = durable(batch.intersectAll(stream).unionByName(batch.exceptAll(stream).withColumn("content", F.lit("only in batch"))).unionByName(stream.exceptAll(batch).withColumn("content", F.lit("only in the stream"))))
+    found = durable(folders.compared(batch, stream, "content"))
     scratch.clear()
     return found

@@ -17,7 +17,8 @@ import time
 from collections.abc import Iterator
 
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
@@ -147,6 +148,16 @@ class CrawledPages(DataSource):
         return _Stream(*self._asked(), float(self.options.get("settle", 2)))
 
 
+def compared(batch: DataFrame, stream: DataFrame, marked: str) -> DataFrame:
+    """The rows that both hold, as often as both do; of what one holds more of, the rest with the ``marked`` column saying which. Each side is read once."""
+    sides = batch.withColumn("_more", F.lit(1)).unionByName(stream.withColumn("_more", F.lit(-1)))
+    counted = sides.groupBy(*batch.columns).agg(F.count("*").alias("_n"), F.sum("_more").alias("_more"))
+    both = ((F.col("_n") - F.abs("_more")) / 2).cast("int")
+    rest = F.when(F.col("_more") > 0, "only in batch").otherwise("only in the stream")
+    told = counted.withColumn("_told", F.explode(F.concat(F.array_repeat(F.col(marked), both), F.array_repeat(rest, F.abs("_more").cast("int")))))
+    return told.select(*[F.col("_told" if c == marked else c).alias(c) for c in batch.columns])
+
+
 def register(spark: SparkSession) -> None:
     ship_package(spark)
     spark.dataSource.register(CrawledPages)

@@ -566,6 +566,15 @@ def T_tokens(text):
     return re.findall(r"\w+(?:-\w+)*", (text or "").lower())
 
 
+def test_what_batch_and_stream_have_read_is_compared_by_counts(spark):
+    from quillmere.sources import folders
+
+    rows = lambda *found: spark.createDataFrame(list(found), "url string, content string")
+    batch, stream = rows(("a", "x"), ("a", "x"), ("b", "y"), (None, None), ("c", "z")), rows(("a", "x"), (None, None), ("d", "w"), ("c", "z"), ("c", "z"))
+    got = Counter(map(tuple, folders.compared(batch, stream, "content").collect()))
+    assert got == Counter([("a", "x"), ("a", "only in batch"), ("b", "only in batch"), (None, None), ("c", "z"), ("c", "only in the stream"), ("d", "only in the stream")])
+
+
 def test_page_folders_in_batch_and_as_a_stream(spark, tmp_path):
     """Both read every page once, what is added later too, after a restart; broken files are passed over."""
     import json
