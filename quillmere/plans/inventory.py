@@ -33,6 +33,10 @@ def _ended(stream, seconds: int = 900) -> None:
         raise TimeoutError(f"a stream did not end within {seconds} seconds")
 
 
+#: Folders that the files of one host or role are dealt over, so that none holds nearly all.
+_SHARES = 64
+
+
 # --- sources and sinks --------------------------------------------------------------------------------------------
 @query(f"""SELECT url, {_HOST} AS domain, 'new' AS title, md5(html) AS content FROM pages UNION ALL SELECT 'http://only.old/' || page_id, 'only.old', 'old', md5(html) FROM pages WHERE page_id < 5""")
 def page_files(spark, sf_dir):
@@ -241,7 +245,7 @@ def account_files(spark, sf_dir):
     """Accounts as one JSON file each by role; of a name in two files the one whose path comes last counts. [SRC12, COL6]"""
     path = scratch_path(spark, "accounts")
     rows = _accounts(spark, sf_dir).withColumn("k", F.substring("username", 10, 9).cast("long")).withColumn("full_name", F.concat(F.lit("Åsa "), F.col("full_name")))
-    one = lambda df, folder, mark: files.write_singly(df.withColumn("email", F.lit(mark)).withColumn("_folder", F.concat(F.lit(folder), F.col("role"))), path, "append")
+    one = lambda df, folder, mark: files.write_singly(df.withColumn("email", F.lit(mark)).withColumn("_folder", F.concat(F.lit(folder), F.col("role"), F.lit("-"), F.pmod(F.xxhash64("username"), F.lit(_SHARES)))), path, "append")
     one(rows, "a-", "first")
     one(rows.where("k % 4 = 0"), "b-", "later")
     return _kept(spark, path, files.read_accounts(spark, path).select("username", "role", "full_name", (F.col("email") == "later").alias("later")))

@@ -291,3 +291,32 @@ def test_nested_index_begins_no_lists_before_the_shuffle(spark):
     plan = nested._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" in plan and "Aggregate" not in plan[plan.index("Exchange") :]
     assert sorted(map(tuple, index.flatten_index(nested).collect())) == sorted(rows)
+
+
+def test_files_of_one_row_are_neither_made_by_processes_nor_listed_by_the_driver(spark, tmp_path):
+    """Hadoop's local file system starts processes for a file and its checksum, Spark's reader holds a status of each file in the driver."""
+    path = str(tmp_path / "a")
+    rows = spark.createDataFrame([("u1", "å\n\"x", "a=b/c"), ("u2", None, None), ("u3", "", "d")], "username string, full_name string, _folder string")
+    files.write_singly(rows, path)
+    assert not list((tmp_path / "a").rglob("*.crc"))
+    assert sorted(x.name for x in (tmp_path / "a").iterdir()) == ["_folder=__HIVE_DEFAULT_PARTITION__", "_folder=a%3Db%2Fc", "_folder=d"]
+    with pytest.raises(FileExistsError):
+        files.write_singly(rows, path)
+    files.write_singly(rows, path, "overwrite")
+    found = files.read_accounts(spark, path)
+    assert sorted((r.username, r.full_name) for r in found.select("username", "full_name").collect()) == [("u1", "å\n\"x"), ("u2", None), ("u3", "")]
+    assert "FileScan" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_odd_files_of_one_row_are_read_as_spark_reads_them(spark, tmp_path):
+    odd = {
+        "d/list.json": b'[{"username": "a"}, {"username": "b", "meta": {"k": "v"}}]', "d/broken.json": b'{"username": "c', "d/empty.json": b"", "d/blank.json": b" \n", "d/two.json": b'{"username": "d"}\n{"username": "e"}', "d/word.json": b"12",
+        "d/kind.json": b'{"username": "f", "available_apps": 3, "role": {"x":1}, "meta": {"n": 1}}', "d/wide.json": '{"username": "gå"}'.encode("utf-16"), "d/mark.json": b'\xef\xbb\xbf{"username": "h"}', "d/raw.json": b'{"username": "i\xff"}',
+        "d/lines.json": b'\n {\n "username":\n "j"}', "d/.hidden.json": b'{"username": "k"}', "d/_hidden.json": b'{"username": "l"}', "d/other.txt": b'{"username": "m"}', "d/sub/x.json": b'{"username": "n"}', "top.json": b'{"username": "o"}', "_d/p.json": b'{"username": "p"}', "e f%20å/q r.json": b'{"username": "q"}', "d/nest.json": b'[[{"username": "r"}]]', "d/none.json": b"null", "d/lists.json": b' [{"username": "s", "role": [1]}, {"username": 5}]',
+    }
+    for name, data in odd.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    plain = spark.read.schema(files.ACCOUNT).option("multiLine", True).option("pathGlobFilter", "*.json").json(f"{tmp_path}/*/").where("username is not null")
+    want = sorted(map(str, plain.collect()))
+    assert len(want) > 8 and sorted(map(str, files._singly(spark, files.ACCOUNT, str(tmp_path)).where("username is not null").select(plain.columns).collect())) == want
