@@ -47,7 +47,7 @@ def page_files(spark, sf_dir):
     old_only = rows.where("page_id < 5")
     both = own(rows, F.col("url"), "old", "2024-01-01").unionByName(own(rows, F.col("url"), "new", "2024-02-01")).unionByName(own(old_only, F.concat(F.lit("http://only.old/"), F.col("page_id")), "old", "2024-01-01"))
     unread = rows.where("page_id = 0").select("url", F.lit("none").alias("title"), F.lit(None).cast("string").alias("content"), F.lit("2025-01-01").alias("crawled_at"))
-    files.write_singly(both.unionByName(unread).withColumn("domain", pages.host(F.col("url"))).withColumn("_folder", F.pmod(F.xxhash64("domain"), F.lit(8))), f"{path}/json")
+    files.write_singly(both.unionByName(unread).withColumn("domain", pages.host(F.col("url"))).withColumn("_folder", F.concat_ws("-", F.pmod(F.xxhash64("domain"), F.lit(8)), F.pmod(F.xxhash64("url"), F.lit(_SHARES)))), f"{path}/json")
     files.write_pages(files.read_pages(spark, f"{path}/json"), f"{path}/parquet")
     return _kept(spark, path, spark.read.parquet(f"{path}/parquet").select("url", "domain", "title", "content"))
 
