@@ -1,6 +1,6 @@
 """Postings in blocks with bounds, so that a search reads the blocks that can matter and leaves the others on disk.
 
-Documents are put into blocks of like length, a fixed number to each. Of every term and block the table of bounds has the highest weight that
+Documents are put into blocks of like length, about the same number to each. Of every term and block the table of bounds has the highest weight that
 the term gives a document there, without its idf. A search adds the bounds of a query's terms block by block, scores the blocks that promise most
 until as many documents as are wanted have a score, and then only such further blocks whose bounds reach the lowest of those scores: what
 is left out cannot be among the best. Results are those of scoring everything. [JN1, TOP1]
@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmere.operators.index import Index, bm25, holding, top_per_query
-from quillmere.shared import durable, local_table, partitions_of
+from quillmere.shared import durable, local_table
 
-#: Documents of a block, and blocks of a query whose numbers go to the scan as a filter; more are joined.
+#: Documents of a block on average, and blocks of a query whose numbers go to the scan as a filter; more are joined.
 PER_BLOCK, FILTER_BLOCKS = 32, 2000
 
 
@@ -40,17 +40,17 @@ class BlockIndex:
     def save(cls, index: Index, path: str, per_block: int = PER_BLOCK) -> BlockIndex:
         """Writes the postings of an index in blocks."""
         spark = index.postings.sparkSession
-        lengths = index.postings.groupBy("doc_id").agg(F.first("dl").alias("dl"))
-        parts = partitions_of(spark)
-        dealt = durable(lengths.repartitionByRange(parts, "dl", "doc_id").withColumn("_part", F.spark_partition_id()))
-        place = F.row_number().over(Window.partitionBy("_part").orderBy("dl", "doc_id")) - 1
-        # Numbers rise with the length; each part of the range has numbers of its own.
-        block = F.shiftleft(F.col("_part").cast("long"), 40) + F.floor(place / per_block)
-        named = dealt.select("doc_id", block.alias("block"))
-        post = index.postings.join(named, "doc_id").select("term", "block", "doc_id", "tf", "dl")
-        # Rows of a term and block lie together in one task, so its bound stands on its first row: no aggregate has to hold all terms and blocks of a task.
-        ordered = Window.partitionBy("term", "block").orderBy("doc_id")
-        group, first = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), F.row_number().over(ordered) == 1
+        # A document's frequencies add up to its length, so those of all documents of a length, divided by it, are their number: no document is looked for.
+        lengths = index.postings.groupBy("dl").agg(F.greatest(F.lit(1), F.ceil(F.sum("tf") / F.col("dl"))).alias("_docs"))
+        # One row for each length that occurs, which the longest document bounds.
+        before = F.coalesce(F.sum("_docs").over(Window.orderBy("dl").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        places = durable(lengths.withColumn("_before", before))
+        # Numbers rise with the length; which of a length lie together is up to a hash, so neither ranks nor joins of documents are needed.
+        block = F.floor((F.col("_before") + F.pmod(F.xxhash64("doc_id"), F.col("_docs"))) / per_block)
+        post = index.postings.join(F.broadcast(places), "dl").select("term", block.alias("block"), "doc_id", "tf", "dl")
+        # Rows of a term and block lie together in one task, so its bound stands on one of its rows: no aggregate has to hold all terms and blocks of a task.
+        group = Window.partitionBy("term", "block")
+        first = F.col("doc_id") == F.min("doc_id").over(group)
         highest = F.max(weight(F.col("tf"), F.col("dl"), index.average)).over(group)
         placed = post.repartitionByRange(index.tasks(), "term", "block").withColumns({"bound": F.when(first, highest), "n": F.when(first, F.count("*").over(group))})
         placed.write.option("parquet.block.size", 1 << 20).mode("overwrite").parquet(f"{path}/postings")

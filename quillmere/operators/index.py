@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from quillmere.functions import lexicon as L
 from quillmere.functions import text as T
-from quillmere.shared import local_table, partitions_of, whole_row
+from quillmere.shared import local_table, partitions_of, remove_path, whole_row
 
 #: Distinct terms of a batch of queries that go to the scan as a filter; more are joined.
 FILTER_TERMS = 1000
@@ -38,8 +38,8 @@ def collapse_copies(docs: DataFrame, content: str = "text", newest: str = "doc_i
     return kept.select("content_hash", *[F.col("_row")[c].alias(c) for c in docs.columns if c != "content_hash"])
 
 
-def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", stemmed: bool = True) -> DataFrame:
-    """(term, doc_id, tf, dl). Terms are stemmed once each posting, after counting. [AGG1, AGG2]
+def _counted(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Column]:
+    """(doc_id, dl) of the documents, and the (token, tf) of each as an array over them.
 
     A row is a document. Its tokens are counted where they are: sorted, each run of equal ones is a posting, so that nothing is shuffled or spilled.
     """
@@ -47,13 +47,28 @@ def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", stemme
     first = lambda i: (i == 1) | (F.get("tokens", i - 1) != F.get("tokens", i - 2))
     runs = sorted_.select("doc_id", "tokens", F.size("tokens").alias("dl"), F.when(F.size("tokens") > 0, F.filter(F.sequence(F.lit(1), F.size("tokens")), first)).alias("_at"))
     ends = F.concat(F.slice("_at", F.lit(2), F.size("_at")), F.array(F.col("dl") + 1))
-    posting = F.zip_with("_at", ends, lambda a, b: F.struct(F.get("tokens", a - 1).alias("token"), (b - a).cast("long").alias("tf")))
-    counted = runs.select("doc_id", F.col("dl").cast("long").alias("dl"), F.inline(posting))
+    return runs, F.zip_with("_at", ends, lambda a, b: F.struct(F.get("tokens", a - 1).alias("token"), (b - a).cast("long").alias("tf")))
+
+
+def _termed(counted: DataFrame, stemmed: bool) -> DataFrame:
+    """Terms are stemmed once each posting, after counting."""
     if not stemmed:
         return counted.select(F.col("token").alias("term"), "doc_id", "tf", "dl")
     return counted.groupBy(T.stem(F.col("token")).alias("term"), "doc_id", "dl").agg(F.sum("tf").alias("tf")).select("term", "doc_id", "tf", "dl")
 
 
+def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, dl, counts), to be saved: a plan that goes on from ``counts`` unsaved would split the texts for a filter on it too."""
+    runs, posting = _counted(docs, doc_id, text)
+    return runs.select("doc_id", F.col("dl").cast("long").alias("dl"), posting.alias("counts"))
+
+
+def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", stemmed: bool = True) -> DataFrame:
+    """(term, doc_id, tf, dl). [AGG1, AGG2]"""
+    runs, posting = _counted(docs, doc_id, text)
+    return _termed(runs.select("doc_id", F.col("dl").cast("long").alias("dl"), F.inline(posting)), stemmed)
+
+
 def document_lengths(post: DataFrame) -> DataFrame:
     """[AGG2]"""
     return post.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
@@ -109,9 +124,20 @@ class Index:
 
     @classmethod
     def written(cls, docs: DataFrame, path: str, stemmed: bool = True) -> Index:
-        """What ``build(docs).save(path)`` gives, with ``docs`` computed once: all else is read from the saved documents."""
+        """What ``build(docs).save(path)`` gives, with ``docs`` computed once and its texts split once: all else is read from what was saved.
+
+        Otherwise the mean length, the ranges of the postings and the postings would each split all texts.
+        """
+        spark = docs.sparkSession
         docs.withColumn("head", F.substring("text", 1, 200)).write.mode("overwrite").parquet(f"{path}/documents")
-        return cls.build(docs.sparkSession.read.parquet(f"{path}/documents"), stemmed)._save_rest(path)
+        documents = spark.read.parquet(f"{path}/documents")
+        token_counts(documents).write.mode("overwrite").parquet(f"{path}/counts")
+        counts = spark.read.parquet(f"{path}/counts")
+        n, average = counts.agg(F.count("*"), F.avg(F.when(F.col("dl") > 0, F.col("dl")))).first()
+        post = _termed(counts.select("doc_id", "dl", F.inline("counts")), stemmed)
+        saved = cls(documents, post, term_statistics(post, n), n, average or 0.0)._save_rest(path)
+        remove_path(spark, f"{path}/counts")
+        return saved
 
     def _save_rest(self, path: str) -> Index:
         spark = self.documents.sparkSession

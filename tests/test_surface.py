@@ -668,3 +668,19 @@ def test_a_segments_documents_are_computed_once(spark, tmp_path):
     kept = SegmentedIndex.create(spark, str(tmp_path / "index"), stemmed=False).add(docs)
     assert seen.value == 40
     assert kept.sizes() == {"documents": 40, "filled": 40, "tokens": 40, "postings": 40}
+
+
+def test_blocks_need_neither_ranks_nor_joins_of_documents(spark, tmp_path, monkeypatch):
+    """A document's block follows from its length and id, so blocks are numbered through, and lengths rise with them; an index that is written splits its texts once."""
+    from quillmere.operators import blocks
+
+    split, terms = [], index.T.terms
+    monkeypatch.setattr(index.T, "terms", lambda text: split.append(1) or terms(text))
+    ix = index.Index.written(docs_of(spark, {k: " ".join(f"ord{x}" for x in range(k % 40)) for k in range(400)} | {400: None}), str(tmp_path / "i"), stemmed=False)
+    assert len(split) == 1 and not (tmp_path / "i" / "counts").exists() and ix.n == 401
+    saved = blocks.BlockIndex.save(ix, str(tmp_path / "b"), 8)
+    docs = {(r.block, r.doc_id, r.dl) for r in saved.postings.collect()}
+    assert len(docs) == 390 and max(b for b, _, _ in docs) == (390 - 1) // 8
+    lengths = {b: [dl for c, _, dl in docs if c == b] for b, _, _ in docs}
+    order = sorted(lengths)
+    assert all(max(lengths[a]) <= min(lengths[b]) for a, b in zip(order, order[1:]))
